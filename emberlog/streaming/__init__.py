@@ -1,0 +1,5 @@
+"""The batch product has no streaming operator, so there is none here.
+
+The row-wise operators (``functions``, ``operators.rules``, ``operators.fields``)
+are plain column expressions and work unchanged on a streaming DataFrame.
+"""
