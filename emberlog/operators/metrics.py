@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.functions import enrich as e
 from emberlog.functions.text import col, redact
 from emberlog.operators.ordering import top_rows
 
@@ -49,8 +50,12 @@ def level_counts(df: DataFrame, log: str = "log") -> DataFrame:
 
 
 def tag_counts(df: DataFrame) -> DataFrame:
-    return (df.select(SOURCE, F.explode("tag").alias("tag"))
-            .groupBy(SOURCE, "tag").agg(F.count(F.lit(1)).alias("count")))
+    """Occurrences per tag. Equal tag lists are counted first, so few rows are exploded."""
+    lists = df.groupBy(SOURCE, "tag").agg(F.count(F.lit(1)).alias("n"))
+    # explode_outer: the filter Spark derives for explode would be pushed below the
+    # aggregate and evaluate the tag expression a second time on every row.
+    return (lists.select(SOURCE, F.explode_outer("tag").alias("tag"), "n").filter("tag IS NOT NULL")
+            .groupBy(SOURCE, "tag").agg(F.sum("n").alias("count")))
 
 
 def tags_ranked(df: DataFrame) -> DataFrame:
