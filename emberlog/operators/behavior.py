@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.operators.ordering import HOT_ROWS, running_totals
+from emberlog.operators.ordering import HOT_ROWS, hot_limit, running_totals
 from emberlog.schema import default_columns
 
 NO_GROUP = "*"
@@ -101,14 +101,14 @@ def _first_of(df: DataFrame, fires: Column, value: Column) -> DataFrame:
     )
 
 
-def _count_hits(entries: DataFrame, hot_rows: int) -> DataFrame:
+def _count_hits(entries: DataFrame, hot_rows: int | None) -> DataFrame:
     rows = entries.select(*GROUP, "row_id", "at", "span", "limit")
     changes = _changes(rows.withColumn("change", F.lit(1).cast("long")), rows.withColumn("change", F.lit(-1).cast("long")))
     inside = running_totals(changes, GROUP, ORDER, {"inside": F.col("change")}, hot_rows)
     return _first_of(inside, F.col("inside") >= F.col("limit"), F.col("inside").cast("double"))
 
 
-def _distinct_hits(entries: DataFrame, hot_rows: int) -> DataFrame:
+def _distinct_hits(entries: DataFrame, hot_rows: int | None) -> DataFrame:
     """A value enters when an event finds none of it in the window and leaves with
     the event after which none of it is left. Only those changes are then totalled."""
     rows = entries.filter(F.col("field_value").isNotNull()).select(*GROUP, "row_id", "at", "span", "limit", "field_value")
@@ -120,7 +120,7 @@ def _distinct_hits(entries: DataFrame, hot_rows: int) -> DataFrame:
     return _first_of(inside, F.col("inside") >= F.col("limit"), F.col("inside").cast("double"))
 
 
-def _ratio_hits(entries: DataFrame, min_events: dict[int, int], hot_rows: int) -> DataFrame:
+def _ratio_hits(entries: DataFrame, min_events: dict[int, int], hot_rows: int | None) -> DataFrame:
     """Per moment: matches in the window (all of this moment's) over the events up to
     the first one of this moment, which has the smallest denominator."""
     moments = entries.groupBy(*GROUP, "at").agg(
@@ -138,13 +138,14 @@ def _ratio_hits(entries: DataFrame, min_events: dict[int, int], hot_rows: int) -
     return fired.join(matched, GROUP, "left_semi")
 
 
-def evaluate_rules(df: DataFrame, rules: list[BehaviorRule], hot_rows: int = HOT_ROWS) -> DataFrame:
+def evaluate_rules(df: DataFrame, rules: list[BehaviorRule], hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """One row per (rule, group) that fires: the trigger and its window.
 
     Needs ``row_id``, ``ts``, ``log`` and the columns the rules name.
     """
     todo = [(at, r) for at, r in enumerate(rules) if _runnable(r, df.columns)]
     found = []
+    hot_rows = hot_limit(df, hot_rows)
     for kind, run in (("count", _count_hits), ("distinct_count", _distinct_hits)):
         some = [(at, r) for at, r in todo if r.type == kind]
         if some:

@@ -19,13 +19,14 @@ from pyspark.sql import Window
 
 from emberlog.functions.enrich import LEADING
 from emberlog.functions.text import found, word_jaccard, words
-from emberlog.operators.ordering import HOT_ROWS, running_totals
+from emberlog.operators.ordering import HOT_ROWS, hot_limit, running_totals
+from emberlog.session import cut_lineage
 
 FILE, LINE, TEMPLATE = "source_file", "line_no", "log_template"
 SIMILAR = 0.8
 
 
-def flood_starts(df: DataFrame, window: int = 1000, threshold: float = 0.75, hot_rows: int = HOT_ROWS) -> DataFrame:
+def flood_starts(df: DataFrame, window: int = 1000, threshold: float = 0.75, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """(file, template, low, high): the positions from which the template floods the window."""
     need = math.ceil(threshold * window - 1e-9)
     long_files = df.groupBy(FILE).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > window).select(FILE)
@@ -64,7 +65,7 @@ def similar_templates(left: DataFrame, right: DataFrame, least: float = SIMILAR)
     return pairs.drop("_word").distinct().filter(word_jaccard("dominant", "template") > least)
 
 
-def similar_runs(df: DataFrame, starts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def similar_runs(df: DataFrame, starts: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """(file, dominant, first, last): unbroken stretches of lines similar to a dominant template."""
     dominant = starts.select(FILE, "dominant").distinct()
     names = df.select(FILE, F.col(TEMPLATE).alias("template")).distinct().join(
@@ -77,7 +78,7 @@ def similar_runs(df: DataFrame, starts: DataFrame, hot_rows: int = HOT_ROWS) ->
         F.min(LINE).alias("first"), F.max(LINE).alias("last")).drop("_run")
 
 
-def _stretches(segments: DataFrame, hot_rows: int) -> DataFrame:
+def _stretches(segments: DataFrame, hot_rows: int | None) -> DataFrame:
     """Number the connected stretches of overlapping or touching [first, reach] segments."""
     edges = segments.select(FILE, F.explode(F.array(
         F.struct(F.col("first").alias("at"), F.lit(0).alias("kind"), F.lit(1).cast("long").alias("step")),
@@ -118,11 +119,12 @@ def _walk(window: int):
     return run
 
 
-def flood_blocks(df: DataFrame, window: int = 1000, threshold: float = 0.75, hot_rows: int = HOT_ROWS) -> DataFrame:
+def flood_blocks(df: DataFrame, window: int = 1000, threshold: float = 0.75, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """(file, block_start, block_end, dominant) of every flood, in line numbers."""
     if not 0.5 < threshold <= 1:
         raise ValueError("threshold must be above 0.5, so that one template can dominate a window")
-    starts = flood_starts(df, window, threshold, hot_rows)
+    hot_rows = hot_limit(df, hot_rows)
+    starts = cut_lineage(flood_starts(df, window, threshold, hot_rows))
     runs = similar_runs(df, starts, hot_rows)
     segments = starts.select(
         FILE, F.col("low").alias("first"), (F.col("high") + window - 1).alias("reach"), "high", "dominant",
@@ -130,7 +132,7 @@ def flood_blocks(df: DataFrame, window: int = 1000, threshold: float = 0.75, hot
         runs.select(FILE, "first", F.col("last").alias("reach"), F.lit(None).cast("long").alias("high"), "dominant",
                     F.lit(False).alias("is_start")))
     sizes = df.groupBy(FILE).agg(F.max(LINE).alias("_n"))
-    staged = _stretches(segments, hot_rows).join(sizes, FILE)
+    staged = cut_lineage(_stretches(cut_lineage(segments), hot_rows).join(sizes, FILE))
     with_start = staged.filter("is_start").select(FILE, "stretch").distinct()
     schema = f"{FILE} string, block_start long, block_end long, dominant string"
     return staged.join(with_start, [FILE, "stretch"], "left_semi").groupBy(FILE, "stretch").applyInPandas(_walk(window), schema)
@@ -182,22 +184,22 @@ def flood_patterns(flooded: DataFrame, key: list[str] | None = None) -> DataFram
 
 def flood_variable_parts(flooded: DataFrame, common: DataFrame, key: list[str]) -> DataFrame:
     """(block, word, where first seen): words at positions where a line of the same length differs from the template."""
-    def differing(log: str) -> Column:
+    def differing() -> Column:
         return F.filter(
             F.zip_with(F.sequence(F.lit(0), F.size("_theirs") - 1), F.arrays_zip(F.col("_theirs").alias("t"), F.col("_mine").alias("m")),
-                       lambda i, p: F.struct(i.alias("i"), p["_theirs"].alias("t"), p["_mine"].alias("m"))),
+                       lambda i, p: F.struct(i.alias("i"), p["t"], p["m"])),
             lambda r: r["t"] != r["m"])
     rows = (
         flooded.join(common.select(*key, "template"), key)
         .withColumns({"_theirs": words("template"), "_mine": words("log")})
         .filter((F.size("_theirs") == F.size("_mine")) & (F.size("_theirs") > 0))
-        .select(*key, LINE, F.explode(differing("log")).alias("d"))
+        .select(*key, LINE, F.explode(differing()).alias("d"))
     )
     seen = rows.groupBy(*key, F.col("d.m").alias("word")).agg(F.min(F.struct(F.col(LINE).alias("l"), F.col("d.i").alias("i"))).alias("s"))
     return seen.select(*key, "word", F.col("s.l").alias("seen_line"), F.col("s.i").alias("seen_word"))
 
 
-def collapse_floods(df: DataFrame, window: int = 1000, threshold: float = 0.75, hot_rows: int = HOT_ROWS) -> DataFrame:
+def collapse_floods(df: DataFrame, window: int = 1000, threshold: float = 0.75, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """The log table with every flood replaced by one summary row."""
     marked = mark_blocks(df, flood_blocks(df, window, threshold, hot_rows), window)
     kept = marked.filter("block_start IS NULL").drop("block_start")

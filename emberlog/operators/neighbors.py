@@ -53,7 +53,7 @@ def _assign(points: DataFrame, by: list[str], pivots_per_group: Column) -> DataF
         .groupBy(*by, "_pivots", "_lanes")
         .agg(F.array_sort(F.collect_list(F.struct(order.alias("h"), "vid", "vec"))).alias("p"))
         .select(*by, "_lanes", F.explode(F.slice("p", F.lit(1), F.col("_pivots"))).alias("p"))
-        .select(*by, F.col("p.vid").alias("pivot"), F.col("p.vec").alias("pivot_vec"), "_lanes")
+        .select(*[F.col(n).alias(n) for n in by], F.col("p.vid").alias("pivot"), F.col("p.vec").alias("pivot_vec"), "_lanes")
     )
     spread = pivots.withColumn("_lane", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lanes") - 1))).drop("_lanes")
     laned = points.join(sizes.select(*by, "_lanes"), by).withColumn(
@@ -122,7 +122,8 @@ def _compare(assigned: DataFrame, cells: DataFrame, pairs: DataFrame, by: list[s
     offered = (assigned.withColumnRenamed("cell", "other").join(sized, [*by, "other"])
                .filter(F.col("to_pivot").between(F.col("low"), F.col("high")))
                .withColumns({"other_part": theirs, "part": every("parts")})
-               .select(*by, "cell", "part", "other", "other_part", F.col("vid").alias("neighbor"), "vec", "copies"))
+               .select(*[F.col(n).alias(n) for n in [*by, "cell", "part", "other", "other_part"]],
+                       F.col("vid").alias("neighbor"), F.col("vec").alias("vec"), F.col("copies").alias("copies")))
 
     def best(ask: pd.DataFrame, offer: pd.DataFrame) -> pd.DataFrame:
         if not len(ask) or not len(offer):

@@ -28,12 +28,19 @@ def _same_key(by: list[str], left: str, right: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in by])
 
 
-def split_hot(df: DataFrame, by: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+def hot_limit(df: DataFrame, hot_rows: int | None) -> int | None:
+    """None when the whole input is too small to hold a hot group, which spares the checks."""
+    return None if hot_rows is None or df.count() <= hot_rows else hot_rows
+
+
+def split_hot(df: DataFrame, by: list[str], hot_rows: int | None) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary groups, rows of hot groups or None).
 
     The check is one map-side combined count over the key columns only. The list
     of hot keys has at most rows / hot_rows entries; Spark picks the join.
     """
+    if hot_rows is None:
+        return df, None
     hot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*by)
     if hot.isEmpty():
         return df, None
@@ -66,7 +73,7 @@ def _spread_totals(df: DataFrame, by: list[str], order: list, totals: dict[str,
 
 
 def running_totals(df: DataFrame, by: list[str], order: list, totals: dict[str, Column],
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+                   hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Exact prefix sums per group; ``order`` must be unique within a group."""
     rows, keys = _keyed(df, by)
     plain, hot = split_hot(rows, keys, hot_rows)
@@ -78,9 +85,9 @@ def running_totals(df: DataFrame, by: list[str], order: list, totals: dict[str,
 
 
 def number_rows(df: DataFrame, by: list[str], order: list, name: str = "line_no",
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+                hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """1-based position of every row in its group."""
-    return running_totals(df, by, order, {name: F.lit(1).cast("long")}, hot_rows)
+    return running_totals(df, by, order, {name: F.lit(1).cast("long")}, hot_limit(df, hot_rows))
 
 
 def top_rows(df: DataFrame, by: list[str], order: list, n: int, lanes: int = 64) -> DataFrame:
@@ -100,7 +107,7 @@ def top_rows(df: DataFrame, by: list[str], order: list, n: int, lanes: int = 64)
 
 
 def top_share(df: DataFrame, by: list[str], order: list, fraction: float, flag: str,
-              hot_rows: int = HOT_ROWS) -> DataFrame:
+              hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Flag (0/1) the first ``floor(fraction * rows)`` rows of every group, at least one."""
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     ranked = number_rows(df, by, order, "_rank", hot_rows)

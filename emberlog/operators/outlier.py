@@ -48,7 +48,7 @@ def lof_scores(df: DataFrame, by: list[str] | None = None, k: int = 20, vector:
 
 
 def lof_label(df: DataFrame, by: list[str] | None = None, k: int = 5, contamination: float = 0.05,
-              vector: str = "embedding", row_id: str = "row_id", hot_rows: int = HOT_ROWS) -> DataFrame:
+              vector: str = "embedding", row_id: str = "row_id", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """``lof_score`` (higher is worse) and ``lof_label`` (-1 beyond the contamination quantile).
 
     The quantile is exact, linearly interpolated, taken from distributed ranks.

@@ -59,20 +59,27 @@ def _cluster(lines: list[list[str]], similarity: float) -> list[str]:
     return [texts[m] for m in member]
 
 
-def _fold(entries: DataFrame, scope: list[str], similarity: float) -> DataFrame:
-    """(scope, leaf, text) to template, one task group per (scope, leaf, part)."""
+def _fold(parted: DataFrame, scope: list[str], similarity: float) -> DataFrame:
+    """(scope, leaf, text) to template, one task group per (scope, leaf, part).
+
+    A line alone in its leaf is its own template and needs no clustering.
+    """
+    names = [*scope, "leaf", "text", "first_seen"]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["first_seen", "text"], kind="stable")
         templates = _cluster([t.split(" ") for t in pdf["text"]], similarity)
-        return pdf.assign(template=templates)[[*scope, "leaf", "text", "first_seen", "template"]]
-    fields = ", ".join([f"`{k}` {entries.schema[k].dataType.simpleString()}" for k in scope]
-                       + ["leaf string", "text string", "first_seen long", "template string"])
-    return entries.groupBy(*scope, "leaf", "part").applyInPandas(run, fields)
+        return pdf.assign(template=templates)[[*names, "template"]]
+    fields = ", ".join([f"`{n}` {parted.schema[n].dataType.simpleString()}" for n in names] + ["template string"])
+    alone = parted.filter("leaf_size = 1").select(*names, F.col("text").alias("template"))
+    shared = parted.filter("leaf_size > 1").groupBy(*scope, "leaf", "part").applyInPandas(run, fields)
+    return alone.unionByName(shared)
 
 
 def _parts(entries: DataFrame, scope: list[str], leaf_rows: int, turn: int) -> DataFrame:
-    sizes = entries.groupBy(*scope, "leaf").agg(F.ceil(F.count(F.lit(1)) / leaf_rows).alias("parts"))
+    sizes = entries.groupBy(*scope, "leaf").agg(F.count(F.lit(1)).alias("leaf_size"))
     return entries.join(sizes, [*scope, "leaf"]).withColumn(
+        "parts", F.ceil(F.col("leaf_size") / leaf_rows)).withColumn(
         "part", F.pmod(F.xxhash64(F.col("text"), F.lit(turn)), F.col("parts")))
 
 
@@ -89,7 +96,7 @@ def learn_templates(df: DataFrame, scope: list[str], depth: int = 3, similarity:
 
     learned = None
     for turn in range(rounds):
-        parted = _parts(entries, scope, leaf_rows, turn)
+        parted = cut_lineage(_parts(entries, scope, leaf_rows, turn))
         step = cut_lineage(_fold(parted, scope, similarity))
         if learned is None:
             learned = step.select(*scope, "leaf", "text", "template")

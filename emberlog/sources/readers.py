@@ -70,52 +70,62 @@ def scan_text_logs(spark: SparkSession, paths: str | list[str], glob: str | None
     return _number_lines(rows).withColumn("ts", parsed_time(F.col("ts_raw"))).select(*LOG_COLUMNS)
 
 
-def json_message(record: Column) -> Column:
-    """Message of a record held as variant: object ``@message.log``, ``message``, ``log``, text ``@message``."""
-    def text_at(path: str) -> Column:
-        value = F.try_variant_get(record, path, "variant")
-        return F.when(F.schema_of_variant(value) == "STRING", strip(value.cast("string")))
-    sources = [text_at("$['@message']['log']"), text_at("$['message']"), text_at("$['log']"), text_at("$['@message']")]
-    return F.coalesce(*[F.nullif(s, F.lit("")) for s in sources])
+def _text_value(value: Column) -> Column:
+    """Stripped text of a variant that holds text; null for anything else and for blank text."""
+    return F.nullif(F.when(F.schema_of_variant(value) == "STRING", strip(value.cast("string"))), F.lit(""))
 
 
-def json_timestamp_pick(record: Column) -> Column:
+def json_message() -> Column:
+    """Message of a record: object ``@message.log``, ``message``, ``log``, text ``@message``."""
+    whole = F.col("@message")
+    return F.coalesce(_text_value(F.try_variant_get(whole, "$.log", "variant")), _text_value(F.col("message")),
+                      _text_value(F.col("log")), _text_value(whole))
+
+
+def json_timestamp_pick() -> Column:
     """First time field with a value, as text."""
-    def text_at(name: str) -> Column:
-        text = F.try_variant_get(record, f"$['{name}']", "variant").cast("string")
+    def value(name: str) -> Column:
+        text = F.col(name).cast("string")
         return F.when(~text.isin("", "0", "false", "null", "[]", "{}"), text)
-    return F.coalesce(*[text_at(n) for n in c.TIMESTAMP_FIELDS], F.lit(""))
+    return F.coalesce(*[value(n) for n in c.TIMESTAMP_FIELDS], F.lit(""))
+
+
+RECORD_FIELDS = ["@message", "message", "log", *c.TIMESTAMP_FIELDS]
+
+
+def _json_records(spark: SparkSession, paths: str | list[str], glob: str | None, fields: list[str], layout: str) -> DataFrame:
+    """Fields of each record as variants. An array is streamed element by element, so only
+    single values, never a whole file, have to fit into memory; lines can also be split."""
+    schema = T.StructType([T.StructField(n, T.VariantType()) for n in fields])
+    reader = _reader(spark, glob).schema(schema).option("mode", "PERMISSIVE").option("multiLine", layout == "array")
+    return _with_origin(reader.json(paths))
 
 
 def scan_json_logs(spark: SparkSession, paths: str | list[str], glob: str | None = None,
-                   keep_record: bool = False) -> DataFrame:
-    """Files holding a JSON array of records (or one record per line).
+                   extra: list[str] | None = None, layout: str = "array") -> DataFrame:
+    """Files holding a JSON array of records, or with ``layout="lines"`` one record per line.
 
-    A file that does not parse gives no rows. With ``keep_record`` the other
-    fields stay available as the variant column ``record``.
+    What does not parse gives no rows. ``extra`` names other top-level fields to keep as text.
     """
+    kept = list(extra or [])
     rows = (
-        _with_origin(
-            _reader(spark, glob).option("multiLine", True).option("singleVariantColumn", "record")
-            .option("mode", "PERMISSIVE").json(paths))
-        .withColumn("log", json_message(F.col("record")))
-        .filter(F.col("log").isNotNull())
-        .withColumn("ts_raw", json_timestamp_pick(F.col("record")))
-        .select("source_file", "_path", "_block", "ts_raw", "log", *(["record"] if keep_record else []))
+        _json_records(spark, paths, glob, [*RECORD_FIELDS, *[n for n in kept if n not in RECORD_FIELDS]], layout)
+        .withColumns({"_log": json_message(), "ts_raw": json_timestamp_pick()})
+        .filter(F.col("_log").isNotNull())
+        .select("source_file", "_path", "_block", "ts_raw", F.col("_log").alias("_message"), *[F.col(n).cast("string").alias(n) for n in kept])
+        .withColumnRenamed("_message", "log")
     )
-    out = _number_lines(rows).withColumn("ts", parsed_time(F.col("ts_raw")))
-    return out.select(*LOG_COLUMNS, *(["record"] if keep_record else []))
+    return _number_lines(rows).withColumn("ts", parsed_time(F.col("ts_raw"))).select(*LOG_COLUMNS, *kept)
 
 
-def scan_logs(spark: SparkSession, path: str) -> DataFrame:
+def scan_logs(spark: SparkSession, path: str, json_layout: str = "array") -> DataFrame:
     """All ``.json``, ``.log`` and ``.txt`` files of a folder (or one file) as one table."""
-    files = _list_names(spark, path)
-    kinds = {name.rsplit(".", 1)[-1] for name in files if "." in name}
+    kinds = {name.rsplit(".", 1)[-1] for name in _list_names(spark, path) if "." in name}
     parts = []
     if kinds & {"log", "txt"}:
         parts.append(scan_text_logs(spark, path, "*.{log,txt}"))
     if "json" in kinds:
-        parts.append(scan_json_logs(spark, path, "*.json"))
+        parts.append(scan_json_logs(spark, path, "*.json", layout=json_layout))
     if not parts:
         return spark.createDataFrame([], "source_file string, line_no long, ts_raw string, ts timestamp, log string")
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -149,13 +159,10 @@ def read_allowlist(spark: SparkSession, path: str) -> DataFrame:
     """Lines known to be fine: ``source_file, log``; a bad or missing file means none."""
     if not _list_names(spark, path):
         return spark.createDataFrame([], "source_file string, log string")
-    record = F.col("record")
+    entry = F.col("log")
     return (
-        _with_origin(_reader(spark, None).option("multiLine", True).option("singleVariantColumn", "record")
-                     .option("mode", "PERMISSIVE").json(path))
-        .select("source_file", F.coalesce(F.try_variant_get(record, "$.log", "string"), F.lit("")).alias("log"),
-                F.schema_of_variant(record).startswith("OBJECT").alias("_ok"))
-        .filter("_ok").drop("_ok")
+        _json_records(spark, path, None, ["log"], "array")
+        .filter(F.schema_of_variant(entry) == "STRING").select("source_file", entry.cast("string").alias("log"))
     )
 
 

@@ -65,14 +65,14 @@ def _(spark, sf):
     return fl.flood_blocks(_flooded(spark, sf), WINDOW, SHARE)
 
 
-PATTERN_SQL = """patterns AS (SELECT source_file, block_start, count, arg_min(log_template, (-n, log_template)) AS template FROM (
-  SELECT source_file, block_start, log_template, count(*) AS n, sum(count(*)) OVER (PARTITION BY source_file, block_start) AS count FROM marked WHERE block_start IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+PATTERN_SQL = """per_template AS (SELECT source_file, block_start, log_template, count(*) AS n FROM marked WHERE block_start IS NOT NULL GROUP BY 1, 2, 3),
+ patterns AS (SELECT source_file, block_start, CAST(sum(n) AS BIGINT) AS count, arg_min(log_template, (-n, log_template)) AS template FROM per_template GROUP BY 1, 2),
  facts AS (SELECT source_file, block_start, max(CASE WHEN contains(lower(log), 'error') THEN 2 WHEN contains(lower(log), 'warn') THEN 1 ELSE 0 END) AS level,
   coalesce(string_agg(DISTINCT nullif(regexp_extract(log, '^\\[?([a-zA-Z0-9_.-]+)\\]?[:|\\s]', 1), ''), '|' ORDER BY nullif(regexp_extract(log, '^\\[?([a-zA-Z0-9_.-]+)\\]?[:|\\s]', 1), '')), '') AS components
-  FROM marked WHERE block_start IS NOT NULL GROUP BY ALL),
+  FROM marked WHERE block_start IS NOT NULL GROUP BY 1, 2),
  words AS (SELECT source_file, block_start, line_no, string_split_regex(p.template, '\\s+') AS t, string_split_regex(trim(log), '\\s+') AS l FROM marked JOIN patterns p USING (source_file, block_start)),
  differing AS (SELECT source_file, block_start, word, min(line_no * 1000 + i) AS seen FROM (
-  SELECT source_file, block_start, line_no, unnest(range(1, len(t) + 1)) AS i, l[i] AS word, t[i] AS theirs FROM words WHERE len(t) = len(l)) WHERE word <> theirs GROUP BY ALL)"""
+  SELECT source_file, block_start, line_no, unnest(range(1, len(t) + 1)) AS i, l[i] AS word, t[i] AS theirs FROM words WHERE len(t) = len(l)) WHERE word <> theirs GROUP BY 1, 2, 3)"""
 
 
 @query("a18_flood_pattern", _recursive(with_ctes("""SELECT source_file, block_start, count, template, CASE level WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'unknown' END AS severity, components,
@@ -84,11 +84,12 @@ def _(spark, sf):
 
 
 @query("w7_flood_summary_row", _recursive(with_ctes("""SELECT source_file, line_no, log, is_anomaly, is_flood FROM (
- SELECT source_file, line_no, log, NULL AS is_anomaly, false AS is_flood FROM marked WHERE block_start IS NULL UNION ALL
+ SELECT source_file, line_no, log, 0 AS is_anomaly, false AS is_flood FROM marked WHERE block_start IS NULL UNION ALL
  SELECT source_file, block_start, '[LOG FLOOD] ' || CAST(count AS VARCHAR) || ' occurrences of similar logs: ' || template, CASE WHEN level = 2 THEN 1 ELSE 0 END, true FROM patterns JOIN facts USING (source_file, block_start))""",
     *BLOCK_STEPS, PATTERN_SQL, base="numbered")))
 def _(spark, sf):
-    return fl.collapse_floods(_flooded(spark, sf), WINDOW, SHARE).select("source_file", "line_no", "log", "is_anomaly", "is_flood")
+    out = fl.collapse_floods(_flooded(spark, sf), WINDOW, SHARE)
+    return out.select("source_file", "line_no", "log", F.coalesce("is_anomaly", F.lit(0)).alias("is_anomaly"), "is_flood")
 
 
 @query("m7_mine_templates")
