@@ -165,7 +165,8 @@ def flood_patterns(flooded: DataFrame, key: list[str] | None = None) -> DataFram
     x = F.lower("log")
     level = F.when(F.contains(x, F.lit("error")), 2).when(F.contains(x, F.lit("warn")), 1).otherwise(0)
     times = [F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")] if "ts" in flooded.columns else []
-    facts = flooded.groupBy(*key).agg(F.max(level).alias("_level"), *times)
+    first_line = [F.min_by(n, LINE).alias(n) for n in ("row_id", "ts_raw") if n in flooded.columns]
+    facts = flooded.groupBy(*key).agg(F.max(level).alias("_level"), *times, *first_line)
     parts = flood_variable_parts(flooded, common, key)
     listed = parts.groupBy(*key).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("seen_line", "seen_word", "word"))), lambda r: r["word"]).alias("variable_parts"))
@@ -211,7 +212,7 @@ def collapse_floods(df: DataFrame, window: int = 1000, threshold: float = 0.75,
         F.concat(F.lit("[LOG FLOOD] <count>"), text).alias(TEMPLATE),
         (F.col("severity") == "error").cast("int").alias("is_anomaly"), F.lit("FLOOD").alias("anomaly_source"),
         F.lit(True).alias("is_flood"), F.col("count").alias("flood_count"), info.alias("flood_info"),
-        *(["first_ts", "last_ts"] if "ts" in df.columns else []),
+        *(["first_ts", "last_ts"] if "ts" in df.columns else []), *[n for n in ("row_id", "ts_raw") if n in df.columns],
     )
     if "ts" in df.columns:
         summary = summary.withColumn("ts", F.col("first_ts"))

@@ -42,8 +42,8 @@ def distinct_vectors(df: DataFrame, by: list[str], vector: str, row_id: str) ->
         F.min(row_id).alias("vid"), F.count(F.lit(1)).alias("copies"))
 
 
-def _assign(points: DataFrame, by: list[str], pivots_per_group: Column) -> DataFrame:
-    """Add the nearest pivot (cell) and the distance to it."""
+def _assign(points: DataFrame, by: list[str], pivots_per_group: Column, probe: int) -> tuple[DataFrame, DataFrame]:
+    """Add the nearest pivot (cell), the distance to it, and the ``probe`` nearest pivots."""
     sizes = points.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumns({"_pivots": pivots_per_group, "_lanes": F.ceil(F.col("_n") / BLOCK)})
     sampled = top_rows(points.select(*by, "vid", "vec"), by, [F.xxhash64("vid"), F.col("vid")], MAX_PIVOTS)
@@ -64,18 +64,23 @@ def _assign(points: DataFrame, by: list[str], pivots_per_group: Column) -> DataF
             return pd.DataFrame(columns=names)
         piv = piv.sort_values("pivot")
         d = _distances(_matrix(rows["vec"]), _matrix(piv["pivot_vec"]))
-        at = d.argmin(axis=1)
-        return rows.assign(cell=piv["pivot"].to_numpy()[at], to_pivot=d[np.arange(len(rows)), at])[names]
+        at = np.argsort(d, axis=1, kind="stable")[:, :max(probe, 1)]
+        ids = piv["pivot"].to_numpy()[at]
+        return rows.assign(cell=ids[:, 0], to_pivot=d[np.arange(len(rows)), at[:, 0]], probes=list(ids))[names]
 
-    names = [*by, "vid", "vec", "copies", "cell", "to_pivot"]
-    out = ", ".join(_fields(points, [*by, "vid", "vec", "copies"]) + ["cell long", "to_pivot double"])
+    names = [*by, "vid", "vec", "copies", "cell", "to_pivot", "probes"]
+    out = ", ".join(_fields(points, [*by, "vid", "vec", "copies"]) + ["cell long", "to_pivot double", "probes array<long>"])
     key = [*by, "_lane"]
     assigned = laned.groupBy(*key).cogroup(spread.groupBy(*key)).applyInPandas(nearest_pivot, out)
     return cut_lineage(assigned), pivots.drop("_lanes")
 
 
-def _cell_pairs(cells: DataFrame, by: list[str], k: int, probe: int | None) -> DataFrame:
-    """Which cells to compare. A group here is one group's pivots, at most MAX_PIVOTS rows."""
+def _cell_pairs(cells: DataFrame, by: list[str], k: int, approximate: bool) -> DataFrame:
+    """Which cells to compare. A group here is one group's pivots, at most MAX_PIVOTS rows.
+
+    Exact: all cells that can hold a neighbour. Approximate: the nearest cells that
+    together hold ``k`` vectors, so that no row is left short of neighbours.
+    """
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell").reset_index(drop=True)
         gap = _distances(_matrix(pdf["pivot_vec"]), _matrix(pdf["pivot_vec"]))
@@ -84,11 +89,10 @@ def _cell_pairs(cells: DataFrame, by: list[str], k: int, probe: int | None) -> D
         closest = [np.sort(np.asarray(c, dtype=np.float64)) for c in pdf["closest"]]
         out = []
         for i in range(len(pdf)):
-            if probe is not None:
+            if approximate:
                 order = np.argsort(gap[i], kind="stable")
                 enough = int(np.searchsorted(np.cumsum(size[order]), k)) + 1
-                chosen = order[: max(probe, enough)]
-                out += [(pdf["cell"][i], pdf["cell"][j], 0.0, np.inf) for j in chosen]
+                out += [(pdf["cell"][i], pdf["cell"][j], 0.0, np.inf) for j in order[:enough]]
                 continue
             reach = np.sort(np.concatenate([radius[i] + gap[i, j] + c for j, c in enumerate(closest)]))
             bound = reach[min(k, len(reach)) - 1] if len(reach) >= k else np.inf
@@ -104,19 +108,26 @@ def _cell_pairs(cells: DataFrame, by: list[str], k: int, probe: int | None) -> D
     return cells.groupBy(*by).applyInPandas(pairs, out)
 
 
-def _compare(assigned: DataFrame, cells: DataFrame, pairs: DataFrame, by: list[str], k: int) -> DataFrame:
+def _compare(assigned: DataFrame, cells: DataFrame, pairs: DataFrame, by: list[str], k: int,
+             approximate: bool) -> DataFrame:
     parts = cells.select(*by, "cell", F.ceil(F.col("size") / BLOCK).alias("parts"))
-    sized = (
-        pairs.join(parts, [*by, "cell"])
-        .join(parts.select(*by, F.col("cell").alias("other"), F.col("parts").alias("other_parts")), [*by, "other"])
-    )
     mine = F.pmod(F.xxhash64("vid"), F.col("parts"))
     theirs = F.pmod(F.xxhash64("vid"), F.col("other_parts"))
 
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
-    asking = (assigned.join(sized, [*by, "cell"])
+    askers = assigned
+    if approximate:
+        # Every row asks its own nearest cells; a cell pair is compared if any of its rows asks.
+        enough = pairs.groupBy(*by, "cell").agg(F.collect_list("other").alias("_enough"))
+        askers = assigned.join(enough, [*by, "cell"]).withColumn("other", F.explode(F.array_union("probes", "_enough")))
+        pairs = askers.select(*by, "cell", "other").distinct().withColumns({"low": F.lit(0.0), "high": F.lit(float("inf"))})
+    sized = (
+        pairs.join(parts, [*by, "cell"])
+        .join(parts.select(*by, F.col("cell").alias("other"), F.col("parts").alias("other_parts")), [*by, "other"])
+    )
+    asking = (askers.join(sized, [*by, "cell", "other"] if approximate else [*by, "cell"])
               .withColumns({"part": mine, "other_part": every("other_parts")})
               .select(*by, "cell", "part", "other", "other_part", "vid", "vec"))
     offered = (assigned.withColumnRenamed("cell", "other").join(sized, [*by, "other"])
@@ -156,18 +167,19 @@ def nearest_vectors(points: DataFrame, by: list[str], k: int, probe: int | None
                     pivots: int | None = None) -> DataFrame:
     """(by, vid, neighbor, distance, copies): the ``k`` nearest different vectors,
     the vector itself included, by Euclidean distance. Equal distances go to the
-    smaller id. ``probe`` compares only that many nearest cells (approximate)."""
+    smaller id. With ``probe`` every vector looks only into that many nearest cells (approximate)."""
     wanted = F.lit(pivots) if pivots else F.greatest(F.lit(1), F.least(F.lit(MAX_PIVOTS), F.floor(F.col("_n") / (BLOCK / 4)))).cast("int")
     if not pivots:
         wanted = F.when(F.col("_n") <= BLOCK, F.lit(1)).otherwise(wanted)
-    assigned, chosen = _assign(points, by, wanted)
+    approximate = probe is not None
+    assigned, chosen = _assign(points, by, wanted, probe or 1)
     close = top_rows(assigned.select(*by, "cell", "vid", "to_pivot"), [*by, "cell"], ["to_pivot", "vid"], k)
     cells = cut_lineage(
         assigned.groupBy(*by, "cell").agg(F.max("to_pivot").alias("radius"), F.count(F.lit(1)).alias("size"))
         .join(close.groupBy(*by, "cell").agg(F.collect_list("to_pivot").alias("closest")), [*by, "cell"])
         .join(chosen.withColumnRenamed("pivot", "cell"), [*by, "cell"]))
-    pairs = _cell_pairs(cells, by, k, probe)
-    return _compare(assigned, cells, pairs, by, k)
+    pairs = _cell_pairs(cells, by, k, approximate)
+    return _compare(assigned, cells, pairs, by, k, approximate)
 
 
 def _unit(points: DataFrame) -> DataFrame:

@@ -1,0 +1,112 @@
+import json
+
+from pyspark.sql import functions as F
+
+from emberlog import sources as src
+from emberlog.operators import templates as tp
+
+
+def test_text_lines(spark, tmp_path):
+    (tmp_path / "a.log").write_text("2024-01-01T10:00:00 INFO [x] hi there\n\n   \nsingle\n  12:00  two  spaces \n")
+    (tmp_path / "skip.csv").write_text("no\n")
+    got = src.scan_logs(spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [(r.line_no, r.ts_raw, r.log) for r in got] == [(1, "2024-01-01T10:00:00", "INFO [x] hi there"), (2, "", "single"), (3, "12:00", " two  spaces")]
+    assert got[0].source_file == "a.log" and got[0].ts is not None and got[1].ts is None
+
+
+def test_line_numbers_over_file_blocks(spark, tmp_path):
+    for name, n in (("big.log", 4000), ("small.txt", 3)):
+        (tmp_path / name).write_text("".join(f"t{i} line {i}\n" + ("\n" if i % 7 == 0 else "") for i in range(1, n + 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "6000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = src.scan_text_logs(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 3
+        assert df.filter(F.concat(F.lit("line "), F.col("line_no").cast("string")) != F.col("log")).count() == 0
+        assert df.count() == 4003
+        assert src.cap_rows_per_file(df, 2).count() == 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+RECORDS = [
+    {"@message": {"log": " nested "}, "@timestamp": "2024-01-01 00:00:00"}, {"message": "m", "log": "ignored", "timestamp": "", "time": 17},
+    {"message": {"a": 1}, "log": "from log", "date": "d"}, {"@message": "text", "datetime": None}, {"message": "  "}, {"log": 5}, {"message": "x", "user": "ann", "n": 3},
+]
+
+
+def test_json_arrays(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(RECORDS))
+    (tmp_path / "broken.json").write_text('[{"message": "lost"')
+    (tmp_path / "nolist.json").write_text("17")
+    got = src.scan_json_logs(spark, str(tmp_path), extra=["user", "n"]).filter("source_file = 'a.json'").orderBy("line_no").collect()
+    assert [(r.log, r.ts_raw) for r in got] == [("nested", "2024-01-01 00:00:00"), ("m", "17"), ("from log", "d"), ("text", ""), ("x", "")]
+    assert [r.line_no for r in got] == [1, 2, 3, 4, 5] and (got[4].user, got[4].n) == ("ann", "3")
+    assert src.scan_json_logs(spark, str(tmp_path / "nolist.json")).count() == 0
+
+
+def test_missing_and_empty_folders(spark, tmp_path):
+    assert src.scan_logs(spark, str(tmp_path / "nowhere")).count() == 0
+    assert src.scan_logs(spark, str(tmp_path)).count() == 0
+    assert src.read_allowlist(spark, str(tmp_path / "nowhere")).count() == 0
+
+
+def test_one_file_is_accepted(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("1 x\n")
+    assert src.scan_logs(spark, str(tmp_path / "a.txt")).count() == 1
+
+
+def test_allowlist_file(spark, tmp_path):
+    (tmp_path / "a.log").write_text(json.dumps([{"log": "fine"}, {"other": 1}]))
+    (tmp_path / "b.log").write_text("not json")
+    assert [tuple(r) for r in src.read_allowlist(spark, str(tmp_path)).collect()] == [("a.log", "fine")]
+
+
+def test_written_anomalies_are_redacted_and_clean(spark, tmp_path):
+    rows = [("f.log", "2024-01-01T00:00:00.1234", "API_KEY=abc", float("nan"), "NaN", ["a"], [("t", "token zzz")])]
+    df = spark.createDataFrame(rows, "source_file string, ts_raw string, log string, score double, reason string, tag array<string>, context_logs array<struct<timestamp string, log string>>")
+    src.write_anomalies(df, str(tmp_path / "out"))
+    got = src.read_results(spark, str(tmp_path / "out")).first().asDict(recursive=True)
+    assert got["log"] == "API_KEY=<REDACTED>" and got["context_logs"] == [{"timestamp": "t", "log": "token <REDACTED>"}]
+    assert got["timestamp"] == "2024-01-01 00:00:00.123" and got["record_id"].startswith("2024-01-01 00:00:00.123_") and len(got["record_id"]) == 32
+    assert got["source_file"] == "f.log" and got.get("score") is None and got.get("reason") is None
+
+
+def test_no_candidates_no_output(spark, tmp_path):
+    df = spark.createDataFrame([], "source_file string, ts_raw string, log string, anomaly_score double")
+    assert src.write_candidates(df, str(tmp_path / "c")) is False
+    assert not (tmp_path / "c").exists()
+
+
+def summary_text(rows):
+    return sorted((r.row_id, r.log_template) for r in rows)
+
+
+def test_templates_of_repeated_lines(spark):
+    logs = ["user alice logged in", "user bob logged in", "user carol logged out", "payment 17 failed", "payment 23 failed", "", "disk full"]
+    df = spark.createDataFrame([(i, "f", x) for i, x in enumerate(logs)], "row_id long, source_file string, log string")
+    got = dict(summary_text(tp.mine_templates(df).collect()))
+    assert got[0] == got[1] == got[2] == "user <*> logged <*>"
+    assert got[3] == got[4] == "payment <*> failed" and got[5] == "Unknown" and got[6] == "disk full"
+
+
+def test_templates_do_not_depend_on_partitions(spark):
+    logs = [f"job {'abcdefg'[i % 7]} state {'xyz'[i % 3]} ok" if i % 2 else f"open file {'pqrs'[i % 4]}{i}" for i in range(400)]
+    df = spark.createDataFrame([(i, "f", x) for i, x in enumerate(logs)], "row_id long, source_file string, log string")
+    one = summary_text(tp.mine_templates(df.repartition(1)).collect())
+    assert one == summary_text(tp.mine_templates(df.repartition(8)).collect())
+    assert len({x for _, x in one}) == 2
+
+
+def test_a_hot_leaf_is_split_and_merged(spark):
+    names = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    df = spark.createDataFrame([(i, "f", f"user {n} logged in from {m}") for i, (n, m) in enumerate(zip(names, reversed(names)))], "row_id long, source_file string, log string")
+    got = tp.mine_templates(df, leaf_rows=7).select("log_template").distinct().collect()
+    assert [r[0] for r in got] == ["user <*> logged in from <*>"]
+
+
+def test_scopes_are_separate(spark):
+    df = spark.createDataFrame([(1, "f", "a b c x"), (2, "f", "a b c y"), (3, "g", "a b c x")], "row_id long, source_file string, log string")
+    assert [x for _, x in summary_text(tp.mine_templates(df).collect())] == ["a b c <*>", "a b c <*>", "a b c x"]
+    assert tp.template_stats(tp.mine_templates(df)).count() == 2
