@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.operators.once import once
+
 
 @dataclass(frozen=True)
 class FieldRule:
@@ -46,7 +48,7 @@ def _body(log: str) -> Column:
 
 def extract_fields(df: DataFrame, rules: list[FieldRule], log: str = "log") -> DataFrame:
     """Add one text column per rule. A later rule can use the fields of earlier ones."""
-    out = df.withColumn("_body", _body(log))
+    out = once(df, "_body", _body(log))
     for rule in rules:
         out = out.withColumn(rule.name, _field(rule, out.columns, log))
     return out.drop("_body")
@@ -60,7 +62,7 @@ def extract_fields_by_source(df: DataFrame, per_file: dict[str, list[FieldRule]]
     One scan: every field is a CASE over the source name, no branch per file.
     """
     names = list(dict.fromkeys(r.name for rules in [*per_file.values(), default] for r in rules))
-    out = df.withColumn("_body", _body(log))
+    out = once(df, "_body", _body(log))
     none = F.lit(None).cast("string")
     for name in names:
         def of(rules: list[FieldRule]) -> Column:

@@ -123,6 +123,7 @@ def flood_blocks(df: DataFrame, window: int = 1000, threshold: float = 0.75, hot
     """(file, block_start, block_end, dominant) of every flood, in line numbers."""
     if not 0.5 < threshold <= 1:
         raise ValueError("threshold must be above 0.5, so that one template can dominate a window")
+    df = cut_lineage(df.select(FILE, LINE, TEMPLATE))
     hot_rows = hot_limit(df, hot_rows)
     starts = cut_lineage(flood_starts(df, window, threshold, hot_rows))
     runs = similar_runs(df, starts, hot_rows)

@@ -144,7 +144,8 @@ def _compare(assigned: DataFrame, cells: DataFrame, pairs: DataFrame, by: list[s
         rough = _distances(a, b)
         at = np.argpartition(rough, take - 1, axis=1)[:, :take]
         del rough
-        exact = np.stack([np.sqrt(((a[i] - b[at[i]]) ** 2).sum(1)) for i in range(len(a))])
+        exact = np.concatenate([
+            np.sqrt(((a[i: i + 256, None, :] - b[at[i: i + 256]]) ** 2).sum(axis=2)) for i in range(0, len(a), 256)])
         who = offer["neighbor"].to_numpy()[at]
         order = np.lexsort((who, exact), axis=1)[:, : min(k, take)]
         rows = np.repeat(np.arange(len(a)), order.shape[1])
@@ -168,7 +169,7 @@ def nearest_vectors(points: DataFrame, by: list[str], k: int, probe: int | None
     """(by, vid, neighbor, distance, copies): the ``k`` nearest different vectors,
     the vector itself included, by Euclidean distance. Equal distances go to the
     smaller id. With ``probe`` every vector looks only into that many nearest cells (approximate)."""
-    wanted = F.lit(pivots) if pivots else F.greatest(F.lit(1), F.least(F.lit(MAX_PIVOTS), F.floor(F.col("_n") / (BLOCK / 4)))).cast("int")
+    wanted = F.lit(pivots) if pivots else F.greatest(F.lit(1), F.least(F.lit(MAX_PIVOTS), F.floor(F.col("_n") / (BLOCK / 2)))).cast("int")
     if not pivots:
         wanted = F.when(F.col("_n") <= BLOCK, F.lit(1)).otherwise(wanted)
     approximate = probe is not None
@@ -217,6 +218,16 @@ def _taken(near: DataFrame, by: list[str], limit: Column, own: Column) -> DataFr
             .filter(F.col("taken") > 0).drop("_usable", "_before"))
 
 
+def join_by_vector(df: DataFrame, keyed: DataFrame, by: list[str], vector: str) -> DataFrame:
+    """Give every row the columns of its vector. Rows are matched on a hash of the vector,
+    which is cheap to sort, and then on the vector itself."""
+    rows = df.withColumns({"_vec": F.col(vector).cast("array<double>"), "_hash": F.xxhash64(F.col(vector).cast("array<double>"))})
+    known = keyed.withColumn("_hash", F.xxhash64("vec"))
+    on = [F.col(f"l.{n}") == F.col(f"r.{n}") for n in [*by, "_hash"]] + [F.col("l._vec") == F.col("r.vec")]
+    joined = rows.alias("l").join(known.alias("r"), on)
+    return joined.select(*[F.col(f"l.{n}") for n in df.columns], *[F.col(f"r.{n}") for n in keyed.columns if n not in [*by, "vec"]])
+
+
 def group_sizes(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
 
@@ -233,10 +244,8 @@ def knn_score(df: DataFrame, by: list[str] | None = None, k: int = 5, vector: st
         _taken(near.join(sizes, by), by, limit, F.col("copies"))
         .groupBy(*by, "vid").agg((F.sum(F.col("distance") * F.col("taken")) / F.sum("taken")).alias("anomaly_score"))
     )
-    vec = F.col(vector).cast("array<double>")
-    keyed = points.join(scores, [*by, "vid"], "left").select(*by, "vec", "anomaly_score")
-    return (df.withColumn("vec", vec).join(keyed, [*by, "vec"]).drop("vec")
-            .withColumn("anomaly_score", F.coalesce("anomaly_score", F.lit(0.0))))
+    keyed = points.join(scores, [*by, "vid"], "left").select(*by, "vec", F.coalesce("anomaly_score", F.lit(0.0)).alias("anomaly_score"))
+    return join_by_vector(df, keyed, by, vector)
 
 
 def knn_score_approx(df: DataFrame, by: list[str] | None = None, k: int = 5, vector: str = "embedding",

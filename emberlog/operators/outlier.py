@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.operators.neighbors import _taken, distinct_vectors, group_sizes, nearest_vectors
+from emberlog.operators.neighbors import _taken, distinct_vectors, group_sizes, join_by_vector, nearest_vectors
 from emberlog.operators.ordering import HOT_ROWS, number_rows
 from emberlog.operators.vectors import tfidf_vectors
 from emberlog.session import cut_lineage
@@ -37,7 +37,7 @@ def lof_factor(df: DataFrame, by: list[str] | None = None, k: int = 20, vector:
     )
     factor = around.join(density, [*by, "vid"]).select(*by, "vid", (-F.col("_around") / F.col("density")).alias(name))
     keyed = points.join(factor, [*by, "vid"], "left").select(*by, "vec", F.coalesce(name, F.lit(0.0)).alias(name))
-    return df.withColumn("vec", F.col(vector).cast("array<double>")).join(keyed, [*by, "vec"]).drop("vec")
+    return join_by_vector(df, keyed, by, vector)
 
 
 def lof_scores(df: DataFrame, by: list[str] | None = None, k: int = 20, vector: str = "embedding",

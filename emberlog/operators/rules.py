@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberlog import catalogs as c
 from emberlog.catalogs import Pattern
 from emberlog.functions.text import col, redact
+from emberlog.operators.once import once
 from emberlog.schema import default_columns
 
 
@@ -39,7 +40,7 @@ def classify_by_rules(df: DataFrame, rules: list[Pattern] = c.RULE_PATTERNS,
     at = F.col("_rule")
     hit = at.isNotNull()
     fresh = df.drop("is_rule_based", "is_security_related", "classification", "reason", "tag", "anomaly_source")
-    marked = default_columns(fresh.withColumn("_rule", first_match(log, catalog)))
+    marked = default_columns(once(fresh, "_rule", first_match(log, catalog)))
     name = _pick([p.name for p in catalog], at)
     return marked.withColumns({
         "is_rule_based": hit,
@@ -67,7 +68,7 @@ def find_leaks(df: DataFrame, security: list[Pattern] = c.SECURITY_PATTERNS, log
     """Rows with a leak: the first matching pattern's name, a reason, the redacted line."""
     catalog = c.usable(security)
     return (
-        df.withColumn("_leak", first_match(log, catalog))
+        once(df, "_leak", first_match(log, catalog))
         .filter(F.col("_leak").isNotNull())
         .withColumn("leak_type", _pick([p.name for p in catalog], F.col("_leak")))
         .withColumns({

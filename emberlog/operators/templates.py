@@ -15,18 +15,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.text import line_signature, words
+from emberlog.functions.text import line_signature
 from emberlog.session import cut_lineage
 
 WILD = "<*>"
 
 
-def masked_tokens(log: Column, extra_delimiters: Iterable[str] = ()) -> Column:
-    """Tokens of a line; a token with a digit is a wildcard from the start."""
+def masked_text(log: Column, extra_delimiters: Iterable[str] = ()) -> Column:
+    """Tokens of a line joined by blanks; a token with a digit is a wildcard from the start."""
     text = log
     for mark in extra_delimiters:
         text = F.replace(text, F.lit(mark), F.lit(" "))
-    return F.transform(words(text), lambda t: F.when(t.rlike("[0-9]"), WILD).otherwise(t))
+    single = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.regexp_replace(single, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", WILD)
 
 
 def _cluster(lines: list[list[str]], similarity: float) -> list[str]:
@@ -87,8 +88,7 @@ def learn_templates(df: DataFrame, scope: list[str], depth: int = 3, similarity:
                     extra_delimiters: Iterable[str] = (), log: str = "log", order: str = "row_id",
                     leaf_rows: int = 4096, rounds: int = 4) -> DataFrame:
     """(scope, text, template): the final template of every distinct masked line."""
-    tokens = masked_tokens(F.col(log), extra_delimiters)
-    lines = df.select(*scope, F.array_join(tokens, " ").alias("text"), F.col(order).alias("first_seen"))
+    lines = df.select(*scope, masked_text(F.col(log), extra_delimiters).alias("text"), F.col(order).alias("first_seen"))
     entries = lines.filter(F.col("text") != "").groupBy(*scope, "text").agg(F.min("first_seen").alias("first_seen"))
     split = F.split("text", " ")
     entries = cut_lineage(entries.withColumn(
@@ -126,7 +126,7 @@ def mine_templates(df: DataFrame, light: bool = True, scope: list[str] | None =
     depth = depth or (3 if light else 4)
     similarity = similarity if similarity is not None else (0.5 if light else 0.4)
     learned = learn_templates(df, scope, depth, similarity, extra_delimiters, log, order, leaf_rows)
-    rows = df.withColumn("text", F.array_join(masked_tokens(F.col(log), extra_delimiters), " "))
+    rows = df.withColumn("text", masked_text(F.col(log), extra_delimiters))
     return (
         rows.join(learned, [*scope, "text"], "left")
         .withColumn("log_template", F.coalesce("template", F.lit("Unknown")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from emberlog import catalogs as c
 from emberlog.functions.text import WORD, clean_line, col, found, has_secret, short_reason, strip, truncate_log
 from emberlog.operators.candidates import demote_normal, dependent_filter
+from emberlog.operators.once import once
 from emberlog.operators.rules import is_security_related
 
 
@@ -84,33 +85,41 @@ def _verdict(label: Column, reason: Column, tags: Column) -> Column:
     return F.struct(label.alias("label"), reason.alias("reason"), tags.alias("tags"))
 
 
-def parse_reply(reply: Column | str, reason_limit: int | None = None) -> Column:
-    """(label, reason, tags) of a reply: a JSON object, or headed lines of text."""
+def reply_parts(reply: Column | str) -> Column:
+    """What a reply holds, read once: its JSON body, or its headed lines."""
     x = col(reply)
-    body = F.try_parse_json(x)
+    return F.struct(
+        x.alias("reply"), F.try_parse_json(x).alias("body"),
+        F.coalesce(found(x, rf"(?i)classification:\s*([{WORD}]+)"), F.lit("Unknown")).alias("named"),
+        F.coalesce(_line_after(x, "reason:"), x).alias("reason"),
+        F.coalesce(_split_tags(x), _unknown()).alias("tags"))
+
+
+def verdict_of(parts: Column, reason_limit: int | None = None) -> Column:
+    """(label, reason, tags) from ``reply_parts``."""
+    reply, body, named, tags = parts["reply"], parts["body"], parts["named"], parts["tags"]
     is_object = F.coalesce(F.schema_of_variant(body).startswith("OBJECT"), F.lit(False))
     from_json = _verdict(
         F.coalesce(F.try_variant_get(body, "$.classification", "string"), F.lit("Unknown")),
         short_reason(F.coalesce(F.try_variant_get(body, "$.reason", "string"), F.lit("Unknown")), reason_limit),
         F.coalesce(F.try_variant_get(body, "$.tags", "array<string>"), F.array().cast("array<string>")))
-
-    named = F.coalesce(found(x, rf"(?i)classification:\s*([{WORD}]+)"), F.lit("Unknown"))
     low = F.lower(named)
     standard = (F.when(low == "normal", "Normal").when(low.isin("anomaly", "anomalous"), "Anomaly")
                 .when(low == "error", "Error").otherwise(named))
-    tags = F.coalesce(_split_tags(x), _unknown())
-    low_tags = F.transform(tags, F.lower)
-    label = (
-        F.when(F.arrays_overlap(low_tags, F.array(F.lit("routine"), F.lit("non-anomaly"))), "Normal")
-        .when(F.arrays_overlap(low_tags, F.array(F.lit("security"), F.lit("sensitive"), F.lit("leak"))), "Security")
-        .otherwise(standard)
-    )
-    reason = F.coalesce(_line_after(x, "reason:"), x)
-    from_text = _verdict(label, short_reason(reason, reason_limit), tags)
-    other_json = _verdict(F.lit("Unknown"), x, _unknown())
+
+    def tagged(*names: str) -> Column:
+        return F.exists(tags, lambda t: F.lower(t).isin(*names))
+    label = F.when(tagged("routine", "non-anomaly"), "Normal").when(tagged("security", "sensitive", "leak"), "Security").otherwise(standard)
+    from_text = _verdict(label, short_reason(parts["reason"], reason_limit), tags)
+    other_json = _verdict(F.lit("Unknown"), reply, _unknown())
     return F.when(is_object, from_json).when(body.isNotNull(), other_json).otherwise(from_text)
 
 
+def parse_reply(reply: Column | str, reason_limit: int | None = None) -> Column:
+    """(label, reason, tags) of a reply: a JSON object, or headed lines of text."""
+    return verdict_of(reply_parts(reply), reason_limit)
+
+
 def evaluate_reply(reply: Column | str) -> Column:
     """(label, reason, tags) with error texts recognised and looser headings."""
     x = strip(F.coalesce(col(reply), F.lit("")))
@@ -174,23 +183,27 @@ def attach_verdicts(candidates: DataFrame, verdicts: DataFrame, key: str = "row_
     return candidates.join(verdicts, key, "left")
 
 
+def _with_verdict(df: DataFrame, parts: Column, reason_limit: int | None, choose) -> DataFrame:
+    """Verdict columns in three steps that each run once per row: read, judge, normalise tags."""
+    read = once(df, "_parts", parts)
+    judged = once(read, "_v", verdict_of(F.col("_parts"), reason_limit)).drop("_parts")
+    clean = _verdict(F.col("_v.label"), F.col("_v.reason"), normalize_tags("_v.tags"))
+    return once(judged, "_final", choose(clean)).withColumns({
+        "classification": F.col("_final.label"), "reason": F.col("_final.reason"), "tag": F.col("_final.tags")}).drop("_v", "_final")
+
+
 def classify_lines(df: DataFrame, reply: str = "reply", limit: int = 512, reason_limit: int | None = None) -> DataFrame:
     """Verdict columns for lines that have a ``reply`` (null or empty when there was none) and a ``status``."""
-    line = truncate_log("log", limit)
     status = F.col("status") if "status" in df.columns else F.lit("ok")
     text = strip(F.coalesce(F.col(reply), F.lit("")))
-    parsed = parse_reply(reply, reason_limit)
-    clean = _verdict(parsed["label"], parsed["reason"], normalize_tags(parsed["tags"]))
-    verdict = (
-        F.when(has_secret(line), sensitive_verdict())
-        .when(status == "error", _verdict(F.lit("Error"), F.concat(F.lit("LLM Error: "), F.coalesce(F.col(reply), F.lit(""))), _unknown()))
-        .when(text == "", _verdict(F.lit("Unknown"), F.lit("Empty reply from LLM"), _unknown()))
-        .otherwise(clean)
-    )
-    out = df.withColumn("_v", verdict)
-    return out.withColumns({
-        "classification": F.col("_v.label"), "reason": F.col("_v.reason"), "tag": F.col("_v.tags"),
-        "cleaned_log": clean_line("log")}).drop("_v")
+
+    def choose(parsed: Column) -> Column:
+        return (
+            F.when(has_secret(truncate_log("log", limit)), sensitive_verdict())
+            .when(status == "error", _verdict(F.lit("Error"), F.concat(F.lit("LLM Error: "), F.coalesce(F.col(reply), F.lit(""))), _unknown()))
+            .when(text == "", _verdict(F.lit("Unknown"), F.lit("Empty reply from LLM"), _unknown()))
+            .otherwise(parsed))
+    return _with_verdict(df, reply_parts(reply), reason_limit, choose).withColumn("cleaned_log", clean_line("log"))
 
 
 def classify_phase(candidates: DataFrame, replies: DataFrame, key: str = "row_id") -> DataFrame:
@@ -203,12 +216,9 @@ def classify_phase(candidates: DataFrame, replies: DataFrame, key: str = "row_id
 
 def classify_list(df: DataFrame, reply: str = "reply") -> DataFrame:
     """Verdict per line of an ordered list; an empty reply is "unknown" with a fixed reason."""
-    parsed = parse_reply(strip(reply))
     none = strip(F.coalesce(F.col(reply), F.lit(""))) == ""
-    out = df.withColumn("_v", F.when(none, _verdict(
-        F.lit("unknown"), F.lit("Empty or invalid LLM response"), F.array().cast("array<string>"))
-    ).otherwise(_verdict(parsed["label"], parsed["reason"], normalize_tags(parsed["tags"]))))
-    return out.withColumns({"classification": F.col("_v.label"), "reason": F.col("_v.reason"), "tag": F.col("_v.tags")}).drop("_v")
+    empty = _verdict(F.lit("unknown"), F.lit("Empty or invalid LLM response"), F.array().cast("array<string>"))
+    return _with_verdict(df, reply_parts(strip(reply)), None, lambda parsed: F.when(none, empty).otherwise(parsed))
 
 
 def classify_with(df: DataFrame, make_judge: Callable[[], Callable[[str], str]], key: str = "row_id",

@@ -10,6 +10,7 @@ from emberlog.operators import rules as r
 from emberlog.operators.ordering import top_rows, top_share
 from emberlog.operators.templates import signature_templates
 from emberlog.plans.report import report
+from emberlog.session import cut_lineage
 from emberlog.sources import cap_rows_per_file, large_file_flag
 from registry.common import (
     clean_sql, first_match_sql, joined, logs, matches, numbered, redact_sql, registrar, signature_sql, table, with_ctes,
@@ -141,7 +142,10 @@ def _(spark, sf):
 
 def _final(spark, sf):
     """Rule rows, and purchases as candidates with a verdict."""
-    rows = _ruled(spark, sf)
+    return _judged(_ruled(spark, sf))
+
+
+def _judged(rows):
     judged = rows.filter((F.col("event_type") == "purchase")).withColumns({
         "classification": F.when(F.length("log") % 2 == 0, "Anomaly").otherwise("Normal"),
         "is_anomaly": (F.length("log") % 2 == 0).cast("int"), "anomaly_source": F.lit("LLM")})
@@ -149,8 +153,12 @@ def _final(spark, sf):
 
 
 def _allow(spark, sf):
+    return _known_fine(logs(spark, sf))
+
+
+def _known_fine(rows):
     """Every slow checkout that costs a round amount is known to be fine."""
-    return logs(spark, sf).filter("event_type = 'purchase' AND log LIKE '%00'").select("source_file", "log")
+    return rows.filter("event_type = 'purchase' AND log LIKE '%00'").select("source_file", "log")
 
 
 FINAL_SQL = f"""{RULED_SQL}, final AS (SELECT row_id, source_file, 'Operational Error' AS classification, 1 AS is_anomaly, 'Rule-Based' AS anomaly_source FROM ruled WHERE rule_name IS NOT NULL
@@ -205,10 +213,14 @@ def _(spark, sf):
 
 
 def _report(spark, sf):
-    rows = logs(spark, sf)
+    """As in a whole run: the classified log table is written once and every part reads it."""
+    rows = cut_lineage(_ruled(spark, sf))
+    leaks = cut_lineage(r.find_leaks(rows, SECURITY))
+    final, counts = cut_lineage(_judged(rows)), cut_lineage(m.template_counts(signature_templates(rows)))
+    allowed = cand.allowlisted_counts(rows.filter("event_type = 'purchase'"), _known_fine(rows))
     volume = rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("original_count"), F.count(F.lit(1)).alias("processed_count"))
-    return report(volume, _counts(spark, sf), _incidents(spark, sf), m.time_metrics(rows), m.level_counts(rows), m.component_metrics(rows),
-                  m.leak_examples(_leaks(spark, sf)), m.tag_counts(_final(spark, sf)), 0.19)
+    return report(volume, counts, m.incident_counts(rows, leaks, final, allowed), m.time_metrics(rows), m.level_counts(rows), m.component_metrics(rows),
+                  m.leak_examples(leaks), m.tag_counts(final), 0.19)
 
 
 @query("a15_siem_summary", with_ctes("""SELECT source_file, CASE WHEN security_incidents > 5 OR critical_anomalies > 10 THEN 'HIGH' WHEN security_incidents > 2 OR critical_anomalies > 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
