@@ -2,9 +2,8 @@
 
 A scan position starts a flood when one template fills at least ``threshold`` of
 the next ``window`` lines. All such positions follow from running totals per
-(file, template), as intervals. Only intervals and the stretches of lines similar
-to a dominant template are then walked in order, separately for every connected
-stretch of the file, because a flood never reaches beyond its stretch.
+(file, template), as intervals. The greedy scan then only jumps over these intervals
+and over the runs of lines similar to a dominant template, never over log rows.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from pyspark.sql import Window
 
 from emberlog.functions.enrich import LEADING
 from emberlog.functions.text import found, word_jaccard, words
-from emberlog.operators.ordering import HOT_ROWS, hot_limit, running_totals
+from emberlog.operators.ordering import HOT_ROWS, running_totals
 from emberlog.session import cut_lineage
 
 FILE, LINE, TEMPLATE = "source_file", "line_no", "log_template"
@@ -78,65 +77,154 @@ def similar_runs(df: DataFrame, starts: DataFrame, hot_rows: int | None = HOT_RO
         F.min(LINE).alias("first"), F.max(LINE).alias("last")).drop("_run")
 
 
-def _stretches(segments: DataFrame, hot_rows: int | None) -> DataFrame:
-    """Number the connected stretches of overlapping or touching [first, reach] segments."""
-    edges = segments.select(FILE, F.explode(F.array(
-        F.struct(F.col("first").alias("at"), F.lit(0).alias("kind"), F.lit(1).cast("long").alias("step")),
-        F.struct((F.col("reach") + 1).alias("at"), F.lit(1).alias("kind"), F.lit(-1).cast("long").alias("step")))).alias("e"))
-    edges = edges.groupBy(FILE, F.col("e.at").alias("at"), F.col("e.kind").alias("kind")).agg(F.sum("e.step").alias("step"))
-    open_now = running_totals(edges, [FILE], ["at", "kind"], {"open": F.col("step")}, hot_rows)
-    begins = ((F.col("kind") == 0) & (F.col("open") == F.col("step"))).cast("long")
-    numbered = running_totals(open_now.filter("kind = 0"), [FILE], ["at"], {"stretch": begins}, hot_rows)
-    return segments.join(numbered.select(FILE, F.col("at").alias("first"), "stretch"), [FILE, "first"])
-
-
-def _walk(window: int):
-    """Greedy choice of floods inside one stretch."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        starts = pdf[pdf["is_start"]].sort_values("first")
-        lows, highs = starts["first"].tolist(), starts["high"].tolist()
-        owners = starts["dominant"].tolist()
-        runs = {d: (r["first"].tolist(), r["reach"].tolist())
-                for d, r in pdf[~pdf["is_start"]].sort_values("first").groupby("dominant")}
-        total = int(pdf["_n"].iloc[0])
-        found_blocks, at = [], 0
-        while True:
-            # Intervals of one stretch do not overlap, so the next one ends at or after `at`.
-            i = bisect_left(highs, at)
-            if i == len(highs):
+class _Chunk:
+    """Greedy scan over the lines of one chunk of a file."""
+
+    def __init__(self, pdf: pd.DataFrame, window: int):
+        starts = pdf[pdf["kind"] == "start"].sort_values("first")
+        self.lows, self.highs, self.owners = (starts[n].tolist() for n in ("first", "last", "dominant"))
+        # Runs that are given to several chunks come with the same bounds.
+        self.runs = {d: (r["first"].tolist(), r["last"].tolist())
+                     for d, r in pdf[pdf["kind"] == "run"].sort_values("first").groupby("dominant")}
+        self.window = window
+
+    def end_of(self, begin: int, owner: str) -> int:
+        """First line after a flood that begins here: a window, then lines similar to its template."""
+        end = begin + self.window
+        firsts, lasts = self.runs.get(owner, ([], []))
+        j = bisect_right(firsts, end) - 1
+        return lasts[j] + 1 if j >= 0 and lasts[j] >= end else end
+
+    def next_flood(self, at: int) -> tuple[int, int, str] | None:
+        """(begin, first line after, dominant) of the first flood from ``at`` on in this chunk.
+
+        Two templates cannot both fill more than half of a window, so intervals do not
+        overlap and the first one that ends at or after ``at`` is the next.
+        """
+        i = bisect_left(self.highs, at)
+        if i == len(self.highs):
+            return None
+        begin = max(at, self.lows[i])
+        return begin, self.end_of(begin, self.owners[i]), self.owners[i]
+
+    def exits(self, stop: int) -> set[int]:
+        """Every line beyond the chunk at which the scan may continue."""
+        out = {lasts[j] + 1 for firsts, lasts in self.runs.values()
+               for j in [bisect_right(firsts, stop) - 1] if j >= 0 and lasts[j] >= stop}
+        for low, high, owner in zip(self.lows, self.highs, self.owners):
+            out.update(self.end_of(s, owner) for s in range(max(low, stop - self.window + 1), high + 1))
+        return {x for x in out if x > stop}
+
+    def exit_from(self, at: int, stop: int, known: dict[int, int]) -> int:
+        """Where the scan leaves the chunk when it enters at ``at``."""
+        path = []
+        while at not in known:
+            path.append(at)
+            flood = self.next_flood(at)
+            if flood is None or flood[1] > stop:
+                known[at] = max(stop + 1, flood[1] if flood else 0)
                 break
-            begin = max(at, lows[i])
-            end = begin + window
-            firsts, lasts = runs.get(owners[i], ([], []))
-            j = bisect_right(firsts, end) - 1
-            if j >= 0 and lasts[j] >= end:
-                end = lasts[j] + 1
-            found_blocks.append((begin, min(end - 1, total), owners[i]))
-            at = end
-        out = pd.DataFrame(found_blocks, columns=["block_start", "block_end", "dominant"])
+            at = flood[1]
+        for passed in path:
+            known[passed] = known[at]
+        return known[at]
+
+
+def _pieces(starts: DataFrame, runs: DataFrame, window: int, size: int) -> DataFrame:
+    """Flood starts and runs dealt to the chunks whose scan may need them."""
+    def chunks(first: Column, last: Column) -> Column:
+        return F.explode(F.sequence(F.floor((first - 1) / size), F.floor((last - 1) / size)))
+    low, high = F.col("chunk") * size + 1, (F.col("chunk") + 1) * size
+    dealt = (
+        starts.withColumn("chunk", chunks(F.col("low"), F.col("high")))
+        .select(FILE, "chunk", F.lit("start").alias("kind"), F.greatest("low", low).alias("first"),
+                F.least("high", high).alias("last"), "dominant"))
+    # A flood that begins at line s asks for the run at line s + window.
+    first, last = F.greatest(F.col("first") - window, F.lit(1)), F.greatest(F.col("last") - window, F.lit(1))
+    useful = dealt.select(FILE, "chunk", "dominant").distinct()
+    asked = (runs.withColumn("chunk", chunks(first, last)).join(useful, [FILE, "chunk", "dominant"], "left_semi")
+             .select(FILE, "chunk", F.lit("run").alias("kind"), "first", "last", "dominant"))
+    return dealt.unionByName(asked)
+
+
+def _entries(pieces: DataFrame, window: int, size: int) -> DataFrame:
+    """The line at which the scan enters each chunk that has floods.
+
+    A chunk is left at one of at most ``window`` lines per dominant template, whatever
+    its size. For each of these the chunk that contains it is scanned once; the chain of
+    chunks is then followed over these few (line in, line out) pairs per file.
+    """
+    chunk = F.floor((F.col("first") - 1) / size)
+
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        stop = (int(pdf["chunk"].iloc[0]) + 1) * size
+        out = pd.DataFrame({"first": sorted(_Chunk(pdf, window).exits(stop))}, dtype="int64")
         out[FILE] = pdf[FILE].iloc[0]
-        return out[[FILE, "block_start", "block_end", "dominant"]]
-    return run
+        return out[[FILE, "first"]]
+
+    def cross(pdf: pd.DataFrame) -> pd.DataFrame:
+        number = int(pdf["chunk"].iloc[0])
+        stop, scan, known = (number + 1) * size, _Chunk(pdf, window), {}
+        into = sorted(set(pdf.loc[pdf["kind"] == "entry", "first"]) | {number * size + 1}, reverse=True)
+        out = pd.DataFrame({"line_in": into, "line_out": [scan.exit_from(int(x), stop, known) for x in into]}, dtype="int64")
+        out[FILE], out["chunk"] = pdf[FILE].iloc[0], number
+        return out[[FILE, "chunk", "line_in", "line_out"]]
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, out = 1, []
+        for number, moves in pdf.sort_values("chunk").groupby("chunk"):
+            begin = max(at, number * size + 1)
+            if begin <= (number + 1) * size:
+                out.append((pdf[FILE].iloc[0], number, begin))
+                at = int(moves.loc[moves["line_in"] == begin, "line_out"].iloc[0])
+        return pd.DataFrame(out, columns=[FILE, "chunk", "first"])
 
+    left = pieces.groupBy(FILE, "chunk").applyInPandas(leave, f"{FILE} string, first long")
+    flooded = pieces.filter("kind = 'start'").select(FILE, "chunk").distinct()
+    entry = left.distinct().withColumn("chunk", chunk).join(flooded, [FILE, "chunk"], "left_semi").select(
+        FILE, "chunk", F.lit("entry").alias("kind"), "first", F.lit(None).cast("long").alias("last"), F.lit(None).cast("string").alias("dominant"))
+    moves = pieces.unionByName(entry).groupBy(FILE, "chunk").applyInPandas(cross, f"{FILE} string, chunk long, line_in long, line_out long")
+    return moves.groupBy(FILE).applyInPandas(follow, f"{FILE} string, chunk long, first long")
 
-def flood_blocks(df: DataFrame, window: int = 1000, threshold: float = 0.75, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """(file, block_start, block_end, dominant) of every flood, in line numbers."""
+
+def flood_blocks(df: DataFrame, window: int = 1000, threshold: float = 0.75, hot_rows: int | None = HOT_ROWS,
+                 chunk_lines: int = 1_000_000) -> DataFrame:
+    """(file, block_start, block_end, dominant) of every flood, in line numbers.
+
+    The scan of a file is sequential by nature, so it is cut into chunks that are scanned
+    in parallel once the entry line of each is known.
+    """
     if not 0.5 < threshold <= 1:
         raise ValueError("threshold must be above 0.5, so that one template can dominate a window")
+    size = max(chunk_lines, window)
     df = cut_lineage(df.select(FILE, LINE, TEMPLATE))
-    hot_rows = hot_limit(df, hot_rows)
+    sizes = cut_lineage(df.groupBy(FILE).agg(F.max(LINE).alias("_n")))
+    longest, rows = sizes.agg(F.max("_n"), F.sum("_n")).first()
+    if hot_rows is not None and (rows or 0) <= hot_rows:
+        hot_rows = None
     starts = cut_lineage(flood_starts(df, window, threshold, hot_rows))
-    runs = similar_runs(df, starts, hot_rows)
-    segments = starts.select(
-        FILE, F.col("low").alias("first"), (F.col("high") + window - 1).alias("reach"), "high", "dominant",
-        F.lit(True).alias("is_start")).unionByName(
-        runs.select(FILE, "first", F.col("last").alias("reach"), F.lit(None).cast("long").alias("high"), "dominant",
-                    F.lit(False).alias("is_start")))
-    sizes = df.groupBy(FILE).agg(F.max(LINE).alias("_n"))
-    staged = cut_lineage(_stretches(cut_lineage(segments), hot_rows).join(sizes, FILE))
-    with_start = staged.filter("is_start").select(FILE, "stretch").distinct()
-    schema = f"{FILE} string, block_start long, block_end long, dominant string"
-    return staged.join(with_start, [FILE, "stretch"], "left_semi").groupBy(FILE, "stretch").applyInPandas(_walk(window), schema)
+    pieces = cut_lineage(_pieces(starts, similar_runs(df, starts, hot_rows), window, size))
+    if (longest or 0) <= size:
+        entries = pieces.select(FILE, "chunk").distinct().withColumn("first", F.lit(1).cast("long"))
+    else:
+        entries = _entries(pieces, window, size)
+    begin = entries.select(FILE, "chunk", F.lit("begin").alias("kind"), "first", F.lit(None).cast("long").alias("last"),
+                           F.lit(None).cast("string").alias("dominant"))
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = [FILE, "block_start", "block_end", "dominant"]
+        entered = pdf.loc[pdf["kind"] == "begin", "first"]
+        if not len(entered):
+            return pd.DataFrame(columns=names)
+        chunk, at, out = _Chunk(pdf, window), int(entered.iloc[0]), []
+        while (flood := chunk.next_flood(at)) is not None:
+            out.append((pdf[FILE].iloc[0], flood[0], flood[1] - 1, flood[2]))
+            at = flood[1]
+        return pd.DataFrame(out, columns=names)
+
+    found_blocks = pieces.unionByName(begin).groupBy(FILE, "chunk").applyInPandas(
+        scan, f"{FILE} string, block_start long, block_end long, dominant string")
+    return found_blocks.join(sizes, FILE).withColumn("block_end", F.least("block_end", "_n")).drop("_n")
 
 
 def mark_blocks(df: DataFrame, blocks: DataFrame, window: int = 1000) -> DataFrame:

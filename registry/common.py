@@ -45,7 +45,11 @@ NUMBERED_SQL = """SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table. One that has fewer splits than there are cores (a small file of a
+    single row group) is spread over them; a large table has many splits and stays as it is."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def logs(spark: SparkSession, sf: str) -> DataFrame:

@@ -54,11 +54,11 @@ def frame(spark, files):
     return spark.createDataFrame(rows, "source_file string, line_no long, log_template string, log string, row_id long").repartition(6)
 
 
-@pytest.mark.parametrize("hot_rows", [None, 10])
-@pytest.mark.parametrize("window,threshold", [(8, 0.75), (5, 0.6), (10, 1.0)])
-def test_blocks_equal_the_scan(spark, files, window, threshold, hot_rows):
+@pytest.mark.parametrize("window,threshold,hot_rows,chunk", [
+    (8, 0.75, None, 1_000_000), (8, 0.75, 10, 8), (5, 0.6, None, 5), (5, 0.6, 10, 13), (10, 1.0, None, 11), (3, 0.6, None, 4)])
+def test_blocks_equal_the_scan(spark, files, window, threshold, hot_rows, chunk):
     got = {}
-    for r in fl.flood_blocks(frame(spark, files), window, threshold, hot_rows).collect():
+    for r in fl.flood_blocks(frame(spark, files), window, threshold, hot_rows, chunk).collect():
         got.setdefault(r.source_file, []).append((r.block_start, r.block_end, r.dominant))
     for f, templates in files.items():
         assert sorted(got.get(f, [])) == greedy(templates, window, threshold), f
