@@ -108,6 +108,37 @@ def _cell_pairs(cells: DataFrame, by: list[str], k: int, approximate: bool) -> D
     return cells.groupBy(*by).applyInPandas(pairs, out)
 
 
+def _near_fields(df: DataFrame, by: list[str]) -> str:
+    return ", ".join(_fields(df, by) + ["vid long", "neighbor long", "distance double", "copies long"])
+
+
+def _best_of_blocks(by: list[str], k: int):
+    """Function of two blocks: the ``k`` nearest offered vectors of every asking one."""
+    names = [*by, "vid", "neighbor", "distance", "copies"]
+
+    def best(ask: pd.DataFrame, offer: pd.DataFrame) -> pd.DataFrame:
+        if not len(ask) or not len(offer):
+            return pd.DataFrame(columns=names)
+        a, b = _matrix(ask["vec"]), _matrix(offer["vec"])
+        take = min(k + 4, len(offer))
+        rough = _distances(a, b)
+        at = np.argpartition(rough, take - 1, axis=1)[:, :take]
+        del rough
+        exact = np.concatenate([
+            np.sqrt(((a[i: i + 256, None, :] - b[at[i: i + 256]]) ** 2).sum(axis=2)) for i in range(0, len(a), 256)])
+        who = offer["neighbor"].to_numpy()[at]
+        order = np.lexsort((who, exact), axis=1)[:, : min(k, take)]
+        rows = np.repeat(np.arange(len(a)), order.shape[1])
+        pick = (rows, order.ravel())
+        out = pd.DataFrame({
+            "vid": ask["vid"].to_numpy()[rows], "neighbor": who[pick],
+            "distance": exact[pick], "copies": offer["copies"].to_numpy()[at[pick]]})
+        for name in by:
+            out[name] = ask[name].iloc[0]
+        return out[names]
+    return best
+
+
 def _compare(assigned: DataFrame, cells: DataFrame, pairs: DataFrame, by: list[str], k: int,
              approximate: bool) -> DataFrame:
     parts = cells.select(*by, "cell", F.ceil(F.col("size") / BLOCK).alias("parts"))
@@ -136,31 +167,8 @@ def _compare(assigned: DataFrame, cells: DataFrame, pairs: DataFrame, by: list[s
                .select(*[F.col(n).alias(n) for n in [*by, "cell", "part", "other", "other_part"]],
                        F.col("vid").alias("neighbor"), F.col("vec").alias("vec"), F.col("copies").alias("copies")))
 
-    def best(ask: pd.DataFrame, offer: pd.DataFrame) -> pd.DataFrame:
-        if not len(ask) or not len(offer):
-            return pd.DataFrame(columns=names)
-        a, b = _matrix(ask["vec"]), _matrix(offer["vec"])
-        take = min(k + 4, len(offer))
-        rough = _distances(a, b)
-        at = np.argpartition(rough, take - 1, axis=1)[:, :take]
-        del rough
-        exact = np.concatenate([
-            np.sqrt(((a[i: i + 256, None, :] - b[at[i: i + 256]]) ** 2).sum(axis=2)) for i in range(0, len(a), 256)])
-        who = offer["neighbor"].to_numpy()[at]
-        order = np.lexsort((who, exact), axis=1)[:, : min(k, take)]
-        rows = np.repeat(np.arange(len(a)), order.shape[1])
-        pick = (rows, order.ravel())
-        out = pd.DataFrame({
-            "vid": ask["vid"].to_numpy()[rows], "neighbor": who[pick],
-            "distance": exact[pick], "copies": offer["copies"].to_numpy()[at[pick]]})
-        for name in by:
-            out[name] = ask[name].iloc[0]
-        return out[names]
-
-    names = [*by, "vid", "neighbor", "distance", "copies"]
-    out = ", ".join(_fields(assigned, by) + ["vid long", "neighbor long", "distance double", "copies long"])
     key = [*by, "cell", "part", "other", "other_part"]
-    found = asking.groupBy(*key).cogroup(offered.groupBy(*key)).applyInPandas(best, out)
+    found = asking.groupBy(*key).cogroup(offered.groupBy(*key)).applyInPandas(_best_of_blocks(by, k), _near_fields(assigned, by))
     return top_rows(found, [*by, "vid"], ["distance", "neighbor"], k)
 
 
@@ -173,6 +181,12 @@ def nearest_vectors(points: DataFrame, by: list[str], k: int, probe: int | None
     if not pivots:
         wanted = F.when(F.col("_n") <= BLOCK, F.lit(1)).otherwise(wanted)
     approximate = probe is not None
+    if not approximate and not pivots:
+        largest = points.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if (largest or 0) <= BLOCK:
+            best = _best_of_blocks(by, k)
+            return points.groupBy(*by).applyInPandas(
+                lambda pdf: best(pdf, pdf.rename(columns={"vid": "neighbor"})), _near_fields(points, by))
     assigned, chosen = _assign(points, by, wanted, probe or 1)
     close = top_rows(assigned.select(*by, "cell", "vid", "to_pivot"), [*by, "cell"], ["to_pivot", "vid"], k)
     cells = cut_lineage(

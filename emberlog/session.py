@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +44,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_shipped: dict[str, str] = {}
+
+
+def ship(spark: SparkSession, *folders: str) -> None:
+    """Give the Python workers these source folders, for a library that is not installed there.
+
+    Same as ``spark-submit --py-files``; done once per application.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="emberlog-py-"), "emberlog_sources.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder in folders:
+            top = os.path.dirname(os.path.abspath(folder))
+            for here, _, names in os.walk(folder):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(here, name)
+                        out.write(path, os.path.relpath(path, top))
+    spark.sparkContext.addPyFile(archive)
+    _shipped[app] = archive
