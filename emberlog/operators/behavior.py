@@ -84,10 +84,11 @@ GROUP = ["rule_at", "group_key"]
 ORDER = ["moment", "kind", "row_id"]
 
 
-def _changes(arrive: DataFrame, leave: DataFrame) -> DataFrame:
-    arrivals = arrive.withColumns({"moment": F.col("at"), "kind": F.lit(0)})
-    departures = leave.withColumns({"moment": F.col("at") + F.col("span"), "kind": F.lit(1)})
-    return arrivals.unionByName(departures)
+def _changes(rows: DataFrame, amounts: dict[str, Column]) -> DataFrame:
+    """Each event twice, from one scan: what it adds at its time and takes back one window later."""
+    arrival = F.struct(F.col("at").alias("moment"), F.lit(0).alias("kind"), *[a.alias(n) for n, a in amounts.items()])
+    departure = F.struct((F.col("at") + F.col("span")).alias("moment"), F.lit(1).alias("kind"), *[(-a).alias(n) for n, a in amounts.items()])
+    return rows.select("*", F.explode(F.array(arrival, departure)).alias("c")).select(*rows.columns, "c.*")
 
 
 def _first_of(df: DataFrame, fires: Column, value: Column) -> DataFrame:
@@ -103,7 +104,7 @@ def _first_of(df: DataFrame, fires: Column, value: Column) -> DataFrame:
 
 def _count_hits(entries: DataFrame, hot_rows: int | None) -> DataFrame:
     rows = entries.select(*GROUP, "row_id", "at", "span", "limit")
-    changes = _changes(rows.withColumn("change", F.lit(1).cast("long")), rows.withColumn("change", F.lit(-1).cast("long")))
+    changes = _changes(rows, {"change": F.lit(1).cast("long")})
     inside = running_totals(changes, GROUP, ORDER, {"inside": F.col("change")}, hot_rows)
     return _first_of(inside, F.col("inside") >= F.col("limit"), F.col("inside").cast("double"))
 
@@ -112,7 +113,7 @@ def _distinct_hits(entries: DataFrame, hot_rows: int | None) -> DataFrame:
     """A value enters when an event finds none of it in the window and leaves with
     the event after which none of it is left. Only those changes are then totalled."""
     rows = entries.filter(F.col("field_value").isNotNull()).select(*GROUP, "row_id", "at", "span", "limit", "field_value")
-    changes = _changes(rows.withColumn("change", F.lit(1).cast("long")), rows.withColumn("change", F.lit(-1).cast("long")))
+    changes = _changes(rows, {"change": F.lit(1).cast("long")})
     alike = running_totals(changes, [*GROUP, "field_value"], ORDER, {"alike": F.col("change")}, hot_rows)
     turns = alike.filter(
         ((F.col("kind") == 0) & (F.col("alike") == 1)) | ((F.col("kind") == 1) & (F.col("alike") == 0))).drop("alike")
@@ -126,8 +127,7 @@ def _ratio_hits(entries: DataFrame, min_events: dict[int, int], hot_rows: int |
     moments = entries.groupBy(*GROUP, "at").agg(
         F.min("row_id").alias("row_id"), F.first("span").alias("span"), F.first("limit").alias("limit"),
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("match")).alias("m"))
-    minus = moments.withColumns({"dn": -F.col("n"), "dm": -F.col("m")})
-    changes = _changes(moments.withColumns({"dn": F.col("n"), "dm": F.col("m")}), minus)
+    changes = _changes(moments, {"dn": F.col("n"), "dm": F.col("m")})
     inside = running_totals(changes, GROUP, ORDER, {"all_in": F.col("dn"), "match_in": F.col("dm")}, hot_rows)
     total = F.col("all_in") - F.col("n") + 1
     ratio = F.col("match_in") / total

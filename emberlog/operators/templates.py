@@ -4,6 +4,8 @@ Log lines repeat heavily, so lines are masked and counted first; only distinct
 masked lines are clustered, one group per tree leaf. A leaf with more than
 ``leaf_rows`` distinct lines is cut into parts that are clustered separately,
 and the parts' templates are clustered again, until a leaf fits into one part.
+After ``rounds`` rounds a leaf of still too many unlike lines keeps the templates
+its parts found; every line has a template in any case.
 """
 
 from __future__ import annotations

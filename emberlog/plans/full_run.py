@@ -25,7 +25,7 @@ from emberlog.operators.vectors import tfidf_vectors
 from emberlog.operators.verdicts import build_prompts, classify_phase
 from emberlog.plans.report import report
 from emberlog.schema import default_columns
-from emberlog.session import cut_lineage
+from emberlog.session import cut_lineage, written
 from emberlog.sources import cap_rows_per_file
 
 
@@ -70,7 +70,7 @@ def score_rows(rows: DataFrame, s: Settings) -> DataFrame:
     vector = s.vector or "embedding"
     vectors = rows if s.vector else tfidf_vectors(rows, size=s.vector_size, name=vector)
     scored = knn_score(vectors, k=s.knn_neighbors, vector=vector)
-    scored = top_share(cut_lineage(scored), ["source_file"], [F.col("anomaly_score").desc(), F.col("row_id")], s.top_fraction, "is_knn")
+    scored = top_share(written(scored), ["source_file"], [F.col("anomaly_score").desc(), F.col("row_id")], s.top_fraction, "is_knn")
     if s.lof:
         scored = lof_label(scored, k=s.lof_neighbors, contamination=s.contamination, vector=vector)
         scored = scored.withColumn("is_lof", (F.col("lof_label") == -1).cast("int"))
@@ -92,18 +92,18 @@ def analyze(logs: DataFrame, settings: Settings | None = None, allowlist: DataFr
     s = settings or Settings()
     source = m.SOURCE
     rows = logs if "row_id" in logs.columns else logs.withColumn("row_id", F.monotonically_increasing_id())
-    rows = cut_lineage(rows)
+    rows = written(rows)
     original = rows.groupBy(source).agg(F.count(F.lit(1)).alias("original_count"))
     rows = cap_rows_per_file(rows, s.max_lines)
     if s.fields or s.fields_by_file:
         rows = extract_fields_by_source(rows, s.fields_by_file, s.fields)
-    rows = cut_lineage(mine_templates(rows) if s.cluster_templates else signature_templates(rows))
+    rows = written(mine_templates(rows) if s.cluster_templates else signature_templates(rows))
     counts = cut_lineage(m.template_counts(rows))
 
     if s.collapse_floods:
-        rows = cut_lineage(collapse_floods(rows, s.flood_window, s.flood_threshold))
+        rows = written(collapse_floods(rows, s.flood_window, s.flood_threshold))
     rows = score_rows(rows, s)
-    rows = cut_lineage(r.classify_by_rules(rows, s.rules, s.security))
+    rows = written(r.classify_by_rules(rows, s.rules, s.security))
     leaks = cut_lineage(r.find_leaks(rows, s.security))
 
     found = cand.candidate_cap(cand.score_gate(cand.select_candidates(rows), rows, s.score_threshold), s.max_candidates)
@@ -116,7 +116,7 @@ def analyze(logs: DataFrame, settings: Settings | None = None, allowlist: DataFr
     hits = b.evaluate_rules(shown, s.behavior)
     if s.behavior:
         hits = cut_lineage(hits)
-        shown = cut_lineage(b.apply_hits(shown, b.matched_rows(shown, s.behavior, hits)))
+        shown = written(b.apply_hits(shown, b.matched_rows(shown, s.behavior, hits)))
     else:
         shown = default_columns(shown)
 
