@@ -36,10 +36,14 @@ def _fields(df: DataFrame, names: list[str]) -> list[str]:
     return [f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names]
 
 
-def distinct_vectors(df: DataFrame, by: list[str], vector: str, row_id: str) -> DataFrame:
+def _weight(copies: str | None) -> Column:
+    return F.sum(copies).cast("long") if copies else F.count(F.lit(1))
+
+
+def distinct_vectors(df: DataFrame, by: list[str], vector: str, row_id: str, copies: str | None = None) -> DataFrame:
     """(by, vec, vid, copies): one row per different vector of a group."""
     return df.groupBy(*by, F.col(vector).cast("array<double>").alias("vec")).agg(
-        F.min(row_id).alias("vid"), F.count(F.lit(1)).alias("copies"))
+        F.min(row_id).alias("vid"), _weight(copies).alias("copies"))
 
 
 def _assign(points: DataFrame, by: list[str], pivots_per_group: Column, probe: int) -> tuple[DataFrame, DataFrame]:
@@ -242,17 +246,21 @@ def join_by_vector(df: DataFrame, keyed: DataFrame, by: list[str], vector: str)
     return joined.select(*[F.col(f"l.{n}") for n in df.columns], *[F.col(f"r.{n}") for n in keyed.columns if n not in [*by, "vec"]])
 
 
-def group_sizes(df: DataFrame, by: list[str]) -> DataFrame:
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+def group_sizes(df: DataFrame, by: list[str], copies: str | None = None) -> DataFrame:
+    return df.groupBy(*by).agg(_weight(copies).alias("_rows"))
 
 
 def knn_score(df: DataFrame, by: list[str] | None = None, k: int = 5, vector: str = "embedding",
-              row_id: str = "row_id", probe: int | None = None, pivots: int | None = None) -> DataFrame:
-    """Add ``anomaly_score``: mean cosine distance to the k nearest rows, itself included."""
+              row_id: str = "row_id", probe: int | None = None, pivots: int | None = None,
+              copies: str | None = None) -> DataFrame:
+    """Add ``anomaly_score``: mean cosine distance to the k nearest rows, itself included.
+
+    ``copies`` names a column saying how many equal rows a row stands for.
+    """
     by = ["source_file"] if by is None else by
-    points = cut_lineage(distinct_vectors(df, by, vector, row_id))
+    points = cut_lineage(distinct_vectors(df, by, vector, row_id, copies))
     near = _cosine_neighbors(points, by, k, probe, pivots)
-    sizes = group_sizes(df, by)
+    sizes = group_sizes(df, by, copies)
     limit = F.least(F.lit(k).cast("long"), F.col("_rows") - 1)
     scores = (
         _taken(near.join(sizes, by), by, limit, F.col("copies"))

@@ -12,14 +12,15 @@ from emberlog.session import cut_lineage
 
 
 def lof_factor(df: DataFrame, by: list[str] | None = None, k: int = 20, vector: str = "embedding",
-               row_id: str = "row_id", name: str = "lof_score") -> DataFrame:
+               row_id: str = "row_id", name: str = "lof_score", copies: str | None = None) -> DataFrame:
     """Add the negated factor: about -1 for ordinary rows, lower for outliers.
 
     Works on different vectors with their number of copies: joins and group-bys only.
+    ``copies`` names a column saying how many equal rows a row stands for.
     """
     by = ["source_file"] if by is None else by
-    points = cut_lineage(distinct_vectors(df, by, vector, row_id))
-    sizes = group_sizes(df, by)
+    points = cut_lineage(distinct_vectors(df, by, vector, row_id, copies))
+    sizes = group_sizes(df, by, copies)
     limit = F.least(F.lit(k).cast("long"), F.col("_rows") - 1)
     near = cut_lineage(_taken(
         nearest_vectors(points, by, k + 1).join(sizes, by), by, limit, F.col("copies") - 1)
@@ -49,12 +50,15 @@ def lof_scores(df: DataFrame, by: list[str] | None = None, k: int = 20, vector:
 
 def lof_label(df: DataFrame, by: list[str] | None = None, k: int = 5, contamination: float = 0.05,
               vector: str = "embedding", row_id: str = "row_id", hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """``lof_score`` (higher is worse) and ``lof_label`` (-1 beyond the contamination quantile).
-
-    The quantile is exact, linearly interpolated, taken from distributed ranks.
-    """
+    """``lof_score`` (higher is worse) and ``lof_label`` (-1 beyond the contamination quantile)."""
     by = ["source_file"] if by is None else by
-    scored = cut_lineage(lof_factor(df, by, k, vector, row_id, "_factor"))
+    return label_by_quantile(cut_lineage(lof_factor(df, by, k, vector, row_id, "_factor")), by, contamination, row_id, hot_rows)
+
+
+def label_by_quantile(scored: DataFrame, by: list[str], contamination: float, row_id: str = "row_id",
+                      hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Turn ``_factor`` into ``lof_score`` and ``lof_label``. The quantile is exact,
+    linearly interpolated, taken from distributed ranks."""
     ranks = number_rows(scored.select(*by, row_id, "_factor"), by, ["_factor", row_id], "_rank", hot_rows)
     at = F.lit(contamination) * (F.col("_rows") - 1)
     low = F.floor(at)

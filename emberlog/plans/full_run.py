@@ -19,7 +19,7 @@ from emberlog.operators.fields import FieldRule, extract_fields_by_source
 from emberlog.operators.flood import collapse_floods
 from emberlog.operators.neighbors import knn_score
 from emberlog.operators.ordering import top_share
-from emberlog.operators.outlier import lof_label
+from emberlog.operators.outlier import label_by_quantile, lof_factor
 from emberlog.operators.templates import mine_templates, signature_templates
 from emberlog.operators.vectors import tfidf_vectors
 from emberlog.operators.verdicts import build_prompts, classify_phase
@@ -65,18 +65,31 @@ class Outcome:
     summary: DataFrame
 
 
+def score_lines(rows: DataFrame, s: Settings) -> DataFrame:
+    """(source_file, log, anomaly_score, _factor) for every different line of a file.
+
+    Log lines repeat, so vectors exist only for different lines, with their number of copies.
+    """
+    lines = rows.groupBy("source_file", "log").agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("copies"))
+    vectors = written(tfidf_vectors(cut_lineage(lines), size=s.vector_size))
+    scored = knn_score(vectors, k=s.knn_neighbors, copies="copies")
+    if s.lof:
+        scored = lof_factor(scored, k=s.lof_neighbors, name="_factor", copies="copies")
+    return written(scored.drop("embedding", "row_id", "copies"))
+
+
 def score_rows(rows: DataFrame, s: Settings) -> DataFrame:
     """Neighbour and outlier scores with their own flags; ``is_anomaly`` is set if any flag is."""
-    vector = s.vector or "embedding"
-    vectors = rows if s.vector else tfidf_vectors(rows, size=s.vector_size, name=vector)
-    scored = knn_score(vectors, k=s.knn_neighbors, vector=vector)
+    if s.vector:
+        scored = knn_score(rows, k=s.knn_neighbors, vector=s.vector)
+        scored = lof_factor(scored, k=s.lof_neighbors, vector=s.vector, name="_factor") if s.lof else scored
+    else:
+        scored = rows.join(score_lines(rows, s), ["source_file", "log"])
     scored = top_share(written(scored), ["source_file"], [F.col("anomaly_score").desc(), F.col("row_id")], s.top_fraction, "is_knn")
     if s.lof:
-        scored = lof_label(scored, k=s.lof_neighbors, contamination=s.contamination, vector=vector)
-        scored = scored.withColumn("is_lof", (F.col("lof_label") == -1).cast("int"))
+        scored = label_by_quantile(scored, ["source_file"], s.contamination).withColumn("is_lof", (F.col("lof_label") == -1).cast("int"))
     else:
         scored = scored.withColumn("is_lof", F.lit(0))
-    scored = scored if s.vector else scored.drop(vector)
     flood = F.col("is_anomaly") if "is_anomaly" in scored.columns else F.lit(0)
     return scored.withColumn("is_anomaly", F.greatest("is_knn", "is_lof", F.coalesce(flood, F.lit(0))))
 
