@@ -27,9 +27,16 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = a @ b.T
+    out *= -2.0
+    out += (a * a).sum(1)[:, None]
+    out += (b * b).sum(1)[None, :]
+    return out
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(squared, 0.0))
+    return np.sqrt(np.maximum(_squared(a, b), 0.0))
 
 
 def _fields(df: DataFrame, names: list[str]) -> list[str]:
@@ -125,7 +132,7 @@ def _best_of_blocks(by: list[str], k: int):
             return pd.DataFrame(columns=names)
         a, b = _matrix(ask["vec"]), _matrix(offer["vec"])
         take = min(k + 4, len(offer))
-        rough = _distances(a, b)
+        rough = _squared(a, b)
         at = np.argpartition(rough, take - 1, axis=1)[:, :take]
         del rough
         exact = np.concatenate([

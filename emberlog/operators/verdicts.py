@@ -179,7 +179,7 @@ def sensitive_verdict() -> Column:
                     F.array(F.lit("Sensitive"), F.lit("Security Threat")))
 
 
-def attach_verdicts(candidates: DataFrame, verdicts: DataFrame, key: str = "row_id") -> DataFrame:
+def attach_verdicts(candidates: DataFrame, verdicts: DataFrame, key: str | list[str] = "row_id") -> DataFrame:
     return candidates.join(verdicts, key, "left")
 
 
@@ -206,7 +206,7 @@ def classify_lines(df: DataFrame, reply: str = "reply", limit: int = 512, reason
     return _with_verdict(df, reply_parts(reply), reason_limit, choose).withColumn("cleaned_log", clean_line("log"))
 
 
-def classify_phase(candidates: DataFrame, replies: DataFrame, key: str = "row_id") -> DataFrame:
+def classify_phase(candidates: DataFrame, replies: DataFrame, key: str | list[str] = "row_id") -> DataFrame:
     """Candidates joined with their replies, with verdict, flags, and normal rows demoted."""
     rows = attach_verdicts(candidates.drop("classification", "reason", "tag"), replies, key)
     judged = classify_lines(rows).withColumns({"is_llm_anomaly": F.lit(True), "anomaly_source": F.lit("LLM"), "is_anomaly": F.lit(1)})

