@@ -79,9 +79,13 @@ def score_lines(rows: DataFrame, s: Settings) -> DataFrame:
 
 
 def score_rows(rows: DataFrame, s: Settings) -> DataFrame:
-    """Neighbour and outlier scores with their own flags; ``is_anomaly`` is set if any flag is."""
+    """Neighbour and outlier scores with their own flags; ``is_anomaly`` is set if any flag is.
+
+    With a given vector column, rows without a vector (such as flood summaries) keep neutral scores.
+    """
     if s.vector:
-        scored = knn_score(rows, k=s.knn_neighbors, vector=s.vector)
+        known = rows.filter(F.col(s.vector).isNotNull())
+        scored = knn_score(known, k=s.knn_neighbors, vector=s.vector)
         scored = lof_factor(scored, k=s.lof_neighbors, vector=s.vector, name="_factor") if s.lof else scored
     else:
         scored = rows.join(score_lines(rows, s), ["source_file", "log"])
@@ -90,6 +94,10 @@ def score_rows(rows: DataFrame, s: Settings) -> DataFrame:
         scored = label_by_quantile(scored, ["source_file"], s.contamination).withColumn("is_lof", (F.col("lof_label") == -1).cast("int"))
     else:
         scored = scored.withColumn("is_lof", F.lit(0))
+    if s.vector:
+        scored = scored.unionByName(rows.filter(F.col(s.vector).isNull()), allowMissingColumns=True)
+        scored = scored.fillna({"anomaly_score": 0.0, "is_knn": 0, "is_lof": 0})
+        scored = scored.fillna({"lof_label": 1, "lof_score": 0.0}) if s.lof else scored
     flood = F.col("is_anomaly") if "is_anomaly" in scored.columns else F.lit(0)
     return scored.withColumn("is_anomaly", F.greatest("is_knn", "is_lof", F.coalesce(flood, F.lit(0))))
 
@@ -120,7 +128,10 @@ def analyze(logs: DataFrame, settings: Settings | None = None, allowlist: DataFr
     rows = written(r.classify_by_rules(rows, s.rules, s.security))
     leaks = cut_lineage(r.find_leaks(rows, s.security))
 
-    found = cand.candidate_cap(cand.score_gate(cand.select_candidates(rows), rows, s.score_threshold), s.max_candidates)
+    found = cand.select_candidates(rows)
+    if s.score_threshold > 0:
+        found = cand.score_gate(found, rows, s.score_threshold)
+    found = cand.candidate_cap(found, s.max_candidates)
     allowed = cand.allowlisted_counts(found, allowlist) if allowlist is not None else None
     if allowlist is not None:
         found = cand.drop_allowlisted(found, allowlist)

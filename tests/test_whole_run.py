@@ -51,6 +51,18 @@ def test_full_phase_joins_verdicts_and_allowlist(spark, logs):
     assert summary[0] == len(judged) and summary[1] >= 1
 
 
+def test_given_vectors_caps_and_dedupe(logs):
+    from dataclasses import replace
+    rows = logs.withColumn("vec", F.array((F.col("line_no") % 7 + 1).cast("double"), F.when(F.col("line_no") == 9, 50.0).otherwise(1.0)))
+    settings = replace(SETTINGS, vector="vec", max_lines=70, dedupe=True, cluster_templates=False, score_threshold=1e-6, top_fraction=0.01)
+    out = analyze(rows, settings)
+    assert out.logs.groupBy("source_file").count().filter("count > 70").count() == 0
+    assert out.logs.filter("is_flood").count() >= 1 and out.logs.filter("anomaly_score IS NULL OR is_knn IS NULL OR lof_label IS NULL").count() == 0
+    assert {r.line_no for r in out.logs.filter("is_knn = 1").collect()} == {9}
+    assert out.anomalies.count() == out.anomalies.select("row_id").distinct().count()
+    assert out.summary.filter("operational_metrics.original_count = 80").count() == 1
+
+
 def test_registry_is_consistent():
     queries, oracles = contract.queries(), contract.oracle_sql()
     assert set(oracles) <= set(queries)
