@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions import enrich as e
-from emberlog.functions.text import col, redact
+from emberlog.functions.text import col
 from emberlog.operators.ordering import top_rows
 
 SOURCE = "source_file"
@@ -200,7 +200,3 @@ def context_analysis(df: DataFrame, context: str = "context_logs", key: str = "r
         F.array_sort(F.array_distinct(named)).alias("related_components"),
         F.array_sort(F.array_distinct(F.flatten(F.transform(lines, e.token_patterns)))).alias("patterns"),
     ))
-
-
-def redacted(df: DataFrame) -> DataFrame:
-    return df.withColumn("log", redact("log"))
