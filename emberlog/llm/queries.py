@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F  # noqa: F401
+import public_tokenizers
+from pyspark.sql import functions as F
 
+from emberlog.llm.bpe import bpe_decode, bpe_encode
 from emberlog.llm.exact import exact_duplicates
 from emberlog.llm.inputs import documents
 from emberlog.llm.licenses import scan_licenses
+from emberlog.llm.tokenfiles import read_tokens, write_tokens
+from emberlog.session import scratch_path
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_bpe_round_trip(spark, folder):
+    decoded = bpe_decode(bpe_encode(documents(spark, folder), VOCABULARY), VOCABULARY)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_exact_dedup(spark, folder):
@@ -17,7 +28,13 @@ def op6_license_scan(spark, folder):
     return scan_licenses(documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op6_license_scan)}
+def op8_token_files(spark, folder):
+    made = scratch_path(spark, "tokens")
+    write_tokens(documents(spark, folder), made, VOCABULARY, end_id=0)
+    return read_tokens(spark, made).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_dedup, op6_license_scan, op8_token_files)}
 
 ORACLES = {
     "op2_exact_dedup": """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
