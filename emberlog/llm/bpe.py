@@ -25,7 +25,7 @@ from emberlog.llm.inputs import id_type, prepare, texts
 
 # Fixed value: how byte-level vocabularies cut a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 _LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 _SHIFT = 32

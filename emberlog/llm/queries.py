@@ -9,6 +9,7 @@ from emberlog.llm.bpe import bpe_decode, bpe_encode
 from emberlog.llm.exact import exact_duplicates
 from emberlog.llm.inputs import documents
 from emberlog.llm.licenses import scan_licenses
+from emberlog.llm.simhash import simhash_groups
 from emberlog.llm.tokenfiles import read_tokens, write_tokens
 from emberlog.session import scratch_path
 
@@ -24,6 +25,10 @@ def op2_exact_dedup(spark, folder):
     return exact_duplicates(documents(spark, folder), keep="largest")
 
 
+def op3_simhash_near_dedup(spark, folder):
+    return simhash_groups(documents(spark, folder), words=3, max_bits=2)
+
+
 def op6_license_scan(spark, folder):
     return scan_licenses(documents(spark, folder))
 
@@ -34,7 +39,7 @@ def op8_token_files(spark, folder):
     return read_tokens(spark, made).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_dedup, op6_license_scan, op8_token_files)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_dedup, op3_simhash_near_dedup, op6_license_scan, op8_token_files)}
 
 ORACLES = {
     "op2_exact_dedup": """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,

@@ -28,6 +28,10 @@ from emberlog.llm.bpe import Remembered, segments
 from emberlog.llm.inputs import prepare, width
 
 OUT_BYTES = 4_000_000
+ASKED = 2_000
+TEXTS_AT_ONCE = 200
+# Fixed value: how byte-level vocabularies write a space.
+SPACE = "\u0120"
 
 
 class Library:
@@ -47,19 +51,39 @@ class Library:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.head = Remembered(lambda s: self.ids([s])[0], 20_000)
         self.behind_space = Remembered(lambda s: self.ids([" " + s])[0])
+        opens = (self.tokenizer.id_to_token(i) or "" for i in range(self.size))
+        self.opens_word = np.array([token.startswith(SPACE) for token in opens])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def groups(self, segments: list[str]) -> list[bytes]:
+        """Ids of each segment behind a space. They go to the library as one text: in it exactly
+        the first token of a segment opens with a space."""
+        ids = np.frombuffer(self.ids([" " + " ".join(segments)])[0], "<u4")
+        first = np.flatnonzero(self.opens_word[ids])
+        if len(first) != len(segments):
+            return self.ids([" " + s for s in segments])
+        data, ends = ids.tobytes(), [*(4 * first[1:]).tolist(), 4 * len(ids)]
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        return [ids for i in range(0, len(texts), TEXTS_AT_ONCE) for ids in self._encode(texts[i:i + TEXTS_AT_ONCE])]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [[t] if any(s in t for s in self.special) else segments(t) for t in texts]
-        known = self.behind_space
-        new = list({s for parts in cut for s in parts[1:]}.difference(known, known.old))
-        for i in range(0, len(new), 10_000):
-            some = new[i:i + 10_000]
-            for segment, ids in zip(some, self.ids([" " + s for s in some])):
-                known.remember(segment, ids)
-        return [self.head[parts[0]] + b"".join(map(known.__getitem__, parts[1:])) for parts in cut]
+        known, older = self.behind_space, self.behind_space.old
+        wanted = {s for parts in cut for s in parts[1:]}
+        found = {s: ids for s in wanted if (ids := known.get(s) or older.get(s))}
+        new = [s for s in wanted.difference(found) if s.split() == [s]]
+        for i in range(0, len(new), ASKED):
+            some = new[i:i + ASKED]
+            found.update(zip(some, self.groups(some)))
+        for s in wanted.difference(known):
+            if s not in found:
+                found[s] = known.make(s)
+            known.remember(s, found[s])
+        return [self.head[parts[0]] + b"".join(map(found.__getitem__, parts[1:])) for parts in cut]
 
 
 @lru_cache(maxsize=4)
