@@ -11,6 +11,7 @@ from emberlog.llm.inputs import documents
 from emberlog.llm.licenses import scan_licenses
 from emberlog.llm.simhash import simhash_groups
 from emberlog.llm.tokenfiles import read_tokens, write_tokens
+from emberlog.llm.windows import remove_repeated_windows
 from emberlog.session import scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,7 +40,11 @@ def op8_token_files(spark, folder):
     return read_tokens(spark, made).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_dedup, op3_simhash_near_dedup, op6_license_scan, op8_token_files)}
+def op9_substring_dedup(spark, folder):
+    return remove_repeated_windows(documents(spark, folder), size=35).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_dedup, op3_simhash_near_dedup, op6_license_scan, op8_token_files, op9_substring_dedup)}
 
 ORACLES = {
     "op2_exact_dedup": """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
