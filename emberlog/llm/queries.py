@@ -10,6 +10,7 @@ from emberlog.llm.exact import exact_duplicates
 from emberlog.llm.inputs import documents
 from emberlog.llm.licenses import scan_licenses
 from emberlog.llm.simhash import simhash_groups
+from emberlog.llm.suffixes import remove_repeated_bytes
 from emberlog.llm.tokenfiles import read_tokens, write_tokens
 from emberlog.llm.windows import remove_repeated_windows
 from emberlog.session import scratch_path
@@ -34,6 +35,11 @@ def op6_license_scan(spark, folder):
     return scan_licenses(documents(spark, folder))
 
 
+def op7_suffix_dedup(spark, folder):
+    return remove_repeated_bytes(documents(spark, folder), size=200).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_token_files(spark, folder):
     made = scratch_path(spark, "tokens")
     write_tokens(documents(spark, folder), made, VOCABULARY, end_id=0)
@@ -44,7 +50,7 @@ def op9_substring_dedup(spark, folder):
     return remove_repeated_windows(documents(spark, folder), size=35).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_dedup, op3_simhash_near_dedup, op6_license_scan, op8_token_files, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_dedup, op3_simhash_near_dedup, op6_license_scan, op7_suffix_dedup, op8_token_files, op9_substring_dedup)}
 
 ORACLES = {
     "op2_exact_dedup": """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
