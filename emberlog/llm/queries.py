@@ -9,7 +9,9 @@ from emberlog.llm.bpe import bpe_decode, bpe_encode
 from emberlog.llm.exact import exact_duplicates
 from emberlog.llm.inputs import documents
 from emberlog.llm.licenses import scan_licenses
+from emberlog.llm.mixing import mix_sources
 from emberlog.llm.simhash import simhash_groups
+from emberlog.llm.sketch import neighbour_fingerprints
 from emberlog.llm.suffixes import remove_repeated_bytes
 from emberlog.llm.tokenfiles import read_tokens, write_tokens
 from emberlog.llm.windows import remove_repeated_windows
@@ -31,6 +33,10 @@ def op3_simhash_near_dedup(spark, folder):
     return simhash_groups(documents(spark, folder), words=3, max_bits=2)
 
 
+def op5_document_fingerprints(spark, folder):
+    return neighbour_fingerprints(documents(spark, folder))
+
+
 def op6_license_scan(spark, folder):
     return scan_licenses(documents(spark, folder))
 
@@ -50,7 +56,20 @@ def op9_substring_dedup(spark, folder):
     return remove_repeated_windows(documents(spark, folder), size=35).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_dedup, op3_simhash_near_dedup, op6_license_scan, op7_suffix_dedup, op8_token_files, op9_substring_dedup)}
+def five_two_one(names: list) -> list[float]:
+    """Weights by code point order of the sources: 5, 2, 1, repeating."""
+    return [(5.0, 2.0, 1.0)[i % 3] for i in range(len(names))]
+
+
+def op10_mixture(spark, folder):
+    mix, taken = mix_sources(documents(spark, folder), five_two_one)
+    sources = spark.createDataFrame(mix.sources or [], "source string, source_size long, target double")
+    source = taken.withColumn("source", F.element_at("sources", 1))
+    joined = source.join(F.broadcast(sources), source["source"].eqNullSafe(sources["source"]))
+    return joined.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_dedup, op3_simhash_near_dedup, op5_document_fingerprints, op6_license_scan, op7_suffix_dedup, op8_token_files, op9_substring_dedup, op10_mixture)}
 
 ORACLES = {
     "op2_exact_dedup": """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
