@@ -30,6 +30,9 @@ from emberlog.llm.inputs import prepare, width
 OUT_BYTES = 4_000_000
 ASKED = 2_000
 TEXTS_AT_ONCE = 200
+REMEMBERED = 400_000
+# Punctuation behind a letter or digit is a word of its own (the apostrophe may not be).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
 # Fixed value: how byte-level vocabularies write a space.
 SPACE = "\u0120"
 
@@ -37,8 +40,8 @@ SPACE = "\u0120"
 class Library:
     """The tokenizers library, asked once for each different word group while it is remembered.
 
-    A text is cut at single spaces, which no word crosses; a text that holds a special token goes
-    to the library whole.
+    A text is cut at single spaces, which no word crosses, and before the punctuation that ends a
+    word; a text that holds a special token goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -50,7 +53,8 @@ class Library:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.head = Remembered(lambda s: self.ids([s])[0], 20_000)
-        self.behind_space = Remembered(lambda s: self.ids([" " + s])[0])
+        self.behind_space = Remembered(lambda s: self.ids([" " + s])[0], REMEMBERED)
+        self.marks = Remembered(lambda s: self.ids([s])[0], 10_000)
         opens = (self.tokenizer.id_to_token(i) or "" for i in range(self.size))
         self.opens_word = np.array([token.startswith(SPACE) for token in opens])
 
@@ -71,19 +75,29 @@ class Library:
         return [ids for i in range(0, len(texts), TEXTS_AT_ONCE) for ids in self._encode(texts[i:i + TEXTS_AT_ONCE])]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [[t] if any(s in t for s in self.special) else segments(t) for t in texts]
         known, older = self.behind_space, self.behind_space.old
-        wanted = {s for parts in cut for s in parts[1:]}
-        found = {s: ids for s in wanted if (ids := known.get(s) or older.get(s))}
-        new = [s for s in wanted.difference(found) if s.split() == [s]]
-        for i in range(0, len(new), ASKED):
-            some = new[i:i + ASKED]
-            found.update(zip(some, self.groups(some)))
-        for s in wanted.difference(known):
-            if s not in found:
-                found[s] = known.make(s)
-            known.remember(s, found[s])
-        return [self.head[parts[0]] + b"".join(map(found.__getitem__, parts[1:])) for parts in cut]
+        cut = [[t] if any(s in t for s in self.special) else segments(t) for t in texts]
+        got = [list(map(known.get, parts)) for parts in cut]
+        new: dict[str, bytes | None] = {}
+        for parts, ids in zip(cut, got):
+            ids[0] = self.head[parts[0]]
+            if None in ids:
+                new.update((s, None) for s, x in zip(parts, ids) if x is None)
+        new.update((s, older.get(s)) for s in new)
+        ended = {s: stem for s, ids in new.items() if ids is None and (stem := s.rstrip(MARKS)) and stem[-1].isalnum()}
+        stems = {stem: known.get(stem) or older.get(stem) for stem in ended.values()}
+        ask = [stem for stem, ids in stems.items() if ids is None and stem.split() == [stem]]
+        for i in range(0, len(ask), ASKED):
+            some = ask[i:i + ASKED]
+            stems.update(zip(some, self.groups(some)))
+        for s, stem in ended.items():
+            if stems[stem] is not None:
+                new[s] = stems[stem] + self.marks[s[len(stem):]] if s != stem else stems[stem]
+                if s != stem:
+                    known.remember(stem, stems[stem])
+        for s, ids in new.items():
+            new[s] = known.remember(s, known.make(s) if ids is None else ids)
+        return [b"".join(ids if None not in ids else [new[s] if x is None else x for s, x in zip(parts, ids)]) for parts, ids in zip(cut, got)]
 
 
 @lru_cache(maxsize=4)
