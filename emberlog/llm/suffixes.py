@@ -40,7 +40,8 @@ BASE = 0xD1342543DE82EF95
 CONTEXT_BASE = 0x9E3779B97F4A7C15
 HOT_RUNS = 512
 HOT_HERE = 48
-BUCKET_GRAMS = 200_000
+BUCKET_GRAMS = 50_000
+AT_ONCE = 4_000
 
 
 def _gram_hashes(piece: np.ndarray) -> np.ndarray:
@@ -254,23 +255,30 @@ def _repeated_contexts(rows: list[dict], size: int):
         if total > 1:
             yield from ((run, h, None) for run, h in holders[at])
     open_ = [at for at in range(len(entries)) if sizes[groups[at]] > 1]
-    if not open_:
-        return
-    texts = [_parts(entries[at]) for at in open_]
+    begin = 0
+    while begin < len(open_):  # whole groups at a time, about ``AT_ONCE`` contexts
+        end = min(len(open_), begin + AT_ONCE)
+        while end < len(open_) and groups[open_[end]] == groups[open_[end - 1]]:
+            end += 1
+        some = open_[begin:end]
+        for at, mask in zip(some, _masks([_parts(entries[at]) for at in some], [groups[at] for at in some], size)):
+            if totals[at] == 1 and mask.any():
+                yield (*holders[at][0], np.packbits(np.r_[mask, np.zeros(8 * mask_bytes - len(mask), bool)]).tobytes())
+        begin = end
+
+
+def _masks(texts: list[bytes], groups: list[int], size: int) -> list[np.ndarray]:
+    """For each context, which of its windows start in another context of its group, or twice in it."""
     data, ends = joined(texts)
     first = np.r_[0, ends[:-1]]
-    starts, found = window_hashes(data, first, ends - size, size)
-    found = mixed(found + np.repeat(np.array([groups[at] for at in open_], np.uint64), ends - first - size + 1) * np.uint64(CONTEXT_BASE))
+    counts = ends - first - size + 1
+    _, found = window_hashes(data, first, ends - size, size)
+    found = mixed(found + np.repeat(np.array(groups, np.uint64), counts) * np.uint64(CONTEXT_BASE))
     order = np.argsort(found, kind="stable")
     same = found[order][1:] == found[order][:-1]
     again = np.zeros(len(found), bool)
-    again[order] = np.r_[same, False] | np.r_[False, same] if len(found) else again
-    cuts = np.r_[0, np.cumsum(ends - first - size + 1)]
-    for n, at in enumerate(open_):
-        if totals[at] == 1 and again[cuts[n]:cuts[n + 1]].any():
-            mask = np.zeros(8 * mask_bytes, bool)
-            mask[:cuts[n + 1] - cuts[n]] = again[cuts[n]:cuts[n + 1]]
-            yield (*holders[at][0], np.packbits(mask).tobytes())
+    again[order] = np.r_[same, False] | np.r_[False, same]
+    return np.split(again, np.cumsum(counts)[:-1])
 
 
 def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 200,
