@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberlog.llm.bpe import bpe_decode, bpe_encode
 from emberlog.llm.exact import exact_duplicates
 from emberlog.llm.inputs import documents
+from emberlog.llm.langid import identify, train
 from emberlog.llm.licenses import scan_licenses
 from emberlog.llm.mixing import mix_sources
 from emberlog.llm.simhash import simhash_groups
@@ -33,6 +34,13 @@ def op3_simhash_near_dedup(spark, folder):
     return simhash_groups(documents(spark, folder), words=3, max_bits=2)
 
 
+def op4_language_id(spark, folder):
+    docs = documents(spark, folder)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    filters = train(docs.filter(~held_out))
+    return identify(docs, filters, keep=held_out).withColumnRenamed("keep", "held_out")
+
+
 def op5_document_fingerprints(spark, folder):
     return neighbour_fingerprints(documents(spark, folder))
 
@@ -69,7 +77,7 @@ def op10_mixture(spark, folder):
     return joined.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_dedup, op3_simhash_near_dedup, op5_document_fingerprints, op6_license_scan, op7_suffix_dedup, op8_token_files, op9_substring_dedup, op10_mixture)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_dedup, op3_simhash_near_dedup, op4_language_id, op5_document_fingerprints, op6_license_scan, op7_suffix_dedup, op8_token_files, op9_substring_dedup, op10_mixture)}
 
 ORACLES = {
     "op2_exact_dedup": """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
