@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.session import written
+
 BATCH_BYTES = "16m"
 
 
@@ -51,3 +53,18 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, salt_from: Column) ->
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)))
     wanted = salted.select(key, "_salt").distinct().join(table, key)
     return salted.join(wanted, [key, "_salt"], "left").drop("_salt")
+
+
+def keep_rows(docs: DataFrame, judged: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, in all their columns, that ``judged`` (identifier, text_sha256, kept) keeps.
+
+    A row is found again by its identifier and text. Of rows equal in both one stays, if any is kept.
+    """
+    key = F.concat_ws("-", F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.sha2(F.coalesce(F.col(text_column), F.lit("")), 256))
+    of = judged.select(F.concat_ws("-", F.coalesce(F.col(id_column).cast("string"), F.lit("null")), "text_sha256").alias("_row_key"), "kept")
+    of = of.groupBy("_row_key").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).filter("kept")
+    of = written(of)
+    rows = docs.withColumn("_row_key", key).join(of, "_row_key", "left_semi")
+    if not of.filter("rows > 1").isEmpty():
+        rows = rows.dropDuplicates(["_row_key"])
+    return rows.select(*docs.columns)
