@@ -134,8 +134,8 @@ def scan_text(text: str, found: ahocorasick.Automaton) -> tuple:
             if got:
                 worst, score = max(got[0], -1 if worst is None else worst), 1.0
                 labels |= got[1]
-    first = line.count(" ", 0, min(starts)) - 1 if starts else None
-    last = line.count(" ", 0, max(starts)) - 1 if starts else None
+    first = line.count(" ", 0, min(starts)) if starts else None
+    last = line.count(" ", 0, max(starts)) if starts else None
     return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), worst, score
 
 
