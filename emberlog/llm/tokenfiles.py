@@ -55,6 +55,7 @@ class Library:
         self.head = Remembered(lambda s: self.ids([s])[0], 20_000)
         self.behind_space = Remembered(lambda s: self.ids([" " + s])[0], REMEMBERED)
         self.marks = Remembered(lambda s: self.ids([s])[0], 10_000)
+        self.line_end = self.ids(["\n"])[0]
         opens = (self.tokenizer.id_to_token(i) or "" for i in range(self.size))
         self.opens_word = np.array([token.startswith(SPACE) for token in opens])
 
@@ -71,6 +72,19 @@ class Library:
         data, ends = ids.tobytes(), [*(4 * first[1:]).tolist(), 4 * len(ids)]
         return [data[a:b] for a, b in zip([0, *ends], ends)]
 
+    def lines(self, words: list[str]) -> list[bytes]:
+        """Ids of each word at the start of a line; a single line end between words is a token of its own."""
+        out: list[bytes] = []
+        for i in range(0, len(words), ASKED):
+            some = words[i:i + ASKED]
+            ids = np.frombuffer(self.ids(["\n".join(some)])[0], "<u4")
+            ends = np.flatnonzero(ids == np.frombuffer(self.line_end, "<u4"))
+            if len(ends) != len(some) - 1:
+                out += self.ids(some)
+                continue
+            out += [x.tobytes() for x in np.split(ids, np.sort(np.r_[ends, ends + 1]))[::2]]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         return [ids for i in range(0, len(texts), TEXTS_AT_ONCE) for ids in self._encode(texts[i:i + TEXTS_AT_ONCE])]
 
@@ -84,17 +98,27 @@ class Library:
             if None in ids:
                 new.update((s, None) for s, x in zip(parts, ids) if x is None)
         new.update((s, older.get(s)) for s in new)
-        ended = {s: stem for s, ids in new.items() if ids is None and (stem := s.rstrip(MARKS)) and stem[-1].isalnum()}
-        stems = {stem: known.get(stem) or older.get(stem) for stem in ended.values()}
+        open_ = [s for s, ids in new.items() if ids is None]
+        broken = {s: parts for s in open_ if "\n" in s and len(parts := s.split("\n")) == 2 and parts == s.split()}
+        starts = dict(zip(ask := list({b for _, b in broken.values()}), self.lines(ask)))
+        stem_of = {a: a.rstrip(MARKS) for a in [a for a, _ in broken.values()] + open_}
+        stem_of = {a: stem for a, stem in stem_of.items() if stem and stem[-1].isalnum()}
+        stems = {stem: known.get(stem) or older.get(stem) for stem in stem_of.values()}
         ask = [stem for stem, ids in stems.items() if ids is None and stem.split() == [stem]]
         for i in range(0, len(ask), ASKED):
             some = ask[i:i + ASKED]
             stems.update(zip(some, self.groups(some)))
-        for s, stem in ended.items():
-            if stems[stem] is not None:
-                new[s] = stems[stem] + self.marks[s[len(stem):]] if s != stem else stems[stem]
-                if s != stem:
-                    known.remember(stem, stems[stem])
+        for s, stem in stem_of.items():
+            if stems[stem] is None:
+                continue
+            if s != stem:
+                known.remember(stem, stems[stem])
+                stems[s] = stems[stem] + self.marks[s[len(stem):]]
+            if s in new:
+                new[s] = stems[s]
+        for s, (a, b) in broken.items():
+            if stems.get(a) is not None:
+                new[s] = stems[a] + self.line_end + starts[b]
         for s, ids in new.items():
             new[s] = known.remember(s, known.make(s) if ids is None else ids)
         return [b"".join(ids if None not in ids else [new[s] if x is None else x for s, x in zip(parts, ids)]) for parts, ids in zip(cut, got)]
