@@ -353,7 +353,7 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
         windows, times = np.unique(windows, return_counts=True)
         out += [(b, run, None, None, None, None, None, h, None) for b, h in bucketed(windows, bits)]
         if (times > 1).any():
-            out.append((run % (1 << bits), run, None, None, None, None, None, None, pack(windows[times > 1])))
+            out.append((int(mixed(np.array([run], np.uint64))[0]) % (1 << bits), run, None, None, None, None, None, None, pack(windows[times > 1])))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 9, context_schema)], schema=context_schema)
 
     answer_schema = pa.schema([("run", pa.int64())] + [(n, pa.binary()) for n in ("contexts", "partly", "masks", "windows")])
