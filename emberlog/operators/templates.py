@@ -1,16 +1,15 @@
 """Message templates by prefix-tree clustering (Drain, ICWS 2017) over distinct lines.
 
-Log lines repeat heavily, so lines are masked and counted first; only distinct
-masked lines are clustered, one group per tree leaf. A leaf with more than
-``leaf_rows`` distinct lines is cut into parts that are clustered separately,
-and the parts' templates are clustered again, until a leaf fits into one part.
-After ``rounds`` rounds a leaf of still too many unlike lines keeps the templates
-its parts found; every line has a template in any case.
+Log lines repeat heavily, so lines are masked and counted first; only distinct masked lines are
+clustered. The tree's leaves (number of tokens and first tokens) are independent of each other and
+are spread over the cluster. Within a leaf lines are followed in the order in which they were first seen, as
+a stream: a task holds the leaf's clusters, never its lines. So the templates depend on the lines
+and their order alone, not on partitions or on the size of a leaf.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import line_signature
-from emberlog.session import cut_lineage
+from emberlog.session import written
 
 WILD = "<*>"
 
@@ -32,93 +31,79 @@ def masked_text(log: Column, extra_delimiters: Iterable[str] = ()) -> Column:
     return F.regexp_replace(single, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", WILD)
 
 
-def _cluster(lines: list[list[str]], similarity: float) -> list[str]:
-    """Templates for lines of one length, given in first-seen order."""
-    codes = np.array(pd.factorize(pd.Series([t for line in lines for t in line]))[0]).reshape(len(lines), -1)
-    flat = [t for line in lines for t in line]
-    code_of = dict(zip(flat, codes.ravel().tolist()))
-    text_of = {v: k for k, v in code_of.items()}
-    wild = code_of.get(WILD, -1)
-    text_of[wild] = WILD
-    known = np.empty_like(codes)
-    member = np.empty(len(lines), dtype=np.int64)
-    used = 0
-    for i, row in enumerate(codes):
-        best = -1
-        if used:
-            open_at = known[:used] == wild
-            equal = ((known[:used] == row) & ~open_at).sum(axis=1)
-            score = equal * (codes.shape[1] + 1) + open_at.sum(axis=1)
-            at = int(score.argmax())
-            if equal[at] >= similarity * codes.shape[1]:
-                best = at
-        if best < 0:
-            known[used] = row
-            best, used = used, used + 1
-        else:
-            known[best][known[best] != row] = wild
-        member[i] = best
-    texts = [" ".join(text_of[c] for c in known[j].tolist()) for j in range(used)]
-    return [texts[m] for m in member]
-
-
-def _fold(parted: DataFrame, scope: list[str], similarity: float) -> DataFrame:
-    """(scope, leaf, text) to template, one task group per (scope, leaf, part).
-
-    A line alone in its leaf is its own template and needs no clustering.
-    """
-    names = [*scope, "leaf", "text", "first_seen"]
+class _Leaf:
+    """The clusters of one tree leaf: one row of token numbers each; ``OPEN`` is a wildcard."""
+
+    OPEN, STRANGE = 0, -1
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first_seen", "text"], kind="stable")
-        templates = _cluster([t.split(" ") for t in pdf["text"]], similarity)
-        return pdf.assign(template=templates)[[*names, "template"]]
-    fields = ", ".join([f"`{n}` {parted.schema[n].dataType.simpleString()}" for n in names] + ["template string"])
-    alone = parted.filter("leaf_size = 1").select(*names, F.col("text").alias("template"))
-    shared = parted.filter("leaf_size > 1").groupBy(*scope, "leaf", "part").applyInPandas(run, fields)
-    return alone.unionByName(shared)
+    def __init__(self, tokens: int, similarity: float):
+        self.similarity, self.numbers, self.used = similarity, {WILD: self.OPEN}, 0
+        self.known = np.zeros((4, tokens), np.int32)
 
+    def add(self, tokens: list[str]) -> int:
+        """Number of the cluster that takes the line: the one with the most equal fixed tokens, if these are
+        enough; of several the one with more wildcards, then the older. Tokens that differ become wildcards."""
+        row = np.fromiter((self.numbers.get(t, self.STRANGE) for t in tokens), np.int32, len(tokens))
+        known = self.known[:self.used]
+        if self.used:
+            is_open = known == self.OPEN
+            equal = ((known == row) & ~is_open).sum(axis=1)
+            rank = equal * (len(tokens) + 1) + is_open.sum(axis=1)
+            best = int(np.argmax(rank))
+            if equal[best] / len(tokens) >= self.similarity:
+                self.known[best][known[best] != row] = self.OPEN
+                return best
+        if self.used == len(self.known):
+            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+        self.known[self.used] = [self.numbers.setdefault(t, len(self.numbers)) for t in tokens]
+        self.used += 1
+        return self.used - 1
 
-def _parts(entries: DataFrame, scope: list[str], leaf_rows: int, turn: int) -> DataFrame:
-    sizes = entries.groupBy(*scope, "leaf").agg(F.count(F.lit(1)).alias("leaf_size"))
-    return entries.join(sizes, [*scope, "leaf"]).withColumn(
-        "parts", F.ceil(F.col("leaf_size") / leaf_rows)).withColumn(
-        "part", F.pmod(F.xxhash64(F.col("text"), F.lit(turn)), F.col("parts")))
+    def templates(self) -> list[str]:
+        text = list(self.numbers)
+        return [" ".join(text[n] for n in row) for row in self.known[:self.used].tolist()]
 
 
 def learn_templates(df: DataFrame, scope: list[str], depth: int = 3, similarity: float = 0.5,
-                    extra_delimiters: Iterable[str] = (), log: str = "log", order: str = "row_id",
-                    leaf_rows: int = 4096, rounds: int = 4) -> DataFrame:
+                    extra_delimiters: Iterable[str] = (), log: str = "log", order: str = "row_id") -> DataFrame:
     """(scope, text, template): the final template of every distinct masked line."""
     lines = df.select(*scope, masked_text(F.col(log), extra_delimiters).alias("text"), F.col(order).alias("first_seen"))
     entries = lines.filter(F.col("text") != "").groupBy(*scope, "text").agg(F.min("first_seen").alias("first_seen"))
     split = F.split("text", " ")
-    entries = cut_lineage(entries.withColumn(
-        "leaf", F.concat_ws(" ", F.size(split).cast("string"), F.slice(split, 1, max(depth - 2, 1)))))
-
-    learned = None
-    for turn in range(rounds):
-        parted = cut_lineage(_parts(entries, scope, leaf_rows, turn))
-        step = cut_lineage(_fold(parted, scope, similarity))
-        if learned is None:
-            learned = step.select(*scope, "leaf", "text", "template")
-        else:
-            again = step.select(*scope, "leaf", F.col("text").alias("template"), F.col("template").alias("_newer"))
-            learned = (learned.join(again, [*scope, "leaf", "template"], "left")
-                       .withColumn("template", F.coalesce("_newer", "template")).drop("_newer"))
-        cut_leaves = parted.filter(F.col("parts") > 1).select(*scope, "leaf").distinct()
-        if cut_leaves.isEmpty():
-            break
-        entries = cut_lineage(
-            step.join(cut_leaves, [*scope, "leaf"], "left_semi")
-            .groupBy(*scope, "leaf", F.col("template").alias("text")).agg(F.min("first_seen").alias("first_seen")))
-    return learned.select(*scope, "text", "template")
+    leaf = F.concat_ws(" ", F.size(split).cast("string"), F.slice(split, 1, max(depth - 2, 1)))
+    laid = entries.withColumn("leaf", leaf).repartition(*scope, "leaf").sortWithinPartitions(*scope, "leaf", "first_seen", "text")
+    key = [*scope, "leaf"]
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, clusters = None, None
+
+        def finished() -> pd.DataFrame:
+            found = clusters.templates()
+            return pd.DataFrame([[*now, None, n, t] for n, t in enumerate(found)], columns=[*key, "text", "cluster", "template"])
+
+        for pdf in batches:
+            numbers = []
+            keys = list(zip(*(pdf[c].tolist() for c in key)))
+            for at, text in zip(keys, pdf["text"].tolist()):
+                tokens = text.split(" ")
+                if at != now:
+                    if clusters is not None:
+                        yield finished()
+                    now, clusters = at, _Leaf(len(tokens), similarity)
+                numbers.append(clusters.add(tokens))
+            yield pdf[[*key, "text"]].assign(cluster=numbers, template=None)
+        if clusters is not None:
+            yield finished()
+
+    fields = ", ".join([f"`{n}` {laid.schema[n].dataType.simpleString()}" for n in [*key, "text"]] + ["cluster long", "template string"])
+    found = written(laid.mapInPandas(follow, fields))
+    named = found.filter("text IS NULL").drop("text")
+    return found.filter("text IS NOT NULL").drop("template").join(named, [*key, "cluster"]).select(*scope, "text", "template")
 
 
 def mine_templates(df: DataFrame, light: bool = True, scope: list[str] | None = None,
                    depth: int | None = None, similarity: float | None = None,
-                   extra_delimiters: Iterable[str] = (), log: str = "log", order: str = "row_id",
-                   leaf_rows: int = 4096) -> DataFrame:
+                   extra_delimiters: Iterable[str] = (), log: str = "log", order: str = "row_id") -> DataFrame:
     """Add ``log_template`` ("Unknown" for an empty line) and ``template_id``.
 
     Every row gets the final template of its cluster. Light mode is depth 3 with
@@ -127,7 +112,7 @@ def mine_templates(df: DataFrame, light: bool = True, scope: list[str] | None =
     scope = ["source_file"] if scope is None else scope
     depth = depth or (3 if light else 4)
     similarity = similarity if similarity is not None else (0.5 if light else 0.4)
-    learned = learn_templates(df, scope, depth, similarity, extra_delimiters, log, order, leaf_rows)
+    learned = learn_templates(df, scope, depth, similarity, extra_delimiters, log, order)
     rows = df.withColumn("text", masked_text(F.col(log), extra_delimiters))
     return (
         rows.join(learned, [*scope, "text"], "left")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import flood as fl
 from emberlog.operators import templates as tp
-from registry.common import doc_lines, joined, logs, numbered, registrar, signature_sql, with_ctes
+from registry.common import doc_lines, joined, logs, numbered, registrar, table, signature_sql, with_ctes
 
 QUERIES, ORACLES = {}, {}
 query = registrar(QUERIES, ORACLES)
@@ -102,6 +102,18 @@ def _(spark, sf):
     return tp.mine_templates(logs(spark, sf)).select("row_id", "source_file", "log_template")
 
 
+# Three kinds of line in one leaf (same length, same first word), each of many variants that merge.
+VARIANTS = """CASE event_id % 3 WHEN 0 THEN 'svc opened door for ' || event_type || ' at ' || {w} WHEN 1 THEN 'svc closed gate near ' || event_type || ' with ' || {w}
+ ELSE 'svc lost link towards ' || event_type || ' via ' || {w} END""".format(w="CASE user_id % 5 WHEN 0 THEN 'ada' WHEN 1 THEN 'bob' WHEN 2 THEN 'cyd' WHEN 3 THEN 'dan' ELSE 'eve' END")
+
+
+@query("m7_merge_variants", with_ctes("""SELECT row_id, source_file, CASE row_id % 3 WHEN 0 THEN 'svc opened door for <*> at <*>' WHEN 1 THEN 'svc closed gate near <*> with <*>'
+ ELSE 'svc lost link towards <*> via <*>' END AS log_template FROM logs"""))
+def _(spark, sf):
+    rows = table(spark, sf, "events").selectExpr("event_id AS row_id", "'src' || CAST(user_id % 4 AS STRING) AS source_file", f"{VARIANTS} AS log")
+    return tp.mine_templates(rows).select("row_id", "source_file", "log_template")
+
+
 @query("m7_mine_document_templates")
 def _(spark, sf):
     mined = tp.mine_templates(doc_lines(spark, sf), light=False)

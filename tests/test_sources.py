@@ -99,13 +99,31 @@ def test_templates_do_not_depend_on_partitions(spark):
     assert len({x for _, x in one}) == 2
 
 
-def test_a_hot_leaf_is_split_and_merged(spark):
+def test_a_leaf_of_one_template(spark):
     names = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
     df = spark.createDataFrame([(i, "f", f"user {n} logged in from {m}") for i, (n, m) in enumerate(zip(names, reversed(names)))], "row_id long, source_file string, log string")
-    got = tp.mine_templates(df, leaf_rows=7).select("log_template").distinct().collect()
+    got = tp.mine_templates(df).select("log_template").distinct().collect()
     assert [r[0] for r in got] == ["user <*> logged in from <*>"]
 
 
+def test_several_clusters_in_one_leaf(spark):
+    """Templates depend on lines and order alone: not on partitions, nor on how a leaf reaches the task."""
+    kinds = ["svc opened door for {} at {}", "svc closed gate near {} with {}", "svc lost link towards {} via {}", "svc {} alone {} here {}"]
+    names = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    logs = [kinds[i % 4].format(names[i * 7 % 100], names[i * 13 % 100], names[i % 3]) for i in range(600)]
+    df = spark.createDataFrame([(i, "f", x) for i, x in enumerate(logs)], "row_id long, source_file string, log string")
+    seen = [summary_text(tp.mine_templates(df.repartition(n)).collect()) for n in (1, 3, 8)]
+    assert seen[0] == seen[1] == seen[2]
+    with_small_batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert summary_text(tp.mine_templates(df).collect()) == seen[0]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_small_batches)
+    by_kind = [{t for i, t in seen[0] if i % 4 == k} for k in range(3)]
+    assert by_kind == [{"svc opened door for <*> at <*>"}, {"svc closed gate near <*> with <*>"}, {"svc lost link towards <*> via <*>"}]
+
+
 def test_scopes_are_separate(spark):
     df = spark.createDataFrame([(1, "f", "a b c x"), (2, "f", "a b c y"), (3, "g", "a b c x")], "row_id long, source_file string, log string")
     assert [x for _, x in summary_text(tp.mine_templates(df).collect())] == ["a b c <*>", "a b c <*>", "a b c x"]
