@@ -8,6 +8,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.sql import SparkSession
+
 
 @dataclass(frozen=True)
 class Pattern:
@@ -88,15 +91,19 @@ ERROR_WORDS = [
     "denied", "rejected", "unauthorized", "crash", "fatal", "critical", "unexpected",
     "undefined", "null", "missing", "not found", "unavailable",
 ]
+# Startup words.
 STARTUP_WORDS = [
     "start", "init", "boot", "launch", "starting", "initializing", "booting",
     "launching", "loading", "configuring", "configuration", "setup",
 ]
+# Sensitive patterns.
 SENSITIVE_PATTERNS = [
     r"password", r"secret", r"token", r"key", r"credential", r"auth", r"login", r"user",
     r"account", r"api[-_]?key", r"[a-zA-Z0-9+/]{40,}", r"[0-9a-f]{32,}",
 ]
+# Action words.
 ACTION_WORDS = ["started", "stopped", "created", "deleted", "updated", "failed", "connected", "disconnected"]
+# Error type patterns.
 ERROR_TYPE_PATTERNS = [
     ("timeout", r"\b(?:timeout|timed?\s*out)\b"),
     ("connection", r"\b(?:connection|connect)\s*(?:error|fail|refused)\b"),
@@ -104,6 +111,7 @@ ERROR_TYPE_PATTERNS = [
     ("validation", r"\b(?:invalid|validation)\s*(?:error|fail)\b"),
     ("resource", r"\b(?:memory|disk|cpu|resource)\s*(?:error|exhausted|full)\b"),
 ]
+# Token patterns.
 TOKEN_PATTERNS = [
     ("ip_address", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
     ("hash", r"[a-fA-F0-9]{32}"),
@@ -111,6 +119,48 @@ TOKEN_PATTERNS = [
     ("http_request", r"(?:GET|POST|PUT|DELETE|PATCH)\s+/\S+"),
 ]
 
+# What the masking of a line replaces, in order, ignoring case where marked.
+WORD = r"\p{L}\p{N}_"
+REDACTIONS = [
+    (rf"(?i)(Bearer|Token|Authorization)\s+[{WORD}\-.]+", "$1 <REDACTED>"),
+    (r"eyJ[a-zA-Z0-9\-_]+\.[a-zA-Z0-9\-_]+\.[a-zA-Z0-9\-_]+", "<JWT_TOKEN>"),
+    (r"(?i)(API[_-]?KEY[:=\s])[a-zA-Z0-9\-_]+", "$1<REDACTED>"),
+]
+# What the cleaning of a line replaces, in order.
+CLEANINGS = [
+    (r"\[.*?\]", ""),
+    (r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}.*?Z", ""),
+    (r"[a-f0-9\-]{32,}", "<ID>"),
+    (r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", "<IP>"),
+    (r"(?i)(?:Bearer|Token|APIKey|Secret)\s+\S+", "<SECRET>"),
+    (r"\s+", " "),
+]
+# How a line names its level, component and action.
+NAME = "[A-Za-z0-9._-]+"
+LEVELS = "(ERROR|WARN|INFO|DEBUG|TRACE|FATAL)"
+LEVEL_MARKS = [rf"\[{LEVELS}\]", f"{LEVELS}:", f"{LEVELS} -"]
+SEVERITY_WORDS = [("ERROR", "(?i)error|exception|fail|crash|fatal"), ("WARN", "(?i)warn|caution|attention")]
+COMPONENT_PATTERNS = [rf"\[({NAME})\]", rf"({NAME})\s*:", rf"({NAME})\.(?:connect|init|start|config|process)"]
+COMPONENT_AFTER_LEVEL = rf"(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|\[(?:INFO|DEBUG|ERROR|WARN)\])[:\s]+({NAME})"
+ACTION_VERBS = ("initializing|starting|configuring|processing|connecting|loading|saving|updating|"
+                "creating|deleting|sending|receiving")
+ACTION_STEMS = "init|start|stop|config|process|connect|disconnect|load|save|update|create|delete|send|receive"
+ACTION_MARKS = [rf":\s*({NAME})", rf"\.\s*({NAME})\s*:"]
+OPERATIONS = [("retry_operation", "(?i)retry|retrying|attempt"), ("connection_operation", "(?i)connect|connection"),
+              ("configuration_operation", "(?i)config|configuration")]
+LEVEL_WORDS = [("error", r"\b(?:error|fail|exception|critical)\b"), ("warning", r"\b(?:warn|warning)\b"),
+               ("info", r"\b(?:info|notice)\b"), ("debug", r"\b(?:debug|trace)\b")]
+LEADING = r"^\[?([a-zA-Z0-9_.-]+)\]?[:|\s]"
+
+# Result texts.
+SECRET_REASON = "Contains possible secret/token."
+EMPTY_REPLY_REASON = "Empty reply from LLM"
+REPLY_ERROR = "LLM Error: "
+STACK_FRAME_REASON = "Stack trace line, follows an actual error."
+FLOOD_MARK = "[LOG FLOOD] "
+FLOOD_TEXT = " occurrences of similar logs: "
+THREATS = {"flood": "LOG_FLOODING", "leaks": "DATA_EXPOSURE", "rules": "RULE_VIOLATIONS", "errors": "HIGH_ERROR_RATE"}
+
 # Display labels of the verdict classes.
 LABELS = {
     "Sensitive Information Leak": "🔑 Sensitive Leak",
@@ -129,7 +179,9 @@ VALID_TAGS = [
     "Startup", "Shutdown", "Dependency", "Integration", "Migration", "Deployment", "Unknown",
 ]
 
+# Timestamp fields.
 TIMESTAMP_FIELDS = ["@timestamp", "timestamp", "time", "@time", "datetime", "date"]
+# Log extensions.
 LOG_EXTENSIONS = ("json", "log", "txt")
 
 
@@ -138,16 +190,37 @@ def merge_catalogs(*catalogs: list[Pattern]) -> list[Pattern]:
     return [p for catalog in catalogs for p in catalog]
 
 
+# Patterns given here are written for both notations and compare ASCII letters only.
+OWN = frozenset(p.pattern for p in (*SECURITY_PATTERNS, *RULE_PATTERNS, *SAMPLE_SECURITY_PATTERNS, *SAMPLE_RULE_PATTERNS))
+
+
+def spark_pattern(pattern: str) -> str | None:
+    """``pattern``, written in Python's notation, as Spark's regular expressions want it: case ignored, and classes
+    such as ``\\w`` reaching beyond ASCII as in Python. None if it does not compile in both."""
+    try:
+        names = re.compile(pattern).groupindex
+    except re.error:
+        return None
+    if pattern in OWN:
+        return "(?i)" + pattern
+    out = pattern.replace(r"\Z", r"\z")
+    for name in names:  # a name may hold an underscore in Python only
+        plain = "g" + "".join(f"{ord(ch):x}x" if not ch.isascii() or not ch.isalnum() else ch for ch in name)
+        out = out.replace(f"(?P<{name}>", f"(?<{plain}>").replace(f"(?P={name})", rf"\k<{plain}>")
+    out = ("(?iuU)" if re.search(r"\\[wWdDsSbB]", pattern) else "(?iu)") + out
+    session = SparkSession.getActiveSession()
+    if session is None:
+        return out
+    try:
+        session.sparkContext._jvm.java.util.regex.Pattern.compile(out)
+    except Py4JError:
+        return None
+    return out
+
+
 def usable(catalog: list[Pattern]) -> list[Pattern]:
-    """The entries whose pattern compiles; the others are skipped."""
-    kept = []
-    for entry in catalog:
-        try:
-            re.compile(entry.pattern)
-        except re.error:
-            continue
-        kept.append(Pattern(entry.name, entry.pattern.replace("(?P<", "(?<"), entry.reason))
-    return kept
+    """The entries whose pattern compiles, in Spark's notation; the others are skipped."""
+    return [Pattern(p.name, translated, p.reason) for p in catalog if (translated := spark_pattern(p.pattern)) is not None]
 
 
 def any_of(words: list[str]) -> str:

@@ -8,29 +8,24 @@ from pyspark.sql import functions as F
 from emberlog import catalogs as c
 from emberlog.functions.text import col, found
 
-NAME = "[A-Za-z0-9._-]+"
-LEVELS = "(ERROR|WARN|INFO|DEBUG|TRACE|FATAL)"
-
 
 def severity(log: Column | str) -> Column:
     x = col(log)
-    marked = [F.upper(found(x, "(?i)" + p)) for p in (rf"\[{LEVELS}\]", f"{LEVELS}:", f"{LEVELS} -")]
-    worded = (
-        F.when(x.rlike("(?i)error|exception|fail|crash|fatal"), "ERROR")
-        .when(x.rlike("(?i)warn|caution|attention"), "WARN")
-        .otherwise("UNKNOWN")
-    )
-    return F.coalesce(*marked, worded)
+    marked = [F.upper(found(x, "(?i)" + p)) for p in c.LEVEL_MARKS]
+    return F.coalesce(*marked, _first_of(x, c.SEVERITY_WORDS, "UNKNOWN"))
+
+
+def _first_of(x: Column, named: list[tuple[str, str]], otherwise: str) -> Column:
+    out = F.when(F.lit(False), F.lit(""))
+    for name, pattern in named:
+        out = out.when(x.rlike(pattern), name)
+    return out.otherwise(otherwise)
 
 
 def component(log: Column | str) -> Column:
     x = col(log)
-    named = F.coalesce(
-        found(x, rf"\[({NAME})\]"),
-        found(x, rf"({NAME})\s*:"),
-        found(x, rf"({NAME})\.(?:connect|init|start|config|process)"),
-    )
-    after_level = found(x, rf"(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|\[(?:INFO|DEBUG|ERROR|WARN)\])[:\s]+({NAME})")
+    named = F.coalesce(*[found(x, p) for p in c.COMPONENT_PATTERNS])
+    after_level = found(x, c.COMPONENT_AFTER_LEVEL)
     return F.coalesce(
         F.regexp_replace(named, r"^(?:service|module|component)\.", ""), after_level, F.lit("unknown")
     )
@@ -38,14 +33,10 @@ def component(log: Column | str) -> Column:
 
 def action(log: Column | str) -> Column:
     x = col(log)
-    verbs = ("initializing|starting|configuring|processing|connecting|loading|saving|updating|"
-             "creating|deleting|sending|receiving")
-    stems = "init|start|stop|config|process|connect|disconnect|load|save|update|create|delete|send|receive"
-    pair = rf"(?i)\b({stems})\s+({NAME})"
+    pair = rf"(?i)\b({c.ACTION_STEMS})\s+({c.NAME})"
     return F.coalesce(
-        F.lower(found(x, rf":\s*({NAME})")),
-        F.lower(found(x, rf"\.\s*({NAME})\s*:")),
-        F.lower(found(x, f"(?i)({verbs})")),
+        *[F.lower(found(x, p)) for p in c.ACTION_MARKS],
+        F.lower(found(x, f"(?i)({c.ACTION_VERBS})")),
         F.when(x.rlike(pair), F.concat(F.lower(F.regexp_extract(x, pair, 1)), F.lit("_"),
                                        F.lower(F.regexp_extract(x, pair, 2)))),
         F.lit("unknown"),
@@ -75,11 +66,7 @@ def _seen(context: Column, word: str) -> Column:
 def operation_patterns(log: Column | str, context: Column | None = None) -> Column:
     """Operation kinds in the line, and sequences in its context lines (array of text)."""
     x = col(log)
-    parts = [
-        F.when(x.rlike("(?i)retry|retrying|attempt"), F.lit("retry_operation")),
-        F.when(x.rlike("(?i)connect|connection"), F.lit("connection_operation")),
-        F.when(x.rlike("(?i)config|configuration"), F.lit("configuration_operation")),
-    ]
+    parts = [F.when(x.rlike(pattern), F.lit(name)) for name, pattern in c.OPERATIONS]
     if context is not None:
         parts += [
             F.when(_seen(context, "start") & _seen(context, "complete"), F.lit("start_complete_sequence")),
@@ -93,17 +80,10 @@ def has_number(log: Column | str) -> Column:
 
 
 def level_word(log: Column | str) -> Column:
-    x = F.lower(col(log))
-    return (
-        F.when(x.rlike(r"\b(?:error|fail|exception|critical)\b"), "error")
-        .when(x.rlike(r"\b(?:warn|warning)\b"), "warning")
-        .when(x.rlike(r"\b(?:info|notice)\b"), "info")
-        .when(x.rlike(r"\b(?:debug|trace)\b"), "debug")
-        .otherwise("unknown")
-    )
+    return _first_of(F.lower(col(log)), c.LEVEL_WORDS, "unknown")
 
 
-LEADING = r"^\[?([a-zA-Z0-9_.-]+)\]?[:|\s]"
+LEADING = c.LEADING
 
 
 def leading_component(log: Column | str) -> Column:
@@ -119,11 +99,7 @@ def action_word(log: Column | str) -> Column:
 
 
 def error_type(log: Column | str) -> Column:
-    x = F.lower(col(log))
-    out = F.when(F.lit(False), F.lit(""))
-    for name, pattern in c.ERROR_TYPE_PATTERNS:
-        out = out.when(x.rlike(pattern), name)
-    return out.otherwise("none")
+    return _first_of(F.lower(col(log)), c.ERROR_TYPE_PATTERNS, "none")
 
 
 def token_patterns(log: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberlog import catalogs as c
 
 # Letters, digits and underscore of any script, as a class body.
-WORD = r"\p{L}\p{N}_"
+WORD = c.WORD
 
 
 def col(x: Column | str) -> Column:
@@ -31,22 +31,26 @@ def found(x: Column, pattern: str, group: int = 1) -> Column:
 
 def redact(log: Column | str) -> Column:
     """Hide bearer/token/authorization values, three-part JWTs and API keys."""
-    hidden = F.regexp_replace(col(log), rf"(?i)(Bearer|Token|Authorization)\s+[{WORD}\-.]+", "$1 <REDACTED>")
-    hidden = F.regexp_replace(hidden, r"eyJ[a-zA-Z0-9\-_]+\.[a-zA-Z0-9\-_]+\.[a-zA-Z0-9\-_]+", "<JWT_TOKEN>")
-    return F.regexp_replace(hidden, r"(?i)(API[_-]?KEY[:=\s])[a-zA-Z0-9\-_]+", "$1<REDACTED>")
+    hidden = col(log)
+    for pattern, by in c.REDACTIONS:
+        hidden = F.regexp_replace(hidden, pattern, by)
+    return hidden
+
+
+def hide(text: Column | str) -> Column:
+    """``redact``, and then whatever the security catalogs or the secret scanner still find."""
+    hidden = redact(text)
+    for entry in (*c.SECURITY_PATTERNS, *c.SAMPLE_SECURITY_PATTERNS):
+        hidden = F.regexp_replace(hidden, "(?i)" + entry.pattern, "<REDACTED>")
+    for pattern in c.SECRET_PATTERNS:
+        hidden = F.regexp_replace(hidden, pattern, "<SECRET>")
+    return hidden
 
 
 def clean_line(log: Column | str) -> Column:
     """Line without brackets, ISO times, ids, addresses and secrets."""
     out = col(log)
-    for pattern, by in (
-        (r"\[.*?\]", ""),
-        (r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}.*?Z", ""),
-        (r"[a-f0-9\-]{32,}", "<ID>"),
-        (r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", "<IP>"),
-        (r"(?i)(?:Bearer|Token|APIKey|Secret)\s+\S+", "<SECRET>"),
-        (r"\s+", " "),
-    ):
+    for pattern, by in c.CLEANINGS:
         out = F.regexp_replace(out, pattern, by)
     return F.trim(out)
 

@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.catalogs import spark_pattern
 from emberlog.operators.ordering import HOT_ROWS, hot_limit, running_totals
 from emberlog.schema import default_columns
 
@@ -49,7 +50,7 @@ def _runnable(rule: BehaviorRule, columns: list[str]) -> bool:
 
 
 def _matches(rule: BehaviorRule) -> Column:
-    return F.coalesce(F.col("log").rlike("(?i)" + rule.pattern), F.lit(False)) if rule.pattern else F.lit(True)
+    return F.coalesce(F.col("log").rlike(spark_pattern(rule.pattern) or "(?!)"), F.lit(False)) if rule.pattern else F.lit(True)
 
 
 def _entries(df: DataFrame, rules: list[tuple[int, BehaviorRule]]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog import catalogs as c
 from emberlog.functions.text import clean_line, strip, words
 from emberlog.operators.ordering import around, top_rows
 
@@ -54,7 +55,7 @@ def dependent_filter(df: DataFrame) -> DataFrame:
     """Stack frames without a verdict of their own are not anomalies."""
     frame = F.coalesce((F.col("classification") == "Unknown") & strip("log").startswith("at "), F.lit(False))
     return df.withColumns({
-        "reason": F.when(frame, "Stack trace line, follows an actual error.").otherwise(F.col("reason")),
+        "reason": F.when(frame, c.STACK_FRAME_REASON).otherwise(F.col("reason")),
         "is_anomaly": F.when(frame, 0).otherwise(F.col("is_anomaly")),
         "classification": F.when(frame, "Dependent Anomaly").otherwise(F.col("classification")),
     })

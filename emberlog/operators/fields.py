@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.catalogs import spark_pattern
 from emberlog.operators.once import once
 
 
@@ -27,17 +29,19 @@ def _json_value(parsed: Column, key: str) -> Column:
     return F.when(~empty, text)
 
 
-def _matched(log: Column, regex: str) -> Column:
-    grouped = "(" in regex and ")" in regex
-    pattern = "(?i)" + (regex if grouped else f"({regex})")
-    return F.nullif(F.regexp_extract(log, pattern, 1), F.lit(""))
+def _matched(log: Column, regex: str) -> Column | None:
+    """First group of the first match, or the whole match of a pattern without groups; none for an invalid pattern."""
+    pattern = spark_pattern(regex)
+    if pattern is None:
+        return None
+    return F.nullif(F.regexp_extract(log, pattern, min(1, re.compile(regex).groups)), F.lit(""))
 
 
 def _field(rule: FieldRule, columns: list[str], log: str) -> Column:
     sources = [_json_value(F.col("_body"), k) for k in rule.extractors]
     sources += [F.nullif(F.col(k).cast("string"), F.lit("")) for k in rule.extractors if k in columns]
-    if rule.regex:
-        sources.append(_matched(F.col(log), rule.regex))
+    if rule.regex and (matched := _matched(F.col(log), rule.regex)) is not None:
+        sources.append(matched)
     return F.coalesce(*sources) if sources else F.lit(None).cast("string")
 
 
@@ -59,7 +63,7 @@ def extract_fields_by_source(df: DataFrame, per_file: dict[str, list[FieldRule]]
                              source: str = "source_file") -> DataFrame:
     """Like ``extract_fields`` with the rule list chosen by source file.
 
-    One scan: every field is a CASE over the source name, no branch per file.
+    One scan: every field is a CASE with a branch for each different rule, not for each file.
     """
     names = list(dict.fromkeys(r.name for rules in [*per_file.values(), default] for r in rules))
     out = once(df, "_body", _body(log))
@@ -69,8 +73,12 @@ def extract_fields_by_source(df: DataFrame, per_file: dict[str, list[FieldRule]]
             rule = next((r for r in rules if r.name == name), None)
             return _field(rule, out.columns, log) if rule else none
         value = F.when(F.lit(False), none)
+        same: dict[str, tuple[list[str], list[FieldRule]]] = {}
         for file, rules in per_file.items():
-            value = value.when(F.col(source) == file, of(rules))
+            rule = next((r for r in rules if r.name == name), None)
+            same.setdefault(repr(rule), ([], rules))[0].append(file)
+        for files, rules in same.values():
+            value = value.when(F.col(source).isin(files), of(rules))
         out = out.withColumn(name, value.otherwise(of(default)))
     return out.drop("_body")
 

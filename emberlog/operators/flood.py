@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from emberlog import catalogs as c
 from emberlog.functions.enrich import LEADING
 from emberlog.functions.text import found, word_jaccard, words
 from emberlog.operators.ordering import HOT_ROWS, running_totals
@@ -294,11 +295,11 @@ def collapse_floods(df: DataFrame, window: int = 1000, threshold: float = 0.75,
     marked = mark_blocks(df, flood_blocks(df, window, threshold, hot_rows), window)
     kept = marked.filter("block_start IS NULL").drop("block_start")
     info = F.struct("template", "variable_parts", "severity", "components")
-    text = F.concat(F.lit(" occurrences of similar logs: "), F.col("template"))
+    text = F.concat(F.lit(c.FLOOD_TEXT), F.col("template"))
     summary = flood_patterns(marked.filter("block_start IS NOT NULL")).select(
         FILE, F.col("block_start").alias(LINE),
-        F.concat(F.lit("[LOG FLOOD] "), F.col("count").cast("string"), text).alias("log"),
-        F.concat(F.lit("[LOG FLOOD] <count>"), text).alias(TEMPLATE),
+        F.concat(F.lit(c.FLOOD_MARK), F.col("count").cast("string"), text).alias("log"),
+        F.concat(F.lit(c.FLOOD_MARK + "<count>"), text).alias(TEMPLATE),
         (F.col("severity") == "error").cast("int").alias("is_anomaly"), F.lit("FLOOD").alias("anomaly_source"),
         F.lit(True).alias("is_flood"), F.col("count").alias("flood_count"), info.alias("flood_info"),
         *(["first_ts", "last_ts"] if "ts" in df.columns else []), *[n for n in ("row_id", "ts_raw") if n in df.columns],

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog import catalogs as c
 from emberlog.functions import enrich as e
 from emberlog.functions.text import col
 from emberlog.operators.ordering import top_rows
@@ -163,10 +164,10 @@ def rule_severity(rule_rows: Column | str) -> Column:
 
 def threat_indicators(flood: Column, leaks: Column, rule_rows: Column, error_rate: Column) -> Column:
     return F.array_compact(F.array(
-        F.when(flood, F.lit("LOG_FLOODING")),
-        F.when(leaks > 0, F.lit("DATA_EXPOSURE")),
-        F.when(rule_rows > 0, F.lit("RULE_VIOLATIONS")),
-        F.when(F.coalesce(error_rate, F.lit(0.0)) > 0.1, F.lit("HIGH_ERROR_RATE")),
+        F.when(flood, F.lit(c.THREATS["flood"])),
+        F.when(leaks > 0, F.lit(c.THREATS["leaks"])),
+        F.when(rule_rows > 0, F.lit(c.THREATS["rules"])),
+        F.when(F.coalesce(error_rate, F.lit(0.0)) > 0.1, F.lit(c.THREATS["errors"])),
     ))
 
 
@@ -174,10 +175,16 @@ def source_breakdown(df: DataFrame) -> DataFrame:
     return df.groupBy(SOURCE, "anomaly_source").agg(F.count(F.lit(1)).alias("count"))
 
 
-def verdict_stats(verdicts: DataFrame) -> DataFrame:
-    """Calls, errors and time of the verdict phase from ``status`` and ``latency_s``."""
+def with_call_columns(verdicts: DataFrame) -> DataFrame:
+    """``status`` and ``latency_s`` where a reply table brought none: every reply is a call that went well."""
+    missing = {"status": F.when(F.col("reply").isNotNull(), F.lit("ok")), "latency_s": F.lit(None).cast("double")}
+    return verdicts.withColumns({n: x for n, x in missing.items() if n not in verdicts.columns})
+
+
+def verdict_stats(verdicts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Calls, errors and time of the verdict phase from ``status`` and ``latency_s``, in all or per ``by``."""
     calls = F.count_if(F.col("status") != "error")
-    return verdicts.agg(
+    return verdicts.groupBy(*(by or [])).agg(
         calls.alias("total_calls"), F.count_if(F.col("status") == "error").alias("errors"),
         F.round(F.coalesce(F.sum("latency_s"), F.lit(0.0)), 2).alias("total_time"),
         F.round(F.coalesce(F.sum("latency_s"), F.lit(0.0)) / F.greatest(calls, F.lit(1)), 2).alias("average_time"))

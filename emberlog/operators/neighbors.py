@@ -278,6 +278,6 @@ def knn_score(df: DataFrame, by: list[str] | None = None, k: int = 5, vector: st
 
 
 def knn_score_approx(df: DataFrame, by: list[str] | None = None, k: int = 5, vector: str = "embedding",
-                     row_id: str = "row_id", probe: int = 8, pivots: int = 32) -> DataFrame:
+                     row_id: str = "row_id", probe: int = 8, pivots: int = 32, copies: str | None = None) -> DataFrame:
     """``knn_score`` comparing only the ``probe`` nearest of ``pivots`` cells."""
-    return knn_score(df, by, k, vector, row_id, probe, pivots)
+    return knn_score(df, by, k, vector, row_id, probe, pivots, copies)

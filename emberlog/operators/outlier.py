@@ -77,9 +77,12 @@ def label_by_quantile(scored: DataFrame, by: list[str], contamination: float, ro
 
 
 def mark_lof(df: DataFrame, by: list[str] | None = None, threshold: float = -1.5, k: int = 20,
-             vector: str | None = None, row_id: str = "row_id", size: int = 256) -> DataFrame:
-    """Add ``lof_score`` and ``is_lof_anomaly``; lines are vectorised by TF-IDF unless a vector column is given."""
-    rows = df if vector else tfidf_vectors(df, size=size, vocabulary=True)
+             vector: str | None = None, row_id: str = "row_id", size: int = 256, vocabulary: int | None = None) -> DataFrame:
+    """Add ``lof_score`` and ``is_lof_anomaly``; lines are vectorised by TF-IDF unless a vector column is given.
+
+    Terms are hashed into ``size`` slots, none is left out. ``vocabulary`` asks for that many of the most frequent terms instead.
+    """
+    rows = df if vector else tfidf_vectors(df, size=vocabulary or size, vocabulary=vocabulary is not None)
     scored = lof_factor(rows, by, k, vector or "embedding", row_id, "lof_score")
     out = scored.withColumn("is_lof_anomaly", F.col("lof_score") <= threshold)
     return out if vector else out.drop("embedding")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ def first_match(log: Column | str, catalog: list[Pattern]) -> Column:
     """Position of the first catalog entry that matches, null if none does."""
     x = col(log)
     out = F.when(F.lit(False), F.lit(0))
-    for i, entry in enumerate(c.usable(catalog)):
-        out = out.when(x.rlike("(?i)" + entry.pattern), i)
+    for i, pattern in enumerate(filter(None, (c.spark_pattern(p.pattern) for p in catalog))):
+        out = out.when(x.rlike(pattern), i)
     return out
 
 
@@ -25,7 +27,7 @@ def any_match(log: Column | str, catalog: list[Pattern]) -> Column:
     x = col(log)
     hit = F.lit(False)
     for entry in c.usable(catalog):
-        hit = hit | x.rlike("(?i)" + entry.pattern)
+        hit = hit | x.rlike(entry.pattern)
     return F.coalesce(hit, F.lit(False))
 
 
@@ -36,7 +38,7 @@ def _pick(values: list[str], position: Column) -> Column:
 def classify_by_rules(df: DataFrame, rules: list[Pattern] = c.RULE_PATTERNS,
                       security: list[Pattern] = c.SECURITY_PATTERNS, log: str = "log") -> DataFrame:
     """First matching rule decides; the security flag is set on rule rows only."""
-    catalog = c.usable(rules)
+    catalog = [p for p in rules if c.spark_pattern(p.pattern) is not None]
     at = F.col("_rule")
     hit = at.isNotNull()
     fresh = df.drop("is_rule_based", "is_security_related", "classification", "reason", "tag", "anomaly_source")
@@ -55,7 +57,7 @@ def classify_by_rules(df: DataFrame, rules: list[Pattern] = c.RULE_PATTERNS,
 
 def rule_verdict(log: Column | str, rules: list[Pattern] = c.RULE_PATTERNS) -> Column:
     """(label, reason, tags) of the first matching rule, or null."""
-    catalog = c.usable(rules)
+    catalog = [p for p in rules if c.spark_pattern(p.pattern) is not None]
     at = first_match(log, catalog)
     return F.when(at.isNotNull(), F.struct(
         F.lit("Operational Error").alias("label"),
@@ -66,7 +68,7 @@ def rule_verdict(log: Column | str, rules: list[Pattern] = c.RULE_PATTERNS) -> C
 
 def find_leaks(df: DataFrame, security: list[Pattern] = c.SECURITY_PATTERNS, log: str = "log") -> DataFrame:
     """Rows with a leak: the first matching pattern's name, a reason, the redacted line."""
-    catalog = c.usable(security)
+    catalog = [p for p in security if c.spark_pattern(p.pattern) is not None]
     return (
         once(df, "_leak", first_match(log, catalog))
         .filter(F.col("_leak").isNotNull())
@@ -88,8 +90,10 @@ def _has_word(text: Column, words: list[str]) -> Column:
 def is_security_related(log: str = "log", classification: str = "classification", reason: str = "reason",
                         tag: str = "tag", security: list[Pattern] = c.SECURITY_PATTERNS) -> Column:
     text = F.lower(F.col(log))
-    # Every log pattern starts with a literal word; lines without any of them need no pattern.
+    # Lines without any of the patterns' literal heads need no pattern; a pattern without such a head is always tried.
     heads = list(dict.fromkeys(p.split(".*")[0] for p in c.SECURITY_LOG_PATTERNS))
-    listed = F.when(_has_word(text, heads), text.rlike("|".join(c.SECURITY_LOG_PATTERNS))).otherwise(F.lit(False))
+    headed = all(re.fullmatch(r"[a-z0-9 ]+", h) for h in heads)
+    matched = text.rlike("|".join(c.SECURITY_LOG_PATTERNS))
+    listed = F.when(_has_word(text, heads), matched).otherwise(F.lit(False)) if headed else matched
     said = F.lower(F.concat_ws("\n", F.col(classification), F.col(reason), F.array_join(F.col(tag), "\n")))
     return any_match(log, security) | _has_word(said, c.SECURITY_KEYWORDS) | F.coalesce(listed, F.lit(False))

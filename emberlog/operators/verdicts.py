@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog import catalogs as c
-from emberlog.functions.text import WORD, clean_line, col, found, has_secret, short_reason, strip, truncate_log
+from emberlog.functions.text import WORD, clean_line, col, found, has_secret, short_reason, strip
 from emberlog.operators.candidates import demote_normal, dependent_filter
 from emberlog.operators.once import once
 from emberlog.operators.rules import is_security_related
+from emberlog.session import scratch_path, written
 
 
 def _unknown() -> Column:
@@ -24,15 +25,24 @@ def _listed(values: Column, none: str) -> Column:
     return F.when(F.size(values) > 0, F.array_join(values, ", ")).otherwise(none)
 
 
-def context_lines(context: Column | str, limit: int = 5) -> Column:
+def shown_context(context: Column | str, limit: int | None = 5, nearest: bool = False) -> Column:
+    """At most ``limit`` entries (null: all): the first, or those in the middle, nearest to the line itself."""
+    lines = col(context)
+    if limit is None:
+        return lines
+    first = F.greatest(F.floor((F.size(lines) - limit) / 2), F.lit(0)).cast("int") + 1 if nearest else F.lit(1)
+    return F.slice(lines, first, F.lit(limit))
+
+
+def context_lines(context: Column | str, limit: int | None = 5, nearest: bool = False) -> Column:
     """At most ``limit`` context entries as text lines."""
-    shown = F.transform(F.slice(col(context), 1, limit), lambda r: F.when(
+    shown = F.transform(shown_context(context, limit, nearest), lambda r: F.when(
         F.coalesce(r["timestamp"], F.lit("")) != "", F.concat(F.lit("- ["), r["timestamp"], F.lit("] "), r["log"])
     ).otherwise(F.concat(F.lit("- "), r["log"])))
     return F.when(F.size(shown) > 0, F.array_join(shown, "\n")).otherwise("None")
 
 
-def build_prompts(df: DataFrame, name: str = "prompt") -> DataFrame:
+def build_prompts(df: DataFrame, name: str = "prompt", limit: int | None = 5, nearest: bool = False) -> DataFrame:
     """Prompt from ``log``, ``log_info`` and ``context_logs``, asking for three headed lines."""
     i = F.col("log_info")
     return df.withColumn(name, F.concat_ws(
@@ -48,16 +58,16 @@ def build_prompts(df: DataFrame, name: str = "prompt") -> DataFrame:
         F.concat(F.lit("Sensitive: "), i["contains_sensitive_info"].cast("string")),
         F.concat(F.lit("Numbers: "), i["has_numeric_values"].cast("string")),
         F.lit("Nearby lines:"),
-        context_lines("context_logs"),
+        context_lines("context_logs", limit, nearest),
         F.lit("Answer with the lines CLASSIFICATION: normal or anomaly, REASON: one sentence, TAGS: comma separated."),
     ))
 
 
-def build_prompts_compact(df: DataFrame, name: str = "prompt") -> DataFrame:
+def build_prompts_compact(df: DataFrame, name: str = "prompt", limit: int | None = 5, nearest: bool = False) -> DataFrame:
     """Shorter layout from ``log_analysis`` and ``context_analysis``."""
     a, x = F.col("log_analysis"), F.col("context_analysis")
     dist = x["severity_distribution"]
-    lines = F.transform(F.slice("context_logs", 1, 5), lambda r: r["log"])
+    lines = F.transform(shown_context("context_logs", limit, nearest), lambda r: r["log"])
     context = F.when(F.size("context_logs") > 0, F.concat(
         F.lit("\nNearby ("), F.size("context_logs").cast("string"), F.lit("):\n"), F.array_join(lines, "\n"))).otherwise("")
     return df.withColumn(name, F.concat(F.concat_ws(
@@ -135,7 +145,7 @@ def evaluate_reply(reply: Column | str) -> Column:
                         F.nullif(_line_after(x, ":"), empty), x)
     return (
         F.when(x == "", _verdict(F.lit("Error"), F.lit("Error: empty reply"), _unknown()))
-        .when(failed, _verdict(F.lit("Error"), F.concat(F.lit("LLM Error: "), after), _unknown()))
+        .when(failed, _verdict(F.lit("Error"), F.concat(F.lit(c.REPLY_ERROR), after), _unknown()))
         .otherwise(_verdict(label, reason, F.coalesce(_split_tags(x), _unknown())))
     )
 
@@ -175,7 +185,7 @@ def reply_text(body: Column | str, provider: Column | str = "provider") -> Colum
 
 
 def sensitive_verdict() -> Column:
-    return _verdict(F.lit("Sensitive Information Leak"), F.lit("Contains possible secret/token."),
+    return _verdict(F.lit("Sensitive Information Leak"), F.lit(c.SECRET_REASON),
                     F.array(F.lit("Sensitive"), F.lit("Security Threat")))
 
 
@@ -192,16 +202,23 @@ def _with_verdict(df: DataFrame, parts: Column, reason_limit: int | None, choose
         "classification": F.col("_final.label"), "reason": F.col("_final.reason"), "tag": F.col("_final.tags")}).drop("_v", "_final")
 
 
-def classify_lines(df: DataFrame, reply: str = "reply", limit: int = 512, reason_limit: int | None = None) -> DataFrame:
-    """Verdict columns for lines that have a ``reply`` (null or empty when there was none) and a ``status``."""
+def classify_lines(df: DataFrame, reply: str = "reply", reason_limit: int | None = None) -> DataFrame:
+    """Verdict columns for lines that have a ``reply`` (null or empty when there was none) and a ``status``.
+
+    A line with a secret anywhere in it needs no reply. Saved candidates are masked; they say in ``has_secret`` what
+    their line held before.
+    """
+    secret = has_secret("log")
+    if "has_secret" in df.columns:
+        secret = F.coalesce("has_secret", F.lit(False)) | secret
     status = F.col("status") if "status" in df.columns else F.lit("ok")
     text = strip(F.coalesce(F.col(reply), F.lit("")))
 
     def choose(parsed: Column) -> Column:
         return (
-            F.when(has_secret(truncate_log("log", limit)), sensitive_verdict())
-            .when(status == "error", _verdict(F.lit("Error"), F.concat(F.lit("LLM Error: "), F.coalesce(F.col(reply), F.lit(""))), _unknown()))
-            .when(text == "", _verdict(F.lit("Unknown"), F.lit("Empty reply from LLM"), _unknown()))
+            F.when(secret, sensitive_verdict())
+            .when(status == "error", _verdict(F.lit("Error"), F.concat(F.lit(c.REPLY_ERROR), F.coalesce(F.col(reply), F.lit(""))), _unknown()))
+            .when(text == "", _verdict(F.lit("Unknown"), F.lit(c.EMPTY_REPLY_REASON), _unknown()))
             .otherwise(parsed))
     return _with_verdict(df, reply_parts(reply), reason_limit, choose).withColumn("cleaned_log", clean_line("log"))
 
@@ -222,11 +239,11 @@ def classify_list(df: DataFrame, reply: str = "reply") -> DataFrame:
 
 
 def classify_with(df: DataFrame, make_judge: Callable[[], Callable[[str], str]], key: str = "row_id",
-                  prompt: str = "prompt", parallel: int = 8) -> DataFrame:
+                  prompt: str = "prompt", parallel: int = 8, calls_per_task: int = 2_000) -> DataFrame:
     """Replies from a user function, at most ``parallel`` calls at a time: (key, reply, status, latency_s).
 
-    A failing call becomes an error row. Results should be written at once, so a
-    lost executor does not repeat paid calls downstream.
+    A failing call becomes an error row. Calls go out in turns of ``parallel`` tasks with about ``calls_per_task``
+    calls each, and each turn's replies are written before the next: a lost task repeats its own calls only.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = make_judge()
@@ -241,5 +258,12 @@ def classify_with(df: DataFrame, make_judge: Callable[[], Callable[[str], str]],
                 rows.append((name, reply, status, time.monotonic() - begun))
             yield pd.DataFrame(rows, columns=[key, "reply", "status", "latency_s"])
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, prompt).repartition(parallel).mapInPandas(
-        run, f"`{key}` {kind}, reply string, status string, latency_s double")
+    rows = written(df.select(key, prompt))
+    turns = max(1, -(-rows.count() // (parallel * calls_per_task)))
+    path = scratch_path(df.sparkSession, "replies")
+    fields = f"`{key}` {kind}, reply string, status string, latency_s double"
+    task = F.pmod(F.xxhash64(key, prompt), F.lit(turns * parallel))
+    for turn in range(turns):
+        asked = rows.withColumn("_task", task).filter(F.floor(F.col("_task") / parallel) == turn)
+        asked.repartition(parallel, "_task").select(key, prompt).mapInPandas(run, fields).write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(fields).parquet(path)

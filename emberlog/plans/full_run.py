@@ -17,7 +17,7 @@ from emberlog.operators import metrics as m
 from emberlog.operators import rules as r
 from emberlog.operators.fields import FieldRule, extract_fields_by_source
 from emberlog.operators.flood import collapse_floods
-from emberlog.operators.neighbors import knn_score
+from emberlog.operators.neighbors import knn_score, knn_score_approx
 from emberlog.operators.ordering import top_share
 from emberlog.operators.outlier import label_by_quantile, lof_factor
 from emberlog.operators.templates import mine_templates, signature_templates
@@ -25,8 +25,9 @@ from emberlog.operators.vectors import tfidf_vectors
 from emberlog.operators.verdicts import build_prompts, classify_phase
 from emberlog.plans.report import report
 from emberlog.schema import default_columns
-from emberlog.session import cut_lineage, written
+from emberlog.session import cut_lineage, prepare, written
 from emberlog.sources import cap_rows_per_file
+from emberlog.sources.readers import large_file_flag
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,11 @@ class Settings:
     security: list[Pattern] = field(default_factory=lambda: list(c.SECURITY_PATTERNS))
     behavior: list[b.BehaviorRule] = field(default_factory=list)
     score_threshold: float = 0.0
-    max_candidates: int = 10_000
+    max_candidates: int | None = None
+    prepare: bool = False
+    approximate_neighbors: bool = False
+    context_limit: int | None = None
+    large_file_rows: int = 100_000
     dedupe: bool = False
 
 
@@ -72,7 +77,7 @@ def score_lines(rows: DataFrame, s: Settings) -> DataFrame:
     """
     lines = rows.groupBy("source_file", "log").agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("copies"))
     vectors = written(tfidf_vectors(cut_lineage(lines), size=s.vector_size))
-    scored = knn_score(vectors, k=s.knn_neighbors, copies="copies")
+    scored = (knn_score_approx if s.approximate_neighbors else knn_score)(vectors, k=s.knn_neighbors, copies="copies")
     if s.lof:
         scored = lof_factor(scored, k=s.lof_neighbors, name="_factor", copies="copies")
     return written(scored.drop("embedding", "row_id", "copies"))
@@ -85,10 +90,11 @@ def score_rows(rows: DataFrame, s: Settings) -> DataFrame:
     """
     if s.vector:
         known = rows.filter(F.col(s.vector).isNotNull())
-        scored = knn_score(known, k=s.knn_neighbors, vector=s.vector)
+        scored = (knn_score_approx if s.approximate_neighbors else knn_score)(known, k=s.knn_neighbors, vector=s.vector)
         scored = lof_factor(scored, k=s.lof_neighbors, vector=s.vector, name="_factor") if s.lof else scored
     else:
-        scored = rows.join(score_lines(rows, s), ["source_file", "log"])
+        scored = rows.join(score_lines(rows.filter("log IS NOT NULL"), s), ["source_file", "log"], "left").fillna({"anomaly_score": 0.0})
+        scored = scored.fillna({"_factor": -1.0}) if s.lof else scored
     scored = top_share(written(scored), ["source_file"], [F.col("anomaly_score").desc(), F.col("row_id")], s.top_fraction, "is_knn")
     if s.lof:
         scored = label_by_quantile(scored, ["source_file"], s.contamination).withColumn("is_lof", (F.col("lof_label") == -1).cast("int"))
@@ -104,14 +110,20 @@ def score_rows(rows: DataFrame, s: Settings) -> DataFrame:
 
 def analyze(logs: DataFrame, settings: Settings | None = None, allowlist: DataFrame | None = None,
             replies: DataFrame | None = None) -> Outcome:
-    """Run every stage. ``replies`` (source_file, line_no, reply[, status, latency_s]) turns candidates
-    into verdicts; without it the candidates wait for one (prepare phase). Replies may be keyed by
-    ``row_id`` instead if the log table brought that column.
+    """Run every stage. There are three ways to treat the statistical anomalies:
+
+    * without verdicts (the default): all of them are in the final table, with their context and security flag;
+    * ``settings.prepare``: they are candidates that wait for a verdict and are not in the final table;
+    * with ``replies`` (source_file, line_no, reply[, status, latency_s]): candidates become verdicts.
+
+    A cap on candidates (none by default) and the allow-list apply to candidates for verdicts only. Replies may
+    be keyed by ``row_id`` instead if the log table brought that column.
 
     ``logs`` needs source_file, line_no, ts_raw, ts, log. Stage results that several
     later stages read are written once to the shared folder.
     """
     s = settings or Settings()
+    prepare(logs.sparkSession)
     source = m.SOURCE
     rows = logs if "row_id" in logs.columns else logs.withColumn("row_id", F.monotonically_increasing_id())
     rows = written(rows)
@@ -131,11 +143,16 @@ def analyze(logs: DataFrame, settings: Settings | None = None, allowlist: DataFr
     found = cand.select_candidates(rows)
     if s.score_threshold > 0:
         found = cand.score_gate(found, rows, s.score_threshold)
-    found = cand.candidate_cap(found, s.max_candidates)
-    allowed = cand.allowlisted_counts(found, allowlist) if allowlist is not None else None
-    if allowlist is not None:
+    verdicts = s.prepare or replies is not None
+    if verdicts and s.max_candidates is not None:
+        found = cand.candidate_cap(found, s.max_candidates)
+    allowed = None
+    if verdicts and allowlist is not None:
+        found = written(found)
+        allowed = cand.allowlisted_counts(found, allowlist)
         found = cand.drop_allowlisted(found, allowlist)
-    found = cut_lineage(build_prompts(enrich_logs(cand.with_context(found, rows), context="context_logs")))
+    found = enrich_logs(cand.with_context(found, rows), context="context_logs")
+    found = written(build_prompts(found, limit=s.context_limit, nearest=True) if verdicts else found)
 
     shown = rows.withColumn("log", redact("log"))
     hits = b.evaluate_rules(shown, s.behavior)
@@ -146,17 +163,22 @@ def analyze(logs: DataFrame, settings: Settings | None = None, allowlist: DataFr
         shown = default_columns(shown)
 
     parts = [shown.filter("is_rule_based")]
-    if replies is not None:
+    judged = None
+    if not verdicts:
+        parts.append(found.withColumn("is_security_related", r.is_security_related()).withColumn("log", redact("log")))
+    elif replies is not None and not s.prepare:
         judged = classify_phase(found, replies, "row_id" if "row_id" in replies.columns else [source, "line_no"])
+        judged = written(judged)
         parts.append(judged.filter("is_anomaly = 1").withColumn("log", redact("log")))
     parts.append(shown.filter("is_behavioral").withColumn("ts_raw", format_behavior_timestamp("ts")))
     final = union_anomalies(parts, s.dedupe)
-    final = cut_lineage(final)
+    final = written(final)
 
     levels, times, parts_seen = m.level_counts(shown), m.time_metrics(shown), m.component_metrics(shown)
     volume = original.join(rows.groupBy(source).agg(F.count(F.lit(1)).alias("processed_count")), source, "left")
     summary = report(volume, counts, m.incident_counts(rows, leaks, final, allowed), times, levels, parts_seen,
-                     m.leak_examples(leaks), m.tag_counts(final), s.flood_template_share)
+                     m.leak_examples(leaks), m.tag_counts(final), s.flood_template_share,
+                     verdicts=judged, limits=large_file_flag(logs, s.large_file_rows, s.max_lines), max_lines=s.max_lines)
     return Outcome(shown, leaks, found, hits, final, summary)
 
 

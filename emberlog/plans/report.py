@@ -11,10 +11,12 @@ SOURCE = m.SOURCE
 
 
 def report(volume: DataFrame, counts: DataFrame, incidents: DataFrame, times: DataFrame, levels: DataFrame,
-           components: DataFrame, leaks: DataFrame, tags: DataFrame, flood_threshold: float = 0.75) -> DataFrame:
+           components: DataFrame, leaks: DataFrame, tags: DataFrame, flood_threshold: float = 0.75,
+           verdicts: DataFrame | None = None, limits: DataFrame | None = None, max_lines: int | None = None) -> DataFrame:
     """Join the per-file aggregates into one nested row per file.
 
-    Every input has one row per file (``counts`` and ``tags`` a few), so the
+    ``verdicts``: the judged candidates, with ``status`` and ``latency_s`` if known; ``limits``: ``large_file_flag``.
+    Every other input has one row per file (``counts`` and ``tags`` a few), so the
     joins are small whatever the size of the logs.
     """
     floods = m.flood_templates(counts, flood_threshold).groupBy(SOURCE).agg(F.count(F.lit(1)).alias("flooded"))
@@ -23,12 +25,19 @@ def report(volume: DataFrame, counts: DataFrame, incidents: DataFrame, times: Da
         lambda r: F.struct(r["template"].alias("template"), (-r["c"]).alias("count"), r["ratio"].alias("ratio"))).alias("patterns"))
     tagged = tags.groupBy(SOURCE).agg(F.map_from_entries(F.collect_list(F.struct("tag", "count"))).alias("tag_summary"))
     joined = volume
+    if verdicts is not None:
+        joined = joined.join(m.verdict_stats(m.with_call_columns(verdicts), [SOURCE]), SOURCE, "left")
+    if limits is not None:
+        joined = joined.join(limits.select(SOURCE, "is_large"), SOURCE, "left")
     for part in (m.template_diversity(counts), floods, patterns, incidents.drop("leak_count"), times, levels, components, leaks, tagged):
         joined = joined.join(part, SOURCE, "left")
 
     def n(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0))
     flood = n("flooded") > 0
+    calls = {name: n(name) if verdicts is not None else F.lit(0) for name in ("total_calls", "errors", "average_time")}
+    ai = F.struct(F.lit(verdicts is not None).alias("enabled"), calls["total_calls"].cast("long").alias("total_calls"),
+                  calls["average_time"].cast("double").alias("average_response_time"), calls["errors"].cast("long").alias("classification_errors"))
     error_rate = F.coalesce(F.col("error_rate"), F.lit(0.0))
     return joined.select(
         SOURCE,
@@ -55,5 +64,7 @@ def report(volume: DataFrame, counts: DataFrame, incidents: DataFrame, times: Da
             n("unique_components").alias("unique_components"), "top_components",
         ).alias("operational_metrics"),
         F.struct("unique_templates", "template_entropy", "top_template_ratio", F.col("patterns").alias("top_log_patterns"),
-                 "tag_summary").alias("technical_analysis"),
+                 "tag_summary", ai.alias("ai_analysis")).alias("technical_analysis"),
+        F.struct(F.lit(max_lines).cast("long").alias("max_logs_analyzed"), F.lit(max_lines is not None).alias("compliance_mode"),
+                 (F.coalesce("is_large", F.lit(False)) if limits is not None else F.lit(False)).alias("large_file")).alias("processing_limits"),
     )

@@ -17,8 +17,12 @@ CANDIDATE_SCHEMA = T.StructType([
     T.StructField("context_logs", CONTEXT_TYPE),
     T.StructField("anomaly_score", T.DoubleType()),
     T.StructField("source_file", T.StringType()),
+    T.StructField("row_id", T.LongType()),
+    T.StructField("line_no", T.LongType()),
+    T.StructField("has_secret", T.BooleanType()),
 ])
 
+
 def default_columns(df: DataFrame) -> DataFrame:
     """Add the verdict columns that are not there yet, with their neutral value."""
     neutral = {

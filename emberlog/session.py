@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +52,35 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def prepare(spark: SparkSession) -> None:
+    """What the operators count on: times without a zone are UTC, and plans adapt to the sizes met
+    (joins of hot keys with one row per key are split)."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[None]:
+    """Owns the intermediate tables of a run: what is written to the shared folder inside the block is deleted at its end.
+
+    Results that are read lazily from such tables must have been written elsewhere by then.
+    """
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def names() -> dict:
+        return {s.getPath().getName(): s.getPath() for s in files.listStatus(folder)} if files.exists(folder) else {}
+    before = set(names())
+    try:
+        yield
+    finally:
+        for name, path in names().items():
+            if name not in before:
+                files.delete(path, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

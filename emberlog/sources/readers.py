@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from emberlog import catalogs as c
 from emberlog.functions.text import strip
 from emberlog.schema import CANDIDATE_SCHEMA
+from emberlog.session import prepare
 
 LOG_COLUMNS = ["source_file", "line_no", "ts_raw", "ts", "log"]
 
@@ -41,6 +42,7 @@ def _number_lines(rows: DataFrame) -> DataFrame:
 
 
 def _reader(spark: SparkSession, glob: str | None):
+    prepare(spark)
     reader = spark.read.option("ignoreCorruptFiles", True).option("recursiveFileLookup", False)
     return reader.option("pathGlobFilter", glob) if glob else reader
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from emberlog import sources as src
@@ -162,13 +164,13 @@ RUN = Settings(fields=FIELDS, rules=RULES, security=SECURITY, behavior=ALL_RULES
 
 @query("whole_run_prepare")
 def _(spark, sf):
-    out = analyze(numbered(spark, sf), RUN)
+    out = analyze(numbered(spark, sf), replace(RUN, prepare=True))
     return out.candidates.select("row_id", "source_file", F.round("anomaly_score", 6).alias("anomaly_score"), F.size("context_logs").alias("n_context"))
 
 
 @query("v3_prepare_phase")
 def _(spark, sf):
-    out = analyze(numbered(spark, sf), RUN)
+    out = analyze(numbered(spark, sf), replace(RUN, prepare=True))
     return out.anomalies.groupBy("source_file", "anomaly_source").agg(F.count(F.lit(1)).alias("rows"))
 
 

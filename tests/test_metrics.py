@@ -28,7 +28,7 @@ def test_volume_and_floods(spark):
 @pytest.fixture
 def logs(spark):
     start = dt.datetime(2024, 1, 1, 12, 0, 30)
-    names = ["Database", "UserService", "Database", "SystemMonitor", "System", "Database", "UserService", "MemoryManager"]
+    names = ["Ledger", "Depot", "Ledger", "Belt", "Plan", "Ledger", "Depot", "Spooler"]
     return spark.createDataFrame([("f", i, start + dt.timedelta(minutes=i), f"[{n}] {x}") for i, (n, x) in enumerate(zip(names, LOGS))],
                                  "source_file string, row_id int, ts timestamp, log string")
 
@@ -49,10 +49,10 @@ def test_time_metrics_unavailable(spark, logs):
 
 def test_components(logs):
     counts = {r.component: r["count"] for r in m.component_counts(logs).collect()}
-    assert counts["Database"] == 3 and counts["ERROR"] == 4 and counts["failed"] == 4
+    assert counts["Ledger"] == 3 and counts["ERROR"] == 4 and counts["INFO"] == 3
     got = m.component_metrics(logs).first()
     assert got.unique_components == len(counts) and len(got.top_components) == 5
-    assert [tuple(x) for x in got.top_components][:2] == [("ERROR", 4), ("failed", 4)]
+    assert [tuple(x) for x in got.top_components][:2] == [("ERROR", 4), ("INFO", 3)]
 
 
 def test_long_names_are_no_components(spark):

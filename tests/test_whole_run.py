@@ -1,4 +1,5 @@
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,8 +25,22 @@ SETTINGS = Settings(flood_window=20, flood_threshold=0.75, vector_size=16,
                     behavior=[BehaviorRule("Key Burst", "count", "source_file", 10, 3, pattern="issued")])
 
 
+def test_statistical_anomalies_are_final_without_verdicts(spark, logs):
+    allow = logs.select("source_file", "log")
+    out = analyze(logs, SETTINGS, allow)
+    rows = out.anomalies.collect()
+    statistical = [r for r in rows if not r.is_rule_based and not r.is_behavioral]
+    want = out.logs.filter("(is_knn = 1 OR is_lof = 1 OR is_flood AND is_anomaly = 1) AND NOT is_rule_based").select("source_file", "line_no").collect()
+    assert sorted((r.source_file, r.line_no) for r in statistical) == sorted(map(tuple, want)) and len(statistical) >= 3
+    assert all(r.context_logs is not None and r.is_security_related is not None for r in statistical if not r.is_flood)
+    assert all("API_KEY=k" not in r.log for r in rows)
+    s = out.summary.filter("source_file = 'a.log'").first()
+    assert not s.technical_analysis.ai_analysis.enabled and s.processing_limits.max_logs_analyzed is None and not s.processing_limits.large_file
+
+
 def test_prepare_phase(logs):
-    out = analyze(logs, SETTINGS)
+    out = analyze(logs, replace(SETTINGS, prepare=True, large_file_rows=50))
+    assert out.summary.filter("processing_limits.large_file").count() == 1
     assert out.logs.filter("is_flood").count() == 2
     sources = {(r.anomaly_source) for r in out.anomalies.select("anomaly_source").distinct().collect()}
     assert sources == {"Rule-Based", "Behavioral"}
@@ -40,7 +55,7 @@ def test_prepare_phase(logs):
 
 
 def test_full_phase_joins_verdicts_and_allowlist(spark, logs):
-    first = analyze(logs, SETTINGS)
+    first = analyze(logs, replace(SETTINGS, prepare=True))
     replies = first.candidates.select("source_file", "line_no", F.lit("CLASSIFICATION: anomaly\nREASON: odd\nTAGS: api, nonsense").alias("reply"))
     allow = first.candidates.limit(1).select("source_file", "log")
     second = analyze(logs.repartition(3), SETTINGS, allow, replies)
@@ -49,10 +64,11 @@ def test_full_phase_joins_verdicts_and_allowlist(spark, logs):
     assert len(judged) == second.candidates.count() and all(r.tag == ["API"] and r.classification == "Anomaly" for r in judged)
     summary = second.summary.agg(F.sum("security_assessment.ai_verified_threats"), F.sum("security_assessment.false_positives_filtered")).first()
     assert summary[0] == len(judged) and summary[1] >= 1
+    calls = second.summary.select("technical_analysis.ai_analysis.*").collect()
+    assert all(r.enabled for r in calls) and sum(r.total_calls for r in calls) == second.candidates.count()
 
 
 def test_given_vectors_caps_and_dedupe(logs):
-    from dataclasses import replace
     rows = logs.withColumn("vec", F.array((F.col("line_no") % 7 + 1).cast("double"), F.when(F.col("line_no") == 9, 50.0).otherwise(1.0)))
     settings = replace(SETTINGS, vector="vec", max_lines=70, dedupe=True, cluster_templates=False, score_threshold=1e-6, top_fraction=0.01)
     out = analyze(rows, settings)
