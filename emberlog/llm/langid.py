@@ -183,16 +183,18 @@ def identify(docs: DataFrame, filters: Filters, text_column: str = "text", id_co
 
 
 def with_language(docs: DataFrame, filters: Filters, text_column: str = "text") -> DataFrame:
-    """``docs`` in all their columns, with ``lang_pred`` and ``score`` (for stages that filter rows)."""
+    """``docs`` in all their columns, with ``_lang_pred`` and ``_score`` (for stages that filter rows)."""
+    prepare(docs.sparkSession)
+    rows = spread(docs)
     model = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.slots, filters.accidents))
+    at = rows.columns.index(text_column)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def look(texts):
-        import pandas as pd
+    def look(batches):
         known = Filters(*model.value)
-        return pd.DataFrame([judge(None if t is None or t != t else t, known) for t in texts], columns=["lang_pred", "score"])
+        for batch in batches:
+            found = [judge(t, known) for t in batch.column(at).to_pylist()]
+            said = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *said], names=[*batch.schema.names, "_lang_pred", "_score"])
 
-    # spread() keeps the look-up on all cores when the table is one small file.
-    rows = spread(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_column).alias("_text")))
-    found = rows.withColumn("_found", look(F.col("_text").cast("string")))
-    return found.select(*(f"_row.`{c}`" for c in docs.columns), F.col("_found.lang_pred").alias("_lang_pred"), F.col("_found.score").alias("_score"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
+    return rows.mapInArrow(look, ", ".join([*fields, "_lang_pred string", "_score double"]))
