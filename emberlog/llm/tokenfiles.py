@@ -30,7 +30,7 @@ from emberlog.llm.inputs import prepare, width
 OUT_BYTES = 4_000_000
 ASKED = 2_000
 TEXTS_AT_ONCE = 200
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 # Punctuation behind a letter or digit is a word of its own (the apostrophe may not be).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
 # Fixed value: how byte-level vocabularies write a space.
