@@ -9,6 +9,7 @@ import re
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import SparkSession
 
 
@@ -50,6 +51,22 @@ SAMPLE_RULE_PATTERNS = [
     Pattern("Disk Full", r"no space left on device", "Disk capacity exceeded"),
 ]
 
+# Behaviour rules of the sample configuration.
+SAMPLE_BEHAVIOR_RULES = [
+    {"name": "Repeated Failed Logins", "type": "count", "group_by": "user", "window_minutes": 5, "threshold": 1,
+     "pattern": "Failed login attempt.*password|Failed login attempt.*user not found", "reason": "Repeated failed login attempts."},
+    {"name": "Cross-Organization API Usage", "type": "distinct_count", "group_by": "user", "field": "organization_id", "window_minutes": 60, "threshold": 2,
+     "pattern": "GET /api/search|POST /api/search", "reason": "Same user accessed multiple organization IDs within an hour."},
+    {"name": "Excessive Exports", "type": "count", "group_by": "user", "window_minutes": 60, "threshold": 5,
+     "pattern": "export", "reason": "Multiple export actions detected by the same user within an hour."},
+    {"name": "Password Reset Flood", "type": "count", "group_by": "user", "window_minutes": 1440, "threshold": 2,
+     "pattern": "password reset|forgot password", "reason": "Multiple password reset requests within a day."},
+    {"name": "HTTP 4xx/5xx Spike", "type": "ratio", "group_by": "application", "window_minutes": 10, "threshold_ratio": 0.4,
+     "pattern": r'HTTP/1(?:\.\d)?"\s*(?:4\d\d|5\d\d)', "reason": "Spike in failed HTTP responses for this application."},
+    {"name": "API Rate Limit Exceeded", "type": "count", "group_by": "ip", "window_minutes": 10, "threshold": 1,
+     "pattern": "Rate limit exceeded for IP|Rate limit exceeded for user", "reason": "User or IP hit API rate limit."},
+]
+
 # Words that make a verdict security related.
 SECURITY_KEYWORDS = [
     "security", "breach", "unauthorized", "authentication", "auth", "login", "password",
@@ -213,7 +230,7 @@ def spark_pattern(pattern: str) -> str | None:
         return out
     try:
         session.sparkContext._jvm.java.util.regex.Pattern.compile(out)
-    except Py4JError:
+    except (Py4JError, IllegalArgumentException):
         return None
     return out
 

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.catalogs import spark_pattern
+from emberlog.catalogs import SAMPLE_BEHAVIOR_RULES, spark_pattern
 from emberlog.operators.ordering import HOT_ROWS, hot_limit, running_totals
 from emberlog.schema import default_columns
 
@@ -41,6 +41,11 @@ class BehaviorRule:
         return self.reason or f"{self.name} triggered by {kind} >= {limit}"
 
 
+def sample_rules() -> list[BehaviorRule]:
+    """The behaviour rules of the sample configuration."""
+    return [BehaviorRule(**rule) for rule in SAMPLE_BEHAVIOR_RULES]
+
+
 def _runnable(rule: BehaviorRule, columns: list[str]) -> bool:
     if rule.type == "ratio":
         return rule.threshold_ratio is not None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["text_queries", "metric_queries", "window_queries", "neighbor_queries", "flood_queries", "verdict_queries", "source_queries"]
+MODULES = ["text_queries", "metric_queries", "window_queries", "neighbor_queries", "flood_queries", "verdict_queries", "source_queries", "sample_queries"]
 
 
 def _merged(attribute: str) -> dict:
