@@ -89,6 +89,12 @@ class Vocabulary:
         self.head = Remembered(self._segment, REMEMBERED // 8)
         self.behind_space = Remembered(lambda s: self._segment(" " + s))
 
+    def forget(self) -> None:
+        """Drop what was remembered; a worker that goes on to other tasks needs its memory."""
+        for book in (self.word, self.head, self.behind_space):
+            book.clear()
+            book.old = {}
+
     def merge(self, data: bytes) -> list[int]:
         """Token ids of one word."""
         symbol = [self.start[b] for b in data]
@@ -144,22 +150,28 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def bpe_encode(docs: DataFrame, vocabulary_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row of ``docs``: the identifier, ``n_tokens``, ``ids`` (binary, little-endian unsigned 32-bit).
+def bpe_encode(docs: DataFrame, vocabulary_path: str, id_column: str = "doc_id", text_column: str = "text", decoded: str | None = None) -> DataFrame:
+    """Per row of ``docs``: the identifier, ``n_tokens``, ``ids`` (binary, little-endian unsigned 32-bit), and, if ``decoded``
+    names a column, the text that decoding the ids gives, from the same pass.
 
     A null text is empty and has no tokens. Repeated rows and null identifiers give rows like any
     other; an empty table gives none. The vocabulary file must be at ``vocabulary_path`` on every worker.
     """
-    arrow = pa.schema([("id", _arrow(docs, id_column)), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    arrow = pa.schema([("id", _arrow(docs, id_column)), ("n_tokens", pa.int64()), ("ids", pa.binary())] + [("decoded", pa.string())] * bool(decoded))
 
     def encode(batches):
         book = vocabulary(vocabulary_path)
-        for batch in batches:
-            ids = [book.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=arrow)
-
-    encoded = texts(docs, id_column, text_column).mapInArrow(encode, f"id {id_type(docs, id_column)}, n_tokens long, ids binary")
-    return encoded.withColumnRenamed("id", id_column)
+        try:
+            for batch in batches:
+                ids = [book.encode(t) for t in batch.column(1).to_pylist()]
+                back = [pa.array([book.decode(x) for x in ids], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), *back], schema=arrow)
+        finally:
+            book.forget()
+
+    fields = f"id {id_type(docs, id_column)}, n_tokens long, ids binary" + ", decoded string" * bool(decoded)
+    encoded = texts(docs, id_column, text_column).mapInArrow(encode, fields).withColumnRenamed("id", id_column)
+    return encoded.withColumnRenamed("decoded", decoded) if decoded else encoded
 
 
 def bpe_decode(encoded: DataFrame, vocabulary_path: str, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:

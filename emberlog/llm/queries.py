@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from emberlog.llm.bpe import bpe_decode, bpe_encode
+from emberlog.llm.bpe import bpe_encode
 from emberlog.llm.exact import exact_duplicates
 from emberlog.llm.inputs import documents
 from emberlog.llm.langid import identify, train
@@ -22,7 +22,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_bpe_round_trip(spark, folder):
-    decoded = bpe_decode(bpe_encode(documents(spark, folder), VOCABULARY), VOCABULARY)
+    decoded = bpe_encode(documents(spark, folder), VOCABULARY, decoded="decoded")
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -80,6 +80,13 @@ def op10_mixture(spark, folder):
 QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_dedup, op3_simhash_near_dedup, op4_language_id, op5_document_fingerprints, op6_license_scan, op7_suffix_dedup, op8_token_files, op9_substring_dedup, op10_mixture)}
 
 ORACLES = {
+    "op9_substring_dedup": r"""WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS words FROM documents),
+ places AS (SELECT rid, unnest(range(1, greatest(len(words) - 33, 1))) AS i FROM d),
+ windows AS (SELECT rid, i, array_to_string(words[i:i + 34], ' ') AS gram FROM places JOIN d USING (rid)),
+ again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY gram) AS n FROM windows) WHERE n > 1),
+ gone AS (SELECT rid, list(DISTINCT j) AS js FROM (SELECT rid, unnest(range(i, i + 35)) AS j FROM again) GROUP BY rid),
+ kept AS (SELECT doc_id, len(words) AS n, CASE WHEN js IS NULL THEN words ELSE [words[j] FOR j IN range(1, len(words) + 1) IF NOT list_contains(js, j)] END AS k FROM d LEFT JOIN gone USING (rid))
+ SELECT doc_id, n AS n_words, n - len(k) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept""",
     "op2_exact_dedup": """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
  doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
  FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
