@@ -64,7 +64,7 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position, gram hash, first window, last window) of every anchor of a run.
+    """(position, number of the gram, first window, last window) of every anchor of a run.
 
     ``data``: the documents' bytes one after the other, ``ends``: where each ends. Windows do not cross ends.
     """
@@ -78,7 +78,8 @@ def anchors(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray,
         chosen = (_least(keys, grams) & low).astype(np.int64)
         change = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
         first, last = change, np.r_[change[1:], len(chosen)] - 1
-        found.append((chosen[change] + at, hashes[chosen[change]], first + at, last + at))
+        # The least hashes of windows are small numbers; mixed again, they spread over all buckets.
+        found.append((chosen[change] + at, mixed(hashes[chosen[change]] ^ np.uint64(BASE)), first + at, last + at))
     if not found:
         none = np.zeros(0, np.int64)
         return none, np.zeros(0, np.uint64), none, none
