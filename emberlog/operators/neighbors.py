@@ -21,6 +21,7 @@ from emberlog.session import cut_lineage
 
 BLOCK = 4096
 MAX_PIVOTS = 256
+APPROX_PIVOTS = 4096
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -53,11 +54,11 @@ def distinct_vectors(df: DataFrame, by: list[str], vector: str, row_id: str, cop
         F.min(row_id).alias("vid"), _weight(copies).alias("copies"))
 
 
-def _assign(points: DataFrame, by: list[str], pivots_per_group: Column, probe: int) -> tuple[DataFrame, DataFrame]:
+def _assign(points: DataFrame, by: list[str], pivots_per_group: Column, probe: int, most: int) -> tuple[DataFrame, DataFrame]:
     """Add the nearest pivot (cell), the distance to it, and the ``probe`` nearest pivots."""
     sizes = points.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumns({"_pivots": pivots_per_group, "_lanes": F.ceil(F.col("_n") / BLOCK)})
-    sampled = top_rows(points.select(*by, "vid", "vec"), by, [F.xxhash64("vid"), F.col("vid")], MAX_PIVOTS)
+    sampled = top_rows(points.select(*by, "vid", "vec"), by, [F.xxhash64("vid"), F.col("vid")], most)
     order = F.xxhash64("vid")
     pivots = (
         sampled.join(sizes, by)
@@ -87,7 +88,7 @@ def _assign(points: DataFrame, by: list[str], pivots_per_group: Column, probe: i
 
 
 def _cell_pairs(cells: DataFrame, by: list[str], k: int, approximate: bool) -> DataFrame:
-    """Which cells to compare. A group here is one group's pivots, at most MAX_PIVOTS rows.
+    """Which cells to compare. A group here is one group's pivots, at most MAX_PIVOTS (APPROX_PIVOTS) rows.
 
     Exact: all cells that can hold a neighbour. Approximate: the nearest cells that
     together hold ``k`` vectors, so that no row is left short of neighbours.
@@ -187,9 +188,13 @@ def nearest_vectors(points: DataFrame, by: list[str], k: int, probe: int | None
                     pivots: int | None = None) -> DataFrame:
     """(by, vid, neighbor, distance, copies): the ``k`` nearest different vectors,
     the vector itself included, by Euclidean distance. Equal distances go to the
-    smaller id. With ``probe`` every vector looks only into that many nearest cells (approximate)."""
+    smaller id. With ``probe`` every vector looks only into that many nearest cells (approximate); there
+    are as many cells as the root of a group's vectors then, so a vector is compared with about
+    ``(probe + 1)`` times that root and the work grows as n ** 1.5, not as its square."""
     wanted = F.lit(pivots) if pivots else F.greatest(F.lit(1), F.least(F.lit(MAX_PIVOTS), F.floor(F.col("_n") / (BLOCK / 2)))).cast("int")
-    if not pivots:
+    if probe is not None and not pivots:
+        wanted = F.greatest(F.lit(1), F.least(F.lit(APPROX_PIVOTS), F.ceil(F.sqrt("_n")))).cast("int")
+    elif not pivots:
         wanted = F.when(F.col("_n") <= BLOCK, F.lit(1)).otherwise(wanted)
     approximate = probe is not None
     if not approximate and not pivots:
@@ -198,7 +203,7 @@ def nearest_vectors(points: DataFrame, by: list[str], k: int, probe: int | None
             best = _best_of_blocks(by, k)
             return points.groupBy(*by).applyInPandas(
                 lambda pdf: best(pdf, pdf.rename(columns={"vid": "neighbor"})), _near_fields(points, by))
-    assigned, chosen = _assign(points, by, wanted, probe or 1)
+    assigned, chosen = _assign(points, by, wanted, probe or 1, max(MAX_PIVOTS, pivots or 0) if not approximate else APPROX_PIVOTS)
     close = top_rows(assigned.select(*by, "cell", "vid", "to_pivot"), [*by, "cell"], ["to_pivot", "vid"], k)
     cells = cut_lineage(
         assigned.groupBy(*by, "cell").agg(F.max("to_pivot").alias("radius"), F.count(F.lit(1)).alias("size"))
@@ -278,6 +283,6 @@ def knn_score(df: DataFrame, by: list[str] | None = None, k: int = 5, vector: st
 
 
 def knn_score_approx(df: DataFrame, by: list[str] | None = None, k: int = 5, vector: str = "embedding",
-                     row_id: str = "row_id", probe: int = 8, pivots: int = 32, copies: str | None = None) -> DataFrame:
-    """``knn_score`` comparing only the ``probe`` nearest of ``pivots`` cells."""
+                     row_id: str = "row_id", probe: int = 8, pivots: int | None = None, copies: str | None = None) -> DataFrame:
+    """``knn_score`` comparing only the ``probe`` nearest of ``pivots`` cells (by default the root of a group's size)."""
     return knn_score(df, by, k, vector, row_id, probe, pivots, copies)

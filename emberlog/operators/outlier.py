@@ -12,18 +12,19 @@ from emberlog.session import cut_lineage
 
 
 def lof_factor(df: DataFrame, by: list[str] | None = None, k: int = 20, vector: str = "embedding",
-               row_id: str = "row_id", name: str = "lof_score", copies: str | None = None) -> DataFrame:
+               row_id: str = "row_id", name: str = "lof_score", copies: str | None = None, probe: int | None = None) -> DataFrame:
     """Add the negated factor: about -1 for ordinary rows, lower for outliers.
 
     Works on different vectors with their number of copies: joins and group-bys only.
-    ``copies`` names a column saying how many equal rows a row stands for.
+    ``copies`` names a column saying how many equal rows a row stands for; with ``probe`` neighbours are
+    looked for in that many cells only (see ``nearest_vectors``).
     """
     by = ["source_file"] if by is None else by
     points = cut_lineage(distinct_vectors(df, by, vector, row_id, copies))
     sizes = group_sizes(df, by, copies)
     limit = F.least(F.lit(k).cast("long"), F.col("_rows") - 1)
     near = cut_lineage(_taken(
-        nearest_vectors(points, by, k + 1).join(sizes, by), by, limit, F.col("copies") - 1)
+        nearest_vectors(points, by, k + 1, probe).join(sizes, by), by, limit, F.col("copies") - 1)
         .select(*by, "vid", "neighbor", "distance", "taken"))
     reach = near.groupBy(*by, "vid").agg(F.max("distance").alias("k_distance"))
     density = (

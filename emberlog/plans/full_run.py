@@ -30,6 +30,10 @@ from emberlog.sources import cap_rows_per_file
 from emberlog.sources.readers import large_file_flag
 
 
+# Cells that an approximate neighbour search looks into.
+PROBE = 8
+
+
 @dataclass(frozen=True)
 class Settings:
     """Defaults of a run. Fractions are fractions: 0.05 means five percent."""
@@ -79,7 +83,7 @@ def score_lines(rows: DataFrame, s: Settings) -> DataFrame:
     vectors = written(tfidf_vectors(cut_lineage(lines), size=s.vector_size))
     scored = (knn_score_approx if s.approximate_neighbors else knn_score)(vectors, k=s.knn_neighbors, copies="copies")
     if s.lof:
-        scored = lof_factor(scored, k=s.lof_neighbors, name="_factor", copies="copies")
+        scored = lof_factor(scored, k=s.lof_neighbors, name="_factor", copies="copies", probe=PROBE if s.approximate_neighbors else None)
     return written(scored.drop("embedding", "row_id", "copies"))
 
 
@@ -91,7 +95,8 @@ def score_rows(rows: DataFrame, s: Settings) -> DataFrame:
     if s.vector:
         known = rows.filter(F.col(s.vector).isNotNull())
         scored = (knn_score_approx if s.approximate_neighbors else knn_score)(known, k=s.knn_neighbors, vector=s.vector)
-        scored = lof_factor(scored, k=s.lof_neighbors, vector=s.vector, name="_factor") if s.lof else scored
+        probe = PROBE if s.approximate_neighbors else None
+        scored = lof_factor(scored, k=s.lof_neighbors, vector=s.vector, name="_factor", probe=probe) if s.lof else scored
     else:
         scored = rows.join(score_lines(rows.filter("log IS NOT NULL"), s), ["source_file", "log"], "left").fillna({"anomaly_score": 0.0})
         scored = scored.fillna({"_factor": -1.0}) if s.lof else scored
