@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from emberlog.llm.exact import _arrow
-from emberlog.llm.inputs import id_type, prepare, texts
+from emberlog.llm.inputs import id_type, prepare, texts, tidied
 
 # Fixed value: how byte-level vocabularies cut a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -170,7 +170,7 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, id_column: str = "doc_id",
             book.forget()
 
     fields = f"id {id_type(docs, id_column)}, n_tokens long, ids binary" + ", decoded string" * bool(decoded)
-    encoded = texts(docs, id_column, text_column).mapInArrow(encode, fields).withColumnRenamed("id", id_column)
+    encoded = texts(docs, id_column, text_column).mapInArrow(tidied(encode), fields).withColumnRenamed("id", id_column)
     return encoded.withColumnRenamed("decoded", decoded) if decoded else encoded
 
 
@@ -188,4 +188,4 @@ def bpe_decode(encoded: DataFrame, vocabulary_path: str, ids_column: str = "ids"
 
     kept = encoded.select(*columns)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"`{text_column}` string"])
-    return kept.mapInArrow(decode, schema)
+    return kept.mapInArrow(tidied(decode), schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.inputs import id_type, join_hot, prepare, spread, width
+from emberlog.llm.inputs import id_type, join_hot, prepare, spread, tidied, width
 from emberlog.session import written
 
 RUN_ROWS = 100_000
@@ -78,7 +78,6 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
     def entries(place, run, rows):
         digest, length, ids, tags, n = zip(*rows) if rows else ((), (), (), (), ())
-        place = place if isinstance(place, list) else [place] * len(rows)
         return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip((place, [run] * len(rows), digest, length, ids, tags, n), arrow)], schema=arrow)
 
     def first_runs(batches):
@@ -88,7 +87,7 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
             rows = sorted((*k, *best, n) for k, (best, n) in found.items())
             number = min(r[3] for r in rows)
             found.clear()
-            return entries(crc32(str(number).encode()) % fan_in ** digits, number, rows)
+            return sent(crc32(str(number).encode()) % fan_in ** digits, 0, number, rows)
 
         for batch in batches:
             for ident, tag, sha, length in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -100,27 +99,23 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
         if found:
             yield run()
 
-    def exchange(digit):
-        def to(place, digest):
-            return place & ~((fan_in - 1) << (digit * bits)) | _place(digest, digits, bits) & ((fan_in - 1) << (digit * bits))
-
-        def send(batches):
-            for batch in batches:
-                place = [to(p, d) for p, d in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
-                yield batch.set_column(0, arrow[0], pa.array(place, pa.int32()))
+    def sent(place, digit, run, rows):
+        """A sorted run at ``place``, addressed to the partners of round ``digit``."""
+        mask = (fan_in - 1) << (digit * bits) if digit < digits else 0
+        return entries([place & ~mask | _place(r[0], digits, bits) & mask for r in rows], run, rows)
 
+    def merge_and_send(digit):
         def merge(table):
             place = table.column("place")[0].as_py()
             rows = sorted(zip(*(table.column(c).to_pylist() for c in ("run", "digest", "length", "id", "tag", "n"))), key=lambda r: r[:3])
             runs = [[r[1:] for r in run] for _, run in groupby(rows, key=lambda r: r[0])]
-            return pa.Table.from_batches([entries(place, place, _merged(runs, largest))], schema=arrow)
+            return pa.Table.from_batches([sent(place, digit + 1, place, _merged(runs, largest))], schema=arrow)
 
-        return send, merge
+        return merge
 
-    level = keys.mapInArrow(first_runs, schema)
+    level = keys.mapInArrow(tidied(first_runs), schema)
     for digit in range(digits):
-        send, merge = exchange(digit)
-        level = level.mapInArrow(send, schema).groupBy("place").applyInArrow(merge, schema)
+        level = level.groupBy("place").applyInArrow(merge_and_send(digit), schema)
     best = level.select(F.concat_ws("-", F.lower(F.hex("digest")), "length").alias("key"), F.col("id").alias("keep_id"), F.col("tag").alias("keep_tag"), F.col("n").alias("group_size"))
     found = join_hot(keys.withColumn("key", F.concat_ws("-", "sha", "length")), best, "key", F.col("tag"))
     return found.select(F.col("id").alias(id_column), "keep_id", "group_size", (F.col("tag") == F.col("keep_tag")).alias("kept"), F.col("sha").alias("text_sha256"))

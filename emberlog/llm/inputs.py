@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,18 @@ def id_type(docs: DataFrame, id_column: str) -> str:
     return docs.schema[id_column].dataType.simpleString()
 
 
+def tidied(work):
+    """``work`` (batches in, batches out), giving memory back when a task ends: a worker process lives on
+    between tasks, and what it still holds is missing on its executor."""
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+    return run
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

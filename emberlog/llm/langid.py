@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.exact import _arrow
-from emberlog.llm.inputs import id_type, prepare, spread
+from emberlog.llm.inputs import id_type, prepare, spread, tidied
 from emberlog.llm.runs import mixed
 from emberlog.session import written
 
@@ -143,7 +143,7 @@ def train(docs: DataFrame, text_column: str = "text", language_column: str = "la
                     size = 0
         yield from sums()
 
-    counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidied(count), "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     counts = written(counts)
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals, key=lambda lang: (-totals[lang], lang))
@@ -179,7 +179,7 @@ def identify(docs: DataFrame, filters: Filters, text_column: str = "text", id_co
             found = [judge(t, known) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], schema=arrow)
 
-    return rows.mapInArrow(look, f"id {id_type(docs, id_column)}, keep boolean, lang_pred string, score double").withColumnRenamed("id", id_column)
+    return rows.mapInArrow(tidied(look), f"id {id_type(docs, id_column)}, keep boolean, lang_pred string, score double").withColumnRenamed("id", id_column)
 
 
 def with_language(docs: DataFrame, filters: Filters, text_column: str = "text") -> DataFrame:
@@ -197,4 +197,4 @@ def with_language(docs: DataFrame, filters: Filters, text_column: str = "text")
             yield pa.RecordBatch.from_arrays([*batch.columns, *said], names=[*batch.schema.names, "_lang_pred", "_score"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
-    return rows.mapInArrow(look, ", ".join([*fields, "_lang_pred string", "_score double"]))
+    return rows.mapInArrow(tidied(look), ", ".join([*fields, "_lang_pred string", "_score double"]))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from emberlog.llm.exact import _arrow
-from emberlog.llm.inputs import id_type, texts
+from emberlog.llm.inputs import id_type, texts, tidied
 
 # The phrases every scan counts, and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -161,5 +161,5 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:])], schema=arrow)
 
     kind = id_type(docs, id_column)
-    return texts(docs, id_column, text_column).mapInArrow(scan, f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, "
+    return texts(docs, id_column, text_column).mapInArrow(tidied(scan), f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, "
                                                           "labels string, expression_rank long, score double").withColumnRenamed("id", id_column)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.components import components
 from emberlog.llm.exact import _arrow
-from emberlog.llm.inputs import id_type, join_hot, texts
+from emberlog.llm.inputs import id_type, join_hot, texts, tidied
 from emberlog.session import written
 
 SEED = 42
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], schema=arrow)
 
-    return texts(docs, id_column, text_column).mapInArrow(make, f"id {id_type(docs, id_column)}, fp long")
+    return texts(docs, id_column, text_column).mapInArrow(tidied(make), f"id {id_type(docs, id_column)}, fp long")
 
 
 def _take(fps: np.ndarray, positions) -> np.ndarray:
@@ -161,8 +161,8 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         if len(key):
             yield from linked(*_sorted(key, fps))
 
-    lists = nodes.select("fp").mapInArrow(postings, "key long, fp long").repartition("key").sortWithinPartitions("key")
-    return lists.mapInArrow(search, "u long, v long").distinct()
+    lists = nodes.select("fp").mapInArrow(tidied(postings), "key long, fp long").repartition("key").sortWithinPartitions("key")
+    return lists.mapInArrow(tidied(search), "u long, v long").distinct()
 
 
 def _sorted(key, fps):

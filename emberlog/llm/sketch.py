@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.exact import _arrow
-from emberlog.llm.inputs import id_type, prepare, spread, width
+from emberlog.llm.inputs import id_type, prepare, spread, tidied, width
 from emberlog.llm.runs import mixed
 
 SHINGLE = 8
@@ -108,7 +108,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     prepare(docs.sparkSession)
     rows = spread(docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")))
-    return rows.mapInArrow(make, f"id {id_type(docs, id_column)}, fingerprint string").withColumnRenamed("id", id_column)
+    return rows.mapInArrow(tidied(make), f"id {id_type(docs, id_column)}, fingerprint string").withColumnRenamed("id", id_column)
 
 
 def in_ranges(rows: DataFrame) -> DataFrame:
@@ -182,5 +182,5 @@ def neighbour_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_colu
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
-    made = in_ranges(rows).mapInArrow(compare, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, kept_in_edited double")
+    made = in_ranges(rows).mapInArrow(tidied(compare), "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, kept_in_edited double")
     return made.withColumnRenamed("id", id_column)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.exact import _arrow
-from emberlog.llm.inputs import id_type
+from emberlog.llm.inputs import id_type, tidied
 from emberlog.llm.runs import among, bucketed, buckets_for, by_run, mixed, numbered, pack, powers, shared, spans_of, stretches, unpack
 
 GRAM = 64
@@ -320,7 +320,7 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
         return pa.table({"run": pa.array([x[0] for x in out], pa.int64()), "grams": pa.array([x[1] for x in out], pa.binary()),
                          "hot": pa.array([x[3] for x in out], pa.binary())})
 
-    grams = rows.select("run", "text").mapInArrow(send_grams, "bucket int, run long, kind int, hashes binary")
+    grams = rows.select("run", "text").mapInArrow(tidied(send_grams), "bucket int, run long, kind int, hashes binary")
     grams = grams.groupBy("bucket").applyInArrow(compare_grams, "run long, grams binary, hot binary")
     context_schema = pa.schema([("bucket", pa.int32()), ("run", pa.int64())] + [(n, pa.binary()) for n in ("hashes", "counts", "lcps", "lengths", "rests", "windows", "settled")])
 

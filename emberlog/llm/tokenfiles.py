@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm.bpe import Remembered, segments
-from emberlog.llm.inputs import prepare, width
+from emberlog.llm.inputs import prepare, tidied, width
 
 OUT_BYTES = 4_000_000
 ASKED = 2_000
@@ -183,7 +183,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary_path: str, id_column:
                                           "tokens": pa.array([int(offsets[-1])], pa.int64()), "bytes": pa.array([int(kind[-1])], pa.int32())})
 
     ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
-    made = sorted(ordered.mapInArrow(write, "part int, docs long, tokens long, bytes int").collect())
+    made = sorted(ordered.mapInArrow(tidied(write), "part int, docs long, tokens long, bytes int").collect())
     bases = [0, *accumulate(r.tokens for r in made)]
     manifest = {"token_bytes": made[0].bytes if made else 4, "docs": sum(r.docs for r in made), "tokens": bases[-1],
                 "parts": [{"part": r.part, "docs": r.docs, "tokens": r.tokens, "base": b} for r, b in zip(made, bases)]}
@@ -240,4 +240,4 @@ def read_tokens(spark: SparkSession, folder: str, id_column: str = "doc_id") ->
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
     parts = max([0, *bases]) + 1
-    return spark.range(0, parts, 1, parts).mapInArrow(read, "id long, start long, n_tokens long, ids binary").withColumnRenamed("id", id_column)
+    return spark.range(0, parts, 1, parts).mapInArrow(tidied(read), "id long, start long, n_tokens long, ids binary").withColumnRenamed("id", id_column)

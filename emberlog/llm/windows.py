@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.exact import _arrow
-from emberlog.llm.inputs import id_type
+from emberlog.llm.inputs import id_type, tidied
 from emberlog.llm.runs import HASHES, among, bucketed, buckets_for, by_run, mixed, numbered, repeated_hashes, spans_of, stretches, unpack
 
 WORD_BASE, WINDOW_BASE = 0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15
@@ -79,7 +79,7 @@ def remove_repeated_windows(docs: DataFrame, id_column: str = "doc_id", text_col
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in found], pa.int32()), "run": pa.array([run] * len(found), pa.int64()),
                                               "hashes": pa.array([h for _, h in found], pa.binary())})
 
-    answers = repeated_hashes(rows.select("run", "text").mapInArrow(send, HASHES))
+    answers = repeated_hashes(rows.select("run", "text").mapInArrow(tidied(send), HASHES))
     kind = pa.list_(pa.list_(pa.int64()))
     arrow = pa.schema([("id", _arrow(docs, id_column)), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", kind), ("kept", pa.string())])
 
