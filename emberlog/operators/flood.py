@@ -27,7 +27,9 @@ SIMILAR = 0.8
 
 
 def flood_starts(df: DataFrame, window: int = 1000, threshold: float = 0.75, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """(file, template, low, high): the positions from which the template floods the window."""
+    """(file, dominant, low, high): the positions from which a template floods the window. Where several do
+    (a threshold of a half or less), the most frequent in the window does; of equally frequent ones, the first in it.
+    So the intervals of a file never overlap."""
     need = math.ceil(threshold * window - 1e-9)
     long_files = df.groupBy(FILE).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > window).select(FILE)
     heavy = (df.groupBy(FILE, TEMPLATE).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= need)
@@ -43,26 +45,56 @@ def flood_starts(df: DataFrame, window: int = 1000, threshold: float = 0.75, hot
     )
     inside = running_totals(steps, [FILE, TEMPLATE], ["at"], {"inside": F.col("step")}, hot_rows)
     was = F.col("inside") - F.col("step")
-    turns = inside.filter((F.col("inside") >= need) != (was >= need))
     follow = Window.partitionBy(FILE, TEMPLATE).orderBy("at")
+    if threshold <= 0.5:
+        level = inside.withColumn("_next", F.lead("at").over(follow)).filter(F.col("inside") >= need)
+        return _winners(level.select(FILE, TEMPLATE, "inside", F.col("at").alias("low"), (F.col("_next") - 1).alias("high")), lines, window, hot_rows)
+    turns = inside.filter((F.col("inside") >= need) != (was >= need))
     return (
         turns.withColumn("_next", F.lead("at").over(follow)).filter(F.col("inside") >= need)
         .select(FILE, F.col(TEMPLATE).alias("dominant"), F.col("at").alias("low"), (F.col("_next") - 1).alias("high"))
     )
 
 
+def _winners(levels: DataFrame, lines: DataFrame, window: int, hot_rows: int | None) -> DataFrame:
+    """Intervals of the winning template from stretches (low, high) in which a template's count in the window is ``inside``.
+
+    Worked out position by position: a position has few templates that fill a share of its window.
+    """
+    counted = levels.select(FILE, TEMPLATE, "inside", F.explode(F.sequence("low", "high")).alias("pos"))
+    before = F.lag(LINE).over(Window.partitionBy(FILE, TEMPLATE).orderBy(LINE))
+    first = F.greatest(F.coalesce(before, F.lit(0)) + 1, F.col(LINE) - window + 1)
+    nearest = lines.select(FILE, TEMPLATE, LINE, first.alias("_from")).select(
+        FILE, TEMPLATE, F.col(LINE).alias("nearest"), F.explode(F.sequence("_from", LINE)).alias("pos"))
+    best = (counted.join(nearest, [FILE, TEMPLATE, "pos"]).groupBy(FILE, "pos")
+            .agg(F.max(F.struct("inside", (-F.col("nearest")).alias("soon"), F.col(TEMPLATE).alias("dominant"))).alias("top"))
+            .select(FILE, "pos", "top.dominant"))
+    placed = running_totals(best, [FILE, "dominant"], ["pos"], {"_nth": F.lit(1).cast("long")}, hot_rows)
+    return placed.groupBy(FILE, "dominant", (F.col("pos") - F.col("_nth")).alias("_run")).agg(
+        F.min("pos").alias("low"), F.max("pos").alias("high")).select(FILE, "dominant", "low", "high")
+
+
 def similar_templates(left: DataFrame, right: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(file, dominant, template) with word Jaccard above ``least``.
+    """(file, dominant, template) with word Jaccard above ``least``."""
+    return candidate_templates(left, right, least).filter(word_jaccard("dominant", "template") > least)
+
 
-    Two word sets that similar share one of their few first words in any fixed
-    order (prefix filtering), so the join is on such a word and never all pairs.
+def candidate_templates(left: DataFrame, right: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(file, dominant, template): pairs that may be that similar.
+
+    Two word sets that similar share one of their few first words in any fixed order (prefix filtering). Words are
+    ordered by the number of templates of the file that hold them, so the join is on rare words: a word that
+    every template has (a wildcard) comes last and joins nothing.
     """
+    held = right.select(FILE, F.explode(F.array_distinct(words("template"))).alias("_word")).groupBy(FILE, "_word").agg(F.count(F.lit(1)).alias("_held"))
+
     def prefixed(df: DataFrame, name: str) -> DataFrame:
-        bag = F.array_sort(F.array_distinct(words(name)))
+        bag = df.select(FILE, name, F.explode(F.array_distinct(words(name))).alias("_word")).join(held, [FILE, "_word"], "left")
+        bag = bag.groupBy(FILE, name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_held", F.lit(0)).alias("n"), "_word"))).alias("_bag"))
         keep = F.size("_bag") - F.ceil(F.lit(least) * F.size("_bag")).cast("int") + 1
-        return df.withColumn("_bag", bag).withColumn("_word", F.explode(F.slice("_bag", F.lit(1), keep))).drop("_bag")
+        return bag.withColumn("_word", F.explode(F.slice("_bag", F.lit(1), keep))).select(FILE, name, "_word._word")
     pairs = prefixed(left, "dominant").join(prefixed(right, "template"), [FILE, "_word"])
-    return pairs.drop("_word").distinct().filter(word_jaccard("dominant", "template") > least)
+    return pairs.drop("_word").distinct()
 
 
 def similar_runs(df: DataFrame, starts: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
@@ -99,8 +131,7 @@ class _Chunk:
     def next_flood(self, at: int) -> tuple[int, int, str] | None:
         """(begin, first line after, dominant) of the first flood from ``at`` on in this chunk.
 
-        Two templates cannot both fill more than half of a window, so intervals do not
-        overlap and the first one that ends at or after ``at`` is the next.
+        Intervals do not overlap, so the first one that ends at or after ``at`` is the next.
         """
         i = bisect_left(self.highs, at)
         if i == len(self.highs):
@@ -195,8 +226,8 @@ def flood_blocks(df: DataFrame, window: int = 1000, threshold: float = 0.75, hot
     The scan of a file is sequential by nature, so it is cut into chunks that are scanned
     in parallel once the entry line of each is known.
     """
-    if not 0.5 < threshold <= 1:
-        raise ValueError("threshold must be above 0.5, so that one template can dominate a window")
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold is a share of the window")
     size = max(chunk_lines, window)
     df = cut_lineage(df.select(FILE, LINE, TEMPLATE))
     sizes = cut_lineage(df.groupBy(FILE).agg(F.max(LINE).alias("_n")))

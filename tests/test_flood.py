@@ -20,7 +20,7 @@ def greedy(templates, window, threshold):
         return out
     while at < n:
         part = templates[at: at + window]
-        top = max(set(part), key=part.count)
+        top = max(dict.fromkeys(part), key=part.count)
         if part.count(top) / window >= threshold:
             end = at + window
             while end < n and alike(templates[end], top) > 0.8:
@@ -55,7 +55,8 @@ def frame(spark, files):
 
 
 @pytest.mark.parametrize("window,threshold,hot_rows,chunk", [
-    (8, 0.75, None, 1_000_000), (8, 0.75, 10, 8), (5, 0.6, None, 5), (5, 0.6, 10, 13), (10, 1.0, None, 11), (3, 0.6, None, 4)])
+    (8, 0.75, None, 1_000_000), (8, 0.75, 10, 8), (5, 0.6, None, 5), (5, 0.6, 10, 13), (10, 1.0, None, 11), (3, 0.6, None, 4),
+    (8, 0.5, None, 1_000_000), (8, 0.4, 10, 8), (10, 0.3, None, 13), (6, 0.2, None, 7)])
 def test_blocks_equal_the_scan(spark, files, window, threshold, hot_rows, chunk):
     got = {}
     for r in fl.flood_blocks(frame(spark, files), window, threshold, hot_rows, chunk).collect():
@@ -89,6 +90,15 @@ def test_similarity_is_strict_and_complete(spark):
     assert got == {(x, y) for x in names for y in names if alike(x, y) > 0.8}
 
 
-def test_threshold_must_allow_one_winner(spark, files):
+def test_threshold_must_be_a_share(spark, files):
     with pytest.raises(ValueError):
-        fl.flood_blocks(frame(spark, files), 8, 0.5)
+        fl.flood_blocks(frame(spark, files), 8, 0.0)
+
+
+def test_templates_with_a_word_in_common_are_not_all_compared(spark):
+    """Two thousand templates share the wildcard; candidates stay near the number of true pairs."""
+    names = [f"<*> kind{i} part{i} step{i} done{i}" for i in range(2000)]
+    right = spark.createDataFrame([("f", n) for n in names] + [("f", names[7] + " more")], "source_file string, template string")
+    left = right.withColumnRenamed("template", "dominant")
+    assert fl.candidate_templates(left, right).count() < 3 * 2003
+    assert fl.similar_templates(left, right).count() == 2003
