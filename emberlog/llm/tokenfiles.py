@@ -16,7 +16,8 @@ import json
 import os
 import uuid
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,16 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
 SPACE = "\u0120"
 
 
+class _Empty(bytes):
+    """No ids, and yet known."""
+
+    def __bool__(self) -> bool:
+        return True
+
+
+EMPTY = _Empty()
+
+
 class Library:
     """The tokenizers library, asked once for each different word group while it is remembered.
 
@@ -92,12 +103,11 @@ class Library:
         known, older = self.behind_space, self.behind_space.old
         cut = [[t] if any(s in t for s in self.special) else segments(t) for t in texts]
         got = [list(map(known.get, parts)) for parts in cut]
-        new: dict[str, bytes | None] = {}
+        missing = []
         for parts, ids in zip(cut, got):
-            ids[0] = self.head[parts[0]]
-            if None in ids:
-                new.update((s, None) for s, x in zip(parts, ids) if x is None)
-        new.update((s, older.get(s)) for s in new)
+            ids[0] = self.head[parts[0]] or EMPTY
+            missing.append(list(compress(range(len(ids)), map(not_, ids))))
+        new = {s: older.get(s) for s in {parts[i] for parts, at in zip(cut, missing) for i in at}}
         open_ = [s for s, ids in new.items() if ids is None]
         broken = {s: parts for s in open_ if "\n" in s and len(parts := s.split("\n")) == 2 and parts == s.split()}
         starts = dict(zip(ask := list({b for _, b in broken.values()}), self.lines(ask)))
@@ -121,7 +131,10 @@ class Library:
                 new[s] = stems[a] + self.line_end + starts[b]
         for s, ids in new.items():
             new[s] = known.remember(s, known.make(s) if ids is None else ids)
-        return [b"".join(ids if None not in ids else [new[s] if x is None else x for s, x in zip(parts, ids)]) for parts, ids in zip(cut, got)]
+        for parts, ids, at in zip(cut, got, missing):
+            for i in at:
+                ids[i] = new[parts[i]]
+        return [b"".join(ids) for ids in got]
 
 
 @lru_cache(maxsize=4)
