@@ -46,4 +46,4 @@ def encode_with(df: DataFrame, make_encoder: Callable[[], Callable[[list[str]],
             vectors = np.asarray(encode(pdf[log].tolist()), dtype=np.float32) if len(pdf) else np.empty((0, 0))
             yield pd.DataFrame({log: pdf[log], name: list(vectors)})
     encoded = df.select(log).distinct().mapInPandas(run, f"`{log}` string, `{name}` array<float>")
-    return df.join(encoded, log)
+    return df.join(encoded, log, "left")

@@ -122,25 +122,27 @@ def scan_json_logs(spark: SparkSession, paths: str | list[str], glob: str | None
 
 def scan_logs(spark: SparkSession, path: str, json_layout: str = "array") -> DataFrame:
     """All ``.json``, ``.log`` and ``.txt`` files of a folder (or one file) as one table."""
-    kinds = {name.rsplit(".", 1)[-1] for name in _list_names(spark, path) if "." in name}
     parts = []
-    if kinds & {"log", "txt"}:
+    if _has_files(spark, path, "*.{log,txt}"):
         parts.append(scan_text_logs(spark, path, "*.{log,txt}"))
-    if "json" in kinds:
+    if _has_files(spark, path, "*.json"):
         parts.append(scan_json_logs(spark, path, "*.json", layout=json_layout))
     if not parts:
         return spark.createDataFrame([], "source_file string, line_no long, ts_raw string, ts timestamp, log string")
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _list_names(spark: SparkSession, path: str) -> list[str]:
-    """Names in the folder through Hadoop's file system, none when it is missing."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+def _has_files(spark: SparkSession, path: str, glob: str = "*") -> bool:
+    """Whether the folder (or the one file) has a name like ``glob``. Only the answer reaches Python, not the names."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(where):
-        return []
-    return [s.getPath().getName() for s in fs.listStatus(where) if s.isFile()]
+        return False
+    if fs.getFileStatus(where).isFile():
+        return hadoop.GlobFilter(glob).accept(where)
+    found = fs.globStatus(hadoop.Path(where, glob))
+    return found is not None and len(found) > 0
 
 
 def cap_rows_per_file(df: DataFrame, limit: int | None) -> DataFrame:
@@ -159,7 +161,7 @@ def large_file_flag(df: DataFrame, threshold: int = 100_000, cap: int | None = N
 
 def read_allowlist(spark: SparkSession, path: str) -> DataFrame:
     """Lines known to be fine: ``source_file, log``; a bad or missing file means none."""
-    if not _list_names(spark, path):
+    if not _has_files(spark, path):
         return spark.createDataFrame([], "source_file string, log string")
     entry = F.col("log")
     return (

@@ -128,3 +128,16 @@ def test_scopes_are_separate(spark):
     df = spark.createDataFrame([(1, "f", "a b c x"), (2, "f", "a b c y"), (3, "g", "a b c x")], "row_id long, source_file string, log string")
     assert [x for _, x in summary_text(tp.mine_templates(df).collect())] == ["a b c <*>", "a b c <*>", "a b c x"]
     assert tp.template_stats(tp.mine_templates(df)).count() == 2
+
+
+def test_a_run_leaves_no_folder_behind(spark):
+    from emberlog.session import cut_lineage, run_scope, shared_folder, written
+    import os
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    kept = written(spark.range(3).toDF("kept"))
+    with run_scope(spark):
+        inside = written(spark.range(5).toDF("x"))
+        assert cut_lineage(inside).count() == 5
+        assert len(os.listdir(folder)) > len(before) + 1
+    assert len(set(os.listdir(folder)) - before) == 1 and kept.count() == 3
