@@ -138,7 +138,7 @@ def in_ranges(rows: DataFrame) -> DataFrame:
     own, copy = F.struct("bucket", F.lit(False).alias("late")), F.struct(to.alias("bucket"), F.lit(True).alias("late"))
     placed = rows.withColumn("place", F.explode(F.when(F.col("id").eqNullSafe(head), F.array(own, copy)).otherwise(F.array(own))))
     placed = placed.select("id", "text", "place.bucket", "place.late")
-    return placed.repartition(len(used) or 1, "bucket").sortWithinPartitions("bucket", "late", F.col("id").desc_nulls_last(), "text")
+    return placed.repartitionById(len(bounds) + 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "late", F.col("id").desc_nulls_last(), "text")
 
 
 def neighbour_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", fraction: float = FRACTION) -> DataFrame:
