@@ -32,6 +32,8 @@ OUT_BYTES = 4_000_000
 ASKED = 2_000
 TEXTS_AT_ONCE = 200
 REMEMBERED = 600_000
+# Word groups met first are mostly the frequent ones; a table of these alone stays in the processor's cache.
+HOT = 20_000
 # Punctuation behind a letter or digit is a word of its own (the apostrophe may not be).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
 # Fixed value: how byte-level vocabularies write a space.
@@ -65,6 +67,7 @@ class Library:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.head = Remembered(lambda s: self.ids([s])[0], 20_000)
         self.behind_space = Remembered(lambda s: self.ids([" " + s])[0], REMEMBERED)
+        self.hot: dict[str, bytes] = {}
         self.marks = Remembered(lambda s: self.ids([s])[0], 10_000)
         self.line_end = self.ids(["\n"])[0]
         opens = (self.tokenizer.id_to_token(i) or "" for i in range(self.size))
@@ -100,13 +103,20 @@ class Library:
         return [ids for i in range(0, len(texts), TEXTS_AT_ONCE) for ids in self._encode(texts[i:i + TEXTS_AT_ONCE])]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        known, older = self.behind_space, self.behind_space.old
+        known, older, hot = self.behind_space, self.behind_space.old, self.hot
         cut = [[t] if any(s in t for s in self.special) else segments(t) for t in texts]
-        got = [list(map(known.get, parts)) for parts in cut]
+        got = [list(map(hot.get, parts)) for parts in cut]
         missing = []
         for parts, ids in zip(cut, got):
             ids[0] = self.head[parts[0]] or EMPTY
-            missing.append(list(compress(range(len(ids)), map(not_, ids))))
+            lost = []
+            for i in compress(range(len(ids)), map(not_, ids)):
+                found = known.get(parts[i])
+                if found is None:
+                    lost.append(i)
+                else:
+                    ids[i] = found
+            missing.append(lost)
         new = {s: older.get(s) for s in {parts[i] for parts, at in zip(cut, missing) for i in at}}
         open_ = [s for s, ids in new.items() if ids is None]
         broken = {s: parts for s in open_ if "\n" in s and len(parts := s.split("\n")) == 2 and parts == s.split()}
@@ -131,6 +141,8 @@ class Library:
                 new[s] = stems[a] + self.line_end + starts[b]
         for s, ids in new.items():
             new[s] = known.remember(s, known.make(s) if ids is None else ids)
+            if len(hot) < HOT:
+                hot[s] = new[s]
         for parts, ids, at in zip(cut, got, missing):
             for i in at:
                 ids[i] = new[parts[i]]
