@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from emberlog.session import written
 
-BATCH_BYTES = "16m"
+BATCH_BYTES = "8m"
+READ_ROWS = "256"
 
 
 def prepare(spark: SparkSession) -> None:
     """Session settings the operators count on: adaptive plans, and Arrow batches bounded by
-    bytes as well as by rows (a batch of very long texts must fit in a worker)."""
+    bytes as well as by rows (a batch of very long texts must fit in a worker), and few rows in a batch
+    of the Parquet reader (its buffers of long texts are large single arrays, which fragment the heap)."""
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
