@@ -10,6 +10,7 @@ from emberlog.llm.exact import exact_duplicates
 from emberlog.llm.inputs import documents
 from emberlog.llm.langid import identify, train
 from emberlog.llm.licenses import scan_licenses
+from emberlog.llm.merkle import folded, leaf_digest, merkle_manifest, sibling_digests
 from emberlog.llm.mixing import mix_sources
 from emberlog.llm.simhash import simhash_groups
 from emberlog.llm.sketch import neighbour_fingerprints
@@ -77,9 +78,44 @@ def op10_mixture(spark, folder):
     return joined.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_dedup, op3_simhash_near_dedup, op4_language_id, op5_document_fingerprints, op6_license_scan, op7_suffix_dedup, op8_token_files, op9_substring_dedup, op10_mixture)}
+def op13_merkle_manifest(spark, folder):
+    docs = documents(spark, folder)
+
+    def leaf(n_chars):
+        return leaf_digest([F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")])
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    carry = {"doc_id": F.col("doc_id"), "changed": F.when(tampered, leaf(F.col("n_chars") + 1)).otherwise(leaf(F.col("n_chars")))}
+    made = merkle_manifest(docs, leaf(F.col("n_chars")), F.col("lang"), F.col("doc_id"), carry)
+    made = made.select("doc_id", "leaf", "subroot", "root", F.sha2(sibling_digests(F.col("proof")), 256).alias("proof_sha256"), folded(F.col("changed"), F.col("proof")).alias("folded_root"))
+    return made.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_dedup, op3_simhash_near_dedup, op4_language_id, op5_document_fingerprints, op6_license_scan, op7_suffix_dedup, op8_token_files, op9_substring_dedup, op10_mixture, op13_merkle_manifest)}
+
+_LEAF = "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "{n_chars}", "text")) + ")"
 
 ORACLES = {
+    # crc32 has no DuckDB function: eight shifts a byte of the identifier's digits.
+    "op13_merkle_manifest": f"""WITH RECURSIVE crc AS (SELECT DISTINCT doc_id, doc_id::VARCHAR AS s, 0 AS i, 4294967295::UBIGINT AS c FROM documents WHERE doc_id IS NOT NULL
+ UNION ALL SELECT doc_id, s, i + 1, list_reduce(list_concat([xor(c, ord(substr(s, i + 1, 1))::UBIGINT)], [0::UBIGINT FOR k IN range(8)]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) FROM crc WHERE i < length(s)),
+ odd AS (SELECT doc_id FROM crc WHERE i = length(s) AND xor(c, 4294967295::UBIGINT) % 7 = 0),
+ leaves AS (SELECT doc_id, lang, {_LEAF.format(n_chars="n_chars")} AS leaf, CASE WHEN doc_id IN (SELECT doc_id FROM odd) THEN {_LEAF.format(n_chars="(n_chars + 1)")} ELSE {_LEAF.format(n_chars="n_chars")} END AS changed FROM documents),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+ tree AS (SELECT lang, 0 AS k, i, n, leaf AS h FROM placed
+ UNION ALL SELECT lang, k + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY lang, k, i // 2, n),
+ subroots AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+ top AS (SELECT 0 AS k, i, n, subroot AS h FROM subroots
+ UNION ALL SELECT k + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY k, i // 2, n),
+ top_path AS (SELECT s.lang, string_agg(coalesce(b.h, ''), '' ORDER BY a.k) AS p, list({{'left': s.i >> a.k & 1, 'h': coalesce(b.h, '')}} ORDER BY a.k) AS steps
+ FROM subroots s JOIN top a ON a.i = s.i >> a.k AND a.n > 1 LEFT JOIN top b ON b.k = a.k AND b.i = xor(a.i, 1) GROUP BY s.lang),
+ own_path AS (SELECT p.lang, p.i, string_agg(coalesce(b.h, ''), '' ORDER BY a.k) AS p, list({{'left': p.i >> a.k & 1, 'h': coalesce(b.h, '')}} ORDER BY a.k) AS steps
+ FROM placed p JOIN tree a ON a.lang IS NOT DISTINCT FROM p.lang AND a.i = p.i >> a.k AND a.n > 1
+ LEFT JOIN tree b ON b.lang IS NOT DISTINCT FROM p.lang AND b.k = a.k AND b.i = xor(a.i, 1) GROUP BY p.lang, p.i),
+ proven AS (SELECT p.doc_id, p.leaf, s.subroot, (SELECT h FROM top WHERE n = 1) AS root, coalesce(o.p, '') || coalesce(t.p, '') AS p, p.changed,
+ list_concat(coalesce(o.steps, []), coalesce(t.steps, [])) AS steps
+ FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang LEFT JOIN own_path o ON o.lang IS NOT DISTINCT FROM p.lang AND o.i = p.i LEFT JOIN top_path t ON t.lang IS NOT DISTINCT FROM p.lang),
+ climbed AS (SELECT *, list_reduce(list_concat([{{'left': 0, 'h': changed}}], steps), lambda a, x: {{'left': 0, 'h': CASE WHEN x.left = 1 THEN sha256(x.h || a.h) ELSE sha256(a.h || x.h) END}}).h AS folded_root FROM proven)
+ SELECT doc_id, leaf, subroot, root, sha256(p) AS proof_sha256, folded_root, folded_root = root AS verified FROM climbed""",
     "op9_substring_dedup": r"""WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS words FROM documents),
  places AS (SELECT rid, unnest(range(1, greatest(len(words) - 33, 1))) AS i FROM d),
  windows AS (SELECT rid, i, array_to_string(words[i:i + 34], ' ') AS gram FROM places JOIN d USING (rid)),
