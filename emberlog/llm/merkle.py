@@ -17,9 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from emberlog.llm.inputs import prepare, spread, tidied, width
+from emberlog.llm.inputs import placed, prepare, spread, tidied
 from emberlog.session import scratch_path, written
 
 BITS = 9
@@ -89,19 +88,6 @@ def build(first: int, digests: list[str], level: int, leaves: int, bits: int = B
     return nodes, waiting[top][0]
 
 
-def _placed(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """``rows`` with ``number`` (from 0 in its group) and ``n`` (size of the group), written. Groups of any size are laid out
-    by range; a slice of the layout needs the number of rows before it only."""
-    spark = rows.sparkSession
-    laid = rows.repartitionByRange(width(spark), by, *order).sortWithinPartitions(by, *order)
-    laid = written(laid.withColumns({"slice": F.spark_partition_id(), "at": F.monotonically_increasing_id()}))
-    sizes = laid.groupBy(by, "slice").agg(F.count("*").alias("here"), F.min("at").alias("start"))
-    before = Window.partitionBy(by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(by, "slice", "start", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("earlier"), F.sum("here").over(Window.partitionBy(by)).alias("n"))
-    joined = laid.join(sizes, [by, "slice"])
-    return written(joined.withColumn("number", F.col("at") - F.col("start") + F.col("earlier")).drop("slice", "at", "start", "earlier"))
-
-
 def _rounds(nodes: DataFrame, bits: int) -> int:
     most = nodes.agg(F.max("n")).first()[0] or 1
     return max(1, -(-height(most) // bits))
@@ -198,12 +184,12 @@ def merkle_manifest(docs: DataFrame, leaf: Column, tree: Column, order: Column,
     names = {f"c{i}": c for i, c in enumerate(carry.values())}
     key = F.coalesce(F.concat(F.lit("v"), tree.cast("string")), F.lit("n"))
     rows = spread(docs.select(key.alias("tree"), order.alias("by"), leaf.alias("digest"), *(c.alias(n) for n, c in names.items())))
-    leaves = _placed(written(rows), "tree", ["by", "digest"]).drop("by")
+    leaves = placed(written(rows), "tree", ["by", "digest"]).drop("by")
     path = log_path or scratch_path(spark, "merkle")
 
     entering, logs = append_log(leaves, f"{path}/groups", bits)
     subroots = written(entering[-1].select("tree", "digest"))
-    groups = _placed(subroots.select(F.lit(TOP).alias("all"), F.col("tree").alias("group"), "digest"), "all", ["group"])
+    groups = placed(subroots.select(F.lit(TOP).alias("all"), F.col("tree").alias("group"), "digest"), "all", ["group"])
     groups = groups.select(F.col("all").alias("tree"), "number", "n", "digest", "group")
     over, over_logs = append_log(groups, f"{path}/top", bits)
     nothing = F.array().cast(f"array<{STEP}>")

@@ -12,6 +12,7 @@ from emberlog.llm.langid import identify, train
 from emberlog.llm.licenses import scan_licenses
 from emberlog.llm.merkle import folded, leaf_digest, merkle_manifest, sibling_digests
 from emberlog.llm.mixing import mix_sources
+from emberlog.llm.negatives import hard_negatives
 from emberlog.llm.simhash import simhash_groups
 from emberlog.llm.sketch import neighbour_fingerprints
 from emberlog.llm.suffixes import remove_repeated_bytes
@@ -78,6 +79,13 @@ def op10_mixture(spark, folder):
     return joined.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_hard_negatives(spark, folder):
+    given = spark.read.parquet(f"{folder}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(F.floor(F.lit(256) * x.cast("double"))))
+    return hard_negatives(given, "vec_id", label, whole, F.col("vec_id") % 50 == 0)
+
+
 def op13_merkle_manifest(spark, folder):
     docs = documents(spark, folder)
 
@@ -90,7 +98,7 @@ def op13_merkle_manifest(spark, folder):
     return made.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_dedup, op3_simhash_near_dedup, op4_language_id, op5_document_fingerprints, op6_license_scan, op7_suffix_dedup, op8_token_files, op9_substring_dedup, op10_mixture, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_dedup, op3_simhash_near_dedup, op4_language_id, op5_document_fingerprints, op6_license_scan, op7_suffix_dedup, op8_token_files, op9_substring_dedup, op10_mixture, op11_hard_negatives, op13_merkle_manifest)}
 
 _LEAF = "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "{n_chars}", "text")) + ")"
 
@@ -123,6 +131,13 @@ ORACLES = {
  gone AS (SELECT rid, list(DISTINCT j) AS js FROM (SELECT rid, unnest(range(i, i + 35)) AS j FROM again) GROUP BY rid),
  kept AS (SELECT doc_id, len(words) AS n, CASE WHEN js IS NULL THEN words ELSE [words[j] FOR j IN range(1, len(words) + 1) IF NOT list_contains(js, j)] END AS k FROM d LEFT JOIN gone USING (rid))
  SELECT doc_id, n AS n_words, n - len(k) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept""",
+    "op11_hard_negatives": """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e
+ FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+ s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+ p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+ SELECT p.anchor_id, positive_id, row_number() OVER w AS rank, other_id AS negative_id, positive_score, score AS negative_score
+ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+ WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 3""",
     "op2_exact_dedup": """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
  doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
  FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
