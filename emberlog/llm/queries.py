@@ -13,6 +13,7 @@ from emberlog.llm.licenses import scan_licenses
 from emberlog.llm.merkle import folded, leaf_digest, merkle_manifest, sibling_digests
 from emberlog.llm.mixing import mix_sources
 from emberlog.llm.negatives import hard_negatives
+from emberlog.llm.setjoin import jaccard_components
 from emberlog.llm.simhash import simhash_groups
 from emberlog.llm.sketch import neighbour_fingerprints
 from emberlog.llm.suffixes import remove_repeated_bytes
@@ -86,6 +87,10 @@ def op11_hard_negatives(spark, folder):
     return hard_negatives(given, "vec_id", label, whole, F.col("vec_id") % 50 == 0)
 
 
+def op12_ngram_jaccard_join(spark, folder):
+    return jaccard_components(documents(spark, folder), words=5, similarity=0.8)
+
+
 def op13_merkle_manifest(spark, folder):
     docs = documents(spark, folder)
 
@@ -98,7 +103,7 @@ def op13_merkle_manifest(spark, folder):
     return made.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_dedup, op3_simhash_near_dedup, op4_language_id, op5_document_fingerprints, op6_license_scan, op7_suffix_dedup, op8_token_files, op9_substring_dedup, op10_mixture, op11_hard_negatives, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_dedup, op3_simhash_near_dedup, op4_language_id, op5_document_fingerprints, op6_license_scan, op7_suffix_dedup, op8_token_files, op9_substring_dedup, op10_mixture, op11_hard_negatives, op12_ngram_jaccard_join, op13_merkle_manifest)}
 
 _LEAF = "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "{n_chars}", "text")) + ")"
 
@@ -138,6 +143,13 @@ ORACLES = {
  SELECT p.anchor_id, positive_id, row_number() OVER w AS rank, other_id AS negative_id, positive_score, score AS negative_score
  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
  WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 3""",
+    "op12_ngram_jaccard_join": r"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \x09-\x0D]+') AS words FROM documents),
+ s AS (SELECT DISTINCT rid, doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE [array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)] END) AS g FROM w),
+ n AS (SELECT w.rid, w.doc_id, count(g) AS n FROM w LEFT JOIN s USING (rid) GROUP BY w.rid, w.doc_id),
+ links AS (SELECT a.rid AS u, b.rid AS v FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid JOIN n x ON x.rid = a.rid JOIN n y ON y.rid = b.rid
+ GROUP BY a.rid, b.rid, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+ reached AS (SELECT rid AS u, rid AS v FROM n UNION SELECT reached.u, links.v FROM reached JOIN links ON links.u = reached.v)
+ SELECT n.doc_id, any_value(n.n) AS n_shingles, min(m.doc_id) AS component_id FROM n JOIN reached ON reached.u = n.rid JOIN n m ON m.rid = reached.v GROUP BY n.rid, n.doc_id""",
     "op2_exact_dedup": """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
  doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
  FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
