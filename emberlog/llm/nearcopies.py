@@ -1,313 +1,44 @@
-"""Near copies at a given similarity of word shingles: an exact join of shingle sets.
+"""Near copies for the pipeline: SimHash first, then whatever of the similarity asked for SimHash cannot see.
 
-Two sets of similarity ``t`` share at least ``t`` of either one's members. If the members of every set are put in one
-common order, such sets share a member among the first ``n - ceil(t * n) + 1`` of each (prefix filter): posting lists
-of these few members miss no pair, whatever the number of rows. Any order is right; with the common shingles last
-(counted on a sample of the sets, see ``common_shingles``) passages that many texts share stay out of the lists.
-
-What the result needs is which texts are connected. A list tells pairs of different components only: first those with
-a few of its members (the same ones in most lists), then with more. Every pair is verified on
-the whole sets before it links anything, and a pair that fails connects nothing: the next round goes on with the
-components of the verified links. In the lists that still hold several components, the sets themselves meet, block by
-block, and all pairs are compared; so at the end each pair of a list was compared or is connected by verified links.
+The fingerprints of ``simhash`` (a bit for the majority of a text's shingle hashes) are searched for pairs of two or fewer
+differing bits by the positional byte index with its guaranteed count, and each pair is verified on the shingle sets. That
+connects the closest copies, the large groups of them above all. Texts of similarity 0.8 differ in about ten of 64 bits, which
+no index of fingerprints finds for certain; so the rest comes from the join of the sets (``setjoin``), which only compares
+what is not connected yet. No link is missed at any number of rows.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
-from math import ceil
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.components import components
-from emberlog.llm.exact import _arrow
-from emberlog.llm.inputs import id_type, join_hot, prepare, spread, tidied
-from emberlog.llm.runs import mixed, pack, unpack
+from emberlog.llm.inputs import join_hot, tidied
+from emberlog.llm.runs import unpack
+from emberlog.llm.setjoin import set_components, verified
+from emberlog.llm.simhash import majority, near_links
 from emberlog.session import written
 
-SEED = 42
-ROUNDS = (8, 64)
-BLOCK = 512
-COLUMNS = 8192
-SAMPLED = 8
-LEAST_SAMPLE = 50_000
-OFTEN = 3
-MOST_COMMON = 1_000_000
-KEPT = 256
-SHORT = 200
-TIES = 4
-LEADERS = 3
-
-
-def shingle_hashes(text: str, words: int) -> np.ndarray:
-    found = text.encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    shingles = map(b" ".join, zip(*(found[i:] for i in range(words)))) if len(found) >= words else [b" ".join(found)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
-
-
-def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
-
-
-def ties_in_long_list(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Pairs (indices) that join the members of a list of fingerprints that differ in at most ``most`` bits, directly or
-    over others of the list. ``near_copies`` does not use it: such pairs are no verified links."""
-    pairs: list[tuple[int, int]] = []
-    left = np.arange(len(fps))
-    while len(left) > SHORT:
-        some = fps[left]
-        ones = np.unpackbits(some.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-        centre = np.packbits(2 * ones > len(some)).view(np.uint64)
-        inside = 2 * _bits(some, centre) <= most
-        ball, rest = left[inside], left[~inside]
-        if len(ball) < 2:
-            break
-        pairs += [(int(ball[first]), int(ball[i])) for i in range(1, len(ball)) for first in range(min(i, LEADERS))]
-        for x in rest.tolist():
-            near = np.flatnonzero(_bits(fps[ball], fps[x]) <= most)[:TIES]
-            pairs += [(int(ball[i]), x) for i in near]
-        left = rest
-    for n, x in enumerate(left.tolist()):
-        near = np.flatnonzero(_bits(fps[left[n + 1:]], fps[x]) <= most)
-        pairs += [(x, int(left[n + 1 + i])) for i in near]
-    return pairs
-
-
-def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The members of a set that a set of this similarity must share one of: first in the order (count if common, hash)."""
-    n = len(hashes)
-    size = n - ceil(similarity * n - 1e-9) + 1 if n else 0
-    if not len(common):
-        return hashes[:size]
-    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-    return hashes[np.argsort(np.where(common[at] == hashes, counts[at], 0), kind="stable")[:size]]
-
-
-def common_shingles(sets: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, sorted; counts) of the shingles met most often in a sample of ``sets`` (an eighth, or ``LEAST_SAMPLE``), at most
-    ``MOST_COMMON``. They only set the order of ``prefix``: no pair depends on them."""
-    share = min(1.0, max(1 / SAMPLED, LEAST_SAMPLE / max(rows, 1)))
-
-    def single(batches):
-        for batch in batches:
-            found = [np.zeros(0, np.uint64), *(unpack(x) for x in batch.column(0).to_pylist())]
-            hashes, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"shingle": pa.array(hashes.view(np.int64)), "n": pa.array(n.astype(np.int64))})
-
-    some = sets.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20))).select("hashes")
-    often = written(some.mapInArrow(tidied(single), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN))
-    held, least = 0, None
-    for r in sorted(often.groupBy("n").agg(F.count("*").alias("shingles")).collect(), key=lambda r: -r.n):
-        held += r.shingles
-        if held > MOST_COMMON:
-            break
-        least = r.n
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    table = often.filter(F.col("n") >= least).toArrow()
-    hashes, counts = table.column("shingle").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
-
-
-def shared_postings(sets: DataFrame, similarity: float, rows: int) -> DataFrame:
-    """(key, node, n): the postings of ``sets`` (node, n, hashes) whose key more than one node has, written."""
-    model = sets.sparkSession.sparkContext.broadcast(common_shingles(sets, rows))
-
-    def postings(batches):
-        common, counts = model.value
-        for batch in batches:
-            found = [prefix(unpack(x), similarity, common, counts) for x in batch.column(2).to_pylist()]
-            lengths = [len(x) for x in found]
-            if sum(lengths):
-                node, n = (np.repeat(batch.column(i).to_numpy(), lengths) for i in (0, 1))
-                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(found).view(np.int64)), "node": pa.array(node), "n": pa.array(n)})
-
-    def repeated(batches):
-        """Rows whose key is that of the row before or after; the last row waits for the next batch."""
-        held, before = None, None
-        for batch in batches:
-            now = [c.to_numpy() for c in batch.columns]
-            now = now if held is None else [np.r_[h, c] for h, c in zip(held, now)]
-            if not len(now[0]):
-                continue
-            same = now[0][1:] == now[0][:-1]
-            chosen = np.r_[before is not None and now[0][0] == before, same[:-1]] | same if len(same) else np.zeros(0, bool)
-            held = [c[-1:] for c in now]
-            if len(same):
-                before = now[0][-2]
-            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][chosen]) for c in now], names=["key", "node", "n"])
-        if held is not None and before is not None and held[0][0] == before:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["key", "node", "n"])
-
-    told = sets.select("node", "n", "hashes").mapInArrow(tidied(postings), "key long, node long, n long")
-    return written(told.repartition("key").sortWithinPartitions("key").mapInArrow(tidied(repeated), "key long, node long, n long"))
-
-
-def _whole(batches):
-    """Columns, as arrays, of batches sorted by the first: whole stretches of equal values only."""
-    parts: list = []
-    for batch in batches:
-        now = [c.to_numpy() for c in batch.columns]
-        if not len(now[0]):
-            continue
-        cut = int(np.searchsorted(now[0], now[0][-1]))
-        if cut or parts and parts[-1][0][-1] != now[0][0]:
-            done = [*parts, [c[:cut] for c in now]]
-            yield [np.concatenate(c) for c in zip(*done)]
-            parts = []
-        parts.append([c[cut:] for c in now])
-    if parts:
-        yield [np.concatenate(c) for c in zip(*parts)]
-
+MAX_BITS = 2
 
-def cross_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, part: np.ndarray, similarity: float, leaders: int, done: int = 0):
-    """Pairs (u < v) within whole lists of nodes of different components (``part``) and sizes that allow the similarity: all
-    pairs with one of the list's first ``leaders`` members. Lists of at most ``done`` members are left out."""
-    order = np.lexsort((mixed(node.view(np.uint64)), key))
-    key, node, n, part = (x[order] for x in (key, node, n, part))
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    lengths = np.diff(np.r_[starts, len(key)])
-    some = (lengths > max(done, 1)) & (np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts))
-    place = np.arange(len(key)) - np.repeat(starts, lengths)
-    told: list = []
-    size = 0
-    for step in range(min(leaders, int(lengths[some].max()) - 1) if some.any() else 0):
-        some = some & (lengths > step + 1)
-        behind = np.flatnonzero(np.repeat(some, lengths) & (place > step))
-        leader = behind - place[behind] + step
-        good = (part[behind] != part[leader]) & (np.minimum(n[behind], n[leader]) >= similarity * np.maximum(n[behind], n[leader]) - 1e-9)
-        a, b = node[behind[good]], node[leader[good]]
-        told.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-        size += len(a)
-        if size > 500_000:
-            yield np.unique(np.concatenate(told), axis=0)
-            told, size = [], 0
-        if step & (step + 1) == 0:  # from time to time only the lists that go on are carried along
-            rows = np.repeat(some, lengths)
-            key, node, n, part, place = (x[rows] for x in (key, node, n, part, place))
-            lengths = lengths[some]
-            some = np.ones(len(lengths), bool)
-    if size:
-        yield np.unique(np.concatenate(told), axis=0)
 
-
-def verified_links(found: DataFrame, candidates: DataFrame, similarity: float) -> DataFrame:
-    """(u, v) of the pairs of ``candidates`` whose whole sets in ``found`` (node, hashes) are similar enough, written."""
-    wanted = written(candidates.select(F.col("u").alias("node")).union(candidates.select(F.col("v").alias("node"))).distinct())
-    sets = written(found.select("node", "hashes").join(wanted, "node", "left_semi"))
-
-    def alike(batches):
+def simhash_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): verified links between ``sets`` (node, n, sketch, hashes) whose fingerprints differ in at most two bits: enough of them
+    to connect equal fingerprints with the first of their sets, and these with each other."""
+    def make(batches):
         for batch in batches:
-            good = [set_similarity(unpack(a), unpack(b)) >= similarity for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    of_u, of_v = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"s_{c}")) for c in "uv")
-    pairs = join_hot(join_hot(candidates, of_u, "u", F.col("v")), of_v, "v", F.col("u")).select("u", "v", "s_u", "s_v")
-    return written(pairs.mapInArrow(tidied(alike), "u long, v long"))
-
-
-def links_in_block(part: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Pairs (indices) of similar sets of different components, enough to connect all that are: of sets of one
-    ``side`` all pairs, of two sides those across."""
-    n, size = np.array([len(x) for x in sets], np.int64), len(sets)
-    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner, kept = np.repeat(np.arange(size), n), often[column] > 1
-    number = np.cumsum(often > 1) - 1
-    owner, column = owner[kept], number[column[kept]]
-    overlap = np.zeros((size, size), np.float32)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        a, b = np.searchsorted(column, (start, start + COLUMNS))
-        has = np.zeros((size, COLUMNS), np.float32)
-        has[owner[a:b], column[a:b] - start] = 1
-        overlap += has @ has.T
-    shared = overlap.astype(np.float64)
-    good = np.triu(shared / (n[:, None] + n[None, :] - shared) >= similarity, 1) & (part[:, None] != part[None, :])
-    if side.min() != side.max():
-        good &= side[:, None] != side[None, :]
-    parent = {int(x): int(x) for x in part}
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-    links = []
-    for i, j in np.argwhere(good).tolist():
-        a, b = root(int(part[i])), root(int(part[j]))
-        if a != b:
-            parent[a] = b
-            links.append((i, j))
-    return links
-
-
-def links_in_long_lists(now: DataFrame, found: DataFrame, similarity: float, done: int) -> DataFrame:
-    """(u, v): verified links that connect what is similar in the lists of ``now`` (key, node, n, part) with more than
-    ``done`` members and several components, written. A list is cut into blocks; a task holds the sets of two."""
-    heads = now.groupBy("key").agg(F.count("*").alias("members"), F.min("part").alias("low"), F.max("part").alias("high"))
-    heads = written(heads.filter((F.col("members") > done) & (F.col("low") != F.col("high"))).select("key", F.ceil(F.col("members") / BLOCK).alias("blocks")))
-    rows = written(now.join(heads, "key").select("key", "node", "part", "blocks", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").alias("mine")))
-    sets = written(found.select("node", "hashes").join(rows.select("node").distinct(), "node", "left_semi"))
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = met.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "node", "part", (F.col("mine") > F.col("other")).alias("side"))
-    met = join_hot(met, sets, "node", F.col("task")).select("task", "node", "part", "side", "hashes")
-
-    def compare(batches):
-        for batch in _stretches(batches):
-            task, node, part, side = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            for i, j in links_in_block(part, side, [unpack(x) for x in batch.column(4).to_pylist()], similarity):
-                yield pa.RecordBatch.from_pydict({"u": pa.array([min(node[i], node[j])], pa.int64()), "v": pa.array([max(node[i], node[j])], pa.int64())})
-
-    return written(met.repartition("task").sortWithinPartitions("task").mapInArrow(tidied(compare), "u long, v long"))
-
+            found = np.array([majority(unpack(x)) for x in batch.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["node", "fp"])
 
-def _stretches(batches):
-    """Tables of the rows of one value of the first column, which ``batches`` are sorted by."""
-    parts: list = []
-    for batch in batches:
-        value = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(value)) + 1).tolist(), len(value)] if len(value) else [0]
-        for a, b in zip(cuts, cuts[1:]):
-            if parts and parts[-1].column(0)[0].as_py() != value[a]:
-                yield pa.Table.from_batches(parts).combine_chunks()
-                parts = []
-            parts.append(batch.slice(a, b - a))
-    if parts:
-        yield pa.Table.from_batches(parts).combine_chunks()
-
-
-def linked(sets: DataFrame, similarity: float, rows: int) -> DataFrame:
-    """(node, root): the components of the links between ``sets`` (node, n, hashes); nodes without a link are left out."""
-    lists = shared_postings(sets, similarity, rows)
-    links = tested = roots = None
-
-    def parts(roots):
-        if roots is None:
-            return lists.withColumn("part", F.col("node"))
-        return lists.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("part"))
-    for done, leaders in zip((0, *ROUNDS), ROUNDS):
-        def search(batches, done=done, leaders=leaders):
-            for whole in _whole(batches):
-                for pairs in cross_pairs(*whole, similarity, leaders, done):
-                    yield pa.RecordBatch.from_pydict({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
-
-        pairs = parts(roots).repartition("key").sortWithinPartitions("key").mapInArrow(tidied(search), "u long, v long").distinct()
-        candidates = written(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
-        if candidates.isEmpty() and roots is not None:
-            continue
-        good = verified_links(sets, candidates, similarity)
-        links, tested = (good, candidates) if links is None else (links.union(good), tested.union(candidates))
-        if roots is None or not good.isEmpty():
-            roots = components(links)
-    rest = links_in_long_lists(parts(roots), sets, similarity, ROUNDS[-1])
-    return roots if rest.isEmpty() else components(links.union(rest))
+    prints = written(sets.select("node", "hashes").mapInArrow(tidied(make), "node long, fp long"))
+    first = written(prints.groupBy("fp").agg(F.min("node").alias("first")))
+    same = join_hot(prints, first, "fp", F.col("node")).filter(F.col("node") > F.col("first")).select(F.col("first").alias("u"), F.col("node").alias("v"))
+    near = near_links(first, MAX_BITS)
+    for side in "uv":
+        near = near.join(first.select(F.col("fp").alias(side), F.col("first").alias(f"n_{side}")), side)
+    near = near.select(F.least("n_u", "n_v").alias("u"), F.greatest("n_u", "n_v").alias("v"))
+    return verified(written(same.union(near).distinct()), sets, similarity)
 
 
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -318,52 +49,11 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     of each group is kept: the smallest identifier, of equal identifiers the first read; null identifiers come last. An empty
     table gives no rows. Every link is found, and verified on the whole sets of shingles (of 64-bit hashes).
     """
-    prepare(docs.sparkSession)
-    rows = spread(docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))).select(
-        "id", "text", F.monotonically_increasing_id().alias("tag"), F.sha2("text", 256).alias("sha"))
-    arrow = pa.schema([("id", _arrow(docs, id_column)), ("tag", pa.int64()), ("sha", pa.string()), ("node", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary())])
-
-    def make(batches):
-        for batch in batches:
-            found = [shingle_hashes(text, words) for text in batch.column(1).to_pylist()]
-            node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(node), pa.array([len(x) for x in found], pa.int64()), pa.array([pack(x) for x in found], pa.binary())], schema=arrow)
-
-    found = written(rows.mapInArrow(tidied(make), f"id {id_type(docs, id_column)}, tag long, sha string, node long, n long, hashes binary"))
-    key = F.struct(F.col("id").isNull().alias("none"), "id", "tag")
-    nodes = written(found.groupBy("node").agg(F.min(key).alias("first")))
-    again = written(join_hot(found.select("node", "tag"), nodes, "node", F.col("tag")).filter(F.col("tag") != F.col("first.tag")).select("tag"))
-    sets = found.select("tag", "node", "n", "hashes").join(again, "tag", "left_anti").drop("tag")
-    roots = linked(sets, similarity, nodes.count()).withColumnRenamed("root", "group")
-    grouped = written(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("group", "node").alias("group")))
-    best = grouped.groupBy("group").agg(F.min("first").alias("best"))
-    of_node = join_hot(grouped.select("node", "group"), best, "group", F.col("node")).select("node", "best")
-    out = join_hot(found.select("id", "tag", "sha", "node"), of_node, "node", F.col("tag"))
-    return out.select(F.col("id").alias(id_column), F.col("sha").alias("text_sha256"), F.col("best.id").alias("group_id"), (F.col("tag") == F.col("best.tag")).alias("kept"))
-
-
-def set_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sorted sets of hashes; two empty sets are alike."""
-    if not len(a) and not len(b):
-        return 1.0
-    both = np.concatenate([a, b])
-    both.sort()
-    common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return common / (len(both) - common)
-
-
-def jaccard(a: bytes, n: int, b: bytes, m: int) -> float:
-    """Similarity of two shingle sets from their smallest hashes (5 bytes each) and sizes; exact if both are
-    whole, else an estimate, which ``near_copies`` does not use."""
-    def numbers(data):
-        out = np.zeros((len(data) // 5, 8), np.uint8)
-        out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-        return out.view("<u8").ravel()
-    x, y = numbers(a), numbers(b)
-    if not n and not m:
-        return 1.0
-    both = np.union1d(x, y)
-    if n > KEPT or m > KEPT:
-        both = both[:min([KEPT] if n > KEPT and m > KEPT else [int(np.searchsorted(both, (x if n > KEPT else y)[-1])) + 1])]
-    common = np.isin(both, x) & np.isin(both, y)
-    return float(common.sum() / len(both)) if len(both) else 0.0
+    judged, found = set_components(docs, id_column, text_column, words, similarity, lambda sets: simhash_links(sets, similarity))
+    # A set without partners is a group by its row; all empty sets are one group.
+    rooted = join_hot(judged, found, "sha", F.col("tag")).withColumn("group", F.when(F.col("root").isNotNull(), F.struct(F.lit(0).alias("kind"), F.col("root").alias("of")))
+                      .when(F.col("n") == 0, F.struct(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("of"))).otherwise(F.struct(F.lit(2).alias("kind"), F.col("tag").alias("of"))))
+    rooted = written(rooted.select("id", "tag", "sha", "group"))
+    best = rooted.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag")).alias("best"))
+    out = join_hot(rooted, best, "group", F.col("tag"))
+    return out.select(F.col("id").alias(id_column), F.lower(F.hex("sha")).alias("text_sha256"), F.col("best.id").alias("group_id"), (F.col("tag") == F.col("best.tag")).alias("kept"))

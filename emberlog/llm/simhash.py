@@ -45,7 +45,11 @@ def fingerprint(text: str, words: int = 3) -> int:
     if not found:
         return 0
     shingles = map(b" ".join, zip(*(found[i:] for i in range(words)))) if len(found) >= words else [b" ".join(found)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits; a bit is set if it is in over half of ``hashes``."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), CHUNK):
         ones += np.unpackbits(hashes[i:i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from emberlog.llm.inputs import keep_rows
-from emberlog.llm.nearcopies import jaccard, near_copies, shingle_hashes, ties_in_long_list
+from emberlog.llm.nearcopies import near_copies
 
 
 def shingles(text, n=5):
@@ -59,49 +59,11 @@ def test_near_copies_are_found_and_others_left(spark, corpus):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
     want = {i: find(i) for i in sets}
-    same = sum(got[i][0] == want[i] for i in sets)
-    assert same >= 0.98 * len(sets) and all(got[i][0] >= want[i] and find(got[i][0]) == want[i] for i in sets)
+    assert {i: group for i, (group, _) in got.items()} == want
     assert all(kept == (group == i) for i, (group, kept) in got.items())
     assert near_copies(docs.limit(0)).collect() == []
 
 
-def test_jaccard_of_kept_hashes():
-    rng = random.Random(0)
-    words = [f"w{i}" for i in range(3000)]
-    for n, cut in ((100, 10), (240, 30), (2000, 150), (600, 0)):
-        a = " ".join(words[:n])
-        b = " ".join(words[cut:n])
-        x, y = shingle_hashes(a, 5), shingle_hashes(b, 5)
-        def least(h):
-            return (h[:256] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-        assert jaccard(least(x), len(x), least(y), len(y)) == pytest.approx(similarity(shingles(a), shingles(b)), abs=1e-9 if n < 260 else 0.08)
-    assert rng
-
-
-def test_long_list_stays_connected():
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 256, 16, dtype=np.uint8)
-    other = rng.integers(0, 256, 16, dtype=np.uint8)
-    fps = []
-    for centre, n in ((base, 700), (other, 300)):
-        for _ in range(n):
-            bits = np.unpackbits(centre)
-            bits[rng.choice(128, rng.integers(0, 9), replace=False)] ^= 1
-            fps.append(np.packbits(bits))
-    fps = np.array(fps).view("<u8")
-    parent = list(range(len(fps)))
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-    pairs = ties_in_long_list(fps, 26)
-    for a, b in pairs:
-        assert np.bitwise_count(fps[a] ^ fps[b]).sum() <= 26
-        parent[find(a)] = find(b)
-    assert len({find(i) for i in range(len(fps))}) == 2 and len(pairs) < 20 * len(fps)
-
-
 def test_keep_rows_with_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (1, "b", "y"), (None, "c", "z"), (None, None, "z")], "doc_id long, text string, kept string")
     def sha(t):
@@ -128,7 +90,7 @@ def test_whole_pipeline_on_given_documents(spark):
             assert all(kept[t] == max(i for i, x in texts.items() if x == t) for t in kept)
         if len(sizes) == 3:
             left = [shingles(r.text) for r in docs.collect()]
-            assert sum(similarity(a, b) >= 0.8 for a, b in combinations(left, 2)) <= 1
+            assert not any(similarity(a, b) >= 0.8 for a, b in combinations(left, 2))
     assert sizes[0] >= 0.95 * len(texts) and sizes[1] <= sizes[0] and sizes[2] <= sizes[1] and sizes[3] > 0
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     result = corpus_pipeline.run(spark, folder).collect()
