@@ -14,16 +14,17 @@ from bisect import bisect_left, bisect_right
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from emberlog import catalogs as c
 from emberlog.functions.enrich import LEADING
 from emberlog.functions.text import found, word_jaccard, words
-from emberlog.operators.ordering import HOT_ROWS, running_totals
+from emberlog.operators.ordering import HOT_ROWS, beside, running_totals
 from emberlog.session import cut_lineage
 
 FILE, LINE, TEMPLATE = "source_file", "line_no", "log_template"
 SIMILAR = 0.8
+# Blocks that become one in a level of the chain.
+CHAIN = 64
 
 
 def flood_starts(df: DataFrame, window: int = 1000, threshold: float = 0.75, hot_rows: int | None = HOT_ROWS) -> DataFrame:
@@ -45,13 +46,13 @@ def flood_starts(df: DataFrame, window: int = 1000, threshold: float = 0.75, hot
     )
     inside = running_totals(steps, [FILE, TEMPLATE], ["at"], {"inside": F.col("step")}, hot_rows)
     was = F.col("inside") - F.col("step")
-    follow = Window.partitionBy(FILE, TEMPLATE).orderBy("at")
+    key = [FILE, TEMPLATE]
     if threshold <= 0.5:
-        level = inside.withColumn("_next", F.lead("at").over(follow)).filter(F.col("inside") >= need)
+        level = beside(inside, key, ["at"], after={"_next": F.col("at")}, hot_rows=hot_rows).filter(F.col("inside") >= need)
         return _winners(level.select(FILE, TEMPLATE, "inside", F.col("at").alias("low"), (F.col("_next") - 1).alias("high")), lines, window, hot_rows)
     turns = inside.filter((F.col("inside") >= need) != (was >= need))
     return (
-        turns.withColumn("_next", F.lead("at").over(follow)).filter(F.col("inside") >= need)
+        beside(turns, key, ["at"], after={"_next": F.col("at")}, hot_rows=hot_rows).filter(F.col("inside") >= need)
         .select(FILE, F.col(TEMPLATE).alias("dominant"), F.col("at").alias("low"), (F.col("_next") - 1).alias("high"))
     )
 
@@ -62,9 +63,9 @@ def _winners(levels: DataFrame, lines: DataFrame, window: int, hot_rows: int | N
     Worked out position by position: a position has few templates that fill a share of its window.
     """
     counted = levels.select(FILE, TEMPLATE, "inside", F.explode(F.sequence("low", "high")).alias("pos"))
-    before = F.lag(LINE).over(Window.partitionBy(FILE, TEMPLATE).orderBy(LINE))
-    first = F.greatest(F.coalesce(before, F.lit(0)) + 1, F.col(LINE) - window + 1)
-    nearest = lines.select(FILE, TEMPLATE, LINE, first.alias("_from")).select(
+    placed = beside(lines, [FILE, TEMPLATE], [LINE], before={"_before": F.col(LINE)}, hot_rows=hot_rows)
+    first = F.greatest(F.coalesce("_before", F.lit(0)) + 1, F.col(LINE) - window + 1)
+    nearest = placed.select(FILE, TEMPLATE, LINE, first.alias("_from")).select(
         FILE, TEMPLATE, F.col(LINE).alias("nearest"), F.explode(F.sequence("_from", LINE)).alias("pos"))
     best = (counted.join(nearest, [FILE, TEMPLATE, "pos"]).groupBy(FILE, "pos")
             .agg(F.max(F.struct("inside", (-F.col("nearest")).alias("soon"), F.col(TEMPLATE).alias("dominant"))).alias("top"))
@@ -202,21 +203,96 @@ def _entries(pieces: DataFrame, window: int, size: int) -> DataFrame:
         out[FILE], out["chunk"] = pdf[FILE].iloc[0], number
         return out[[FILE, "chunk", "line_in", "line_out"]]
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, out = 1, []
-        for number, moves in pdf.sort_values("chunk").groupby("chunk"):
-            begin = max(at, number * size + 1)
-            if begin <= (number + 1) * size:
-                out.append((pdf[FILE].iloc[0], number, begin))
-                at = int(moves.loc[moves["line_in"] == begin, "line_out"].iloc[0])
-        return pd.DataFrame(out, columns=[FILE, "chunk", "first"])
-
     left = pieces.groupBy(FILE, "chunk").applyInPandas(leave, f"{FILE} string, first long")
     flooded = pieces.filter("kind = 'start'").select(FILE, "chunk").distinct()
     entry = left.distinct().withColumn("chunk", chunk).join(flooded, [FILE, "chunk"], "left_semi").select(
         FILE, "chunk", F.lit("entry").alias("kind"), "first", F.lit(None).cast("long").alias("last"), F.lit(None).cast("string").alias("dominant"))
     moves = pieces.unionByName(entry).groupBy(FILE, "chunk").applyInPandas(cross, f"{FILE} string, chunk long, line_in long, line_out long")
-    return moves.groupBy(FILE).applyInPandas(follow, f"{FILE} string, chunk long, first long")
+    return _chained(cut_lineage(moves), size)
+
+
+class _Moves:
+    """Where the scan leaves each of some neighbouring blocks of a file, by the line at which it enters."""
+
+    def __init__(self, pdf: pd.DataFrame, size: int):
+        self.blocks = []
+        for number, rows in pdf.sort_values(["block", "line_in"]).groupby("block"):
+            into = dict(zip(rows["line_in"].tolist(), rows["line_out"].tolist()))
+            self.blocks.append((int(number), into, [x for x in into if (x - 1) % size == 0]))
+
+    def entered(self, at: int, last: int, which: int) -> int | None:
+        """The line at which a scan that is at ``at`` enters block ``which``, which ends at line ``last``: ``at`` itself if the block
+        knows it, else the next start of a chunk with floods."""
+        _, into, starts = self.blocks[which]
+        if at > last or at in into:
+            return at if at in into else None
+        i = bisect_left(starts, at)
+        return starts[i] if i < len(starts) else None
+
+    def ways_out(self, span: int) -> dict[int, int]:
+        """Line behind all blocks for every line in: the last blocks first, so that each line is followed one block far."""
+        out: dict[int, int] = {}
+        for which in reversed(range(len(self.blocks))):
+            for begin, at in self.blocks[which][1].items():
+                for later in range(which + 1, len(self.blocks)):
+                    then = self.entered(at, (self.blocks[later][0] + 1) * span, later)
+                    if then is not None:
+                        at = out[then]
+                        break
+                out[begin] = at
+        return out
+
+    def path(self, at: int, span: int) -> list[tuple[int, int]]:
+        """(block, line in) of the blocks that a scan at ``at`` enters."""
+        found = []
+        for which, (number, into, _) in enumerate(self.blocks):
+            begin = self.entered(at, (number + 1) * span, which)
+            if begin is not None:
+                found.append((number, begin))
+                at = into[begin]
+        return found
+
+
+def _chained(moves: DataFrame, size: int) -> DataFrame:
+    """(file, chunk, first): the line at which the scan enters each chunk, from (file, chunk, line_in, line_out).
+
+    What a chunk does to the scan is a function from lines in to lines out, and functions compose in any grouping: ``CHAIN`` neighbouring
+    blocks become one, level by level, until a file is one; then the way is found from the top down. A block keeps the lines in
+    that another block leaves to, so no task holds more than ``CHAIN`` blocks of about a window's lines each, whatever the file.
+    """
+    levels = [moves.withColumnRenamed("chunk", "block")]
+    span = size
+    most = (levels[0].agg(F.max("block")).first()[0] or 0) + 1
+
+    def united(span: int):
+        def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+            ways = _Moves(pdf, size).ways_out(span)
+            out = pd.DataFrame({"line_in": list(ways), "line_out": list(ways.values())}, dtype="int64")
+            out[FILE], out["block"] = pdf[FILE].iloc[0], int(pdf["block"].iloc[0]) // CHAIN
+            return out[[FILE, "block", "line_in", "line_out"]]
+        return unite
+
+    def descended(span: int):
+        def descend(above: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+            if not len(above) or not len(pdf):
+                return pd.DataFrame(columns=[FILE, "block", "first"])
+            found = pd.DataFrame(_Moves(pdf, size).path(int(above["first"].iloc[0]), span), columns=["block", "first"], dtype="int64")
+            return found.assign(**{FILE: pdf[FILE].iloc[0]})[[FILE, "block", "first"]]
+        return descend
+
+    over = F.floor(F.col("block") / CHAIN)
+    while most > 1:
+        whole = levels[-1].groupBy(FILE, over.alias("_over")).applyInPandas(united(span), f"{FILE} string, block long, line_in long, line_out long")
+        whole, most, span = cut_lineage(whole), -(-most // CHAIN), span * CHAIN
+        reached = whole.select(FILE, F.col("line_out").alias("line_in")).distinct()
+        is_start = (F.col("line_in") - 1) % size == 0
+        levels.append(cut_lineage(whole.join(reached.withColumn("_reached", F.lit(True)), [FILE, "line_in"], "left").filter(is_start | F.col("_reached")).drop("_reached")))
+    entries = levels.pop().groupBy(FILE, "block").agg(F.min("line_in").alias("first"))
+    for level in reversed(levels):
+        span //= CHAIN
+        entries = cut_lineage(entries.withColumn("_over", F.col("block")).groupBy(FILE, "_over").cogroup(level.withColumn("_over", over).groupBy(FILE, "_over")).applyInPandas(
+            descended(span), f"{FILE} string, block long, first long"))
+    return entries.withColumnRenamed("block", "chunk")
 
 
 def flood_blocks(df: DataFrame, window: int = 1000, threshold: float = 0.75, hot_rows: int | None = HOT_ROWS,

@@ -10,38 +10,22 @@ blocks of bounded size that returns the best ``k`` per row, never all pairs.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from emberlog.operators.cells import close_vectors
+from emberlog.operators.distances import best_of_blocks, distances, fields, matrix, near_fields
 from emberlog.operators.ordering import top_rows
 from emberlog.session import cut_lineage
 
 BLOCK = 4096
+# More pivots would cost more than they rule out: a plan's choice, every pair that may count is compared all the same.
 MAX_PIVOTS = 256
-APPROX_PIVOTS = 4096
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
-
-
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = a @ b.T
-    out *= -2.0
-    out += (a * a).sum(1)[:, None]
-    out += (b * b).sum(1)[None, :]
-    return out
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(_squared(a, b), 0.0))
-
-
-def _fields(df: DataFrame, names: list[str]) -> list[str]:
-    return [f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names]
 
 
 def _weight(copies: str | None) -> Column:
@@ -54,8 +38,8 @@ def distinct_vectors(df: DataFrame, by: list[str], vector: str, row_id: str, cop
         F.min(row_id).alias("vid"), _weight(copies).alias("copies"))
 
 
-def _assign(points: DataFrame, by: list[str], pivots_per_group: Column, probe: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """Add the nearest pivot (cell), the distance to it, and the ``probe`` nearest pivots."""
+def _assign(points: DataFrame, by: list[str], pivots_per_group: Column, most: int) -> tuple[DataFrame, DataFrame]:
+    """Add the nearest pivot (cell) and the distance to it."""
     sizes = points.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumns({"_pivots": pivots_per_group, "_lanes": F.ceil(F.col("_n") / BLOCK)})
     sampled = top_rows(points.select(*by, "vid", "vec"), by, [F.xxhash64("vid"), F.col("vid")], most)
@@ -75,37 +59,27 @@ def _assign(points: DataFrame, by: list[str], pivots_per_group: Column, probe: i
         if not len(rows):
             return pd.DataFrame(columns=names)
         piv = piv.sort_values("pivot")
-        d = _distances(_matrix(rows["vec"]), _matrix(piv["pivot_vec"]))
-        at = np.argsort(d, axis=1, kind="stable")[:, :max(probe, 1)]
-        ids = piv["pivot"].to_numpy()[at]
-        return rows.assign(cell=ids[:, 0], to_pivot=d[np.arange(len(rows)), at[:, 0]], probes=list(ids))[names]
+        d = distances(matrix(rows["vec"]), matrix(piv["pivot_vec"]))
+        at = np.argmin(d, axis=1)
+        return rows.assign(cell=piv["pivot"].to_numpy()[at], to_pivot=d[np.arange(len(rows)), at])[names]
 
-    names = [*by, "vid", "vec", "copies", "cell", "to_pivot", "probes"]
-    out = ", ".join(_fields(points, [*by, "vid", "vec", "copies"]) + ["cell long", "to_pivot double", "probes array<long>"])
+    names = [*by, "vid", "vec", "copies", "cell", "to_pivot"]
+    out = ", ".join(fields(points, [*by, "vid", "vec", "copies"]) + ["cell long", "to_pivot double"])
     key = [*by, "_lane"]
     assigned = laned.groupBy(*key).cogroup(spread.groupBy(*key)).applyInPandas(nearest_pivot, out)
     return cut_lineage(assigned), pivots.drop("_lanes")
 
 
-def _cell_pairs(cells: DataFrame, by: list[str], k: int, approximate: bool) -> DataFrame:
-    """Which cells to compare. A group here is one group's pivots, at most MAX_PIVOTS (APPROX_PIVOTS) rows.
-
-    Exact: all cells that can hold a neighbour. Approximate: the nearest cells that
-    together hold ``k`` vectors, so that no row is left short of neighbours.
-    """
+def _cell_pairs(cells: DataFrame, by: list[str], k: int) -> DataFrame:
+    """Which cells to compare: all that can hold a neighbour. A group here is one group's pivots, at most MAX_PIVOTS rows."""
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell").reset_index(drop=True)
-        gap = _distances(_matrix(pdf["pivot_vec"]), _matrix(pdf["pivot_vec"]))
+        gap = distances(matrix(pdf["pivot_vec"]), matrix(pdf["pivot_vec"]))
         np.fill_diagonal(gap, 0.0)
-        radius, size = pdf["radius"].to_numpy(), pdf["size"].to_numpy()
+        radius = pdf["radius"].to_numpy()
         closest = [np.sort(np.asarray(c, dtype=np.float64)) for c in pdf["closest"]]
         out = []
         for i in range(len(pdf)):
-            if approximate:
-                order = np.argsort(gap[i], kind="stable")
-                enough = int(np.searchsorted(np.cumsum(size[order]), k)) + 1
-                out += [(pdf["cell"][i], pdf["cell"][j], 0.0, np.inf) for j in order[:enough]]
-                continue
             reach = np.sort(np.concatenate([radius[i] + gap[i, j] + c for j, c in enumerate(closest)]))
             bound = reach[min(k, len(reach)) - 1] if len(reach) >= k else np.inf
             slack = 1e-6 * (gap.max() + radius.max())
@@ -116,43 +90,11 @@ def _cell_pairs(cells: DataFrame, by: list[str], k: int, approximate: bool) -> D
             frame[name] = pdf[name].iloc[0]
         return frame[[*by, "cell", "other", "low", "high"]]
 
-    out = ", ".join(_fields(cells, by) + ["cell long", "other long", "low double", "high double"])
+    out = ", ".join(fields(cells, by) + ["cell long", "other long", "low double", "high double"])
     return cells.groupBy(*by).applyInPandas(pairs, out)
 
 
-def _near_fields(df: DataFrame, by: list[str]) -> str:
-    return ", ".join(_fields(df, by) + ["vid long", "neighbor long", "distance double", "copies long"])
-
-
-def _best_of_blocks(by: list[str], k: int):
-    """Function of two blocks: the ``k`` nearest offered vectors of every asking one."""
-    names = [*by, "vid", "neighbor", "distance", "copies"]
-
-    def best(ask: pd.DataFrame, offer: pd.DataFrame) -> pd.DataFrame:
-        if not len(ask) or not len(offer):
-            return pd.DataFrame(columns=names)
-        a, b = _matrix(ask["vec"]), _matrix(offer["vec"])
-        take = min(k + 4, len(offer))
-        rough = _squared(a, b)
-        at = np.argpartition(rough, take - 1, axis=1)[:, :take]
-        del rough
-        exact = np.concatenate([
-            np.sqrt(((a[i: i + 256, None, :] - b[at[i: i + 256]]) ** 2).sum(axis=2)) for i in range(0, len(a), 256)])
-        who = offer["neighbor"].to_numpy()[at]
-        order = np.lexsort((who, exact), axis=1)[:, : min(k, take)]
-        rows = np.repeat(np.arange(len(a)), order.shape[1])
-        pick = (rows, order.ravel())
-        out = pd.DataFrame({
-            "vid": ask["vid"].to_numpy()[rows], "neighbor": who[pick],
-            "distance": exact[pick], "copies": offer["copies"].to_numpy()[at[pick]]})
-        for name in by:
-            out[name] = ask[name].iloc[0]
-        return out[names]
-    return best
-
-
-def _compare(assigned: DataFrame, cells: DataFrame, pairs: DataFrame, by: list[str], k: int,
-             approximate: bool) -> DataFrame:
+def _compare(assigned: DataFrame, cells: DataFrame, pairs: DataFrame, by: list[str], k: int) -> DataFrame:
     parts = cells.select(*by, "cell", F.ceil(F.col("size") / BLOCK).alias("parts"))
     mine = F.pmod(F.xxhash64("vid"), F.col("parts"))
     theirs = F.pmod(F.xxhash64("vid"), F.col("other_parts"))
@@ -160,17 +102,11 @@ def _compare(assigned: DataFrame, cells: DataFrame, pairs: DataFrame, by: list[s
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
-    askers = assigned
-    if approximate:
-        # Every row asks its own nearest cells; a cell pair is compared if any of its rows asks.
-        enough = pairs.groupBy(*by, "cell").agg(F.collect_list("other").alias("_enough"))
-        askers = assigned.join(enough, [*by, "cell"]).withColumn("other", F.explode(F.array_union("probes", "_enough")))
-        pairs = askers.select(*by, "cell", "other").distinct().withColumns({"low": F.lit(0.0), "high": F.lit(float("inf"))})
     sized = (
         pairs.join(parts, [*by, "cell"])
         .join(parts.select(*by, F.col("cell").alias("other"), F.col("parts").alias("other_parts")), [*by, "other"])
     )
-    asking = (askers.join(sized, [*by, "cell", "other"] if approximate else [*by, "cell"])
+    asking = (assigned.join(sized, [*by, "cell"])
               .withColumns({"part": mine, "other_part": every("other_parts")})
               .select(*by, "cell", "part", "other", "other_part", "vid", "vec"))
     offered = (assigned.withColumnRenamed("cell", "other").join(sized, [*by, "other"])
@@ -180,37 +116,42 @@ def _compare(assigned: DataFrame, cells: DataFrame, pairs: DataFrame, by: list[s
                        F.col("vid").alias("neighbor"), F.col("vec").alias("vec"), F.col("copies").alias("copies")))
 
     key = [*by, "cell", "part", "other", "other_part"]
-    found = asking.groupBy(*key).cogroup(offered.groupBy(*key)).applyInPandas(_best_of_blocks(by, k), _near_fields(assigned, by))
+    found = asking.groupBy(*key).cogroup(offered.groupBy(*key)).applyInPandas(best_of_blocks(by, k), _nearfields(assigned, by))
     return top_rows(found, [*by, "vid"], ["distance", "neighbor"], k)
 
 
-def nearest_vectors(points: DataFrame, by: list[str], k: int, probe: int | None = None,
-                    pivots: int | None = None) -> DataFrame:
-    """(by, vid, neighbor, distance, copies): the ``k`` nearest different vectors,
-    the vector itself included, by Euclidean distance. Equal distances go to the
-    smaller id. With ``probe`` every vector looks only into that many nearest cells (approximate); there
-    are as many cells as the root of a group's vectors then, so a vector is compared with about
-    ``(probe + 1)`` times that root and the work grows as n ** 1.5, not as its square."""
+def nearest_vectors(points: DataFrame, by: list[str], k: int, pivots: int | None = None) -> DataFrame:
+    """(by, vid, neighbor, distance, copies): the ``k`` nearest different vectors, the vector itself included, by
+    Euclidean distance, exactly. Equal distances go to the smaller id. What no bound on the cells rules out is compared: on
+    vectors without structure the work is the square of the *different* vectors. ``close_vectors`` is the search that scales."""
     wanted = F.lit(pivots) if pivots else F.greatest(F.lit(1), F.least(F.lit(MAX_PIVOTS), F.floor(F.col("_n") / (BLOCK / 2)))).cast("int")
-    if probe is not None and not pivots:
-        wanted = F.greatest(F.lit(1), F.least(F.lit(APPROX_PIVOTS), F.ceil(F.sqrt("_n")))).cast("int")
-    elif not pivots:
+    if not pivots:
         wanted = F.when(F.col("_n") <= BLOCK, F.lit(1)).otherwise(wanted)
-    approximate = probe is not None
-    if not approximate and not pivots:
         largest = points.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         if (largest or 0) <= BLOCK:
-            best = _best_of_blocks(by, k)
+            best = best_of_blocks(by, k)
             return points.groupBy(*by).applyInPandas(
-                lambda pdf: best(pdf, pdf.rename(columns={"vid": "neighbor"})), _near_fields(points, by))
-    assigned, chosen = _assign(points, by, wanted, probe or 1, max(MAX_PIVOTS, pivots or 0) if not approximate else APPROX_PIVOTS)
+                lambda pdf: best(pdf, pdf.rename(columns={"vid": "neighbor"})), near_fields(points, by))
+    assigned, chosen = _assign(points, by, wanted, max(MAX_PIVOTS, pivots or 0))
     close = top_rows(assigned.select(*by, "cell", "vid", "to_pivot"), [*by, "cell"], ["to_pivot", "vid"], k)
     cells = cut_lineage(
         assigned.groupBy(*by, "cell").agg(F.max("to_pivot").alias("radius"), F.count(F.lit(1)).alias("size"))
         .join(close.groupBy(*by, "cell").agg(F.collect_list("to_pivot").alias("closest")), [*by, "cell"])
         .join(chosen.withColumnRenamed("pivot", "cell"), [*by, "cell"]))
-    pairs = _cell_pairs(cells, by, k, approximate)
-    return _compare(assigned, cells, pairs, by, k, approximate)
+    return _compare(assigned, cells, _cell_pairs(cells, by, k), by, k)
+
+
+@dataclass(frozen=True)
+class Approximate:
+    """Look for about ``recall`` of the neighbours, in cells. ``pivots`` and ``probe`` fix the number of coarse cells of a group and of
+    those looked into; by default both follow from the data (see ``cells``)."""
+    recall: float = 0.95
+    probe: int | None = None
+    pivots: int | None = None
+
+
+def _search(points: DataFrame, by: list[str], k: int, how: Approximate | None, pivots: int | None = None) -> DataFrame:
+    return nearest_vectors(points, by, k, pivots) if how is None else close_vectors(points, by, k, how.recall, how.probe, how.pivots)
 
 
 def _unit(points: DataFrame) -> DataFrame:
@@ -220,22 +161,34 @@ def _unit(points: DataFrame) -> DataFrame:
 
 
 def neighbor_pairs(df: DataFrame, by: list[str], k: int = 5, vector: str = "embedding", row_id: str = "row_id",
-                   probe: int | None = None, pivots: int | None = None) -> DataFrame:
+                   how: Approximate | None = None, pivots: int | None = None) -> DataFrame:
     """k nearest different vectors by cosine distance, itself included."""
-    return _cosine_neighbors(cut_lineage(distinct_vectors(df, by, vector, row_id)), by, k, probe, pivots)
+    near = unit_neighbors(cut_lineage(distinct_vectors(df, by, vector, row_id)), by, k, how, pivots)
+    return top_rows(_cosine(near), [*by, "vid"], ["distance", "neighbor"], k)
+
 
+def unit_neighbors(points: DataFrame, by: list[str], k: int, how: Approximate | None = None, pivots: int | None = None) -> DataFrame:
+    """(by, vid, neighbor, distance, copies, blank): at least the ``k`` nearest vectors once all have length one, by Euclidean distance.
 
-def _cosine_neighbors(points: DataFrame, by: list[str], k: int, probe: int | None, pivots: int | None) -> DataFrame:
-    """A zero vector has no direction: it is at distance 1 from everything."""
+    A zero vector stays as it is, at distance 1 from the others (``blank``: one of the two is zero); a group has one at most.
+    Both scores are read from this table: by cosine and by Euclidean distance unit vectors come in the same order.
+    """
     points = _unit(points)
-    near = nearest_vectors(points.filter("_norm > 0").drop("_norm"), by, k, probe, pivots).withColumn(
-        "distance", F.col("distance") * F.col("distance") / 2)
-    zero = points.filter("_norm = 0").select(*by, F.col("vid").alias("neighbor"), F.lit(1.0).alias("distance"), "copies")
-    beside = points.filter("_norm > 0").select(*by, "vid").join(zero, by)
-    alone = zero.withColumn("vid", F.col("neighbor"))
     names = [*by, "vid", "neighbor", "distance", "copies"]
-    return top_rows(near.select(*names).unionByName(beside.select(*names)).unionByName(alone.select(*names)),
-                    [*by, "vid"], ["distance", "neighbor"], k)
+    some, zero = points.filter("_norm > 0").drop("_norm"), points.filter("_norm = 0").select(*by, F.col("vid").alias("zero"), F.col("copies").alias("zeros"))
+    near = _search(some, by, k, how, pivots).select(*names, F.lit(False).alias("blank"))
+    if zero.isEmpty():
+        return near
+    beside = some.select(*by, "vid").join(zero, by).select(*by, "vid", F.col("zero").alias("neighbor"), F.lit(1.0).alias("distance"), F.col("zeros").alias("copies"), F.lit(True).alias("blank"))
+    own = zero.select(*by, F.col("zero").alias("vid"), F.col("zero").alias("neighbor"), F.lit(0.0).alias("distance"), F.col("zeros").alias("copies"), F.lit(True).alias("blank"))
+    first = top_rows(some.join(zero, by).select(*by, F.col("zero").alias("vid"), F.col("vid").alias("neighbor"), F.lit(1.0).alias("distance"), "copies", F.lit(True).alias("blank")), by, ["neighbor"], k)
+    return near.unionByName(beside).unionByName(own).unionByName(first)
+
+
+def _cosine(near: DataFrame) -> DataFrame:
+    """A zero vector has no direction: it is at cosine distance 1 from everything, itself included."""
+    distance = F.when(F.col("blank"), F.lit(1.0)).otherwise(F.col("distance") * F.col("distance") / 2)
+    return near.withColumn("distance", distance).drop("blank")
 
 
 def _taken(near: DataFrame, by: list[str], limit: Column, own: Column) -> DataFrame:
@@ -262,27 +215,29 @@ def group_sizes(df: DataFrame, by: list[str], copies: str | None = None) -> Data
     return df.groupBy(*by).agg(_weight(copies).alias("_rows"))
 
 
-def knn_score(df: DataFrame, by: list[str] | None = None, k: int = 5, vector: str = "embedding",
-              row_id: str = "row_id", probe: int | None = None, pivots: int | None = None,
-              copies: str | None = None) -> DataFrame:
+def knn_of(near: DataFrame, sizes: DataFrame, by: list[str], k: int) -> DataFrame:
+    """(by, vid, anomaly_score) from a table of ``unit_neighbors``."""
+    limit = F.least(F.lit(k).cast("long"), F.col("_rows") - 1)
+    return (
+        _taken(_cosine(near).join(sizes, by), by, limit, F.col("copies"))
+        .groupBy(*by, "vid").agg((F.sum(F.col("distance") * F.col("taken")) / F.sum("taken")).alias("anomaly_score")))
+
+
+def knn_score(df: DataFrame, by: list[str] | None = None, k: int = 5, vector: str = "embedding", row_id: str = "row_id",
+              how: Approximate | None = None, pivots: int | None = None, copies: str | None = None) -> DataFrame:
     """Add ``anomaly_score``: mean cosine distance to the k nearest rows, itself included.
 
     ``copies`` names a column saying how many equal rows a row stands for.
     """
     by = ["source_file"] if by is None else by
     points = cut_lineage(distinct_vectors(df, by, vector, row_id, copies))
-    near = _cosine_neighbors(points, by, k, probe, pivots)
-    sizes = group_sizes(df, by, copies)
-    limit = F.least(F.lit(k).cast("long"), F.col("_rows") - 1)
-    scores = (
-        _taken(near.join(sizes, by), by, limit, F.col("copies"))
-        .groupBy(*by, "vid").agg((F.sum(F.col("distance") * F.col("taken")) / F.sum("taken")).alias("anomaly_score"))
-    )
+    near = cut_lineage(unit_neighbors(points, by, k, how, pivots))
+    scores = knn_of(near, group_sizes(df, by, copies), by, k)
     keyed = points.join(scores, [*by, "vid"], "left").select(*by, "vec", F.coalesce("anomaly_score", F.lit(0.0)).alias("anomaly_score"))
     return join_by_vector(df, keyed, by, vector)
 
 
-def knn_score_approx(df: DataFrame, by: list[str] | None = None, k: int = 5, vector: str = "embedding",
-                     row_id: str = "row_id", probe: int = 8, pivots: int | None = None, copies: str | None = None) -> DataFrame:
-    """``knn_score`` comparing only the ``probe`` nearest of ``pivots`` cells (by default the root of a group's size)."""
-    return knn_score(df, by, k, vector, row_id, probe, pivots, copies)
+def knn_score_approx(df: DataFrame, by: list[str] | None = None, k: int = 5, vector: str = "embedding", row_id: str = "row_id",
+                     recall: float = 0.95, probe: int | None = None, pivots: int | None = None, copies: str | None = None) -> DataFrame:
+    """``knn_score`` by the approximate search: about ``recall`` of the neighbours (see ``cells``)."""
+    return knn_score(df, by, k, vector, row_id, Approximate(recall, probe, pivots), copies=copies)

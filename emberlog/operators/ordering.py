@@ -90,6 +90,41 @@ def number_rows(df: DataFrame, by: list[str], order: list, name: str = "line_no"
     return running_totals(df, by, order, {name: F.lit(1).cast("long")}, hot_limit(df, hot_rows))
 
 
+def beside(df: DataFrame, by: list[str], order: list, before: dict[str, Column] | None = None, after: dict[str, Column] | None = None,
+           hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Add values of the row ``before`` and of the row ``after`` in the group (null at its ends); ``order`` must be unique within a group.
+
+    Rows of hot groups are laid out by range. A slice finds its rows' neighbours itself but for the ones across its edges: these come
+    from a table with the first and last values of every slice.
+    """
+    before, after = before or {}, after or {}
+    rows, keys = _keyed(df, by)
+    plain, hot = split_hot(rows, keys, hot_rows)
+    frame = Window.partitionBy(*keys).orderBy(*order)
+    out = plain.withColumns({**{n: F.lag(c).over(frame) for n, c in before.items()}, **{n: F.lead(c).over(frame) for n, c in after.items()}})
+    return (out if hot is None else out.unionByName(_spread_beside(hot, keys, order, before, after))).drop(ALL)
+
+
+def _spread_beside(df: DataFrame, by: list[str], order: list, before: dict[str, Column], after: dict[str, Column]) -> DataFrame:
+    given = F.struct(F.lit(1).alias("_there"), *(c.alias(n) for n, c in {**before, **after}.items()))
+    laid = cut_lineage(
+        df.withColumn("_given", given)
+        .repartitionByRange(shuffle_width(df.sparkSession), *[F.col(k) for k in by], *order)
+        .sortWithinPartitions(*by, *order)
+        .withColumns({"_slice": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    )
+    slices = Window.partitionBy(*by).orderBy("_slice")
+    edges = (
+        laid.groupBy(*by, "_slice").agg(F.min_by("_given", "_at").alias("_first"), F.max_by("_given", "_at").alias("_last"))
+        .select(*by, "_slice", F.lag("_last").over(slices).alias("_left"), F.lead("_first").over(slices).alias("_right"))
+    )
+    inside = Window.partitionBy(*by, "_slice").orderBy("_at")
+    near = laid.withColumns({"_lag": F.lag("_given").over(inside), "_lead": F.lead("_given").over(inside)})
+    joined = near.alias("l").join(edges.alias("r"), _same_key(by, "l", "r") & (F.col("l._slice") == F.col("r._slice")))
+    lag, lead = F.coalesce("l._lag", "r._left"), F.coalesce("l._lead", "r._right")
+    return joined.select(*[f"l.{c}" for c in df.columns], *[lag[n].alias(n) for n in before], *[lead[n].alias(n) for n in after])
+
+
 def top_rows(df: DataFrame, by: list[str], order: list, n: int, lanes: int = 64) -> DataFrame:
     """The first ``n`` rows of every group, exactly.
 

@@ -5,27 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.operators.neighbors import _taken, distinct_vectors, group_sizes, join_by_vector, nearest_vectors
+from emberlog.operators.neighbors import (
+    Approximate, _search, _taken, distinct_vectors, group_sizes, join_by_vector, knn_of, unit_neighbors)
 from emberlog.operators.ordering import HOT_ROWS, number_rows
 from emberlog.operators.vectors import tfidf_vectors
 from emberlog.session import cut_lineage
 
 
-def lof_factor(df: DataFrame, by: list[str] | None = None, k: int = 20, vector: str = "embedding",
-               row_id: str = "row_id", name: str = "lof_score", copies: str | None = None, probe: int | None = None) -> DataFrame:
-    """Add the negated factor: about -1 for ordinary rows, lower for outliers.
-
-    Works on different vectors with their number of copies: joins and group-bys only.
-    ``copies`` names a column saying how many equal rows a row stands for; with ``probe`` neighbours are
-    looked for in that many cells only (see ``nearest_vectors``).
-    """
-    by = ["source_file"] if by is None else by
-    points = cut_lineage(distinct_vectors(df, by, vector, row_id, copies))
-    sizes = group_sizes(df, by, copies)
+def lof_of(near: DataFrame, sizes: DataFrame, by: list[str], k: int, name: str) -> DataFrame:
+    """(by, vid, ``name``): the negated factor, from the ``k + 1`` nearest different vectors (by, vid, neighbor, distance, copies)."""
     limit = F.least(F.lit(k).cast("long"), F.col("_rows") - 1)
-    near = cut_lineage(_taken(
-        nearest_vectors(points, by, k + 1, probe).join(sizes, by), by, limit, F.col("copies") - 1)
-        .select(*by, "vid", "neighbor", "distance", "taken"))
+    near = cut_lineage(_taken(near.join(sizes, by), by, limit, F.col("copies") - 1).select(*by, "vid", "neighbor", "distance", "taken"))
     reach = near.groupBy(*by, "vid").agg(F.max("distance").alias("k_distance"))
     density = (
         near.join(reach.withColumnRenamed("vid", "neighbor"), [*by, "neighbor"])
@@ -37,11 +27,37 @@ def lof_factor(df: DataFrame, by: list[str] | None = None, k: int = 20, vector:
         near.join(density.select(*by, F.col("vid").alias("neighbor"), F.col("density").alias("_theirs")), [*by, "neighbor"])
         .groupBy(*by, "vid").agg((F.sum(F.col("_theirs") * F.col("taken")) / F.sum("taken")).alias("_around"))
     )
-    factor = around.join(density, [*by, "vid"]).select(*by, "vid", (-F.col("_around") / F.col("density")).alias(name))
+    return around.join(density, [*by, "vid"]).select(*by, "vid", (-F.col("_around") / F.col("density")).alias(name))
+
+
+def lof_factor(df: DataFrame, by: list[str] | None = None, k: int = 20, vector: str = "embedding", row_id: str = "row_id",
+               name: str = "lof_score", copies: str | None = None, how: Approximate | None = None) -> DataFrame:
+    """Add the negated factor: about -1 for ordinary rows, lower for outliers.
+
+    Works on different vectors with their number of copies: joins and group-bys only.
+    ``copies`` names a column saying how many equal rows a row stands for; ``how`` asks for the approximate search.
+    """
+    by = ["source_file"] if by is None else by
+    points = cut_lineage(distinct_vectors(df, by, vector, row_id, copies))
+    factor = lof_of(_search(points, by, k + 1, how), group_sizes(df, by, copies), by, k, name)
     keyed = points.join(factor, [*by, "vid"], "left").select(*by, "vec", F.coalesce(name, F.lit(0.0)).alias(name))
     return join_by_vector(df, keyed, by, vector)
 
 
+def knn_and_lof(df: DataFrame, by: list[str], k: int, lof_k: int, vector: str, row_id: str, name: str,
+                copies: str | None = None, how: Approximate | None = None) -> DataFrame:
+    """Add ``anomaly_score`` (``knn_score``) and the negated outlier factor ``name`` from one search and one table of neighbours.
+
+    Both are taken on vectors of length one, as log lines have them.
+    """
+    points = cut_lineage(distinct_vectors(df, by, vector, row_id, copies))
+    near = cut_lineage(unit_neighbors(points, by, max(k, lof_k + 1), how))
+    sizes = group_sizes(df, by, copies)
+    scores = knn_of(near, sizes, by, k).join(lof_of(near, sizes, by, lof_k, name), [*by, "vid"], "full")
+    keyed = points.join(scores, [*by, "vid"], "left").select(*by, "vec", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("anomaly_score", name)))
+    return join_by_vector(df, keyed, by, vector)
+
+
 def lof_scores(df: DataFrame, by: list[str] | None = None, k: int = 20, vector: str = "embedding",
                row_id: str = "row_id") -> DataFrame:
     """Negated factor and label with the fixed cut at -1.5."""

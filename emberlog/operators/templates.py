@@ -32,30 +32,57 @@ def masked_text(log: Column, extra_delimiters: Iterable[str] = ()) -> Column:
 
 
 class _Leaf:
-    """The clusters of one tree leaf: one row of token numbers each; ``OPEN`` is a wildcard."""
+    """The clusters of one tree leaf: one row of token numbers each; ``OPEN`` is a wildcard.
+
+    ``holders`` is an inverted index: which clusters have a token at a place. A cluster with enough equal tokens has at
+    least one of any ``fixed - need + 1`` fixed tokens of the line, so only the holders of its rarest ones are looked at.
+    """
 
     OPEN, STRANGE = 0, -1
 
     def __init__(self, tokens: int, similarity: float):
-        self.similarity, self.numbers, self.used = similarity, {WILD: self.OPEN}, 0
+        self.numbers, self.used = {WILD: self.OPEN}, 0
         self.known = np.zeros((4, tokens), np.int32)
+        self.open = np.zeros(4, np.int32)
+        self.holders: dict[tuple[int, int], list[int]] = {}
+        self.need = next(n for n in range(tokens + 2) if n / tokens >= similarity or n > tokens)
+
+    def _candidates(self, row: list[int]) -> np.ndarray | slice:
+        """The clusters that may have ``need`` equal tokens, oldest first; all of them if that is hardly fewer."""
+        held = sorted((self.holders.get((i, n), ()) for i, n in enumerate(row) if n != self.OPEN), key=len)
+        if self.need < 1:
+            return slice(self.used)
+        rare = held[:max(len(held) - self.need + 1, 0)]
+        if 2 * sum(map(len, rare)) > self.used:
+            return slice(self.used)
+        return np.array(sorted(set().union(*rare)), np.int64)
 
     def add(self, tokens: list[str]) -> int:
         """Number of the cluster that takes the line: the one with the most equal fixed tokens, if these are
         enough; of several the one with more wildcards, then the older. Tokens that differ become wildcards."""
-        row = np.fromiter((self.numbers.get(t, self.STRANGE) for t in tokens), np.int32, len(tokens))
-        known = self.known[:self.used]
-        if self.used:
-            is_open = known == self.OPEN
-            equal = ((known == row) & ~is_open).sum(axis=1)
-            rank = equal * (len(tokens) + 1) + is_open.sum(axis=1)
-            best = int(np.argmax(rank))
-            if equal[best] / len(tokens) >= self.similarity:
-                self.known[best][known[best] != row] = self.OPEN
+        numbers = [self.numbers.get(t, self.STRANGE) for t in tokens]
+        some = self._candidates(numbers)
+        known = self.known[some]
+        if len(known):
+            row = np.array(numbers, np.int32)
+            equal = np.count_nonzero((known == row) & (row != self.OPEN), axis=1)
+            at = int(np.argmax(equal * (len(tokens) + 1) + self.open[some]))
+            if equal[at] >= self.need:
+                best = at if isinstance(some, slice) else int(some[at])
+                mine = self.known[best]
+                for i in np.flatnonzero((mine != row) & (mine != self.OPEN)).tolist():
+                    self.holders[i, int(mine[i])].remove(best)
+                    mine[i] = self.OPEN
+                    self.open[best] += 1
                 return best
         if self.used == len(self.known):
-            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
-        self.known[self.used] = [self.numbers.setdefault(t, len(self.numbers)) for t in tokens]
+            self.known, self.open = np.concatenate([self.known, np.zeros_like(self.known)]), np.concatenate([self.open, np.zeros_like(self.open)])
+        new = [self.numbers.setdefault(t, len(self.numbers)) for t in tokens]
+        self.known[self.used] = new
+        self.open[self.used] = new.count(self.OPEN)
+        for i, n in enumerate(new):
+            if n != self.OPEN:
+                self.holders.setdefault((i, n), []).append(self.used)
         self.used += 1
         return self.used - 1
 
@@ -75,11 +102,16 @@ def learn_templates(df: DataFrame, scope: list[str], depth: int = 3, similarity:
     key = [*scope, "leaf"]
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, clusters = None, None
+        now, clusters, done = None, None, []
+
+        def close() -> None:
+            if clusters is not None:
+                done.extend([*now, None, n, t] for n, t in enumerate(clusters.templates()))
 
         def finished() -> pd.DataFrame:
-            found = clusters.templates()
-            return pd.DataFrame([[*now, None, n, t] for n, t in enumerate(found)], columns=[*key, "text", "cluster", "template"])
+            rows = pd.DataFrame(done, columns=[*key, "text", "cluster", "template"])
+            done.clear()
+            return rows
 
         for pdf in batches:
             numbers = []
@@ -87,12 +119,14 @@ def learn_templates(df: DataFrame, scope: list[str], depth: int = 3, similarity:
             for at, text in zip(keys, pdf["text"].tolist()):
                 tokens = text.split(" ")
                 if at != now:
-                    if clusters is not None:
-                        yield finished()
+                    close()
                     now, clusters = at, _Leaf(len(tokens), similarity)
                 numbers.append(clusters.add(tokens))
             yield pdf[[*key, "text"]].assign(cluster=numbers, template=None)
-        if clusters is not None:
+            if done:
+                yield finished()
+        close()
+        if done:
             yield finished()
 
     fields = ", ".join([f"`{n}` {laid.schema[n].dataType.simpleString()}" for n in [*key, "text"]] + ["cluster long", "template string"])

@@ -17,9 +17,9 @@ from emberlog.operators import metrics as m
 from emberlog.operators import rules as r
 from emberlog.operators.fields import FieldRule, extract_fields_by_source
 from emberlog.operators.flood import collapse_floods
-from emberlog.operators.neighbors import knn_score, knn_score_approx
+from emberlog.operators.neighbors import Approximate, knn_score
 from emberlog.operators.ordering import top_share
-from emberlog.operators.outlier import label_by_quantile, lof_factor
+from emberlog.operators.outlier import knn_and_lof, label_by_quantile, lof_factor
 from emberlog.operators.templates import mine_templates, signature_templates
 from emberlog.operators.vectors import tfidf_vectors
 from emberlog.operators.verdicts import build_prompts, classify_phase
@@ -30,10 +30,6 @@ from emberlog.sources import cap_rows_per_file
 from emberlog.sources.readers import large_file_flag
 
 
-# Cells that an approximate neighbour search looks into.
-PROBE = 8
-
-
 @dataclass(frozen=True)
 class Settings:
     """Defaults of a run. Fractions are fractions: 0.05 means five percent."""
@@ -59,6 +55,7 @@ class Settings:
     max_candidates: int | None = None
     prepare: bool = False
     approximate_neighbors: bool = False
+    neighbor_recall: float = 0.95
     context_limit: int | None = None
     large_file_rows: int = 100_000
     dedupe: bool = False
@@ -81,12 +78,17 @@ def score_lines(rows: DataFrame, s: Settings) -> DataFrame:
     """
     lines = rows.groupBy("source_file", "log").agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("copies"))
     vectors = written(tfidf_vectors(cut_lineage(lines), size=s.vector_size))
-    scored = (knn_score_approx if s.approximate_neighbors else knn_score)(vectors, k=s.knn_neighbors, copies="copies")
     if s.lof:
-        scored = lof_factor(scored, k=s.lof_neighbors, name="_factor", copies="copies", probe=PROBE if s.approximate_neighbors else None)
+        scored = knn_and_lof(vectors, ["source_file"], s.knn_neighbors, s.lof_neighbors, "embedding", "row_id", "_factor", "copies", _how(s))
+    else:
+        scored = knn_score(vectors, k=s.knn_neighbors, how=_how(s), copies="copies")
     return written(scored.drop("embedding", "row_id", "copies"))
 
 
+def _how(s: Settings) -> Approximate | None:
+    return Approximate(s.neighbor_recall) if s.approximate_neighbors else None
+
+
 def score_rows(rows: DataFrame, s: Settings) -> DataFrame:
     """Neighbour and outlier scores with their own flags; ``is_anomaly`` is set if any flag is.
 
@@ -94,9 +96,8 @@ def score_rows(rows: DataFrame, s: Settings) -> DataFrame:
     """
     if s.vector:
         known = rows.filter(F.col(s.vector).isNotNull())
-        scored = (knn_score_approx if s.approximate_neighbors else knn_score)(known, k=s.knn_neighbors, vector=s.vector)
-        probe = PROBE if s.approximate_neighbors else None
-        scored = lof_factor(scored, k=s.lof_neighbors, vector=s.vector, name="_factor", probe=probe) if s.lof else scored
+        scored = knn_score(known, k=s.knn_neighbors, vector=s.vector, how=_how(s))
+        scored = lof_factor(scored, k=s.lof_neighbors, vector=s.vector, name="_factor", how=_how(s)) if s.lof else scored
     else:
         scored = rows.join(score_lines(rows.filter("log IS NOT NULL"), s), ["source_file", "log"], "left").fillna({"anomaly_score": 0.0})
         scored = scored.fillna({"_factor": -1.0}) if s.lof else scored

@@ -102,3 +102,34 @@ def test_templates_with_a_word_in_common_are_not_all_compared(spark):
     left = right.withColumnRenamed("template", "dominant")
     assert fl.candidate_templates(left, right).count() < 3 * 2003
     assert fl.similar_templates(left, right).count() == 2003
+
+
+def test_a_file_of_a_thousand_chunks(spark, monkeypatch):
+    """The chain over the chunks is composed level by level: with four blocks to a level, five levels."""
+    monkeypatch.setattr(fl, "CHAIN", 4)
+    rnd = random.Random(9)
+    rows = []
+    while len(rows) < 5000:
+        kind = rnd.choice(NAMES[:4])
+        rows += [kind if rnd.random() < 0.9 else rnd.choice(NAMES) for _ in range(rnd.randrange(1, 40))]
+    files = {"long": rows, "other": rows[1000:1700], "calm": NAMES[2:4] * 30}
+    got = {}
+    for r in fl.flood_blocks(frame(spark, files), 5, 0.8, None, 5).collect():
+        got.setdefault(r.source_file, []).append((r.block_start, r.block_end, r.dominant))
+    for f, templates in files.items():
+        assert sorted(got.get(f, [])) == greedy(templates, 5, 0.8), f
+    assert len(got["long"]) > 100
+
+
+def test_blocks_know_the_ways_through(spark):
+    import pandas as pd
+    rnd = random.Random(4)
+    size = 10
+    moves = {(n, i): rnd.randrange((n + 1) * size + 1, (n + 3) * size) for n in range(6) if n != 2 for i in {n * size + 1, n * size + 4, n * size + 7}}
+    moves = {k: v for k, v in moves.items()}
+    pdf = pd.DataFrame([(n, i, o) for (n, i), o in moves.items()], columns=["block", "line_in", "line_out"])
+    chain = fl._Moves(pdf, size)
+    out = chain.ways_out(size)
+    for (n, i) in moves:
+        path = chain.path(i, size)
+        assert path[0] == (n, i) and out[i] == moves[path[-1]]

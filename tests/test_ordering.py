@@ -67,3 +67,18 @@ def test_around_is_independent_of_block_size(spark, block, with_self):
     for r in got:
         want = [f"{r.g}{j}" for j in range(max(1, r.line_no - 5), min(23, r.line_no + 5) + 1) if with_self or j != r.line_no]
         assert r.near == want
+
+
+@pytest.mark.parametrize("hot_rows", [None, 20, 1])
+def test_the_rows_beside(spark, rows, hot_rows):
+    """Values before and after a row, null values included, within slices of a hot group and across their edges."""
+    rows = [(None if g == "g1" else g, at, i, None if v == 0 else v) for g, at, i, v in rows]
+    df = spark.createDataFrame(rows, "g string, at int, i int, v int").repartition(7)
+    got = o.beside(df, ["g"], ["at", "i"], {"was": F.col("v")}, {"next": F.col("i"), "then": F.col("v")}, hot_rows).collect()
+    want = {}
+    for group in {r[0] for r in rows}:
+        line = sorted((r for r in rows if r[0] == group), key=lambda r: (r[1], r[2]))
+        for n, r in enumerate(line):
+            after = line[n + 1] if n + 1 < len(line) else (None,) * 4
+            want[r[2]] = (line[n - 1][3] if n else None, after[2], after[3])
+    assert {r.i: (r.was, r.next, r.then) for r in got} == want
