@@ -11,9 +11,9 @@ Before that a screen finds the sets that can have no partner, without moving a t
 members to buckets, which answer how many of a set's members another set has too. A set with more members of its own than may
 differ is done. What is left, as a rule a small part, is fetched again and joined.
 
-Posting lists of the same sets are kept once. A list tells pairs of different components only, first with one member, then with
-a few; every pair passes a sound bound (a parity sketch: the bits in which two sketches differ are at most the members in which
-the sets do) and is verified on the whole sets. In lists that still hold several components the sketches meet, all with all.
+Posting lists of the same sets are kept once. First a list tells the pairs with one of its members. In lists that then hold
+several components parity sketches meet, all with all: the bits in which two sketches differ are at most the members in which the
+sets do, so a pair that fails this bound is no link. What is left is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from emberlog.llm.components import components
+from emberlog.llm.components import grouped
 from emberlog.llm.exact import _arrow
 from emberlog.llm.inputs import join_hot, prepare, spread, tidied
 from emberlog.llm.runs import buckets_for, by_run, mixed, pack, unpack
@@ -42,7 +42,7 @@ SOURCE_BYTES, SOURCE_ROWS = 16 << 20, 60_000
 SEVERAL = 0xFFFF
 RUN_ROWS, RUN_MEMBERS = 512, 1 << 21
 FEW, MANY = 5, 9  # members of fewer than 2 ** FEW sets stand alone, of fewer than 2 ** MANY in pairs, the others in threes
-ROUNDS = (1, 8)
+SHORT = 16
 BLOCK = 1024
 LIST_LANE = 1_000_000
 
@@ -365,7 +365,7 @@ def different_lists(posted: DataFrame) -> DataFrame:
     """(key, node, n, members) of the lists of several nodes, written; of lists of the same nodes one."""
     heads = posted.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"))
     kept = heads.filter("members > 1").groupBy("members", "x", "y").agg(F.min("key").alias("key")).select("key", "members")
-    return written(join_hot(posted, written(kept), "key", F.col("node")).filter(F.col("members").isNotNull()))
+    return written(posted.join(written(kept), "key"))
 
 
 # Pairs
@@ -405,12 +405,13 @@ def cross_pairs(key, node, n, part, similarity: float, leaders: int):
         yield np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
 
-def pairs_of_lists(lists: DataFrame, similarity: float, leaders: int) -> DataFrame:
-    """(u, v), different: see ``cross_pairs``. A list of more than ``LIST_LANE`` nodes is dealt to several tasks, each with its own leaders."""
+def pairs_with_first(lists: DataFrame, similarity: float) -> DataFrame:
+    """(u, v), different: each node of a list with the list's first one. A list of more than ``LIST_LANE`` nodes is dealt to several tasks,
+    each with a first one of its own."""
     def search(batches):
         held, size = [], 0
         for whole in _whole(batches):
-            for pairs in cross_pairs(*whole, similarity, leaders):
+            for pairs in cross_pairs(*whole, similarity, 1):
                 held.append(pairs)
                 size += len(pairs)
                 if size > 1_000_000:
@@ -429,17 +430,17 @@ def pairs_of_lists(lists: DataFrame, similarity: float, leaders: int) -> DataFra
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
-    """``pairs`` (u, v) with ``columns`` of both sets (suffixes _u and _v); each set is fetched for its different partners' salts only."""
+    """``pairs`` (u, v) with ``columns`` of both sets (suffixes _u and _v); a node of many pairs is split by the adaptive plan."""
     needed = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     some = written(sets.select("node", *columns).join(needed, "node", "left_semi"))
     for side in "uv":
         of = some.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
-        pairs = join_hot(pairs, of, side, F.col("v" if side == "u" else "u"))
+        pairs = pairs.join(of, side)
     return pairs
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v) of ``pairs`` whose sets are similar enough, written: sketches settle most, then the whole sets decide."""
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float, sketched: bool = False) -> DataFrame:
+    """(u, v) of ``pairs`` whose sets are similar enough, written: sketches settle most (unless they have), then the whole sets decide."""
     def possible(batches):
         for batch in batches:
             a, n, b, m = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("sketch_u", "n_u", "sketch_v", "n_v"))
@@ -452,7 +453,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             good = [set_similarity(unpack(x), unpack(y)) >= similarity for x, y in zip(a, b)]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    rest = written(_with_sets(pairs, sets, ["n", "sketch"]).mapInArrow(tidied(possible), "u long, v long"))
+    rest = pairs if sketched else written(_with_sets(pairs, sets, ["n", "sketch"]).mapInArrow(tidied(possible), "u long, v long"))
     return written(_with_sets(rest, sets, ["hashes"]).mapInArrow(tidied(alike), "u long, v long"))
 
 
@@ -498,20 +499,37 @@ def sketch_pairs(node, n, part, side, sketches: list[bytes], similarity: float)
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
-def pairs_of_long_lists(lists: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def pairs_by_sketch(lists: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(u, v), different: all pairs of different components in ``lists`` that sketches allow. A list is cut into blocks; a task holds
-    the sketches of two."""
+    the sketches of two. Short lists are worked on many at a time."""
     rows = lists.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), "blocks"))
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "node", "n", "part", (F.col("mine") > F.col("other")).cast("int").alias("side"))
     some = written(sets.select("node", "sketch").join(rows.select("node").distinct(), "node", "left_semi"))
-    met = join_hot(met, some, "node", F.col("task")).select("task", "node", "n", "part", "side", "sketch")
+    met = met.join(some, "node").select("task", "node", "n", "part", "side", "sketch")
+
+    def of_short(tables) -> np.ndarray:
+        table = pa.concat_tables(tables)
+        key, node, n, part = (table.column(i).to_numpy() for i in range(4))
+        pairs = list(cross_pairs(key, node, n, part, similarity, SHORT))
+        pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        known = dict(zip(node.tolist(), zip(table.column(5).to_pylist(), n.tolist())))
+        good = [sketches_allow(*known[u], *known[v], similarity) for u, v in pairs.tolist()]
+        return pairs[np.array(good, bool)]
 
     def search(batches):
-        held, size = [], 0
+        held, size, short, rows = [], 0, [], 0
         for table in _tables(batches):
-            node, n, part, side = (table.column(i).to_numpy() for i in (1, 2, 3, 4))
-            held.append(sketch_pairs(node, n, part, side, table.column(5).to_pylist(), similarity))
+            if len(table) <= SHORT and not table.column(4).to_numpy().any():
+                short.append(table)
+                rows += len(table)
+                if rows < 20_000:
+                    continue
+                held.append(of_short(short))
+                short, rows = [], 0
+            else:
+                node, n, part, side = (table.column(i).to_numpy() for i in (1, 2, 3, 4))
+                held.append(sketch_pairs(node, n, part, side, table.column(5).to_pylist(), similarity))
             size += len(held[-1])
             if size > 500_000:
                 held = [np.unique(np.concatenate(held), axis=0)]
@@ -519,7 +537,9 @@ def pairs_of_long_lists(lists: DataFrame, sets: DataFrame, similarity: float) ->
                 if size > 250_000:
                     yield pa.RecordBatch.from_pydict({"u": pa.array(held[0][:, 0]), "v": pa.array(held[0][:, 1])})
                     held, size = [], 0
-        if size:
+        if short:
+            held.append(of_short(short))
+        if held:
             found = np.unique(np.concatenate(held), axis=0)
             yield pa.RecordBatch.from_pydict({"u": pa.array(found[:, 0]), "v": pa.array(found[:, 1])})
 
@@ -533,31 +553,25 @@ def connected(sets: DataFrame, bits: int, similarity: float, known: DataFrame |
     """
     digests = sets.groupBy("digest").agg(F.min("node").alias("v"), F.count("*").alias("n")).filter("n > 1")
     links = written(sets.select("digest", F.col("node").alias("u")).join(digests, "digest").filter("u <> v").select("u", "v"))
-    links = links if known is None else links.union(known)
-    roots = components(links)
+    if known is None:  # every one of these links leads to the smallest node of its group
+        roots = links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(links.select("v", "v").distinct())
+    else:
+        links = links.union(known)
+        roots = grouped(links)
     lists = different_lists(written(postings(sets, bits, similarity)))
-    tested = None
 
-    def mixed_lists():
+    def several():
         """Lists that hold several components, with them."""
-        now = lists.join(roots, "node", "left").select("key", "node", "n", "members", F.coalesce("root", "node").alias("part"))
-        parts = now.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key", F.lit(True).alias("several"))
-        return written(join_hot(now, written(parts), "key", F.col("node")).filter("several").drop("several"))
-
-    for leaders in (*ROUNDS, None):
-        rows = mixed_lists()
-        if leaders is None:
-            rows = rows.filter(F.col("members") > ROUNDS[-1] + 1)
-        if rows.isEmpty():
-            break
-        pairs = pairs_of_long_lists(rows, sets, similarity) if leaders is None else pairs_of_lists(rows, similarity, leaders)
-        pairs = written(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
-        good = verified(pairs, sets, similarity)
-        tested = pairs if tested is None else tested.union(pairs)
-        if not good.isEmpty():
-            links = links.union(good)
-            roots = components(links)
-    return roots
+        now = written(lists.join(roots, "node", "left").select("key", "node", "n", "members", F.coalesce("root", "node").alias("part")))
+        parts = now.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
+        return written(now.join(parts, "key", "left_semi"))
+
+    tested = written(pairs_with_first(several(), similarity))
+    links = links.union(verified(tested, sets, similarity))
+    roots = grouped(links)
+    rest = written(pairs_by_sketch(several().filter("members > 2"), sets, similarity).join(tested, ["u", "v"], "left_anti"))
+    good = verified(rest, sets, similarity, sketched=True)
+    return roots if good.isEmpty() else grouped(links.union(good))
 
 
 def rows_with_sha(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
