@@ -90,13 +90,17 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, salt_from: Column) ->
 def keep_rows(docs: DataFrame, judged: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, in all their columns, that ``judged`` (identifier, text_sha256, kept) keeps.
 
-    A row is found again by its identifier and text. Of rows equal in both one stays, if any is kept.
+    A row is found again by its identifier and text. Of rows equal in both the first read stays, if any is kept. Columns may have any
+    names and types.
     """
-    key = F.concat_ws("-", F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.sha2(F.coalesce(F.col(text_column), F.lit("")), 256))
-    of = judged.select(F.concat_ws("-", F.coalesce(F.col(id_column).cast("string"), F.lit("null")), "text_sha256").alias("_row_key"), "kept")
-    of = of.groupBy("_row_key").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).filter("kept")
+    def name(column: str):
+        return F.col("`" + column.replace("`", "``") + "`")
+    key = F.concat_ws("-", F.coalesce(name(id_column).cast("string"), F.lit("null")), F.sha2(F.coalesce(name(text_column), F.lit("")), 256))
+    of = judged.select(F.concat_ws("-", F.coalesce(name(id_column).cast("string"), F.lit("null")), "text_sha256").alias("key"), "kept")
+    of = of.groupBy("key").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).filter("kept")
     of = written(of)
-    rows = docs.withColumn("_row_key", key).join(of, "_row_key", "left_semi")
+    rows = docs.select(F.struct(*map(name, docs.columns)).alias("row"), key.alias("key"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.join(of, "key", "left_semi")
     if not of.filter("rows > 1").isEmpty():
-        rows = rows.dropDuplicates(["_row_key"])
-    return rows.select(*docs.columns)
+        rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("at"))).filter("place = 1")
+    return rows.select("row.*")

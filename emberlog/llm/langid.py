@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from emberlog.llm.exact import _arrow
 from emberlog.llm.inputs import id_type, prepare, spread, tidied
@@ -26,7 +27,8 @@ from emberlog.session import written
 GRAM = 4
 SLOTS_PER_GRAM = 16
 HASHES = 3
-MOST_LANGUAGES = 64
+WORD = 64
+LANES = 64
 GRAMS_PER_LANGUAGE = 20_000
 LEAST_RATE = 2e-6
 RELATIVE = 0.1
@@ -76,7 +78,7 @@ def _slots(hashes: np.ndarray, size: int):
 
 
 def _bits(hashes: np.ndarray, filters: Filters) -> np.ndarray:
-    """The languages, as bits, that contain each n-gram."""
+    """The languages, as bits of one or more words, that contain each n-gram."""
     found = None
     for slot in _slots(hashes, len(filters.slots)):
         found = filters.slots[slot] if found is None else found & filters.slots[slot]
@@ -84,19 +86,25 @@ def _bits(hashes: np.ndarray, filters: Filters) -> np.ndarray:
 
 
 def make_filters(counts: list[tuple[str, list[int]]]) -> Filters:
-    """Filters of (language, hashes of its n-grams). At most 64 languages."""
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"at most {MOST_LANGUAGES} languages")
+    """Filters of (language, hashes of its n-grams). A slot has one bit a language: a short word for few of them, several words for many."""
     size = 1 << max(10, (SLOTS_PER_GRAM * max([len(h) for _, h in counts], default=1)).bit_length())
-    kind = next(k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(counts) <= n)
-    slots = np.zeros(size, kind)
-    for bit, (_, hashes) in enumerate(counts):
+    kind = next((k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(counts) <= n), np.uint64)
+    slots = np.zeros((size, max(1, -(-len(counts) // WORD))), kind)
+    filled = np.zeros(len(counts))
+    for number, (_, hashes) in enumerate(counts):
+        word, bit = number // WORD, kind(1 << number % WORD)
         for slot in _slots(np.array(hashes, np.int64).view(np.uint64), size):
-            slots[slot] |= kind(1 << bit)
-    filled = np.array([np.count_nonzero(slots & kind(1 << bit)) / size for bit in range(len(counts))])
+            slots[slot, word] |= bit
+        filled[number] = np.count_nonzero(slots[:, word] & bit) / size
     return Filters([language for language, _ in counts], slots, filled ** HASHES)
 
 
+def _tallied(bits: np.ndarray, languages: int) -> np.ndarray:
+    """How many n-grams each language contains."""
+    one = bits.dtype.type
+    return np.array([np.count_nonzero(bits[:, n // WORD] & one(1 << n % WORD)) for n in range(languages)])
+
+
 def judge(text: str | None, filters: Filters) -> tuple[str, float]:
     """(language, score): score is the share of the text's n-grams that the language contains, corrected. ``und`` and 0
     for a text that is null or has no letter, or if no language was learned. Ties, and texts too short for an n-gram,
@@ -106,8 +114,7 @@ def judge(text: str | None, filters: Filters) -> tuple[str, float]:
     hashes = grams(text)
     if not len(hashes):
         return filters.languages[0], 0.0
-    bits = _bits(hashes, filters)
-    counts = np.array([np.count_nonzero(bits & filters.slots.dtype.type(1 << b)) for b in range(len(filters.languages))])
+    counts = _tallied(_bits(hashes, filters), len(filters.languages))
     corrected = np.clip((counts / len(hashes) - filters.accidents) / np.maximum(1 - filters.accidents, 1e-9), 0, 1)
     best = int(np.argmax(corrected))
     return filters.languages[best], float(corrected[best])
@@ -148,18 +155,18 @@ def train(docs: DataFrame, text_column: str = "text", language_column: str = "la
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals, key=lambda lang: (-totals[lang], lang))
     if not languages:
-        return Filters([], np.zeros(1, np.uint8), np.zeros(0))
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"at most {MOST_LANGUAGES} languages")
+        return Filters([], np.zeros((1, 1), np.uint8), np.zeros(0))
     rate = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(1.0 / totals[lang]))])
     rated = counts.withColumn("rate", F.col("n") * F.element_at(rate, F.col("lang"))).filter(F.col("rate") >= LEAST_RATE)
     per_gram = rated.groupBy("gram").agg(F.max("rate").alias("highest"), F.collect_list(F.struct("lang", "rate")).alias("of"))
     kept = written(per_gram.select("gram", "highest", F.explode("of").alias("x")).filter(F.col("x.rate") >= RELATIVE * F.col("highest")).select("gram", "x.lang", "x.rate"))
-    chosen = []
-    for lang in languages:  # a top-k each: every task sends its best only
-        top = kept.filter(F.col("lang") == lang).orderBy(F.desc("rate"), "gram").limit(grams_per_language)
-        chosen.append((lang, [r.gram for r in top.select("gram").collect()]))
-    return make_filters(chosen)
+    best = [F.desc("rate"), F.col("gram")]
+    laned = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", F.pmod("gram", F.lit(LANES))).orderBy(*best))).filter(F.col("rank") <= grams_per_language)
+    top = laned.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).filter(F.col("rank") <= grams_per_language)
+    chosen: dict[str, list[int]] = {lang: [] for lang in languages}
+    for r in top.select("lang", "gram").collect():  # the model: at most grams_per_language a language
+        chosen[r.lang].append(r.gram)
+    return make_filters(list(chosen.items()))
 
 
 def identify(docs: DataFrame, filters: Filters, text_column: str = "text", id_column: str = "doc_id", keep: Column | None = None) -> DataFrame:
@@ -182,19 +189,27 @@ def identify(docs: DataFrame, filters: Filters, text_column: str = "text", id_co
     return rows.mapInArrow(tidied(look), f"id {id_type(docs, id_column)}, keep boolean, lang_pred string, score double").withColumnRenamed("id", id_column)
 
 
-def with_language(docs: DataFrame, filters: Filters, text_column: str = "text") -> DataFrame:
-    """``docs`` in all their columns, with ``_lang_pred`` and ``_score`` (for stages that filter rows)."""
+def in_a_language(docs: DataFrame, filters: Filters, least_score: float, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, in all their columns, that are not rejected.
+
+    Rejected are texts without a letter (null and empty ones too), and texts of whose n-grams a share below ``least_score`` belongs to
+    the language that fits best. Without evidence nothing is rejected: all rows stay if no language was learned, and a text with
+    letters but without an n-gram (a letter or two) stays.
+    """
     prepare(docs.sparkSession)
-    rows = spread(docs)
-    model = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.slots, filters.accidents))
-    at = rows.columns.index(text_column)
+    if not filters.languages:
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(tuple(filters))
+    at = docs.columns.index(text_column)
+
+    def kept(text: str | None, known: Filters) -> bool:
+        language, score = judge(text, known)
+        return language != UNKNOWN and (score >= least_score or not len(grams(text)))
 
     def look(batches):
         known = Filters(*model.value)
         for batch in batches:
-            found = [judge(t, known) for t in batch.column(at).to_pylist()]
-            said = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *said], names=[*batch.schema.names, "_lang_pred", "_score"])
+            yield batch.filter(pa.array([kept(t, known) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
-    return rows.mapInArrow(tidied(look), ", ".join([*fields, "_lang_pred string", "_score double"]))
+    plain = spread(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))))  # names with dots cannot be passed on
+    return plain.mapInArrow(tidied(look), plain.schema).toDF(*docs.columns)

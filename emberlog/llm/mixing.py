@@ -113,7 +113,8 @@ def described(docs: DataFrame, id_column: str, text_column: str, source_column:
         source = F.array(source.cast("string"))
     size = F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("long")
     order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_column), size), 64 - 2 * BIN_BITS)
-    return docs.select(F.struct(*keep).alias("_row"), source.alias("_sources"), size.alias("_size"), order.alias("_order"))
+    kept = F.struct(*("`" + c.replace("`", "``") + "`" for c in keep))
+    return docs.select(kept.alias("_row"), source.alias("_sources"), size.alias("_size"), order.alias("_order"))
 
 
 def _cut(bins: DataFrame, rest: str) -> DataFrame:
@@ -181,4 +182,4 @@ def repeated(docs: DataFrame, weights: Callable[[list], list[float]], id_column:
     rows = described(spread(docs), id_column, text_column, source_column, seed, columns)
     mix = mix_plan(written(rows.select("_sources", "_size", "_order")), weights, limit)
     times = F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies"))).otherwise(F.array().cast("array<bigint>"))
-    return with_copies(rows, mix).withColumn("_copy", F.explode(times)).select(*(f"_row.`{c}`" for c in columns))
+    return with_copies(rows, mix).withColumn("_copy", F.explode(times)).select("_row.*")

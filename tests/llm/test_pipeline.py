@@ -72,6 +72,25 @@ def test_keep_rows_with_repeated_rows(spark):
     assert sorted(map(tuple, keep_rows(docs, judged).collect()), key=str) == sorted([(1, "a", "x"), (None, "c", "z"), (None, None, "z")], key=str)
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that the stages use themselves, a dotted one, a struct with a name to be quoted, very long texts, repeated rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row_key string, key int, row int, at int, place int, kept string, _salt int, `a.b` int, s struct<`x y`:int>"
+    rest = ("key", 1, 2, 3, 4, "k", 5, 6, (7,))
+    long = "long text of few words " * 50_000
+    rows = [(i, t, "en", "web", 1, *rest) for i, t in enumerate([long, long + "more", "one two three", "one two three", "some other words here", None, ""])]
+    rows += [rows[2], (2, "one two three", "en", "web", 9, *rest)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, "")
+        assert out.schema.names == docs.schema.names, name
+        got = out.collect()
+        assert got and all(tuple(r)[5:] == rest for r in got), name
+    exact = sorted(corpus_pipeline.exact(spark, docs, "").select("doc_id", "n_chars").collect())
+    assert [tuple(r) for r in exact] == [(0, 1), (1, 1), (3, 1), (4, 1), (6, 1)]
+    near = sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect())
+    assert near == [0, 2, 4, 5]
+
+
 def test_whole_pipeline_on_given_documents(spark):
     folder = "/root/testdata/sf0.001"
     given = spark.read.parquet(f"{folder}/documents.parquet")
