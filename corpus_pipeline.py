@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from emberlog.llm.bpe import bpe_encode
 from emberlog.llm.exact import exact_duplicates
 from emberlog.llm.inputs import keep_rows, prepare
-from emberlog.llm.langid import UNKNOWN, train, with_language
+from emberlog.llm.langid import in_a_language, train
 from emberlog.llm.mixing import repeated
 from emberlog.llm.nearcopies import near_copies
 from emberlog.session import scratch_path, ship
@@ -31,10 +31,9 @@ def _ready(spark: SparkSession) -> None:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in a language of the corpus: those without a letter, and those hardly any of whose n-grams
-    belong to the language that fits best, go."""
+    belong to the language that fits best, go. Without a labelled row all stay; so does a text too short for an n-gram."""
     _ready(spark)
-    judged = with_language(docs, train(docs))
-    return judged.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    return in_a_language(docs, train(docs), LEAST_SCORE)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
