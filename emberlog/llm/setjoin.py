@@ -13,7 +13,8 @@ differ is done. What is left, as a rule a small part, is fetched again and joine
 
 Posting lists of the same sets are kept once. First a list tells the pairs with one of its members. In lists that then hold
 several components parity sketches meet, all with all: the bits in which two sketches differ are at most the members in which the
-sets do, so a pair that fails this bound is no link. What is left is verified on the whole sets.
+sets do, so a pair that fails this bound is no link. The closest pairs between components are verified on the whole sets first, then
+whatever is left between what is still apart.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, L
 
 from emberlog.llm.components import grouped
 from emberlog.llm.exact import _arrow
-from emberlog.llm.inputs import join_hot, prepare, spread, tidied
+from emberlog.llm.inputs import join_hot, prepare, spread, tidied, width
 from emberlog.llm.runs import buckets_for, by_run, mixed, pack, unpack
 from emberlog.llm.windows import windows_of
 from emberlog.session import written
@@ -94,10 +95,19 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def sketches_allow(a: bytes, n: int, b: bytes, m: int, similarity: float) -> bool:
+def apart(a: bytes, n: int, b: bytes, m: int) -> float:
+    """Lower bound on the share of ``n + m`` members that are in one of the two sets only."""
     x, y = (np.frombuffer(s, np.uint64)[None] for s in (a, b))
     size = min(x.shape[1], y.shape[1])
-    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) / max(n + m, 1)
+
+
+def most_apart(similarity: float) -> float:
+    return (1 - similarity) / (1 + similarity) + 1e-9
+
+
+def sketches_allow(a: bytes, n: int, b: bytes, m: int, similarity: float) -> bool:
+    return apart(a, n, b, m) <= most_apart(similarity)
 
 
 # The screen
@@ -472,13 +482,13 @@ def _tables(batches):
         yield pa.Table.from_batches(parts)
 
 
-def sketch_pairs(node, n, part, side, sketches: list[bytes], similarity: float) -> np.ndarray:
-    """Pairs (u < v) of nodes of different components whose sketches allow the similarity: all of one side, or across two."""
+def sketch_pairs(node, n, part, side, sketches: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, rows, how far apart) of the pairs of different components whose sketches allow the similarity: all of one side, or across two."""
     words = np.array([len(s) // 8 for s in sketches])
     bits = {int(w): np.stack([np.frombuffer(s, np.uint64) for s, x in zip(sketches, words) if x == w]) for w in np.unique(words)}
     members = {w: np.flatnonzero(words == w) for w in bits}
     both = bool(side.min() != side.max())
-    found = []
+    first, second, far = [], [], []
     for w in sorted(bits):
         for v in (w, 2 * w):
             if v not in bits:
@@ -486,64 +496,94 @@ def sketch_pairs(node, n, part, side, sketches: list[bytes], similarity: float)
             small, large = bits[w], folded(bits[v], w)
             step = max(1, (1 << 22) // (len(large) * w))
             for a in range(0, len(small), step):
-                differ = np.bitwise_count(small[a:a + step, None, :] ^ large[None, :, :]).sum(axis=2, dtype=np.int64)
                 i, j = members[w][a:a + step][:, None], members[v][None, :]
-                good = differ <= (1 - similarity) / (1 + similarity) * (n[i] + n[j]) + 1e-6
-                good &= part[i] != part[j]
+                share = np.bitwise_count(small[a:a + step, None, :] ^ large[None, :, :]).sum(axis=2, dtype=np.int64) / (n[i] + n[j])
+                good = (share <= most_apart(similarity)) & (part[i] != part[j])
                 good &= (side[i] != side[j]) if both else True
                 if v == w:
                     good &= i < j
                 x, y = np.nonzero(good)
-                p, q = node[members[w][a:a + step][x]], node[members[v][y]]
-                found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                first.append(members[w][a:a + step][x])
+                second.append(members[v][y])
+                far.append(share[x, y])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *first]), np.concatenate([none, *second]), np.concatenate([np.zeros(0), *far])
+
+
+class _Found:
+    """Pairs that a task finds: all different ones, or for every component the closest pair that leaves it."""
+
+    def __init__(self, best: bool):
+        self.best, self.parts, self.size = best, [], 0
+
+    def add(self, u, v, part_u, part_v, far) -> None:
+        swap = u > v
+        self.parts.append([np.where(swap, v, u), np.where(swap, u, v), np.where(swap, part_v, part_u), np.where(swap, part_u, part_v), far])
+        self.size += len(u)
+        if self.size > 500_000:
+            self.reduce()
+
+    def reduce(self) -> np.ndarray:
+        u, v, pu, pv, far = (np.concatenate(c) for c in zip(*self.parts)) if self.parts else (np.zeros(0, np.int64),) * 5
+        if self.best:
+            part, at = np.concatenate([pu, pv]), np.tile(np.arange(len(u)), 2)
+            order = np.lexsort((v[at], u[at], far[at], part))
+            first = order[np.r_[True, part[order][1:] != part[order][:-1]]] if len(order) else order
+            kept = np.unique(at[first])
+        else:
+            _, kept = np.unique(np.stack([u, v], axis=1), axis=0, return_index=True)
+        self.parts, self.size = [[c[kept] for c in (u, v, pu, pv, far)]], len(kept)
+        return np.stack([u[kept], v[kept]], axis=1)
 
 
-def pairs_by_sketch(lists: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v), different: all pairs of different components in ``lists`` that sketches allow. A list is cut into blocks; a task holds
-    the sketches of two. Short lists are worked on many at a time."""
+def pairs_by_sketch(lists: DataFrame, sets: DataFrame, similarity: float, best: bool) -> DataFrame:
+    """(u, v), different: pairs of different components in ``lists`` that sketches allow: all, or for each component the closest that a
+    task finds (``best``). A list is cut into blocks; a task holds the sketches of two. Short lists are worked on many at a time.
+    Lists of one group tell the same pairs, so these travel packed and meet by their first node."""
     rows = lists.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), "blocks"))
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "node", "n", "part", (F.col("mine") > F.col("other")).cast("int").alias("side"))
     some = written(sets.select("node", "sketch").join(rows.select("node").distinct(), "node", "left_semi"))
     met = met.join(some, "node").select("task", "node", "n", "part", "side", "sketch")
+    buckets = width(sets.sparkSession)
 
-    def of_short(tables) -> np.ndarray:
+    def of_short(tables, found: _Found) -> None:
         table = pa.concat_tables(tables)
         key, node, n, part = (table.column(i).to_numpy() for i in range(4))
         pairs = list(cross_pairs(key, node, n, part, similarity, SHORT))
         pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        known = dict(zip(node.tolist(), zip(table.column(5).to_pylist(), n.tolist())))
-        good = [sketches_allow(*known[u], *known[v], similarity) for u, v in pairs.tolist()]
-        return pairs[np.array(good, bool)]
+        known = dict(zip(node.tolist(), zip(table.column(5).to_pylist(), n.tolist(), part.tolist())))
+        far = np.array([apart(*known[u][:2], *known[v][:2]) for u, v in pairs.tolist()])
+        good = far <= most_apart(similarity)
+        u, v = pairs[good].T
+        found.add(u, v, *(np.array([known[x][2] for x in side.tolist()], np.int64) for side in (u, v)), far[good])
 
     def search(batches):
-        held, size, short, rows = [], 0, [], 0
+        found, short, waiting = _Found(best), [], 0
         for table in _tables(batches):
             if len(table) <= SHORT and not table.column(4).to_numpy().any():
                 short.append(table)
-                rows += len(table)
-                if rows < 20_000:
-                    continue
-                held.append(of_short(short))
-                short, rows = [], 0
+                waiting += len(table)
+                if waiting >= 20_000:
+                    of_short(short, found)
+                    short, waiting = [], 0
             else:
                 node, n, part, side = (table.column(i).to_numpy() for i in (1, 2, 3, 4))
-                held.append(sketch_pairs(node, n, part, side, table.column(5).to_pylist(), similarity))
-            size += len(held[-1])
-            if size > 500_000:
-                held = [np.unique(np.concatenate(held), axis=0)]
-                size = len(held[0])
-                if size > 250_000:
-                    yield pa.RecordBatch.from_pydict({"u": pa.array(held[0][:, 0]), "v": pa.array(held[0][:, 1])})
-                    held, size = [], 0
+                i, j, far = sketch_pairs(node, n, part, side, table.column(5).to_pylist(), similarity)
+                found.add(node[i], node[j], part[i], part[j], far)
         if short:
-            held.append(of_short(short))
-        if held:
-            found = np.unique(np.concatenate(held), axis=0)
-            yield pa.RecordBatch.from_pydict({"u": pa.array(found[:, 0]), "v": pa.array(found[:, 1])})
+            of_short(short, found)
+        pairs = found.reduce()
+        bucket = (mixed(pairs[:, 0].view(np.uint64) if len(pairs) else np.zeros(0, np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        for b in np.unique(bucket).tolist():
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "pairs": pa.array([np.ascontiguousarray(pairs[bucket == b]).tobytes()], pa.binary())})
+
+    def unite(table):
+        pairs = np.unique(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in table.column("pairs").to_pylist()]), axis=0)
+        return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
 
-    return met.repartition("task").sortWithinPartitions("task").mapInArrow(tidied(search), "u long, v long").distinct()
+    told = met.repartition("task").sortWithinPartitions("task").mapInArrow(tidied(search), "bucket int, pairs binary")
+    return told.groupBy("bucket").applyInArrow(unite, "u long, v long")
 
 
 def connected(sets: DataFrame, bits: int, similarity: float, known: DataFrame | None = None) -> DataFrame:
@@ -569,9 +609,17 @@ def connected(sets: DataFrame, bits: int, similarity: float, known: DataFrame |
     tested = written(pairs_with_first(several(), similarity))
     links = links.union(verified(tested, sets, similarity))
     roots = grouped(links)
-    rest = written(pairs_by_sketch(several().filter("members > 2"), sets, similarity).join(tested, ["u", "v"], "left_anti"))
-    good = verified(rest, sets, similarity, sketched=True)
-    return roots if good.isEmpty() else grouped(links.union(good))
+    for best in (True, False):  # the closest pair of each component first: it connects most of what is a link
+        rows = several().filter("members > 2")
+        if rows.isEmpty():
+            break
+        pairs = written(pairs_by_sketch(rows, sets, similarity, best).join(tested, ["u", "v"], "left_anti"))
+        good = verified(pairs, sets, similarity, sketched=True)
+        if not good.isEmpty():
+            links = links.union(good)
+            roots = grouped(links)
+        tested = tested.union(pairs)
+    return roots
 
 
 def rows_with_sha(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:

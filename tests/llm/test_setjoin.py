@@ -118,7 +118,8 @@ def test_sketches_never_rule_out_a_link():
     node, n = np.arange(len(sets)), np.array([len(s) for s in sets])
     def sized(i, j):
         return min(n[i], n[j]) >= 0.8 * max(n[i], n[j])
-    pairs = {tuple(p) for p in sketch_pairs(node, n, node, np.zeros(len(sets), int), sketches, 0.8).tolist() if sized(*p)}
+    i, j, _ = sketch_pairs(node, n, node, np.zeros(len(sets), int), sketches, 0.8)
+    pairs = {(min(p), max(p)) for p in zip(i.tolist(), j.tolist()) if sized(*p)}
     assert pairs == {(i, j) for i, j in combinations(range(len(sets)), 2) if sized(i, j) and sketches_allow(sketches[i], n[i], sketches[j], n[j], 0.8)}
 
 
@@ -126,3 +127,12 @@ def test_shingles_of_bytes():
     assert [len(s) for s in shingle_sets([b"", b"a b", b"a b c d e", b"a b c d e f", b"A B c d E"], 5)] == [0, 1, 1, 2, 1]
     a, b, c = shingle_sets([b"one TWO", b"ONE\ttwo", b"one two three four five"], 5)
     assert a.tolist() == b.tolist() != c.tolist()
+
+
+def test_best_pairs_of_components():
+    found = setjoin._Found(best=True)
+    u, v = np.array([1, 5, 2, 9]), np.array([2, 1, 7, 8])
+    part = {1: 10, 2: 20, 5: 50, 7: 70, 8: 80, 9: 10}
+    parts = [np.array([part[x] for x in side.tolist()]) for side in (u, v)]
+    found.add(u, v, *parts, np.array([0.05, 0.02, 0.01, 0.09]))
+    assert found.reduce().tolist() == [[1, 5], [2, 7], [8, 9]]
