@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog import catalogs as c
 from emberlog.functions.text import clean_line, strip, words
-from emberlog.operators.ordering import around, top_rows
+from emberlog.operators.ordering import around, first_by_score
 
 
 def select_candidates(df: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def score_gate(candidates: DataFrame, scored: DataFrame, threshold: float = 0.0,
 
 def candidate_cap(df: DataFrame, n: int = 10_000, by: str = "source_file") -> DataFrame:
     """The reference size limit per file: the first ``n`` in score order."""
-    return top_rows(df, [by], [F.col("anomaly_score").desc(), F.col("row_id").asc()], n)
+    return first_by_score(df, [by], "anomaly_score", "row_id", n)
 
 
 def _cleaned(df: DataFrame, source: str) -> DataFrame:

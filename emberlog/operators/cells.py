@@ -94,8 +94,13 @@ def _laned(points: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
     return points.join(sizes, by).withColumn("lane", F.pmod(F.xxhash64("vid"), F.ceil(F.col("n") / LANE)))
 
 
+def _renamed(df: DataFrame) -> DataFrame:
+    """The same columns under new identities: both sides of a cogroup may come from one table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _over_lanes(rows: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
-    return rows.join(sizes.select(*by, "n"), by).withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / LANE) - 1))).drop("n")
+    return _renamed(rows.join(sizes.select(*by, "n"), by).withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / LANE) - 1))).drop("n"))
 
 
 def _routed(points: DataFrame, centres: DataFrame, sizes: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
@@ -161,6 +166,7 @@ def close_vectors(points: DataFrame, by: list[str], k: int, recall: float = 0.95
     asking = routed.join(plan, [*by, "cell"]).withColumns({"lane": F.pmod(F.xxhash64("vid"), "lanes"), "part": every("parts")}).select(*key, "vid", "vec")
     offered = placed.join(plan, [*by, "cell"]).withColumns({"part": F.pmod(F.xxhash64("vid", F.lit(3)), "parts"), "lane": every("lanes")}).select(
         *key, F.col("vid").alias("neighbor"), "vec", "copies")
+    offered = _renamed(offered)
 
     def search(ask: pd.DataFrame, offer: pd.DataFrame) -> pd.DataFrame:
         names = [*by, "vid", "neighbor", "distance", "copies"]

@@ -116,7 +116,7 @@ def _compare(assigned: DataFrame, cells: DataFrame, pairs: DataFrame, by: list[s
                        F.col("vid").alias("neighbor"), F.col("vec").alias("vec"), F.col("copies").alias("copies")))
 
     key = [*by, "cell", "part", "other", "other_part"]
-    found = asking.groupBy(*key).cogroup(offered.groupBy(*key)).applyInPandas(best_of_blocks(by, k), _nearfields(assigned, by))
+    found = asking.groupBy(*key).cogroup(offered.groupBy(*key)).applyInPandas(best_of_blocks(by, k), near_fields(assigned, by))
     return top_rows(found, [*by, "vid"], ["distance", "neighbor"], k)
 
 

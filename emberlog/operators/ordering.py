@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from emberlog.operators.selection import first_rows
 from emberlog.session import cut_lineage, shuffle_width
 
 HOT_ROWS = 2_000_000
@@ -125,29 +126,37 @@ def _spread_beside(df: DataFrame, by: list[str], order: list, before: dict[str,
     return joined.select(*[f"l.{c}" for c in df.columns], *[lag[n].alias(n) for n in before], *[lead[n].alias(n) for n in after])
 
 
-def top_rows(df: DataFrame, by: list[str], order: list, n: int, lanes: int = 64) -> DataFrame:
-    """The first ``n`` rows of every group, exactly.
-
-    Spark cuts each map task to ``n`` rows per window group before the shuffle.
-    With a large ``n`` the survivors of many tasks would still meet in one task,
-    so they are cut once more in ``lanes`` lanes first.
-    """
+def top_rows(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of every group, exactly. Spark cuts each map task to ``n`` rows per group before the shuffle; for a
+    large ``n`` see ``first_by_score``."""
     rows, keys = _keyed(df, by)
-    if n > 100:
-        rows = rows.withColumn("_lane", F.pmod(F.spark_partition_id(), F.lit(lanes)))
-        lane = Window.partitionBy(*keys, "_lane").orderBy(*order)
-        rows = rows.withColumn("_rank", F.row_number().over(lane)).filter(F.col("_rank") <= n).drop("_rank", "_lane")
     rank = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= n).drop("_rank", ALL)
 
 
-def top_share(df: DataFrame, by: list[str], order: list, fraction: float, flag: str,
+def falling(score: Column) -> Column:
+    """``score`` turned round, as a double: NaN first, null last, as in a falling order."""
+    return F.when(score.isNull(), F.lit(float("inf"))).when(F.isnan(score), F.lit(float("-inf"))).otherwise(-score).cast("double")
+
+
+def top_share(df: DataFrame, by: list[str], score: str, tie: str, fraction: float, flag: str,
               hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Flag (0/1) the first ``floor(fraction * rows)`` rows of every group, at least one."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = number_rows(df, by, order, "_rank", hot_rows)
-    cut = F.greatest(F.floor(F.lit(fraction) * F.col("_n")), F.lit(1))
-    return ranked.join(sizes, by).withColumn(flag, (F.col("_rank") <= cut).cast("int")).drop("_rank", "_n")
+    """Flag (0/1) the first ``floor(fraction * rows)`` rows of every group, at least one, by falling ``score``, then ``tie`` (whole
+    numbers, different in a group). A large input is not ordered: the cut is found by counting (``selection``)."""
+    if hot_limit(df, hot_rows) is None:
+        group = Window.partitionBy(*by)
+        cut = F.greatest(F.floor(F.lit(fraction) * F.count(F.lit(1)).over(group)), F.lit(1))
+        return df.withColumn(flag, (F.row_number().over(group.orderBy(F.desc(score), tie)) <= cut).cast("int"))
+    sizes = df.groupBy(*by).agg(F.greatest(F.floor(F.lit(fraction) * F.count(F.lit(1))), F.lit(1)).cast("long").alias("rank"))
+    return first_rows(df, by, falling(F.col(score)), tie, cut_lineage(sizes), flag)
+
+
+def first_by_score(df: DataFrame, by: list[str], score: str, tie: str, n: int, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """The first ``n`` rows of every group by falling ``score``, then ``tie``."""
+    if n <= 100 or hot_limit(df, hot_rows) is None:
+        return top_rows(df, by, [F.desc(score), F.asc(tie)], n)
+    wanted = cut_lineage(df.select(*by).distinct().withColumn("rank", F.lit(n).cast("long")))
+    return first_rows(df, by, falling(F.col(score)), tie, wanted, "_first").filter("_first = 1").drop("_first")
 
 
 def around(df: DataFrame, by: list[str], line_no: str, value: Column, name: str,

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from emberlog.operators.neighbors import (
     Approximate, _search, _taken, distinct_vectors, group_sizes, join_by_vector, knn_of, unit_neighbors)
-from emberlog.operators.ordering import HOT_ROWS, number_rows
+from emberlog.operators.ordering import HOT_ROWS, hot_limit
+from emberlog.operators.selection import values_at
 from emberlog.operators.vectors import tfidf_vectors
 from emberlog.session import cut_lineage
 
@@ -75,17 +77,17 @@ def lof_label(df: DataFrame, by: list[str] | None = None, k: int = 5, contaminat
 def label_by_quantile(scored: DataFrame, by: list[str], contamination: float, row_id: str = "row_id",
                       hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Turn ``_factor`` into ``lof_score`` and ``lof_label``. The quantile is exact,
-    linearly interpolated, taken from distributed ranks."""
-    ranks = number_rows(scored.select(*by, row_id, "_factor"), by, ["_factor", row_id], "_rank", hot_rows)
+    linearly interpolated; a large input is not ordered for it (``selection``)."""
     at = F.lit(contamination) * (F.col("_rows") - 1)
     low = F.floor(at)
-    edges = (
-        ranks.join(group_sizes(scored, by), by)
-        .groupBy(*by, "_rows")
-        .agg(F.max(F.when(F.col("_rank") == low + 1, F.col("_factor"))).alias("_low"),
-             F.max(F.when(F.col("_rank") == low + 2, F.col("_factor"))).alias("_high"))
-        .select(*by, F.when(F.col("_rows") >= 2, F.col("_low") + (F.coalesce("_high", "_low") - F.col("_low")) * (at - low)).alias("_cut"))
-    )
+    sizes = group_sizes(scored, by)
+    if hot_limit(scored, hot_rows) is None:
+        ranks = scored.select(*by, "_factor", F.row_number().over(Window.partitionBy(*by).orderBy("_factor", row_id)).alias("_rank"))
+        found = ranks.join(sizes, by).groupBy(*by, "_rows").agg(
+            F.max(F.when(F.col("_rank") == low + 1, F.col("_factor"))).alias("value"), F.max(F.when(F.col("_rank") == low + 2, F.col("_factor"))).alias("next"))
+    else:
+        found = values_at(scored.select(*by, "_factor"), by, "_factor", cut_lineage(sizes.select(*by, (low + 1).alias("rank")))).join(sizes, by)
+    edges = found.select(*by, F.when(F.col("_rows") >= 2, F.col("value") + (F.coalesce("next", "value") - F.col("value")) * (at - low)).alias("_cut"))
     return (
         scored.join(edges, by)
         .withColumn("lof_label", F.when(F.col("_factor") < F.col("_cut"), -1).otherwise(1))

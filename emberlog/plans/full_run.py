@@ -101,7 +101,7 @@ def score_rows(rows: DataFrame, s: Settings) -> DataFrame:
     else:
         scored = rows.join(score_lines(rows.filter("log IS NOT NULL"), s), ["source_file", "log"], "left").fillna({"anomaly_score": 0.0})
         scored = scored.fillna({"_factor": -1.0}) if s.lof else scored
-    scored = top_share(written(scored), ["source_file"], [F.col("anomaly_score").desc(), F.col("row_id")], s.top_fraction, "is_knn")
+    scored = top_share(written(scored), ["source_file"], "anomaly_score", "row_id", s.top_fraction, "is_knn")
     if s.lof:
         scored = label_by_quantile(scored, ["source_file"], s.contamination).withColumn("is_lof", (F.col("lof_label") == -1).cast("int"))
     else:

@@ -268,7 +268,7 @@ def _(spark, sf):
 @query("t1_top_percent_by_score", with_ctes("""SELECT row_id, CASE WHEN rn <= greatest(floor(0.05 * n), 1) THEN 1 ELSE 0 END AS is_knn FROM (
  SELECT row_id, row_number() OVER (PARTITION BY source_file ORDER BY anomaly_score DESC, row_id) AS rn, count(*) OVER (PARTITION BY source_file) AS n FROM scored)""", SCORED_SQL))
 def _(spark, sf):
-    return top_share(_scored(spark, sf), ["source_file"], [F.col("anomaly_score").desc(), F.col("row_id")], 0.05, "is_knn").select("row_id", "is_knn")
+    return top_share(_scored(spark, sf), ["source_file"], "anomaly_score", "row_id", 0.05, "is_knn").select("row_id", "is_knn")
 
 
 @query("t2_candidate_cap", with_ctes("SELECT row_id, anomaly_score FROM scored QUALIFY row_number() OVER (PARTITION BY source_file ORDER BY anomaly_score DESC, row_id) <= 300", SCORED_SQL))

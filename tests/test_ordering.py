@@ -51,7 +51,7 @@ def test_top_rows_large_and_small(spark, rows):
 @pytest.mark.parametrize("hot_rows", [None, 60])
 def test_top_share_at_least_one(spark, rows, hot_rows):
     df = spark.createDataFrame([*rows, ("single", 1, 9999, 1)], "g string, at int, i int, v int")
-    flagged = {r.g: r.n for r in o.top_share(df, ["g"], [F.col("v").desc(), "i"], 0.05, "flag", hot_rows)
+    flagged = {r.g: r.n for r in o.top_share(df, ["g"], "v", "i", 0.05, "flag", hot_rows)
                .filter("flag = 1").groupBy("g").agg(F.count("*").alias("n")).collect()}
     assert flagged["single"] == 1
     assert flagged["hot"] == 15
