@@ -18,9 +18,11 @@ def max_score(df: DataFrame, by: str = "source_file") -> DataFrame:
     return df.groupBy(by).agg(F.max("anomaly_score").alias("max_score"))
 
 
-def score_gate(candidates: DataFrame, scored: DataFrame, threshold: float = 0.0, by: str = "source_file") -> DataFrame:
-    """Keep candidates of files whose highest score reaches the threshold."""
-    open_files = max_score(scored, by).filter(F.col("max_score") >= threshold).select(by)
+def score_gate(candidates: DataFrame, scored: DataFrame, threshold: float | DataFrame = 0.0, by: str = "source_file") -> DataFrame:
+    """Keep candidates of files whose highest score reaches the threshold: a number, or a table of one row with a column ``threshold``."""
+    limit = threshold if isinstance(threshold, DataFrame) else scored.sparkSession.range(1).select(F.lit(threshold).alias("threshold"))
+    best = max_score(scored, by)
+    open_files = best.join(limit.select("threshold"), F.col("max_score") >= F.col("threshold"), "left_semi").select(by)
     return candidates.join(open_files, by, "left_semi")
 
 

@@ -144,8 +144,11 @@ def close_vectors(points: DataFrame, by: list[str], k: int, recall: float = 0.95
     cells = F.lit(pivots) if pivots else F.when(F.col("n") <= WHOLE, 1).otherwise(F.ceil(F.sqrt(F.col("n") / CELL)))
     sizes = cut_lineage(sizes.withColumn("coarse", cells.cast("long")))
     chosen = (F.pmod(F.xxhash64("vid", F.lit(5)), F.lit(1 << 30)) < F.lit(1 << 30) * F.col("coarse") / F.col("n")) | (F.col("vid") == F.col("first"))
-    centres = points.join(sizes, by).filter((F.col("coarse") > 1) & chosen | (F.col("vid") == F.col("first"))).select(
-        *by, F.col("vid").alias("cell"), F.col("vec").alias("centre"))
+    if pivots:
+        centres = top_rows(points, by, [F.xxhash64("vid", F.lit(5)), F.col("vid")], pivots)
+    else:
+        centres = points.join(sizes, by).filter((F.col("coarse") > 1) & chosen | (F.col("vid") == F.col("first")))
+    centres = centres.select(*by, F.col("vid").alias("cell"), F.col("vec").alias("centre"))
     centres = cut_lineage(centres)
     home = _routed(points, centres, sizes.withColumn("probes", F.lit(1)), by, [*by, "vid", "vec", "copies"])
     placed = cut_lineage(home.withColumn("cell", F.col("cells")[0]).drop("cells"))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlog import catalogs as c
 from emberlog.functions.text import WORD, clean_line, col, found, has_secret, short_reason, strip
@@ -243,7 +244,8 @@ def classify_with(df: DataFrame, make_judge: Callable[[], Callable[[str], str]],
     """Replies from a user function, at most ``parallel`` calls at a time: (key, reply, status, latency_s).
 
     A failing call becomes an error row. Calls go out in turns of ``parallel`` tasks with about ``calls_per_task``
-    calls each, and each turn's replies are written before the next: a lost task repeats its own calls only.
+    calls each, and each turn's replies are written before the next: a lost task repeats its own calls only. The
+    prompts are laid out by turn once, so a turn reads its own rows, however many turns there are.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = make_judge()
@@ -257,13 +259,32 @@ def classify_with(df: DataFrame, make_judge: Callable[[], Callable[[str], str]],
                     reply, status = str(problem), "error"
                 rows.append((name, reply, status, time.monotonic() - begun))
             yield pd.DataFrame(rows, columns=[key, "reply", "status", "latency_s"])
-    kind = df.schema[key].dataType.simpleString()
     rows = written(df.select(key, prompt))
     turns = max(1, -(-rows.count() // (parallel * calls_per_task)))
     path = scratch_path(df.sparkSession, "replies")
-    fields = f"`{key}` {kind}, reply string, status string, latency_s double"
-    task = F.pmod(F.xxhash64(key, prompt), F.lit(turns * parallel))
+    fields = T.StructType([df.schema[key], T.StructField("reply", T.StringType()), T.StructField("status", T.StringType()), T.StructField("latency_s", T.DoubleType())])
+    laid = laid_in_turns(rows, key, prompt, turns) if turns > 1 else None
     for turn in range(turns):
-        asked = rows.withColumn("_task", task).filter(F.floor(F.col("_task") / parallel) == turn)
-        asked.repartition(parallel, "_task").select(key, prompt).mapInPandas(run, fields).write.mode("append").parquet(path)
+        asked = _turn(rows, laid, turn) if laid else rows
+        if asked is None:
+            continue
+        dealt = asked.repartition(parallel, F.xxhash64(key, prompt, F.lit(1)))
+        dealt.select(key, prompt).mapInPandas(run, fields).write.mode("append").parquet(path)
     return df.sparkSession.read.schema(fields).parquet(path)
+
+
+def laid_in_turns(rows: DataFrame, key: str, prompt: str, turns: int) -> str:
+    """Folder with the rows of each turn in a folder of its own, so that a turn reads nothing else."""
+    path = scratch_path(rows.sparkSession, "turns")
+    turn = F.pmod(F.xxhash64(key, prompt), F.lit(turns)).alias("turn")
+    rows.select(key, prompt, turn).repartition("turn").write.partitionBy("turn").parquet(path)
+    return path
+
+
+def _turn(rows: DataFrame, laid: str, turn: int) -> DataFrame | None:
+    """The rows of a turn, or None if it has none."""
+    spark = rows.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{laid}/turn={turn}")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema(rows.schema).parquet(f"{laid}/turn={turn}")

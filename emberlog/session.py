@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,15 +34,27 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_owned: ContextVar[list[str] | None] = ContextVar("paths of this run", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other run uses; inside ``run_scope`` it belongs to the run."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if (mine := _owned.get()) is not None:
+        mine.append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the copy."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_folder(spark)
+    cut = df.checkpoint(eager=True)
+    if (mine := _owned.get()) is not None:  # the folder is known by the number of the checkpointed RDD only
+        file = cut._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            mine.append(file.get())
+    return cut
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -62,23 +75,25 @@ def prepare(spark: SparkSession) -> None:
 
 @contextmanager
 def run_scope(spark: SparkSession) -> Iterator[None]:
-    """Owns the intermediate tables of a run: what is written to the shared folder inside the block is deleted at its end.
+    """Owns the intermediate tables of a run: the paths that it takes inside the block are deleted at its end, and no others, so
+    runs of several threads may share the folder.
 
     Results that are read lazily from such tables must have been written elsewhere by then.
     """
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def names() -> dict:
-        return {s.getPath().getName(): s.getPath() for s in files.listStatus(folder)} if files.exists(folder) else {}
-    before = set(names())
+    paths: list[str] = []
+    token = _owned.set(paths)
     try:
         yield
     finally:
-        for name, path in names().items():
-            if name not in before:
-                files.delete(path, True)
+        _owned.reset(token)
+        _delete(spark, paths)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    path_of, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = path_of(name)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:

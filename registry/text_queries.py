@@ -208,7 +208,7 @@ def _(spark, sf):
     "scored AS (SELECT l.*, e.value FROM logs l JOIN events e ON l.row_id = e.event_id)"))
 def _(spark, sf):
     scored = logs(spark, sf).join(table(spark, sf, "events").select(F.col("event_id").alias("row_id"), F.col("value").alias("anomaly_score")), "row_id")
-    limit = cand.max_score(scored).agg(F.avg("max_score")).first()[0]
+    limit = cand.max_score(scored).agg(F.avg("max_score").alias("threshold"))
     return cand.score_gate(scored.filter("event_type = 'purchase'"), scored, limit).select("row_id", "anomaly_score")
 
 

@@ -141,3 +141,26 @@ def test_a_run_leaves_no_folder_behind(spark):
         assert cut_lineage(inside).count() == 5
         assert len(os.listdir(folder)) > len(before) + 1
     assert len(set(os.listdir(folder)) - before) == 1 and kept.count() == 3
+
+
+def test_runs_share_a_folder(spark):
+    """A run deletes what it wrote itself, not what another thread's run writes meanwhile."""
+    import os
+    from threading import Thread
+
+    from emberlog.session import run_scope, shared_folder, written
+    folder, other = shared_folder(spark).removeprefix("file:"), []
+
+    def work():
+        with run_scope(spark):
+            other.append(written(spark.range(3)))
+            other.append(other[0].count())
+    before = set(os.listdir(folder))
+    with run_scope(spark):
+        mine = written(spark.range(5))
+        kept = set(os.listdir(folder)) - before
+        thread = Thread(target=work)
+        thread.start()
+        thread.join()
+        assert other[1] == 3 and set(os.listdir(folder)) - before == kept and mine.count() == 5
+    assert set(os.listdir(folder)) == before
