@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberlog.operators import neighbors as n
 from emberlog.operators import outlier as o
 from emberlog.operators.vectors import encode_with, tfidf_vectors
-from registry.common import doc_lines, logs, registrar, table
+from registry.common import doc_lines, logs, registrar, table, with_ctes
 
 QUERIES, ORACLES = {}, {}
 query = registrar(QUERIES, ORACLES)
@@ -97,6 +97,22 @@ def _(spark, sf):
     return out.select("row_id", F.transform("embedding", lambda x: F.round(x, 6)).cast("string").alias("embedding"))
 
 
+# All terms of the vocabulary: the weights of a line, smallest first, in millionths.
+TFIDF_SQL = r"""terms AS (SELECT row_id, unnest(regexp_extract_all(lower(log), '[\p{L}\p{N}_]{2,}')) AS term FROM logs),
+ tf AS (SELECT row_id, term, count(*) AS tf FROM terms GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM logs),
+ w AS (SELECT row_id, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n),
+ unit AS (SELECT row_id, w / sqrt(sum(w * w) OVER (PARTITION BY row_id)) AS x FROM w)"""
+
+
+@query("m1_vocabulary", with_ctes("SELECT row_id, string_agg(CAST(CAST(round(x * 1000000) AS BIGINT) AS STRING), ',' ORDER BY x) AS weights FROM unit GROUP BY 1", TFIDF_SQL))
+def _(spark, sf):
+    """Vectors as wide as the vocabulary, never spread out: their text lists the entries that are not zero."""
+    out = tfidf_vectors(logs(spark, sf), size=1 << 18, vocabulary=True, sparse=True)
+    entries = F.split(F.regexp_extract(F.col("embedding").cast("string"), r"\[([^\]]*)\]\)$", 1), ",")
+    numbers = F.array_sort(F.transform(entries, lambda x: x.cast("double")))
+    return out.select("row_id", F.array_join(F.transform(numbers, lambda x: F.round(x * 1000000).cast("long").cast("string")), ",").alias("weights"))
+
+
 def _letter_encoder():
     """Stand-in for a user's model: letter frequencies of a line."""
     def encode(lines: list[str]) -> np.ndarray:
