@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ from emberlog.operators.vectors import tfidf_vectors
 from emberlog.operators.verdicts import build_prompts, classify_phase
 from emberlog.plans.report import report
 from emberlog.schema import default_columns
-from emberlog.session import cut_lineage, prepare, written
+from emberlog.session import StageTable, cut_lineage, prepare, written
 from emberlog.sources import cap_rows_per_file
 from emberlog.sources.readers import large_file_flag
 
@@ -89,8 +90,8 @@ def _how(s: Settings) -> Approximate | None:
     return Approximate(s.neighbor_recall) if s.approximate_neighbors else None
 
 
-def score_rows(rows: DataFrame, s: Settings) -> DataFrame:
-    """Neighbour and outlier scores with their own flags; ``is_anomaly`` is set if any flag is.
+def score_rows(rows: DataFrame, s: Settings, store: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+    """Neighbour and outlier scores with their own flags; ``is_anomaly`` is set if any flag is. ``store`` writes the scored rows.
 
     With a given vector column, rows without a vector (such as flood summaries) keep neutral scores.
     """
@@ -101,13 +102,19 @@ def score_rows(rows: DataFrame, s: Settings) -> DataFrame:
     else:
         scored = rows.join(score_lines(rows.filter("log IS NOT NULL"), s), ["source_file", "log"], "left").fillna({"anomaly_score": 0.0})
         scored = scored.fillna({"_factor": -1.0}) if s.lof else scored
-    scored = top_share(written(scored), ["source_file"], "anomaly_score", "row_id", s.top_fraction, "is_knn")
+    neutral = rows.filter(F.col(s.vector).isNull()) if s.vector else None
+    if s.vector:  # both kinds of rows in one table, told apart by their vector
+        scored = scored.unionByName(neutral, allowMissingColumns=True)
+    scored = store(scored)
+    if s.vector:
+        scored, neutral = scored.filter(F.col(s.vector).isNotNull()), scored.filter(F.col(s.vector).isNull()).drop("anomaly_score", "_factor")
+    scored = top_share(scored, ["source_file"], "anomaly_score", "row_id", s.top_fraction, "is_knn")
     if s.lof:
         scored = label_by_quantile(scored, ["source_file"], s.contamination).withColumn("is_lof", (F.col("lof_label") == -1).cast("int"))
     else:
         scored = scored.withColumn("is_lof", F.lit(0))
     if s.vector:
-        scored = scored.unionByName(rows.filter(F.col(s.vector).isNull()), allowMissingColumns=True)
+        scored = scored.unionByName(neutral, allowMissingColumns=True)
         scored = scored.fillna({"anomaly_score": 0.0, "is_knn": 0, "is_lof": 0})
         scored = scored.fillna({"lof_label": 1, "lof_score": 0.0}) if s.lof else scored
     flood = F.col("is_anomaly") if "is_anomaly" in scored.columns else F.lit(0)
@@ -125,25 +132,27 @@ def analyze(logs: DataFrame, settings: Settings | None = None, allowlist: DataFr
     A cap on candidates (none by default) and the allow-list apply to candidates for verdicts only. Replies may
     be keyed by ``row_id`` instead if the log table brought that column.
 
-    ``logs`` needs source_file, line_no, ts_raw, ts, log. Stage results that several
-    later stages read are written once to the shared folder.
+    ``logs`` needs source_file, line_no, ts_raw, ts, log. The log table is written from stage to stage to the shared
+    folder, each state in place of the one before; two copies exist while a stage runs.
     """
     s = settings or Settings()
     prepare(logs.sparkSession)
     source = m.SOURCE
     rows = logs if "row_id" in logs.columns else logs.withColumn("row_id", F.monotonically_increasing_id())
-    rows = written(rows)
+    log = StageTable(logs.sparkSession, "log")
+    rows = log.put(rows)
     original = rows.groupBy(source).agg(F.count(F.lit(1)).alias("original_count"))
+    original = cut_lineage(original)
     rows = cap_rows_per_file(rows, s.max_lines)
     if s.fields or s.fields_by_file:
         rows = extract_fields_by_source(rows, s.fields_by_file, s.fields)
-    rows = written(mine_templates(rows) if s.cluster_templates else signature_templates(rows))
+    rows = log.put(mine_templates(rows) if s.cluster_templates else signature_templates(rows))
     counts = cut_lineage(m.template_counts(rows))
 
     if s.collapse_floods:
-        rows = written(collapse_floods(rows, s.flood_window, s.flood_threshold))
-    rows = score_rows(rows, s)
-    rows = written(r.classify_by_rules(rows, s.rules, s.security))
+        rows = log.put(collapse_floods(rows, s.flood_window, s.flood_threshold))
+    rows = score_rows(rows, s, log.put)
+    rows = log.put(r.classify_by_rules(rows, s.rules, s.security))
     leaks = cut_lineage(r.find_leaks(rows, s.security))
 
     found = cand.select_candidates(rows)

@@ -65,6 +65,23 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class StageTable:
+    """A table that goes from stage to stage: each ``put`` writes the next state and deletes the one before.
+
+    Whatever reads an earlier state must have been computed by then. So there are two copies while a stage runs, and one between stages.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.path = spark, label, None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        before, self.path = self.path, scratch_path(self.spark, self.label)
+        df.write.parquet(self.path)
+        if before is not None:
+            _delete(self.spark, [before])
+        return self.spark.read.schema(df.schema).parquet(self.path)
+
+
 def prepare(spark: SparkSession) -> None:
     """What the operators count on: times without a zone are UTC, and plans adapt to the sizes met
     (joins of hot keys with one row per key are split)."""

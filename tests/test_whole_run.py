@@ -79,6 +79,51 @@ def test_given_vectors_caps_and_dedupe(logs):
     assert out.summary.filter("operational_metrics.original_count = 80").count() == 1
 
 
+def test_scores_of_the_run_equal_independent_answers(spark):
+    """All stages on: the flags of kNN and outlier factor against plain models, for exact and for approximate search."""
+    import numpy as np
+
+    from tests.test_neighbors import knn_model, lof_model
+    rng = np.random.default_rng(3)
+    vectors = {f: rng.normal(size=(n, 6)) + 4 for f, n in (("x", 90), ("y", 60))}
+    rows = [(f, i + 1, f"2024-01-01T00:{i // 60:02d}:{i % 60:02d}", " ".join([f"w{chr(97 + i % 11)}"] * (i % 7 + 2)), n * 1000 + i, [float(v) for v in x])
+            for n, (f, m) in enumerate(vectors.items()) for i, x in enumerate(m)]
+    df = spark.createDataFrame(rows, "source_file string, line_no long, ts_raw string, log string, row_id long, vec array<double>").withColumn("ts", F.to_timestamp("ts_raw"))
+    for approximate in (False, True):
+        out = analyze(df, Settings(vector="vec", top_fraction=0.1, contamination=0.1, flood_window=20, approximate_neighbors=approximate)).logs
+        got = {r.row_id: (round(r.anomaly_score, 9), r.is_knn, round(r.lof_score, 6), r.is_lof) for r in out.collect()}
+        for n, m in enumerate(vectors.values()):
+            knn, lof = knn_model(m, 5), np.array(lof_model(m, 5))
+            first = set(sorted(range(len(m)), key=lambda i: (-knn[i], i))[:len(m) // 10])
+            cut = np.percentile(lof, 10)
+            assert [got[n * 1000 + i] for i in range(len(m))] == [
+                (round(knn[i], 9), int(i in first), pytest.approx(abs(lof[i]), abs=2e-6), int(lof[i] < cut)) for i in range(len(m))]
+
+
+def test_two_copies_of_the_log_at_most(spark, logs, monkeypatch):
+    import os
+
+    from emberlog import session
+    folder, seen = session.shared_folder(spark).removeprefix("file:"), []
+    plain = session.StageTable.put
+
+    def copies():
+        return sum(n.startswith("log-") for n in os.listdir(folder))
+
+    def put(self, df):
+        before = copies()
+        out = plain(self, df)
+        seen.append((before, copies()))
+        return out
+    monkeypatch.setattr(session.StageTable, "put", put)
+    start = copies()
+    with session.run_scope(spark):
+        out = analyze(logs, SETTINGS)
+        assert out.anomalies.count() > 0 and out.summary.count() == 2
+        assert len(seen) == 5 and all(b - start <= 1 and a - start == 1 for b, a in seen)
+    assert copies() == start
+
+
 def test_registry_is_consistent():
     queries, oracles = contract.queries(), contract.oracle_sql()
     assert set(oracles) <= set(queries)
