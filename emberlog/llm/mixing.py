@@ -22,6 +22,7 @@ from emberlog.llm.inputs import prepare, spread
 from emberlog.session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
+MOST_PATTERNS = 20_000
 BIN_BITS = 12
 
 
@@ -127,7 +128,10 @@ def _cut(bins: DataFrame, rest: str) -> DataFrame:
 def mix_plan(rows: DataFrame, weights: Callable[[list], list[float]], limit: int = 3) -> Mix:
     """The plan for ``described`` rows. ``weights`` gets the sources' names, by code point, null last."""
     spark = rows.sparkSession
-    sums = [(tuple(r["_sources"]), r["size"]) for r in rows.groupBy("_sources").agg(F.sum("_size").alias("size")).collect()]
+    found = rows.groupBy("_sources").agg(F.sum("_size").alias("size")).limit(MOST_PATTERNS + 1).collect()
+    if len(found) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} combinations of sources: sources are those of a configuration, not of single documents")
+    sums = [(tuple(r["_sources"]), r["size"]) for r in found]
     names = sorted({s for pattern, _ in sums for s in pattern}, key=lambda s: (s is None, s or ""))
     at = {name: i for i, name in enumerate(names)}
     sizes = [sum(size for pattern, size in sums if name in pattern) for name in names]
@@ -166,7 +170,7 @@ def mix_sources(docs: DataFrame, weights: Callable[[list], list[float]], id_colu
     than ``limit`` times. A null text has size 0. The order in which documents get a further copy depends on the identifier, the
     size and ``seed`` only, so reruns agree and repeated rows are taken alike. An empty table gives no rows.
 
-    Patterns and sources are counted on the driver: their number must be that of a configuration, not of the documents.
+    Patterns and sources are counted on the driver and sent to the tasks: more than ``MOST_PATTERNS`` are an error.
     """
     prepare(docs.sparkSession)
     rows = written(described(spread(docs.select(id_column, text_column, source_column)), id_column, text_column, source_column, seed, [id_column]))

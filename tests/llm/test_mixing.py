@@ -63,3 +63,37 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     mix, taken = mix_sources(docs, weights)
     assert taken.collect() == [] and mix.sources == [] and repeated(docs, weights).collect() == []
+
+
+def plain_targets(sizes, weights, limit):
+    """The rule as the contract states it: what is above the limit stops there, and the excess goes to the others by weight."""
+    full, open_sources = {}, set(range(len(sizes)))
+    while open_sources:
+        rest, weight = sum(sizes) - sum(full.values()), sum(weights[i] for i in open_sources)
+        shares = {i: rest * weights[i] / weight for i in open_sources}
+        over = {i for i in open_sources if shares[i] > limit * sizes[i] * (1 + 1e-12)}
+        if not over:
+            return [full.get(i, shares.get(i)) for i in range(len(sizes))]
+        full.update({i: limit * sizes[i] for i in over})
+        open_sources -= over
+    return [full[i] for i in range(len(sizes))]
+
+
+def test_targets_follow_the_rule():
+    import random
+    rng = random.Random(12)
+    for _ in range(300):
+        n = rng.randrange(1, 9)
+        sizes = [rng.choice([0, 1, 7, 100, 5000, 10 ** 6]) * rng.randrange(1, 9) for _ in range(n)]
+        if not sum(sizes):
+            continue
+        w = [(5.0, 2.0, 1.0)[i % 3] for i in range(n)]
+        assert share_out(sizes, w, 3) == pytest.approx(plain_targets(sizes, w, 3), rel=1e-9, abs=1e-6)
+
+
+def test_sources_that_are_no_configuration(spark, monkeypatch):
+    from emberlog.llm import mixing
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 5)
+    docs = spark.createDataFrame([(i, "a b", f"s{i}") for i in range(6)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="combinations of sources"):
+        mix_sources(docs, weights)
