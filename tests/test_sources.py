@@ -164,3 +164,13 @@ def test_runs_share_a_folder(spark):
         thread.join()
         assert other[1] == 3 and set(os.listdir(folder)) - before == kept and mine.count() == 5
     assert set(os.listdir(folder)) == before
+
+
+def test_line_numbers_of_sources_written_as_files(spark, tmp_path):
+    """The numbers of whole sources, in one file each or rolled over several, and every file holds one source's lines."""
+    from registry.sample_queries import _line_numbers
+    rows = spark.createDataFrame([(f"s{i % 2}", i // 2 + 1, f"t{i}", f"line {i // 2 + 1}") for i in range(2600)], "source_file string, line_no long, ts_raw string, log string")
+    for rolled in (4_000_000, 500):
+        got = _line_numbers(rows.repartition(5), str(tmp_path / str(rolled)), rolled).collect()
+        assert sorted((r.ts_raw, r.log, r.line_no) for r in got) == sorted((r.ts_raw, f"{r.source_file} {r.log}", r.line_no) for r in rows.collect())
+        assert max(r.line_no for r in got) == 1300 and all(r.same_file for r in got)
