@@ -104,6 +104,25 @@ def test_context_keeps_to_the_day_of_the_target(spark):
     assert [x.log for x in out[1].context_logs] == [f"line number {i}" for i in (8, 9, 10, 11)]
 
 
+def test_context_from_blocks(spark):
+    """Blocks of any size give each line once; two candidates on one line get its context twice; masked texts are handed out masked."""
+    rows = [("f", i, "2024-01-01", f"line number {i}") for i in range(1, 30)] + [("g", i, None, f"other line {i}") for i in (1, 2, 9)] + [(None, 1, None, "no file")]
+    df = spark.createDataFrame(rows, "source_file string, line_no long, ts_raw string, log string")
+    asked = df.filter("line_no % 7 < 3 OR source_file IS NULL")
+
+    def logs(out):
+        return {(x.source_file, x.line_no): x.context_logs and [c.log for c in x.context_logs] for x in out.collect()}
+    want = {(f, n): None if f is None else [x for g, m, _, x in rows if g == f and abs(m - n) <= 2] for f, n, _, _ in rows if n % 7 < 3 or f is None}
+    for block in (1, 4, 32):
+        assert logs(cand.with_context(asked, df, 2, block=block)) == want
+    masked = logs(cand.with_context(asked, df, 2, mask=lambda x: F.concat(x, F.lit("!"))))
+    assert masked == {k: v and [x + "!" for x in v] for k, v in want.items()}
+    twice = cand.with_context(asked.filter("line_no = 8").union(asked.filter("line_no = 8")), df, 1)
+    assert [[c.log for c in x.context_logs] for x in twice.collect()] == [[f"line number {i}" for i in (7, 7, 8, 8, 9, 9)]] * 2
+    away = spark.createDataFrame([("f", 500, "2024-01-01", "x")], df.schema)
+    assert cand.with_context(away, df).first().context_logs is None
+
+
 def test_dependent_and_demoted(spark):
     rows = [("Unknown", "  at com.X", 1), ("Anomaly", "at com.X", 1), ("Unknown", "attack", 1), (None, "at x", 1)]
     df = spark.createDataFrame(rows, "classification string, log string, is_anomaly int").withColumn("reason", F.lit("r"))
