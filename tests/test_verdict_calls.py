@@ -29,3 +29,13 @@ def test_a_turn_reads_its_own_rows(spark):
     read = [t.count() if (t := v._turn(rows, laid, i)) is not None else 0 for i in range(26)]
     assert sum(read) == 500 and max(read) < 60 and read[25] == 0
     assert len(v._turn(rows, laid, 3).inputFiles()) == 1
+
+
+def test_verdict_steps_run_once(spark):
+    """The same verdicts as the single expression, each reply read once."""
+    texts = ['{"classification":"x","reason":"y","tags":["error","disk","no"]}', "CLASSIFICATION: Anomalous\nREASON: hot TAGS: cpu, , Disk", "", None, "[1]", "Error: no"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_id long, reply string")
+    steps = v.with_parsed(rows, v.reply_parts("reply"), "v").select("row_id", "v", v.normalize_tags("v.tags").alias("tags"))
+    plain = rows.select("row_id", v.parse_reply("reply").alias("v"), v.normalize_tags(v.parse_reply("reply")["tags"]).alias("tags"))
+    assert sorted(steps.collect()) == sorted(plain.collect())
+    assert steps._jdf.queryExecution().optimizedPlan().toString().count("try_parse_json") <= 1
