@@ -119,3 +119,14 @@ def test_write_back_order(spark):
 
 def test_no_rules(spark, cases):
     assert b.evaluate_rules(frame(spark, cases), []).count() == 0
+
+
+def test_ratio_rules_read_their_rows_once(spark):
+    """A limit above zero needs no second look for groups without a match; a limit of zero does, and such groups do not fire."""
+    rows = spark.createDataFrame([(i, BASE + dt.timedelta(minutes=i), "u" if i < 5 else "w", "hit" if i < 5 else "miss") for i in range(9)], "row_id long, ts timestamp, g string, log string")
+
+    def found(limit):
+        hits = b.evaluate_rules(rows, [b.BehaviorRule("r", "ratio", "g", 5, threshold_ratio=limit, pattern="hit")])
+        return {h.group_key for h in hits.collect()}, "LeftSemi" in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert found(0.5) == ({"u"}, False)
+    assert found(0.0) == ({"u"}, True)
