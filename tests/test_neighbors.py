@@ -117,3 +117,18 @@ def test_neighbor_lists(spark, groups):
     near = nb.neighbor_pairs(df, ["source_file"], 3)
     assert near.count() == 12 * 3
     assert near.filter((F.col("vid") == F.col("neighbor")) & (F.col("distance") < 1e-12)).count() == 12
+
+
+def test_nearest_in_lanes(spark, groups, monkeypatch):
+    """Distances are held for a few rows at a time; what is found does not change with how many."""
+    from emberlog.operators import cells, distances as ds
+    rnd = np.random.default_rng(2)
+    ask, offer = rnd.normal(size=(300, 5)), rnd.normal(size=(1500, 5))
+    whole, near = np.sort(ds.closest(ask, offer, 9), axis=1), np.sort(cells.close_rows(ask, offer, 5, 0.98), axis=1)
+    held = []
+    plain = ds.squared
+    monkeypatch.setattr(ds, "squared", lambda a, b: held.append(len(a) * len(b)) or plain(a, b))
+    monkeypatch.setattr(ds, "HELD", 6000)
+    assert (np.sort(ds.closest(ask, offer, 9), axis=1) == whole).all() and max(held) <= 6000
+    monkeypatch.setattr(cells, "HELD", 200)
+    assert (np.sort(cells.close_rows(ask, offer, 5, 0.98), axis=1) == near).all()
