@@ -132,3 +132,10 @@ def test_nearest_in_lanes(spark, groups, monkeypatch):
     assert (np.sort(ds.closest(ask, offer, 9), axis=1) == whole).all() and max(held) <= 6000
     monkeypatch.setattr(cells, "HELD", 200)
     assert (np.sort(cells.close_rows(ask, offer, 5, 0.98), axis=1) == near).all()
+
+
+def test_rows_of_one_vector_stay_where_they_are(spark):
+    """All rows of a file have one vector: they meet its score without coming together in one task."""
+    rows = spark.createDataFrame([(i, "f", [1.0, 2.0]) for i in range(500)], "row_id long, source_file string, embedding array<double>")
+    plan = nb.knn_score(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

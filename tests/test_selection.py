@@ -74,3 +74,9 @@ def test_quantile_of_a_large_group(spark, rows, table):
     df = table.filter("g IN ('hot', 'flat', 'one')").withColumnRenamed("v", "_factor").withColumnRenamed("i", "row_id")
     small, large = (sorted((r.row_id, r.lof_label) for r in ol.label_by_quantile(df, ["g"], 0.07, hot_rows=hot).collect()) for hot in (None, 10))
     assert small == large and sum(x for _, x in small) < len(small)
+
+
+def test_cuts_meet_rows_without_laying_them_out(spark):
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 1000).cast("double").alias("v"), F.col("id").alias("i"))
+    plan = o.top_share(df, ["g"], "v", "i", 0.1, "top", hot_rows=100)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
