@@ -14,6 +14,7 @@ import json
 import re
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,10 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 REMEMBERED = 150_000
 _LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
-_SHIFT = 32
+_SHIFT, _SHORT = 32, 13
+_MARKS = frozenset(".,;:!?")
+# Below are letters that every version of Unicode knows.
+_LATIN = "\u0250"
 
 
 def segments(text: str) -> list[str]:
@@ -79,15 +83,17 @@ class Vocabulary:
             self.strings[i] = token.encode()
         of_bytes = {s: i for i, s in enumerate(self.strings) if i not in self.special.values()}
         self.start = [of_bytes[bytes([b])] for b in range(256)]
-        self.rank, self.made = {}, []
+        self.made, self.rank = [], [{} for _ in range(size)]  # of each left symbol: the merge rank by its right neighbour
         for left, right in (m if isinstance(m, list) else m.split(" ") for m in content["model"]["merges"]):
-            self.rank.setdefault(ids[left] << _SHIFT | ids[right], len(self.made))
+            self.rank[ids[left]].setdefault(ids[right], len(self.made))
             self.made.append(ids[left + right])
+        self.rank_of = [d.get for d in self.rank]
+        self.packed = [i.to_bytes(4, "little") for i in range(size)]
         self.words = regex.compile(WORDS)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.word = Remembered(self._word)
         self.head = Remembered(self._segment, REMEMBERED // 8)
-        self.behind_space = Remembered(lambda s: self._segment(" " + s))
+        self.behind_space = Remembered(self._behind_space)
 
     def forget(self) -> None:
         """Drop what was remembered; a worker that goes on to other tasks needs its memory."""
@@ -97,33 +103,42 @@ class Vocabulary:
 
     def merge(self, data: bytes) -> list[int]:
         """Token ids of one word."""
-        symbol = [self.start[b] for b in data]
+        start, rank, made = self.start, self.rank_of, self.made
+        symbol = [start[b] for b in data]
         n = len(symbol)
         if n == 1:
             return symbol
-        rank, made = self.rank, self.made
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [r << _SHIFT | i for i in range(n - 1) if (r := rank.get(symbol[i] << _SHIFT | symbol[i + 1])) is not None]
+        # A rank and a place in one number, which stays small for all but the longest words.
+        shift = _SHORT if n < 1 << _SHORT else _SHIFT
+        place = (1 << shift) - 1
+        queue = [r << shift | i for i, (a, b) in enumerate(pairwise(symbol)) if (r := rank[a](b)) is not None]
         heapify(queue)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
             entry = heappop(queue)
-            r, i = entry >> _SHIFT, entry & (1 << _SHIFT) - 1
-            j = after[i]
-            if j >= n or symbol[i] < 0 or rank.get(symbol[i] << _SHIFT | symbol[j]) != r:
+            r, i = entry >> shift, entry & place
+            if (j := after[i]) >= n or (s := symbol[i]) < 0 or rank[s](symbol[j]) != r:
                 continue
-            symbol[i], symbol[j] = made[r], -1
+            symbol[i] = s = made[r]
+            symbol[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank.get(symbol[i] << _SHIFT | symbol[k])) is not None:
-                    heappush(queue, r << _SHIFT | i)
-            k = before[i]
-            if k >= 0 and (r := rank.get(symbol[k] << _SHIFT | symbol[i])) is not None:
-                heappush(queue, r << _SHIFT | k)
+                if (r := rank[s](symbol[k])) is not None:
+                    heappush(queue, r << shift | i)
+            if (k := before[i]) >= 0 and (r := rank[symbol[k]](s)) is not None:
+                heappush(queue, r << shift | k)
         return [s for s in symbol if s >= 0]
 
     def _word(self, word: str) -> bytes:
-        return np.array(self.merge(word.encode()), "<u4").tobytes()
+        return b"".join(map(self.packed.__getitem__, self.merge(word.encode())))
+
+    def _behind_space(self, segment: str) -> bytes:
+        """Letters alone are one word with the space before them, and a mark at their end is another: no pattern is asked."""
+        body, end = (segment[:-1], segment[-1]) if segment[-1:] in _MARKS else (segment, "")
+        if not body.isalpha() or max(body) >= _LATIN:
+            return self._segment(" " + segment)
+        return self.word[" " + body] + self.word[end] if end else self.word[" " + body]
 
     def _segment(self, segment: str) -> bytes:
         return b"".join(map(self.word.__getitem__, self.words.findall(segment)))

@@ -62,6 +62,24 @@ def test_every_character_class_as_the_library(library):
     assert wrong == []
 
 
+def test_plain_words_need_no_pattern(library):
+    """Letters with a mark at their end are cut without the pattern, and give what the library gives."""
+    own = Vocabulary(PATH)
+    asked, pattern = [], own.words
+    own.words = type("Asked", (), {"findall": staticmethod(lambda t: asked.append(t) or pattern.findall(t))})
+    text = "Start one, größe! étude: x. Straße; ok? ɏ"
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert asked == ["Start"]
+    for text in ("x . a.. b., 'tis don't, it's. 12. 1a. ǅ, ʰ, ª. ٣, x٣. a² ½. ɐ. 漢字, -, .", "x  a, \n b. "):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("n", [8190, 8191, 8192, 8193])
+def test_words_where_places_outgrow_their_bits(library, n):
+    text = "x " + ("abcab" * n)[:n]
+    assert np.frombuffer(Vocabulary(PATH).encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_remembered_stays_bounded():
     seen = Remembered(lambda k: k * 2, limit=10)
     assert [seen[i] for i in range(100)] == [2 * i for i in range(100)] and len(seen) <= 10 and len(seen.old) <= 10
