@@ -16,7 +16,7 @@ import json
 import os
 import uuid
 from functools import lru_cache
-from itertools import accumulate, compress
+from itertools import accumulate, compress, pairwise
 from operator import not_
 
 import numpy as np
@@ -25,36 +25,66 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.bpe import Remembered, segments
+from emberlog.llm.bpe import Remembered
 from emberlog.llm.inputs import prepare, tidied, width
 
 OUT_BYTES = 4_000_000
-ASKED = 2_000
-TEXTS_AT_ONCE = 200
-REMEMBERED = 600_000
-# Word groups met first are mostly the frequent ones; a table of these alone stays in the processor's cache.
-HOT = 20_000
-# Punctuation behind a letter or digit is a word of its own (the apostrophe may not be).
-MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
+TEXT_BYTES = 8_000_000
+ASKED = 500
+REMEMBERED, LONG = 600_000, 100
 # Fixed value: how byte-level vocabularies write a space.
 SPACE = "\u0120"
-
-
-class _Empty(bytes):
-    """No ids, and yet known."""
-
-    def __bool__(self) -> bool:
-        return True
-
-
-EMPTY = _Empty()
+SPACES = [int.from_bytes(c.encode(), "big") for c in map(chr, range(0x80, 0x10000)) if c.isspace()]
+
+
+def _table(*ranges: tuple[int, int]) -> np.ndarray:
+    """Of each byte, whether it is in one of ``ranges``."""
+    return np.array([any(a <= b <= z for a, z in ranges) for b in range(256)])
+
+
+# Bytes that open a space of several bytes (and much else).
+OPENS_SPACE = _table((0xC2, 0xC2), (0xE1, 0xE3))
+ALNUM = _table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
+MARK = _table((0x21, 0x7E)) & ~ALNUM
+# Two bytes that open with this one are letters, but for two marks (times, divided); none is a space.
+LATIN, NO_LETTERS = 0xC3, _table((0x97, 0x97), (0xB7, 0xB7))
+VISIBLE = _table((0x21, 0x7E), (LATIN, LATIN))
+
+
+def _before_visible(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a visible character stands behind each place (none is the last) of UTF-8 ``data``."""
+    visible = data[at + 1] > 32
+    doubtful = np.flatnonzero(OPENS_SPACE[data[at + 1]])
+    first, second, third = (data[np.minimum(at[doubtful] + i, len(data) - 1)].astype(np.int64) for i in (1, 2, 3))
+    visible[doubtful] = ~np.isin(first << 8 | second, SPACES) & ~np.isin(first << 16 | second << 8 | third, SPACES)
+    return visible
+
+
+def cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where texts, one behind the other in UTF-8 ``data``, may be cut, since no word of a byte-level vocabulary crosses these
+    places: their ``bounds``, single spaces before a visible character (a space belongs to the word behind it), marks behind a
+    letter or digit, line ends behind a visible character, and what follows such a line end if it is visible too."""
+    cut = np.zeros(len(data) + 1, bool)
+    spaces = np.flatnonzero(data[:-1] == 32)
+    cut[spaces[_before_visible(data, spaces)]] = True
+    cut[bounds[1:] - 1] = False  # what stands behind a text's last space is another text
+    letter = ALNUM[data]
+    letter[1:] |= (data[:-1] == LATIN) & ~NO_LETTERS[data[1:]]
+    cut[1:-1] |= letter[:-1] & MARK[data[1:]]
+    lines = 1 + np.flatnonzero(data[1:-1] == 10)
+    lines = lines[VISIBLE[data[lines - 1]] | letter[lines - 1]]
+    cut[lines] = True
+    cut[1 + lines[VISIBLE[data[lines + 1]]]] = True
+    cut[bounds] = True
+    return np.flatnonzero(cut)
 
 
 class Library:
-    """The tokenizers library, asked once for each different word group while it is remembered.
+    """The tokenizers library, asked once for each different word while it is remembered (very long ones are not).
 
-    A text is cut at single spaces, which no word crosses, and before the punctuation that ends a
-    word; a text that holds a special token goes to the library whole.
+    Some megabytes of text are cut at once where no word crosses the cut (``cuts``), equal parts are found by a dictionary
+    over all of them, and the different ones that are not known go to the library, many in one text. A text that holds a
+    special token goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -65,88 +95,88 @@ class Library:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.head = Remembered(lambda s: self.ids([s])[0], 20_000)
-        self.behind_space = Remembered(lambda s: self.ids([" " + s])[0], REMEMBERED)
-        self.hot: dict[str, bytes] = {}
-        self.marks = Remembered(lambda s: self.ids([s])[0], 10_000)
+        self.known = Remembered(lambda word: self.apart([word])[0], REMEMBERED)
         self.line_end = self.ids(["\n"])[0]
         opens = (self.tokenizer.id_to_token(i) or "" for i in range(self.size))
         self.opens_word = np.array([token.startswith(SPACE) for token in opens])
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def has_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
 
-    def groups(self, segments: list[str]) -> list[bytes]:
-        """Ids of each segment behind a space. They go to the library as one text: in it exactly
-        the first token of a segment opens with a space."""
-        ids = np.frombuffer(self.ids([" " + " ".join(segments)])[0], "<u4")
+    def apart(self, words: list[str]) -> list[bytes]:
+        return [ids.tobytes() for ids in self.ids(words)]
+
+    def behind_spaces(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, given with the space before it and without other spaces. They go to the library as one text: in it
+        exactly the first token of a word opens with a space."""
+        text = "".join(words)
+        ids = self.ids([text])[0]
         first = np.flatnonzero(self.opens_word[ids])
-        if len(first) != len(segments):
-            return self.ids([" " + s for s in segments])
+        if len(first) != len(words) or self.has_special(text):
+            return self.apart(words)
         data, ends = ids.tobytes(), [*(4 * first[1:]).tolist(), 4 * len(ids)]
         return [data[a:b] for a, b in zip([0, *ends], ends)]
 
     def lines(self, words: list[str]) -> list[bytes]:
         """Ids of each word at the start of a line; a single line end between words is a token of its own."""
-        out: list[bytes] = []
-        for i in range(0, len(words), ASKED):
-            some = words[i:i + ASKED]
-            ids = np.frombuffer(self.ids(["\n".join(some)])[0], "<u4")
-            ends = np.flatnonzero(ids == np.frombuffer(self.line_end, "<u4"))
-            if len(ends) != len(some) - 1:
-                out += self.ids(some)
+        text = "\n".join(words)
+        ids = self.ids([text])[0]
+        ends = np.flatnonzero(ids == self.line_end)
+        if len(ends) != len(words) - 1 or self.has_special(text):
+            return self.apart(words)
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(data)])]
+
+    def different(self, words: list[str]) -> list[bytes]:
+        """Ids of different words, from memory or from the library."""
+        older = self.known.old
+        found = list(map(self.known.get, words))
+        open_: tuple[list[int], ...] = [], [], []
+        for i in compress(range(len(words)), map(not_, found)):
+            word = words[i]
+            if (ids := older.get(word)) is not None:
+                found[i] = self.known.remember(word, ids)
                 continue
-            out += [x.tobytes() for x in np.split(ids, np.sort(np.r_[ends, ends + 1]))[::2]]
-        return out
+            bare = word.removeprefix(" ")
+            open_[2 if bare.split() != [bare] else len(bare) == len(word)].append(i)
+        for ask, at in zip((self.behind_spaces, self.lines, self.apart), open_):
+            for k in range(0, len(at), ASKED):
+                some = at[k:k + ASKED]
+                for i, ids in zip(some, ask([words[i] for i in some])):
+                    found[i] = self.known.remember(words[i], ids) if len(words[i]) <= LONG else ids
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [ids for i in range(0, len(texts), TEXTS_AT_ONCE) for ids in self._encode(texts[i:i + TEXTS_AT_ONCE])]
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= TEXT_BYTES:
+                out += self._encode(held)
+                held, size = [], 0
+        return out + self._encode(held)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        known, older, hot = self.behind_space, self.behind_space.old, self.hot
-        cut = [[t] if any(s in t for s in self.special) else segments(t) for t in texts]
-        got = [list(map(hot.get, parts)) for parts in cut]
-        missing = []
-        for parts, ids in zip(cut, got):
-            ids[0] = self.head[parts[0]] or EMPTY
-            lost = []
-            for i in compress(range(len(ids)), map(not_, ids)):
-                found = known.get(parts[i])
-                if found is None:
-                    lost.append(i)
-                else:
-                    ids[i] = found
-            missing.append(lost)
-        new = {s: older.get(s) for s in {parts[i] for parts, at in zip(cut, missing) for i in at}}
-        open_ = [s for s, ids in new.items() if ids is None]
-        broken = {s: parts for s in open_ if "\n" in s and len(parts := s.split("\n")) == 2 and parts == s.split()}
-        starts = dict(zip(ask := list({b for _, b in broken.values()}), self.lines(ask)))
-        stem_of = {a: a.rstrip(MARKS) for a in [a for a, _ in broken.values()] + open_}
-        stem_of = {a: stem for a, stem in stem_of.items() if stem and stem[-1].isalnum()}
-        stems = {stem: known.get(stem) or older.get(stem) for stem in stem_of.values()}
-        ask = [stem for stem, ids in stems.items() if ids is None and stem.split() == [stem]]
-        for i in range(0, len(ask), ASKED):
-            some = ask[i:i + ASKED]
-            stems.update(zip(some, self.groups(some)))
-        for s, stem in stem_of.items():
-            if stems[stem] is None:
-                continue
-            if s != stem:
-                known.remember(stem, stems[stem])
-                stems[s] = stems[stem] + self.marks[s[len(stem):]]
-            if s in new:
-                new[s] = stems[s]
-        for s, (a, b) in broken.items():
-            if stems.get(a) is not None:
-                new[s] = stems[a] + self.line_end + starts[b]
-        for s, ids in new.items():
-            new[s] = known.remember(s, known.make(s) if ids is None else ids)
-            if len(hot) < HOT:
-                hot[s] = new[s]
-        for parts, ids, at in zip(cut, got, missing):
-            for i in at:
-                ids[i] = new[parts[i]]
-        return [b"".join(ids) for ids in got]
+        whole = {i: self.ids([t])[0].tobytes() for i, t in enumerate(texts) if self.has_special(t)}
+        raw = [b"" if i in whole else t.encode() for i, t in enumerate(texts)]
+        data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+        if not len(data):
+            return [whole.get(i, b"") for i in range(len(texts))]
+        at = cuts(data, bounds)
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        words = self.different(parts.dictionary.cast(pa.large_string()).to_pylist())
+        ids, size = np.frombuffer(b"".join(words), "<u4"), np.array(list(map(len, words)), np.int64) // 4
+        part = parts.indices.to_numpy()
+        size, begin = size[part], (np.cumsum(size) - size)[part]
+        ends = np.cumsum(size)
+        taken = np.repeat(begin - ends + size, size)
+        taken += np.arange(len(taken))
+        found, ends = ids[taken].tobytes(), 4 * np.r_[0, ends][np.searchsorted(at, bounds)]
+        return [whole.get(i, found[a:b]) for i, (a, b) in enumerate(pairwise(ends.tolist()))]
 
 
 @lru_cache(maxsize=4)

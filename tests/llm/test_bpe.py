@@ -85,6 +85,36 @@ def test_remembered_stays_bounded():
     assert [seen[i] for i in range(100)] == [2 * i for i in range(100)] and len(seen) <= 10 and len(seen.old) <= 10
 
 
+def test_library_is_asked_once_for_a_word():
+    """A word goes to the library once, however many lines and texts it opens."""
+    book, asked = Library(PATH), []
+    own = book.tokenizer
+    book.tokenizer = type("Asked", (), {"encode_batch_fast": staticmethod(lambda texts, **kw: asked.extend(texts) or own.encode_batch_fast(texts, **kw))})
+    texts = [f"Word{i} (so.\nZanzibar x{i},\nÉtude" for i in range(1000)]
+    first = book.encode(texts)
+    assert sum(t.count("Zanzibar") for t in asked) == 1 and sum(t.count("Étude") for t in asked) == 1
+    asked.clear()
+    assert book.encode(texts) == first and asked == []
+
+
+def test_library_by_words_as_by_whole_texts(library):
+    """Texts of odd parts in one call, each as the library encodes it whole."""
+    parts = [" ", "  ", "\n", "\n\n", "\r\n", "\t", "\x0b", "\x1c", "\x7f", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u2009", "\u200b", "\u2028", "\u202f", "\u205f",
+             "\u3000", "\u3042", "a", "The", "é", "ß", "×", "÷", "À", "ÿ", "²", "“", "”", "—", "§", "e\u0301", "漢", "🙂", "1", "22", ".", ",", "...", "'", "'s", "'ll", "$", "|", "<|", "<|endoftext|>", "endoftext|>", "\x00"]
+    rng = np.random.default_rng(8)
+    odds = np.r_[8, [1.0] * (len(parts) - 1)] / (len(parts) + 7)
+    texts = ["", "x ", " y", "x\n", "\nY", "", " ", "\n", "z"] + ["".join(rng.choice(parts, rng.integers(0, 12), p=odds)) for _ in range(20_000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    book = Library(PATH)
+    assert book.encode(texts) == want and book.encode(texts[::-1]) == want[::-1] and book.encode([]) == []
+
+
+def test_long_words_are_not_remembered():
+    book = Library(PATH)
+    book.encode(["a" * 5000 + " b"])
+    assert set(book.known) == {" b"}
+
+
 def test_token_files(spark, library, tmp_path):
     rows = [(7, "b"), (None, "none"), (-3, None), (7, "a"), (7, "b"), (2, "long " * 20000), (9, "x<|endoftext|>y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
