@@ -130,3 +130,20 @@ def test_ratio_rules_read_their_rows_once(spark):
         return {h.group_key for h in hits.collect()}, "LeftSemi" in hits._jdf.queryExecution().optimizedPlan().toString()
     assert found(0.5) == ({"u"}, False)
     assert found(0.0) == ({"u"}, True)
+
+
+def test_written_events_give_the_same_hits_and_search_the_lines_once(spark, tmp_path):
+    """A whole run searched all lines for the patterns again in each of eight scans."""
+    rules = [RULES[0], RULES[2], RULES[3], RULES[4], RULES[6], RULES[7]]
+    rows = spark.createDataFrame(
+        [(i, BASE + dt.timedelta(minutes=i // 3), f"g{i % 4}" if i % 11 else None, "hit" if i % 5 < 2 else "miss", f"v{i % 3}" if i % 7 else None) for i in range(300)],
+        "row_id long, ts timestamp, g string, log string, v string")
+    b.rule_entries(rows, rules).write.parquet(str(tmp_path / "events"))
+    events = spark.read.parquet(str(tmp_path / "events"))
+    hits, apart = b.evaluate_rules(rows, rules, None, entries=events), b.evaluate_rules(rows, rules, None)
+    got, want = sorted(map(str, hits.collect())), sorted(map(str, apart.collect()))
+    assert got == want and got
+    assert "RLIKE" not in hits._jdf.queryExecution().optimizedPlan().toString().upper()
+    known = spark.createDataFrame(hits.collect(), hits.schema)
+    assert sorted(map(str, b.matched_rows(rows, rules, known, events).collect())) == sorted(map(str, b.matched_rows(rows, rules, known).collect()))
+    assert b.rule_entries(rows, [RULES[7]]) is None and b.rule_entries(rows, []) is None
